@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.plans import q_filters  # noqa: F401
+from lakeloom.plans.registry import ORACLE_SQL, QUERIES
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["ret_rrf" if "ret_rrf" in QUERIES else "src_table_scan"](spark, sf_dir)
