@@ -140,10 +140,10 @@ def flt_original(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size < 5 THEN 'too small' WHEN p_retailprice > 1500 THEN 'too dear' WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'brand closed' ELSE '' END AS reason FROM part"""
+    """SELECT p_partkey, CASE WHEN p_size < 5 THEN 'too small' WHEN p_retailprice > 1500 THEN 'too dear' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'brand closed' ELSE '' END AS reason FROM part"""
 )
 def prj_exclusion_reason(t: Tables) -> DataFrame:
-    r = F.when(F.col("p_size") < 5, "too small").when(F.col("p_retailprice") > 1500, "too dear").when(F.col("p_brand").isin("Brand#11", "Brand#12"), "brand closed").otherwise("")
+    r = F.when(F.col("p_size") < 5, "too small").when(F.col("p_retailprice") > 1500, "too dear").when(F.col("p_brand").isin("Brand#1", "Brand#2"), "brand closed").otherwise("")
     return t.part.select("p_partkey", r.alias("reason"))
 
 
@@ -165,12 +165,12 @@ def prj_coalesce(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, p_brand FROM part WHERE (p_size BETWEEN 10 AND 30) AND (p_type LIKE '%BRASS' OR p_type LIKE '%STEEL')
+    """SELECT p_partkey, p_brand FROM part WHERE (p_size BETWEEN 10 AND 30) AND (p_type LIKE '%UM' OR p_type LIKE '%ARD')
 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.05)"""
 )
 def flt_business(t: Tables) -> DataFrame:
     used = t.lineitem.where("l_discount >= 0.05").select("l_partkey")
-    chip = F.col("p_size").between(10, 30) & (F.endswith("p_type", F.lit("BRASS")) | F.endswith("p_type", F.lit("STEEL")))
+    chip = F.col("p_size").between(10, 30) & (F.endswith("p_type", F.lit("UM")) | F.endswith("p_type", F.lit("ARD")))
     return t.part.where(chip).join(used, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
 
 
