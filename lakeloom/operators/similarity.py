@@ -8,6 +8,7 @@ first size - ceil(t * size) + 1 terms, so frequent terms hardly ever join.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,15 +24,17 @@ def fingerprint(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SUBSTANCE, "")
 
 
-def shingles(prepared: Column, k: int = 12, step: int = 1) -> Column:
-    """Distinct k-character shingles of a prepared column; a shorter text is one shingle, an empty one none.
+def shingles(text: Column, k: int = 12, step: int = 1) -> Column:
+    """Distinct k-character shingles, sorted; a shorter text is one shingle, an empty one (or null) none.
 
-    Materialise the fingerprint in a column of its own first: inside the lambda it would run once per shingle.
+    An Arrow-batched UDF: in SQL each substring() walks the text again, which is quadratic in its length.
     """
-    n = F.length(prepared)
-    starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)), F.lit(step))
-    many = F.transform(starts, lambda i: F.substring(prepared, i, F.lit(k)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({t[i : i + k] for i in range(0, max(1, len(t) - k + 1), step)}) if t else [])
+
+    return cut(text)
 
 
 def jaccard(a: Column, b: Column) -> Column:
