@@ -13,10 +13,10 @@ evolved on several islands, which are separate tasks; between epochs an
 island's elite migrates to the next island through a shuffle. An island stops
 once it holds the lower bound ceil(tokens / capacity).
 
-Tokens of a chunk between ASCII spaces don't depend on its neighbours in the
-given tokenizer (NFC and lower case act within a chunk, its pattern drops
-white space), so ids are looked up by chunk, from the tokenizer itself on a
-miss; a test compares with whole texts.
+Tokens of a pre-token don't depend on its neighbours in the given tokenizer (NFC
+and lower case act between spaces, its pattern drops white space), so ids are
+looked up, from the tokenizer itself on a miss; a test compares with whole
+texts.
 
 Edge cases: null and empty texts are one end id; repeated rows are packed as
 often as they occur; an empty table gives an empty result; doc_id may be null.
@@ -24,16 +24,18 @@ often as they occur; an empty table gives an empty result; doc_id may be null.
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import byte_rows, id_and_text, materialise
+from lakeloom.llm.common import id_and_text, materialise, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -42,46 +44,114 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
-CACHE = 400_000
+#: Pre-tokens (and chunks) remembered by a Python worker.
+CACHE = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _STATE = "shard long, island int, items binary, genomes array<binary>"
 _ITEM = np.dtype([("doc_id", "<i8"), ("null_id", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
 
-class ChunkIds:
-    """ids of a text as little-endian unsigned 32-bit bytes, looked up chunk by chunk."""
+class WordIds:
+    """ids of texts as little-endian unsigned 32-bit bytes.
+
+    For texts of plain letters, digits and punctuation the tokenizer's normaliser
+    and pattern are followed here in Arrow (lower case, one digit at a time, runs of
+    letters and of other signs), and only pre-tokens not seen before go to the
+    tokenizer, many at once; its end-of-word marks tell their ids apart. Any other
+    text is looked up by chunk between ASCII spaces, from the tokenizer as it is.
+    """
+
+    #: Texts with any other character (or an apostrophe, or what may begin a special token) go by chunk: with these, lower case and NFC are one to one.
+    ODD = r"<\||[^\t-\r\x20-\x26\x28-\x7e\x{a1}-\x{a7}\x{ab}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{bf}-\x{12f}\x{132}-\x{148}\x{14a}-\x{17e}\x{410}-\x{44f}\x{2010}-\x{2018}\x{201a}-\x{2027}\x{ac00}-\x{d7a3}]"
+    #: What the tokenizer's pattern sets apart from letters: one digit, or a run of other signs.
+    SIGNS = r"([0-9]|[^\t-\r 0-9\pL]+)"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        encoded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        for c, e in zip(new, encoded, strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # New pre-tokens are lower case and composed already: the same model behind a plain split.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
+        self.words: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+
+    def _encode(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Pre-tokens, in lower case."""
+        for at in range(0, len(new), 20_000):
+            some = [w for w in new[at : at + 20_000] if w]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(some):
+                raw, ends = ids.tobytes(), ends.tolist()
+                self.words.update(zip(some, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.words.update(zip(some, self._encode([w.decode() for w in some]), strict=True))
+        self.words[b""] = b""
+
+    def _learn_chunks(self, new: list[bytes]) -> None:
+        self.chunks.update(zip(new, self._encode([c.decode("utf-8", "replace") for c in new]), strict=True))
+
+    def _gather(self, parts: pa.Array, known: dict[bytes, bytes], learn) -> list[bytes]:
+        """Joined ids of each list of strings: each distinct string is looked up once, the rest is an Arrow take."""
+        coded = parts.flatten().dictionary_encode()
+        strings = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(known.get, strings))
+        new = [c for c, i in zip(strings, ids, strict=True) if i is None]
+        if new:
+            if len(known) > CACHE:
+                known.clear()
+                new = strings
+            learn(new)
+            ids = list(map(known.__getitem__, strings))
+        taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        raw = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
+        at = ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+        return [bytes(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """One result per string."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.ODD)
+        out: list[bytes] = [b""] * len(texts)
+        plain = pc.utf8_lower(texts.filter(pc.invert(odd)))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, self.SIGNS, r" \1 "))
+        chunks = pc.ascii_split_whitespace(texts.filter(odd))
+        for where, parts, known, learn in ((pc.invert(odd), split, self.words, self._learn), (odd, chunks, self.chunks, self._learn_chunks)):
+            if len(parts):
+                for i, ids in zip(np.flatnonzero(where.to_numpy(zero_copy_only=False)).tolist(), self._gather(parts, known, learn), strict=True):
+                    out[i] = ids
+        return out
+
+
+_READY: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, kept between its tasks."""
+    if path not in _READY:
+        _READY[path] = WordIds(path)
+    return _READY[path]
 
 
 def _cut(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        for batch in batches:
-            encode = encode or ChunkIds(path)
+        encode = word_ids(path)
+        for batch in small_batches(batches, 1000):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_rows(batch, "text"), strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text")), strict=True):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
