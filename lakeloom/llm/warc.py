@@ -125,7 +125,7 @@ def _write(folder: str, block_entries: int, archive_bytes: int):
         stem = secrets.token_hex(12)
         archive = None
         number = at = 0
-        name = ""
+        name, told_for, targets = "", None, {}
         entries: list[bytes] = []
         directory: list[tuple[bytes, int, int, int, int]] = []
         index, index_at, first = None, 0, None
@@ -144,6 +144,11 @@ def _write(folder: str, block_entries: int, archive_bytes: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 for r in batch.slice(start, 64).to_pylist():
+                    if (r["surt"], r["page_id"]) != told_for:
+                        told_for, targets = (r["surt"], r["page_id"]), {}
+                    if r["kind"] == 0:
+                        targets[r["digest"]] = {"page_id": r["first_id"], "url": r["url"], "surt": r["first_surt"]}
+                        continue
                     if archive is None or at >= archive_bytes:
                         if archive is not None:
                             archive.close()
@@ -152,8 +157,7 @@ def _write(folder: str, block_entries: int, archive_bytes: int):
                         info = gzip.compress(_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:archive:{name}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), 1, mtime=0)
                         archive.write(info)
                         at = len(info)
-                    target = None if r["first_id"] is None else {"page_id": r["first_id"], "url": r["first_url"], "surt": r["first_surt"]}
-                    member = gzip.compress(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["digest"], target), 3, mtime=0)
+                    member = gzip.compress(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["digest"], targets.get(r["digest"])), 3, mtime=0)
                     archive.write(member)
                     key, page = r["surt"].encode(), _NO_ID if r["page_id"] is None else r["page_id"]
                     first = first or (key, page)
@@ -174,14 +178,20 @@ def _write(folder: str, block_entries: int, archive_bytes: int):
 
 
 def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """pages with capture key, payload digest, and the response that a revisit names (else null)."""
+    """Rows to write, by capture key: each page (kind 1) and, before it, the response its payload repeats (kind 0).
+
+    The payloads take part in no join: what a revisit names is found on narrow
+    rows, summed before their shuffle, and goes to the writer as rows of its own,
+    which meet the page under the same key.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"surt": surt(F.col("url")), "digest": F.sha2("html", 256)})
-    # Narrow rows only, summed before the shuffle; groups of one never reach the join.
-    first = p.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min_by(F.struct("page_id", "url", "surt"), "page_id").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "f")
-    p = p.join(first, "digest", "left")
-    other = F.col("f.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("f.page_id"))
-    return p.select("page_id", "url", "surt", "html", "digest", *(F.when(other, F.col(f"f.{c}")).alias(f"first_{n}") for c, n in (("page_id", "id"), ("url", "url"), ("surt", "surt"))))
+    told = p.where(F.octet_length("html") >= min_revisit).select("page_id", "url", "surt", "digest")
+    first = told.groupBy("digest").agg(F.min_by(F.struct("page_id", "url", "surt"), "page_id").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1 and f.page_id is not null").select("digest", "f")
+    named = told.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("f.page_id")))
+    named = named.select("surt", "page_id", F.lit(0).alias("kind"), "digest", F.col("f.url").alias("url"), F.lit(None).cast("string").alias("html"), F.col("f.page_id").alias("first_id"), F.col("f.surt").alias("first_surt"))
+    page = p.select("surt", "page_id", F.lit(1).alias("kind"), "digest", "url", "html", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_surt"))
+    return page.unionByName(named)
 
 
 class Archive:
@@ -197,7 +207,7 @@ class Archive:
 def write_archives(pages: DataFrame, folder: str | None = None, block_entries: int = BLOCK_ENTRIES, archive_bytes: int = ARCHIVE_BYTES, min_revisit: int = MIN_REVISIT) -> Archive:
     spark = pages.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/warc-{secrets.token_hex(8)}"
-    rows = captures(pages, min_revisit).repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+    rows = captures(pages, min_revisit).repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id", "kind")
     written = materialise(rows.mapInArrow(_write(folder, block_entries, archive_bytes), "key binary, page long, stem string"))
     return Archive(folder, sorted((bytes(r.key), r.page, r.stem) for r in written.collect()))
 
@@ -326,7 +336,9 @@ def read_back(archive: Archive, keys: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    sorted_ = keys.select("surt", "page_id").repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
+    # Keys are narrow but each stands for a range read: a given number of partitions isn't coalesced by size.
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = keys.select("surt", "page_id").repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id")
     return sorted_.mapInArrow(run, _READ)
 
 
