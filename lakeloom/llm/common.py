@@ -7,6 +7,8 @@ taken from UTF-8 bytes and never from ``str.split()`` (which knows more spaces).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -61,6 +63,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: idle workers are kept, and with them what their heap still holds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(vertex, least vertex of its component) for every vertex that isn't the least.
 

@@ -44,14 +44,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import byte_rows, checkpoint_dir, id_and_text, materialise
+from lakeloom.llm.common import byte_rows, checkpoint_dir, give_back, id_and_text, materialise
 
 LENGTH = 50
 Q = 24
 #: q-grams in a window of LENGTH bytes.
 SPAN = LENGTH - Q + 1
-PART_BYTES = 1 << 20
-GROUP_BYTES = 16 << 20
+PART_BYTES = 512 << 10
+GROUP_BYTES = 8 << 20
 #: Spare bits of an anchor's hash over those that number all anchors: one false share in 2 ** 7.
 SPARE_BITS = 7
 _LAST_ID = np.iinfo(np.int64).max
@@ -67,6 +67,12 @@ def _unzip(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values by a plain sort (numpy's hash-based unique is many times slower on such hashes)."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def encode_sorted(values: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit values as deltas, byte planes, zstandard."""
     deltas = np.diff(values, prepend=np.zeros(1, np.uint64))
@@ -205,7 +211,7 @@ def _sketch(bits: int, parts: int, part_bytes: int):
         gid, hashes = None, []
 
         def out() -> pa.RecordBatch:
-            all_ = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+            all_ = distinct(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
             to = _bucket(all_, bits, parts)
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
             ends = np.r_[cuts[1:], len(to)] if len(cuts) else cuts
@@ -219,9 +225,11 @@ def _sketch(bits: int, parts: int, part_bytes: int):
                     hashes = []
                 gid = row["gid"]
                 for data, stops, _, _ in _pieces(row, part_bytes):
-                    hashes.append(np.unique(anchors(data, stops)[0] >> shift))
+                    hashes.append(anchors(data, stops)[0] >> shift)
         if gid is not None:
             yield out()
+            hashes = []
+            give_back()
 
     return run
 
@@ -257,56 +265,58 @@ class Stretches:
         self.number: dict[bytes, int] = {}
         self.hash: list[int] = []
         self.least: list[int] = []
-        self.places: list[tuple] = []  # row, document, start, windows, stretch
-        shared = np.union1d(shared, self._local(rows, shift, part_bytes))
+        self.places: list[tuple] = []  # row, document, start, windows, stretch, owner
+        # Anchors of the whole group are found once and kept as 32-bit places.
+        pieces = []
         for r, row in enumerate(rows):
-            ids = _ids(row)
             for data, stops, docs, offsets in _pieces(row, part_bytes):
                 h, first, last, piece = anchors(data, stops)
-                h = h >> shift
-                at = np.searchsorted(shared, h)
-                hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == h) if len(shared) else []
-                if not len(hit):
-                    continue
-                raw, starts = data.tobytes(), np.r_[0, stops[:-1]]
-                docs_, offsets_ = np.array(docs), np.array(offsets)
-                p = piece[hit]
-                owner = ids[docs_[p]].tolist()
-                numbers = []
-                number, least, hashes = self.number, self.least, self.hash
-                for a, b, k, who in zip(first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), owner, strict=True):
-                    s = raw[a : b + LENGTH]
-                    n = number.get(s)
-                    if n is None:
-                        n = number[s] = len(least)
-                        least.append(who)
-                        hashes.append(k)
-                    elif who < least[n]:
-                        least[n] = who
-                    numbers.append(n)
-                if keep:
-                    start = first[hit] - starts[p] + offsets_[p]
-                    self.places.append((r, docs_[p], start, last[hit] - first[hit] + 1, np.array(numbers), np.array(owner, np.int64)))
+                pieces.append((r, data, stops, docs, offsets, h >> shift, first.astype(np.int32), last.astype(np.int32), piece.astype(np.int32)))
+        shared = distinct(np.concatenate([shared, self._local(rows, pieces, bits)]))
+        for r, data, stops, docs, offsets, h, first, last, piece in pieces:
+            ids = _ids(rows[r])
+            at = np.searchsorted(shared, h)
+            hit = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == h) if len(shared) else []
+            if not len(hit):
+                continue
+            raw, starts = data.tobytes(), np.r_[0, stops[:-1]]
+            docs_, offsets_ = np.array(docs), np.array(offsets)
+            p = piece[hit]
+            owner = ids[docs_[p]].tolist()
+            numbers = []
+            number, least, hashes = self.number, self.least, self.hash
+            for a, b, k, who in zip(first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), owner, strict=True):
+                s = raw[a : b + LENGTH]
+                n = number.get(s)
+                if n is None:
+                    n = number[s] = len(least)
+                    least.append(who)
+                    hashes.append(k)
+                elif who < least[n]:
+                    least[n] = who
+                numbers.append(n)
+            if keep:
+                start = first[hit] - starts[p] + offsets_[p]
+                self.places.append((r, docs_[p], start, (last[hit] - first[hit] + 1).astype(np.int64), np.array(numbers), np.array(owner, np.int64)))
 
     @staticmethod
-    def _local(rows: list[dict], shift: np.uint64, part_bytes: int) -> np.ndarray:
+    def _local(rows: list[dict], pieces: list[tuple], bits: int) -> np.ndarray:
         """Hashes that occur in two documents of the group."""
-        found = []
-        for row in rows:
-            for data, stops, docs, _ in _pieces(row, part_bytes):
-                h, _, _, piece = anchors(data, stops)
-                h = h >> shift
-                doc = np.array(docs, np.int64)[piece] + (row["part"] << 32) if len(piece) else piece
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-                found.append((h[new], doc[new]))
+        before = np.cumsum([0, *(len(row["lengths"]) for row in rows)])
+        found = [(h, np.array(docs, np.int64)[piece] + before[r]) for r, _, _, docs, _, h, _, _, piece in pieces if len(h)]
         if not found:
             return np.zeros(0, np.uint64)
-        h, doc = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        return np.unique(h[1:][(h[1:] == h[:-1]) & (doc[1:] != doc[:-1])])
+        h, doc = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]).astype(np.uint64)
+        room = 64 - bits
+        if int(before[-1]) < 1 << room:  # hash and document fit one word: one plain sort
+            both = distinct((h << np.uint64(room)) | doc)
+            h = both >> np.uint64(room)
+        else:
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+            h = h[new]
+        return distinct(h[1:][h[1:] == h[:-1]])
 
 
 def _told(replies: pa.Table, kind: int) -> list[bytes]:
@@ -315,7 +325,7 @@ def _told(replies: pa.Table, kind: int) -> list[bytes]:
 
 def _known(replies: pa.Table) -> np.ndarray:
     told = [decode_sorted(x) for x in _told(replies, 0)]
-    return np.unique(np.concatenate(told)) if told else np.zeros(0, np.uint64)
+    return distinct(np.concatenate(told)) if told else np.zeros(0, np.uint64)
 
 
 def _send(bits: int, parts: int, part_bytes: int):
@@ -335,7 +345,10 @@ def _send(bits: int, parts: int, part_bytes: int):
             body = (run_.astype("<u4"), np.array(s.hash, np.uint64)[run_], np.array(s.least, "<i8")[run_], np.array([len(x) for x in own], np.uint8))
             pids.append(int(to[run_[0]]))
             blobs.append(_zip(head + b"".join(np.ascontiguousarray(x).tobytes() for x in body) + b"".join(own)))
-        return pa.table({"pid": pa.array(pids, pa.int32()), "gid": pa.array([gid] * len(pids), pa.int64()), "stretches": pa.array(blobs, pa.binary())})
+        out = pa.table({"pid": pa.array(pids, pa.int32()), "gid": pa.array([gid] * len(pids), pa.int64()), "stretches": pa.array(blobs, pa.binary())})
+        del s, content, blobs, texts, rows
+        give_back()
+        return out
 
     return run
 
@@ -423,6 +436,8 @@ def _judge(group: pa.Table) -> pa.Table:
         if some.any():
             gids.append(gid)
             blobs.append(_zip(np.r_[number[some].astype("<u4"), masks[some]].astype("<u4").tobytes()))
+    del opened, least, anchor, keys, several, part, rows
+    give_back()
     return _answers(gids, 1, blobs)
 
 
@@ -465,6 +480,8 @@ def _remove(bits: int, part_bytes: int):
                 out.append((doc_id, n, removed, runs, hashlib.sha256(kept).hexdigest()))
         columns = zip(*out, strict=True) if out else [[]] * 5
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        del s, by_row, rows, texts
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
