@@ -111,7 +111,11 @@ def damage_signals(text: Column) -> Column:
 
 
 def quality_reasons(text: Column) -> Column:
-    """Reasons against a chunk that can be told without its corpus."""
+    """Reasons against a chunk that can be told without its corpus.
+
+    Costly signs are only sought where a cheap one allows them: leaders or trailing
+    digits for contents, a question mark or ending for questions, Hangul or ideographs for damage.
+    """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
     sub = substantive_length(t)
     share = sub / F.greatest(F.length(normalize(t)), F.lit(1))
@@ -120,10 +124,10 @@ def quality_reasons(text: Column) -> Column:
         F.array(
             F.when(is_page_number(t), "page_number"),
             F.when(is_rule(t) | (share < LOW_WORD_SHARE), "symbol_only"),
-            F.when(is_toc(t), "toc_line"),
+            F.when(t.rlike(r"[.·․‧⋯…\t ]{2}") & t.rlike(r"[.·․‧⋯…]{5}|\d\s*(?:\r?\n|$)") & is_toc(t), "toc_line"),
             F.when(sub < TOO_SHORT, "too_short").when(sub < THIN, "thin"),
-            F.when(is_question_only(t), "question_only"),
-            F.when(F.size(damage_signals(t)) >= SIGNALS_TO_DROP, "ocr_damage"),
+            F.when(t.rlike(QUESTION) & is_question_only(t), "question_only"),
+            F.when(t.rlike("[가-힣一-鿿㐀-䶿]") & (F.size(damage_signals(t)) >= SIGNALS_TO_DROP), "ocr_damage"),
             F.when((sub >= THIN) & (digits >= HIGH_DIGIT_SHARE), "low_text"),
         )
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as tx
 from lakeloom.operators.aggregates import idf
-from lakeloom.operators.similarity import fingerprint, jaccard_join, shingles
+from lakeloom.operators.similarity import fingerprint, jaccard_pairs, shingles
 from lakeloom.operators.windows import fuse, grouped_fold, top_k
 
 # Fixed values of the ranking rules.
@@ -47,7 +47,10 @@ def lexical(questions: DataFrame, index: DataFrame, n_chunks: int, least_overlap
     q = q.withColumn("focus", focused & (F.col("place") <= FOCUS_TERMS) & (F.col("df") > 0))
     q = q.withColumn("has_focus", F.max("focus").over(per)).where(~focused | F.col("has_focus"))
     rare = F.col("df") <= max(RARE_LEAST, int(n_chunks * RARE_SHARE))
-    hit = q.where("df > 0").join(index, "term")
+    # Chunks that can pass at all hold a telling (else a rare) term; frequent terms are only counted within those.
+    able = q.where((F.col("df") > 0) & F.when(F.col("has_focus"), F.col("focus")).otherwise(rare)).select(qid, "term")
+    able = able.join(index, "term").select(qid, chunk_id).distinct()
+    hit = able.join(index.join(q.select("term").distinct(), "term", "left_semi"), chunk_id).join(q, [qid, "term"])
     s = hit.groupBy(qid, chunk_id).agg(
         F.count_if(rare).alias("rare_hits"),
         F.sum(F.least(F.length("term"), F.lit(LONGEST_TERM)) * F.col("idf")).alias("score"),
@@ -116,8 +119,8 @@ def drop_near_copies(ranked: DataFrame, qid: str = "qid", chunk_id: str = "chunk
     Near copies come from a shingle join inside each question, so a copy of a copy that was dropped is dropped too.
     """
     f = ranked.withColumn("_f", fingerprint(F.col(text)))
-    grams = f.select(qid, F.col("rank").alias("_i"), F.explode(shingles(F.col("_f"))).alias("g"))
-    near = jaccard_join(grams, "_i", "g", least, [qid]).select(qid, F.col("b").alias("rank"))
+    sets = f.select(qid, F.col("rank").alias("_i"), shingles(F.col("_f")).alias("s"))
+    near = jaccard_pairs(sets, "_i", "s", least, [qid]).select(qid, F.col("b").alias("rank"))
     same = f.withColumn("_n", F.row_number().over(W.partitionBy(qid, "_f").orderBy("rank"))).where("_n > 1").select(qid, "rank")
     return ranked.join(near.union(same).distinct(), [qid, "rank"], "left_anti")
 

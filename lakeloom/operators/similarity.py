@@ -80,6 +80,19 @@ def jaccard_join(rows: DataFrame, item: str, term: str, least: float, partition:
     return out.where(F.col("jaccard") >= least).select(*partition, "a", "b", "jaccard")
 
 
+def jaccard_pairs(rows: DataFrame, item: str, terms: str, least: float, partition: list[str]) -> DataFrame:
+    """As jaccard_join, for rows (item, array of terms) inside groups that hold few items each: the prefix order is the hash's own, so nothing is counted first."""
+    h = rows.select(*partition, item, F.array_sort(F.array_distinct(F.transform(terms, lambda x: F.xxhash64(x)))).alias("h")).where(F.size("h") > 0)
+    n = F.size("h")
+    each = h.select(*partition, item, n.alias("n"), F.explode(F.slice("h", F.lit(1), n - F.ceil(n * F.lit(least)).cast("int") + 1)).alias("t"))
+    x = each.select(*partition, "t", F.col(item).alias("a"), F.col("n").alias("na"))
+    y = each.select(*partition, "t", F.col(item).alias("b"), F.col("n").alias("nb"))
+    close = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    pairs = x.join(y, [*partition, "t"]).where((F.col("a") < F.col("b")) & close).select(*partition, "a", "b").distinct()
+    j = pairs.join(h.select(*partition, F.col(item).alias("a"), F.col("h").alias("ha")), [*partition, "a"]).join(h.select(*partition, F.col(item).alias("b"), F.col("h").alias("hb")), [*partition, "b"])
+    return j.select(*partition, "a", "b", jaccard(F.col("ha"), F.col("hb")).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def containment_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, term: str, least: float) -> DataFrame:
     """(left_id, right_id, shared, left_size, right_size) where ``least`` of the left's terms are the right's."""
     a = left.select(left_id, F.xxhash64(term).alias("h")).distinct()
@@ -90,16 +103,30 @@ def containment_join(left: DataFrame, right: DataFrame, left_id: str, right_id:
     return both.where(F.col("shared") >= F.col("left_size") * least).join(nb, right_id).select(left_id, right_id, "shared", "left_size", "right_size")
 
 
+#: Needle grams up to which they are handed to the tasks that cut the bodies; above it they are joined.
+FEW_GRAMS = 500_000
+
+
 def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle: str, body_id: str, body: str, gram: int = 8) -> DataFrame:
     """(needle_id, body_id) where the body contains the needle: an equi-join on one rare gram of the needle, then the exact test.
 
     Needles shorter than a gram are nobody's (their matches would be chance).
+    Bodies give only grams that some needle has: told by a set of checked size, or else by a semi-join.
     """
     n = needles.where(F.length(needle) >= gram).select(needle_id, needle)
     prepared = n.withColumn("g", F.explode(shingles(F.col(needle), gram)))
-    grams = bodies.select(body_id, F.explode(shingles(F.col(body), gram)).alias("g"))
-    # Only grams that some needle has; of those each needle looks for its rarest.
-    seen = grams.join(prepared.select("g").distinct(), "g", "left_semi")
+    wanted = prepared.select("g").distinct()
+    few = wanted.limit(FEW_GRAMS + 1).collect()
+    if len(few) <= FEW_GRAMS:
+        known = frozenset(r.g for r in few)
+
+        @F.pandas_udf("array<string>")
+        def cut(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: sorted(known.intersection(t[i : i + gram] for i in range(len(t) - gram + 1))) if t else [])
+
+        seen = bodies.select(body_id, F.explode(cut(body)).alias("g"))
+    else:
+        seen = bodies.select(body_id, F.explode(shingles(F.col(body), gram)).alias("g")).join(wanted, "g", "left_semi")
     df = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     key = prepared.join(df, "g").groupBy(needle_id).agg(F.min_by("g", F.struct("df", "g")).alias("g"))
     found = key.join(seen, "g").select(needle_id, body_id).distinct()
