@@ -143,3 +143,43 @@ def plan_import(sheet: DataFrame, known: DataFrame, key: str = "key", fields: li
     here, there = F.col("_n").isNotNull(), F.coalesce(*[F.col(f"k.{c}").cast("string") for c in fields]).isNotNull()
     action = F.when(~here, "missing").when(F.col("_n") > 1, "ambiguous").when(~there, "new").when(F.size(changed) == 0, "same").otherwise("change")
     return j.select(key, action.alias("action"), F.when(action == "change", F.array_join(changed, ",")).otherwise("").alias("changed"))
+
+
+def approved_to_the_root(nodes: DataFrame, depth: int = 20) -> DataFrame:
+    """(id, usable): nodes (id, parent, approved) that are approved with all their ancestors, by one step per level of the tree."""
+    state = nodes.select("id", F.col("parent").alias("up"), F.col("approved").alias("usable"))
+    for _ in range(depth):
+        above = nodes.select(F.col("id").alias("up"), F.col("parent").alias("next"), F.col("approved").alias("ok"))
+        if state.where("up is not null").isEmpty():
+            break
+        state = state.join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("usable") & F.coalesce("ok", F.col("up").isNull())).alias("usable"))
+    return state.select("id", "usable")
+
+
+def case_issues(cases: DataFrame) -> DataFrame:
+    """(id, issues) of retrieval cases: question, decision, candidates array<struct(node_id, program_id, text)>, selected and rejected arrays of ids."""
+    known = F.transform("candidates", lambda c: c.node_id)
+    issues = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.trim("question"), F.lit("")) == "", "empty_question"),
+            F.when(F.coalesce(F.size("candidates"), F.lit(0)) <= 0, "no_candidates"),
+            F.when((F.col("decision") == "accept") & (F.coalesce(F.size("selected"), F.lit(0)) <= 0), "accepted_without_selection"),
+            F.when(F.size(F.array_except("selected", known)) > 0, "unknown_selection"),
+            F.when(F.size(F.array_intersect("selected", "rejected")) > 0, "selected_and_rejected"),
+            F.when(F.exists("candidates", lambda c: c.program_id != F.col("program_id")), "cross_program_candidate"),
+        )
+    )
+    return cases.select("id", issues.alias("issues"))
+
+
+def review_tasks(rows: DataFrame, key: str = "row") -> DataFrame:
+    """(task): rows as review tasks, a JSON object each."""
+    return rows.select(F.to_json(F.struct(F.col(key).alias("id"), F.struct(*[F.col(c) for c in rows.columns if c != key]).alias("data"))).alias("task"))
+
+
+def review_decisions(tasks: DataFrame, task: str = "task") -> DataFrame:
+    """(id, decision, reviewer) from finished tasks: the last annotation's first choice."""
+    schema = "struct<id:bigint,annotations:array<struct<completed_by:string,result:array<struct<value:struct<choices:array<string>>>>>>>"
+    t = F.from_json(task, schema)
+    last = F.element_at(t["annotations"], -1)
+    return tasks.select(t["id"].alias("id"), F.get(F.get(last["result"], F.lit(0))["value"]["choices"], F.lit(0)).alias("decision"), last["completed_by"].alias("reviewer"))

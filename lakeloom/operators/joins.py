@@ -109,3 +109,55 @@ def best_by_words(sections: DataFrame, aspects: DataFrame, least: int = 1) -> Da
 def key_of(title: Column) -> Column:
     """Comparison key of a title: numbering, spaces and signs gone, lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(title, r"^\s*[0-9]+(?:[.)-][0-9]*)*\s*", ""), "[^가-힣A-Za-z0-9]", ""))
+
+
+def _word_weights(sections: DataFrame, word: str = "word") -> DataFrame:
+    n = sections.select("pair", "side", "path").distinct().groupBy("pair").agg(F.count(F.lit(1)).alias("bags"))
+    df = sections.select("pair", "side", "path", word).distinct().groupBy("pair", word).agg(F.count(F.lit(1)).alias("df"))
+    return df.join(n, "pair").select("pair", word, F.log((F.col("bags") + 1) / (F.col("df") + F.lit(0.5))).alias("w"))
+
+
+def weighted_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, a_path, b_path, body): idf-weighted Jaccard of section words; rows are (pair, path, word). Pairs of sections meet on shared words."""
+    both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    w = _word_weights(both)
+    x = a.distinct().join(w, ["pair", "word"])
+    y = b.distinct().join(w, ["pair", "word"])
+    shared = x.select("pair", "word", "w", F.col("path").alias("a_path")).join(y.select("pair", "word", F.col("path").alias("b_path")), ["pair", "word"]).groupBy("pair", "a_path", "b_path").agg(F.sum("w").alias("s"))
+    na, nb = x.groupBy("pair", F.col("path").alias("a_path")).agg(F.sum("w").alias("na")), y.groupBy("pair", F.col("path").alias("b_path")).agg(F.sum("w").alias("nb"))
+    j = shared.join(na, ["pair", "a_path"]).join(nb, ["pair", "b_path"])
+    return j.select("pair", "a_path", "b_path", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("body"))
+
+
+def best_with_margin(scored: DataFrame, score: str, accept: float, margin: float, ratio: float = 1.0) -> DataFrame:
+    """(pair, a_path, b_path, score): the best b of each a, if it reaches accept, leads the second by the margin and the ratio; each b once, for its best a."""
+    w = W.partitionBy("pair", "a_path").orderBy(F.desc(score), "b_path")
+    s = scored.withColumn("second", F.coalesce(F.lead(score).over(w), F.lit(0.0))).withColumn("r", F.row_number().over(w)).where("r = 1")
+    s = s.where((F.col(score) >= accept) & (F.col(score) - F.col("second") >= margin) & (F.col(score) >= ratio * F.col("second")))
+    return s.withColumn("k", F.row_number().over(W.partitionBy("pair", "b_path").orderBy(F.desc(score), "a_path"))).where("k = 1").select("pair", "a_path", "b_path", F.col(score).alias("score"))
+
+
+def align_by_content(a: DataFrame, b: DataFrame, accept: float = 0.2, margin: float = 0.05, ratio: float = 2.0) -> DataFrame:
+    """Sections aligned by their bodies alone."""
+    return best_with_margin(weighted_overlap(a, b), "body", accept, margin, ratio)
+
+
+def align_by_context(a: DataFrame, b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, accept: float = 0.25, margin: float = 0.08) -> DataFrame:
+    """Sections of one title aligned by half the overlap of their bodies and half that of their ancestors' titles.
+
+    titles rows: (pair, path, title_key, ancestors array of titles, nearest first); an
+    ancestor level weighs .6, .3 or .1 and overlaps by character bigrams.
+    """
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    x = titles_a.select("pair", "title_key", F.col("path").alias("a_path"), F.col("ancestors").alias("aa"))
+    y = titles_b.select("pair", "title_key", F.col("path").alias("b_path"), F.col("ancestors").alias("ba"))
+    j = x.join(y, ["pair", "title_key"]).join(weighted_overlap(a, b), ["pair", "a_path", "b_path"], "left")
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for i, w in enumerate((0.6, 0.3, 0.1)):
+        p, q = F.get("aa", F.lit(i)), F.get("ba", F.lit(i))
+        both = F.size(F.array_intersect(grams(p), grams(q)))
+        level = both / F.size(F.array_union(grams(p), grams(q)))
+        there = p.isNotNull() & q.isNotNull()
+        total, weight = total + F.when(there, w * level).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
+    up = F.when(weight > 0, total / weight).otherwise(0.0)
+    return best_with_margin(j.withColumn("s", 0.5 * up + 0.5 * F.coalesce("body", F.lit(0.0))), "s", accept, margin)

@@ -172,3 +172,28 @@ def index_delta(current: DataFrame, indexed: DataFrame, key: str = "chunk_id", d
     j = current.select(key, F.col(digest).alias("_a")).join(indexed.select(key, F.col(digest).alias("_b")), key, "full_outer")
     action = F.when(F.col("_b").isNull(), "embed").when(F.col("_a").isNull(), "drop").when(F.col("_a") != F.col("_b"), "embed_again")
     return j.select(key, action.alias("action")).where("action is not null")
+
+
+def expand_weak(first: DataFrame, second: DataFrame, qid: str = "qid") -> DataFrame:
+    """Scored rows of the first search, or of the expanded question's search where the first is weak and the second's top is better."""
+    weak = first.groupBy(qid).agg(F.max("score").alias("_a"), F.max("weak").alias("_w"))
+    top = second.groupBy(qid).agg(F.max("score").alias("_b"))
+    better = weak.join(top, qid).where(F.col("_w") & (F.col("_b") > F.col("_a"))).select(qid)
+    return first.join(better, qid, "left_anti").unionByName(second.join(better, qid, "left_semi"), allowMissingColumns=True)
+
+
+def newest_revision(ranked: DataFrame, families: DataFrame, doc: str = "doc_id", family: str = "family", version: str = "version") -> DataFrame:
+    """ranked with current: the newest document of each hit's family, and stale: whether the hit is of an older one."""
+    newest = families.groupBy(family).agg(F.max_by(doc, F.struct(version, doc)).alias("current"))
+    j = ranked.join(families.select(doc, family), doc, "left").join(newest, family, "left")
+    return j.withColumn("current", F.coalesce("current", doc)).withColumn("stale", F.col("current") != F.col(doc)).drop(family)
+
+
+def cover_partners(ranked: DataFrame, pairs: DataFrame, most: int = 3, qid: str = "qid", doc: str = "doc_id") -> DataFrame:
+    """(qid, doc, partner): up to ``most`` partners (src, dst, weight) of documents found, that were not found themselves; heaviest first."""
+    both = pairs.select("src", "dst", "weight").union(pairs.select(F.col("dst"), F.col("src"), "weight"))
+    found = ranked.select(qid, doc).distinct()
+    j = found.join(both, F.col(doc) == F.col("src")).select(qid, doc, F.col("dst").alias("partner"), "weight")
+    j = j.join(found.select(F.col(qid), F.col(doc).alias("partner")), [qid, "partner"], "left_anti")
+    j = j.groupBy(qid, "partner").agg(F.max_by(doc, "weight").alias(doc), F.max("weight").alias("weight"))
+    return top_k(j, [qid], [F.desc("weight"), F.col("partner")], most).select(qid, doc, "partner")
