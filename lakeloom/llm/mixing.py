@@ -32,7 +32,7 @@ from lakeloom.llm.common import materialise
 
 CYCLE = 3
 MAX_EPOCHS = 3
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SEED = "mix-1"
