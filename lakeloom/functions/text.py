@@ -225,6 +225,7 @@ def one_typo(a: Column, b: Column) -> Column:
 
 # --- names ------------------------------------------------------------------------------------
 
+# How attachments, file types and signs are written in file names.
 ATTACHMENT = r"^\s*[\[(（【]?\s*(?:붙임|별첨|별지|첨부)\s*(?:제)?\s*(\d+)?\s*(?:호)?\s*(?:서식)?\s*[\])）】]?\s*[.:·]?\s*"
 EXTENSION = r"(?i)\.(hwpx?|pdf|docx?|xlsx?|pptx?|jpe?g|png|txt|md)$"
 NOISE = r"[\s_\-–—·ㆍ.,()\[\]{}（）「」『』【】<>《》〈〉'\"“”‘’:;!?/\\~]+"
