@@ -66,41 +66,51 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "n_docs", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) for every row of docs."""
+def _measured(quality: Column | None, seed: str) -> dict[str, Column]:
+    """What decides about a row: id, source, size in words and key."""
     text = F.col("text").cast("string")
     weight = text_quality(text) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-9))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        exponential_key(F.col("doc_id"), weight, seed).alias("key"),
-    )
-    rows = materialise(rows)
+    return {
+        "doc_id": F.col("doc_id").cast("long"),
+        "source": F.col("source").cast("string"),
+        "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        "key": exponential_key(F.col("doc_id"), weight, seed),
+    }
+
+
+def _decided(rows: DataFrame, range_rows: int, *ties: str) -> DataFrame:
+    """rows (doc_id, source, size, key and others) with source_size, target and copies; ties order rows alike in key, id and size."""
     targets = source_targets(rows)
     ranges = F.greatest(F.ceil(F.col("n_docs") / range_rows), F.lit(1))
     at = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", F.floor((1 - F.exp(-F.col("key"))) * ranges).alias("range"))
     sums = at.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("g"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, 0)
     at = at.withColumn("run", F.sum("size").over(within))
     at = at.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     more = (2 * (F.col("start") + F.col("run")) - F.col("size")).cast("double") <= 2 * rest
     at = at.withColumn("epochs", epochs.cast("long"))
-    copies = F.least(F.col("epochs") + more.cast("long"), F.lit(MAX_EPOCHS))
-    return at.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return at.withColumn("copies", F.least(F.col("epochs") + more.cast("long"), F.lit(MAX_EPOCHS)))
+
+
+def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) for every row of docs."""
+    rows = materialise(docs.select(*[c.alias(name) for name, c in _measured(quality, seed).items()]))
+    return _decided(rows, range_rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all columns kept.
+def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The mix itself: each row as often as it is taken, all columns kept.
 
-    Rows that repeat a doc_id are one document with the copies of all of them.
+    Rows are told apart by a number stored with them, not by their id: ids may be
+    null or repeated, and rows of one id have texts and copies of their own.
     """
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = docs.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    joined = one.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    measured = F.struct(*[c.alias(name) for name, c in _measured(quality, seed).items()], F.xxhash64("text").alias("hash"))
+    # Stored, so that numbers stay what they are; only what decides is ranged and sorted, texts move once.
+    numbered = materialise(docs.select(F.struct(*docs.columns).alias("_doc"), measured.alias("_m"), F.monotonically_increasing_id().alias("_row")))
+    copies = _decided(materialise(numbered.select("_m.*", "_row")), range_rows, "hash", "_row").where("copies > 0").select("_row", "copies")
+    joined = numbered.select("_doc", "_row").join(copies, "_row")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

@@ -528,6 +528,21 @@ def test_mixed_documents(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_mixed_documents_tells_rows_of_one_id_apart(spark):
+    texts = [(None, f"n{i} " * (i % 5 + 1), "ab"[i % 2]) for i in range(40)] + [(7, f"r{i} " * (i % 4 + 1), "a") for i in range(20)] + [(100 + i, f"u{i} w w", "b") for i in range(20)] + [(8, "same text", "a")] * 2 + [(9, None, "a")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(5)
+    words = lambda t: len((t or "").split())
+    want = Counter()
+    for r in mixing.mix(df, range_rows=7).collect():
+        want[r.doc_id, r.size] += r.copies
+    got = mixing.mixed_documents(df, range_rows=7).collect()
+    assert Counter((r.doc_id, words(r.text)) for r in got) == Counter({k: n for k, n in want.items() if n})
+    there, taken = Counter(texts), Counter(map(tuple, got))
+    assert set(taken) <= set(there) and all(n <= 3 * there[t] for t, n in taken.items())
+    assert len({t for i, t, _ in taken if i is None}) > 10
+    assert Counter(map(tuple, mixing.mixed_documents(df.repartition(2), range_rows=7).collect())) == taken
+
+
 # --- 10: PII -----------------------------------------------------------------------------------------------------------
 
 
