@@ -74,6 +74,22 @@ def test_greedy_first_representative(spark):
     assert rows(dedup.greedy(n, "id", pairs, [F.col("id")])) == [(1, None), (2, 1), (3, None), (4, 3), (5, None)]
 
 
+def test_greedy_decides_long_chains(spark):
+    n = spark.range(1, 109)
+    pairs = n.where("id < 108").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = rows(dedup.greedy(n, "id", pairs.union(pairs.select("b", "a")).union(pairs.select("a", "a")), [F.col("id")]))
+    assert got == sorted(((i, None if i % 2 else i - 1) for i in range(1, 109)), key=repr)
+
+
+def test_document_groups_leave_shared_forms_out(spark):
+    rng = random.Random(3)
+    letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    form, own = letters(600), [letters(150) for _ in range(7)]
+    texts = [(i, form + own[i]) for i in range(6)] + [(6, form + own[0][:145]), (7, own[6]), (8, own[6][:140]), (9, form), (10, form[:590]), (11, ""), (12, None)]
+    got = dict(rows(dedup.document_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))))
+    assert got == {i: i for i in range(13)} | {6: 0, 8: 7, 10: 9}
+
+
 def test_near_chunks(spark):
     base = "".join(chr(97 + i % 23) for i in range(60))
     c = spark.createDataFrame([(1, 1, base), (1, 2, base[:30]), (1, 3, base.upper()), (2, 4, base), (1, 5, base + " ")], "doc_id long, chunk_id long, text string")
