@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -316,6 +317,27 @@ def test_compression_bands():
     assert not quality_rules.compression_ok(prose[:4096] + b"la " * 9000)[0]
 
 
+def test_incompressible_text_is_rejected(spark):
+    rng = random.Random(4)
+
+    def letters(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(n))[:n].encode()
+
+    def coded(n):
+        b = base64.b64encode(rng.randbytes(n)).decode()
+        return " ".join(b[i : i + 8] for i in range(0, n, 8))[:n].encode()
+
+    for n in (1500, 3000, 4096, 20_000, 200_000):
+        assert not quality_rules.compression_ok(letters(n))[0], n
+    for n in (200, 400, 1500, 4096, 50_000):
+        assert not quality_rules.compression_ok(coded(n))[0], n
+    good = [r.text.encode() for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").where("length(text) > 4200").collect()]
+    passed = [t for t in good if quality_rules.compression_ok(t)[0]]
+    assert len(passed) >= 0.95 * len(good) > 0
+    half = b"".join(passed[0][:4096] + coded(4096) for _ in range(4))
+    assert not quality_rules.compression_ok(half)[0]
+
+
 # --- 6: embeddings ------------------------------------------------------------------------------------------------
 
 
