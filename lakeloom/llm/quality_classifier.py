@@ -1,21 +1,25 @@
 """Quality classifier by compression with zstandard dictionaries.
 
-Two raw-content dictionaries are cut from labelled texts, one from good and one
-from bad ones. A text is compressed in pieces of ``PIECE`` bytes with each of
-them (pieces keep the dictionary in reach through the whole of a long text), and
-the sizes over the whole text give the normalised difference
-(bad - good) / (bad + good). A logistic calibration on labelled texts outside
-the dictionaries turns it into a probability; its covariates are the plain
-compressed ratio of the whole text and the logarithm of its length, because
-the difference means less in short or self-similar texts.
+Two raw-content dictionaries of equal size are cut from labelled texts, one from
+good and one from bad ones. A text is compressed in pieces of ``PIECE`` bytes
+with each of them (in pieces so short hardly anything but the dictionary can
+help, so repetition within the text doesn't blur the comparison), and the sizes
+over the whole text give the normalised difference (bad - good) / bytes of the text.
+That difference is all the score knows of a text, but for its length class: for
+each class of ``LENGTHS`` a logistic curve that rises with the difference makes
+lengths comparable (drawn towards one curve for all lengths where a class has few
+labels), and an isotonic step over all lengths makes the result a probability.
+The score rises with the difference throughout.
 
 Fitting uses a bounded sample: ``SAMPLE_PER_CLASS`` labelled documents of each
-class with the smallest hash of their id, of which the first half fills the
-dictionaries (up to ``DICT_BYTES`` each, ``SNIPPET`` bytes from a place in the
-text chosen by its hash) and the second half calibrates. Scoring covers every
-whole text. Held-out ids (crc32 of the id as text, mod 5 = 0) are never fitted.
-
-Edge cases: null and empty texts get a score like any other (length zero);
+class with the smallest hash of their id, of which one half fills the
+dictionaries (``SNIPPET`` bytes each from a place in the text chosen by its hash,
+joined in order of the hash up to ``DICT_BYTES``; the class with more is cut to
+the size of the other, so neither dictionary wins by its size) and the
+other half calibrates. Scoring covers every whole text. Held-out ids (crc32 of
+the id as text, mod 5 = 0) are never fitted.
+
+Edge cases: null and empty texts get a score like any other (difference zero);
 ids with contradicting labels, null labels or null ids aren't fitted; with
 one class missing the score is the share of good labels (0.5 without labels);
 a null doc_id counts as the empty text in the hold-out rule; repeated rows give
@@ -36,8 +40,14 @@ from lakeloom.llm.common import byte_rows, id_and_text, materialise
 
 SAMPLE_PER_CLASS = 4000
 DICT_BYTES = 256 * 1024
-SNIPPET = 400
-PIECE = 1024
+SNIPPET = 4000
+PIECE = 64
+#: Bytes below which a text belongs to a length class; longer ones are the last class.
+LENGTHS = (512, 2048, 8192)
+#: Pull of a length class's curve towards the curve for all lengths, and of that towards zero.
+RIDGE = 4.0
+#: Share of the logistic curve in the score: it still rises where the isotonic step is flat.
+LOGISTIC_SHARE = 0.05
 LEVEL = 3
 THRESHOLD = 0.3
 FOLDS = 5
@@ -52,7 +62,9 @@ class Model:
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         self.good, self.bad = good, bad
-        self.mean = self.scale = self.weights = None
+        self.curves = np.zeros((len(LENGTHS) + 1, 2))  # intercept and slope by length class
+        self.scale = 1.0
+        self.steps: tuple[np.ndarray, np.ndarray] | None = None
         self.constant: float | None = None
 
     def __getstate__(self) -> dict:
@@ -65,51 +77,72 @@ class Model:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
                 made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-            self._tools = (*made, zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress)
+            self._tools = tuple(made)
         return self._tools
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        with_good, with_bad, plain = self._open()
-        good = bad = 0
-        for at in range(0, max(1, len(text)), PIECE):
+    def difference(self, text: bytes) -> float:
+        """(bad - good) / bytes: how much better the good dictionary serves the text."""
+        with_good, with_bad = self._open()
+        total = 0
+        for at in range(0, len(text), PIECE):
             piece = text[at : at + PIECE]
-            good += len(with_good(piece))
-            bad += len(with_bad(piece))
-        return (bad - good) / (bad + good), len(plain(text)) / max(1, len(text)), float(np.log1p(len(text)))
+            total += len(with_bad(piece)) - len(with_good(piece))
+        return total / max(1, len(text))
 
-    @staticmethod
-    def _terms(x: np.ndarray) -> np.ndarray:
-        return np.c_[x, x**2, x[:, 0] * x[:, 1], x[:, 0] * x[:, 2], x[:, 1] * x[:, 2]]
+    def measure(self, texts: list[bytes]) -> np.ndarray:
+        """Rows (difference, bytes)."""
+        return np.array([(self.difference(t), len(t)) for t in texts], float).reshape(-1, 2)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 50) -> None:
-        """Ridge logistic regression by damped Newton steps."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, prior: float = 0.0) -> None:
+        """Curves and steps from rows of measure() and labels; prior is the log of how much more the good class weighs."""
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return
-        lo, hi = np.percentile(x, [0.5, 99.5], axis=0)
-        self.low, self.high = lo, hi
-        t = self._terms(np.clip(x, lo, hi))
-        self.mean, self.scale = t.mean(0), t.std(0) + 1e-9
-        z = np.c_[np.ones(len(t)), (t - self.mean) / self.scale]
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], 1.0)
-        ridge[0] = 1e-6
-        loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (z @ w)).sum() + 0.5 * (ridge * w * w).sum()
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-            step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-            damp = 1.0
-            while loss(w - damp * step) > loss(w) and damp > 1e-4:
-                damp /= 2
-            w = w - damp * step
-            if np.abs(damp * step).max() < 1e-8:
-                break
-        self.weights = w
+        self.scale = float(np.abs(x[:, 0]).mean()) or 1.0
+        d, cls = x[:, 0] / self.scale, np.searchsorted(LENGTHS, x[:, 1], "right")
+        pooled = logistic(d, y, np.zeros(2), np.array([1e-6, 1e-2]))
+        for c in range(len(self.curves)):
+            self.curves[c] = logistic(d[cls == c], y[cls == c], pooled, np.full(2, RIDGE)) + (prior, 0.0)
+        self.steps = isotonic(self._curve(x), y, np.where(y == 1, np.exp(prior), 1.0))
+
+    def _curve(self, x: np.ndarray) -> np.ndarray:
+        curve = self.curves[np.searchsorted(LENGTHS, x[:, 1], "right")]
+        return 1 / (1 + np.exp(-np.clip(curve[:, 0] + curve[:, 1] * x[:, 0] / self.scale, -40, 40)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        z = (self._terms(np.clip(x, self.low, self.high)) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -40, 40)))
+        p = self._curve(x)
+        return (1 - LOGISTIC_SHARE) * np.interp(p, *self.steps) + LOGISTIC_SHARE * p
+
+
+def isotonic(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where on p the share of good ones stands, and that share, never falling: neighbours are pooled while they fall."""
+    blocks: list[list[float]] = []  # weight, weighted p, weighted y
+    for v, t, w in sorted(zip(p.tolist(), y.tolist(), weight.tolist(), strict=True)):
+        blocks.append([w, w * v, w * t])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][0] >= blocks[-1][2] * blocks[-2][0]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    b = np.array(blocks)
+    # One row of even odds in each block: no share is ever 0 or 1.
+    return b[:, 1] / b[:, 0], np.maximum.accumulate((b[:, 2] + 0.5) / (b[:, 0] + 1))
+
+
+def logistic(d: np.ndarray, y: np.ndarray, toward: np.ndarray, ridge: np.ndarray, steps: int = 50) -> np.ndarray:
+    """(intercept, slope >= 0) by damped Newton steps, drawn towards a given curve."""
+    z, w = np.c_[np.ones(len(d)), d], toward.astype(float)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (z @ w)).sum() + 0.5 * (ridge * (w - toward) ** 2).sum()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (p - y) + ridge * (w - toward))
+        damp = 1.0
+        while loss(w - damp * step) > loss(w) and damp > 1e-4:
+            damp /= 2
+        w = w - damp * step
+        if np.abs(damp * step).max() < 1e-9:
+            break
+    return np.array([w[0], max(w[1], 0.0)])
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -138,8 +171,8 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featured(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.features(t) for t in byte_rows(batch, "text")]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.array(x[:, i]) for i in range(3))], ["doc_id", "y", "a", "b", "c"])
+            x = model.measure(byte_rows(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "y", "difference", "bytes"])
 
     return run
 
@@ -148,29 +181,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     """A model from labelled rows outside the hold-out fold. docs: (doc_id, text)."""
     sample = _sample(docs, labels, per_class)
     cuts = sample.where("part = 0").mapInArrow(_snippets, "doc_id long, y int, cut binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    held = {y: b"\n".join(bytes(r.cut) for r in cuts if r.y == y)[-DICT_BYTES:] for y in (0, 1)}
-    if min(map(len, held.values())) < 8:  # nothing to hold one class against
+    held = {y: b"\n".join(bytes(r.cut) for r in cuts if r.y == y) for y in (0, 1)}
+    budget = min(DICT_BYTES, *map(len, held.values()))
+    if budget < 8:  # nothing to hold one class against
         ys = np.array([r.y for r in sample.select("y").collect()], float)
         model = Model(b"", b"")
         model.constant = float(ys.mean()) if len(ys) else 0.5
         return model
-    model = Model(held[1], held[0])
-    rows = sample.where("part = 1").mapInArrow(_featured(model), "doc_id long, y int, a double, b double, c double").orderBy("doc_id").collect()
+    model = Model(held[1][:budget], held[0][:budget])
+    rows = sample.where("part = 1").mapInArrow(_featured(model), "doc_id long, y int, difference double, bytes double").orderBy("doc_id").collect()
+    x, y = np.array([(r.difference, r.bytes) for r in rows]).reshape(-1, 2), np.array([r.y for r in rows], float)
     # Each class weighs as in the labels: the sample is balanced, the corpus isn't.
     total = {r.y: r["count"] for r in labels.where(fold() != 0).where("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("y")).count().collect()}
-    x, y = np.array([(r.a, r.b, r.c) for r in rows]).reshape(-1, 3), np.array([r.y for r in rows], float)
-    model.calibrate(x, y)
-    if model.constant is None:
-        n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-        model.weights[0] += np.log(total.get(1, 1) / max(1, total.get(0, 1))) - np.log(n[1] / n[0])
+    n = {k: max(1, int((y == k).sum())) for k in (0, 1)}
+    model.calibrate(x, y, float(np.log(total.get(1, 1) / max(1, total.get(0, 1))) - np.log(n[1] / n[0])))
     return model
 
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_rows(batch, "text")
-            x = np.array([model.features(t) for t in texts]).reshape(-1, 3) if model.constant is None else np.zeros((len(texts), 3))
+            x = model.measure(byte_rows(batch, "text")) if model.constant is None else np.zeros((batch.num_rows, 2))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
     return run
@@ -192,7 +223,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", per_cl
             if model.constant is not None:
                 good = np.full(batch.num_rows, model.constant >= THRESHOLD)
             else:
-                good = model.score(np.array([model.features(t) for t in byte_rows(batch, text_col)]).reshape(-1, 3)) >= THRESHOLD
+                good = model.score(model.measure(byte_rows(batch, text_col))) >= THRESHOLD
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
