@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors (spark.checkpoint.dir).
 
-    Only where the session names none (as in tests on one machine) is a
-    temporary folder set instead.
+    Only where the session names none and runs on one machine (as in tests) is a
+    temporary folder set instead; on a cluster that would not be shared, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -37,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -47,6 +49,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that are used, under fixed names; other columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -8,6 +8,9 @@ two vectors meet if any of their cells agree; every meeting is verified by
 the cosine in double precision. All rows are indexed; recall against brute force
 is measured by a test and in the README.
 
+Cells are named by hashes, so members of one name are told apart by label and
+length before they are compared.
+
 Skew: equal vectors of a label first become one member with a count, so copies
 are never paired. A cell with more than ``BLOCK`` members is cut into blocks, and
 every pair of blocks is a task of its own (matrix products; pairs stay inside
@@ -78,14 +81,14 @@ def cells(unit: np.ndarray, label: np.ndarray, tables: int, probes: int, scale:
             points += [own + around[toward[:, p]] for p in range(probes - 1)]
         for p, y in enumerate(points):
             twice = np.rint(2 * y).astype("<i4")
-            head = np.c_[label, np.full(len(label), t), np.full(len(label), unit.shape[1])].astype("<i4")
-            rows = np.ascontiguousarray(np.c_[head, twice])
+            head = np.c_[label, np.full(len(label), t), np.full(len(label), unit.shape[1])].astype("<i8")
+            rows = np.ascontiguousarray(np.c_[head, twice.astype("<i8")])
             out[:, t * probes + p] = [int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in rows]
     return out
 
 
 def _file(tables: int, probes: int, scale: float):
-    names = ["vec_id", "cls", "vec", "cells"]
+    names = ["vec_id", "cls", "label", "vec", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +112,7 @@ def _file(tables: int, probes: int, scale: float):
                 for n, i in enumerate(rows):
                     cls[i] = hashlib.blake2b(np.int64(labels[i]).tobytes() + raw[n].tobytes(), digest_size=16).digest()
                     blob[i], keys[i] = unit[n].tobytes(), sorted(set(named[n].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(blob, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(labels, pa.int64()), pa.array(blob, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -129,12 +132,15 @@ def _shared_first(a: list[np.ndarray], i: np.ndarray, j: np.ndarray, here: int)
 
 
 def _verify(cosine: float, tile: int = 1024):
-    """Over rows sorted by (cell, lo, hi): (rep, links, low) for members with links."""
+    """Over rows sorted by (cell, lo, hi): members with links, their number, and the least member they are joined to."""
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
-    def bucket(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(rows: list[dict], width: int) -> list[tuple]:
+        """Members of one label and one length of vector that have links."""
+        rows = sorted(rows, key=lambda r: (r["rep"], r["cls"]))
         cell, lo, hi = rows[0]["cell"], rows[0]["lo"], rows[0]["hi"]
         unit = np.frombuffer(b"".join(r["vec"] for r in rows)).reshape(len(rows), -1)
-        rep, many, block = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "many", "block"))
+        many, block = (np.array([r[c] for r in rows], np.int64) for c in ("many", "block"))
         keys = [np.r_[r["cells"], np.full(width - len(r["cells"]), r["cells"][-1])] for r in rows]
         links, a, b = np.zeros(len(rows), np.int64), [], []
         for s in range(0, len(rows), tile):
@@ -148,20 +154,28 @@ def _verify(cosine: float, tile: int = 1024):
                     i, j = i[mine], j[mine]
                     np.add.at(links, i, many[j])
                     np.add.at(links, j, many[i])
-                    a.append(rep[i])
-                    b.append(rep[j])
-        moved, low = star_forest(np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
-        has = links > 0
-        at = dict(zip(moved.tolist(), low.tolist(), strict=True))
-        return rep[has], links[has], np.array([at.get(r, r) for r in rep[has].tolist()], np.int64)
+                    a.append(i)
+                    b.append(j)
+        low = np.arange(len(rows))
+        if a:
+            moved, least = star_forest(np.concatenate(a), np.concatenate(b))
+            low[moved] = least
+        return [(rows[i]["rep"], rows[i]["cls"], n, rows[k]["rep"], rows[k]["cls"]) for i, (n, k) in enumerate(zip(links.tolist(), low.tolist(), strict=True)) if n]
+
+    def bucket(rows: list[dict]) -> list[tuple]:
+        """The name of a cell is a hash: labels and lengths are compared themselves."""
+        apart: dict[tuple, list[dict]] = {}
+        for r in rows:
+            apart.setdefault((r["label"], len(r["vec"])), []).append(r)
+        return [x for some in apart.values() if len(some) > 1 for x in pairs(some, max(len(r["cells"]) for r in some))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         now = None
 
         def out() -> pa.RecordBatch:
-            found = bucket(held, max(len(r["cells"]) for r in held)) if len(held) > 1 else (np.zeros(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["rep", "links", "low"])
+            columns = list(zip(*bucket(held), strict=True)) or [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rep", "cls", "links", "low", "low_cls"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -181,20 +195,22 @@ def _verify(cosine: float, tile: int = 1024):
 def embedding_near_dedup(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label)."""
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    filed = materialise(own.mapInArrow(_file(tables, probes, scale), "vec_id long, cls binary, vec binary, cells array<long>"))
-    members = filed.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("vec").alias("vec"), F.first("cells").alias("cells"))
+    filed = materialise(own.mapInArrow(_file(tables, probes, scale), "vec_id long, cls binary, label long, vec binary, cells array<long>"))
+    members = filed.where("cls is not null").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first("cells").alias("cells"))
     members = materialise(members)
     place = members.select("cls", F.explode("cells").alias("cell"))
     sizes = place.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     place = place.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     place = place.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     place = place.select("cls", "cell", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = place.join(members, "cls").select("cell", "lo", "hi", "block", "rep", "many", "vec", "cells")
-    found = full.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_verify(cosine), "rep long, links long, low long")
+    full = place.join(members, "cls").select("cell", "lo", "hi", "block", "cls", "rep", "many", "label", "vec", "cells")
+    found = full.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_verify(cosine), "rep long, cls binary, links long, low long, low_cls binary")
     found = materialise(found)
-    roots = connected_components(found, "rep", "low")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = members.select("cls", "rep", "many").join(links, "rep", "left").join(roots.withColumnRenamed("vertex", "rep"), "rep", "left")
+    # Vertices are (smallest vec_id, content): one id may have several contents.
+    roots = connected_components(found, F.struct("rep", "cls"), F.struct(F.col("low").alias("rep"), F.col("low_cls").alias("cls")))
+    roots = roots.select(F.col("vertex.cls").alias("cls"), F.col("root.rep").alias("root"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    named = members.select("cls", "rep", "many").join(links, "cls", "left").join(roots, "cls", "left")
     named = named.select("cls", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = filed.select("vec_id", "cls").join(named, "cls", "left")
     component = F.coalesce("component_id", "vec_id")

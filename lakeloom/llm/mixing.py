@@ -5,21 +5,29 @@ its id, so reruns agree and better documents come first. Sorted by key within
 its source, documents are summed up to the source's budget: complete epochs take
 everything floor(target / size) times, the rest of the target is a fractional
 epoch filled in key order; a document on the edge is taken when that brings the
-source nearer to its target.
+source nearer to its target. The weight is a column of the caller's (a model's
+score); without one it is read off the text (``text_quality``).
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and
 share all words; no target is above ``MAX_EPOCHS`` times its source's size, and
 what that leaves over is shared again by weight until none is above. This is
 water filling, so it is solved in one pass over sources sorted by size / weight.
 
-Running sums never put a source into one task: keys are cut into ranges of
-about ``RANGE_ROWS`` documents, ranges are summed and offset, and rows are only
-sorted within a range.
+Size: equal rows become one row with a count before anything is sorted. Running
+sums never put a source into one task: keys are cut into ranges, n_docs /
+``RANGE_ROWS`` of them to each doubling of the key. A doubling never holds more
+than a quarter of a source's keys, whatever the weights are (an exponential variable
+has at most .37 of its mass to a factor e, and so has any mixture of them), so a
+range holds about ``RANGE_ROWS`` / 4 rows at most. Ranges are summed and offset, rows
+are only sorted within a range. Since what is taken is a prefix of the order, a
+source's mix is told by one row (the last key taken): texts meet that row and
+are never shuffled.
 
 Edge cases: null texts have size 0 and are taken zero words; a source without
 words has target 0; null ids and repeated rows are rows like any other (ties in
-the key go by id, then size); null is a source of its own; empty tables give
-no rows.
+the key go by id, then size, then content); of equal rows on the edge, as many
+are taken as fit; null is a source of its own; columns may have any names; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +43,19 @@ MAX_EPOCHS = 3
 RANGE_ROWS = 5_000
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Equal rows that one task gives out at once.
+CHUNK = 10_000
 SEED = "mix-1"
 
 
-def text_quality(text: Column) -> Column:
-    """A quality weight in (0, 1] for texts without one: the share of characters that aren't markup symbols."""
-    n = F.length(F.coalesce(text, F.lit("")))
-    return F.lit(0.1) + F.lit(0.9) * (F.length(F.translate(F.coalesce(text, F.lit("")), SYMBOLS, "")) / F.greatest(n, F.lit(1)))
+def text_quality(text: Column, size: Column) -> Column:
+    """A quality weight in (0, 1] for texts without one: little markup, few capitals, enough words."""
+    t = F.coalesce(text, F.lit(""))
+    n = F.greatest(F.length(t), F.lit(1)).cast("double")
+    plain = n - (F.length(t) - F.length(F.translate(t, SYMBOLS, "")))
+    small = n - (F.length(t) - F.length(F.translate(t, CAPITALS, "")))
+    return F.lit(0.05) + F.lit(0.95) * ((plain / n) * (small / n)) * (size / (size + F.lit(20)))
 
 
 def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
@@ -52,8 +66,8 @@ def exponential_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, n_docs, target) from rows (source, size): one row per source."""
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    """(source, source_size, n_docs, target) from rows (source, size, m), each standing for m equal ones: one row per source."""
+    s = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     # One row a source from here on; the windows hold sources, not documents.
     s = s.withColumn("w", ((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % CYCLE + 1).cast("long"))
     s = s.withColumn("cap", F.col("source_size") * MAX_EPOCHS)
@@ -66,51 +80,83 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "source_size", "n_docs", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _measured(quality: Column | None, seed: str) -> dict[str, Column]:
+def _measured(quality: Column | None, seed: str) -> list[Column]:
     """What decides about a row: id, source, size in words and key."""
     text = F.col("text").cast("string")
-    weight = text_quality(text) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-9))
-    return {
-        "doc_id": F.col("doc_id").cast("long"),
-        "source": F.col("source").cast("string"),
-        "size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
-        "key": exponential_key(F.col("doc_id"), weight, seed),
-    }
-
-
-def _decided(rows: DataFrame, range_rows: int, *ties: str) -> DataFrame:
-    """rows (doc_id, source, size, key and others) with source_size, target and copies; ties order rows alike in key, id and size."""
-    targets = source_targets(rows)
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    weight = text_quality(text, size) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-9))
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        size.alias("size"),
+        exponential_key(F.col("doc_id"), weight, seed).alias("key"),
+    ]
+
+
+def _order(*last: str) -> Column:
+    """Where a row stands in its source; null ids come first."""
+    return F.struct("key", F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size", *last)
+
+
+def _decided(groups: DataFrame, range_rows: int, *last: str) -> DataFrame:
+    """groups (doc_id, source, size, key, m and the columns named last) with source_size, target, epochs, at and more.
+
+    at is the group's place in its source; more of its m rows are taken once more than epochs.
+    """
+    targets = source_targets(groups)
     ranges = F.greatest(F.ceil(F.col("n_docs") / range_rows), F.lit(1))
-    at = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", F.floor((1 - F.exp(-F.col("key"))) * ranges).alias("range"))
-    sums = at.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    # A key may be 0 if u rounds to 1.
+    octave = F.log2(F.greatest(F.col("key"), F.lit(1e-300)))
+    placed = groups.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", F.floor(octave * ranges).alias("range"))
+    words = F.col("size") * F.col("m")
+    sums = placed.groupBy("source", "range").agg(F.sum(words).alias("words"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("g"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, 0)
-    at = at.withColumn("run", F.sum("size").over(within))
-    at = at.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    more = (2 * (F.col("start") + F.col("run")) - F.col("size")).cast("double") <= 2 * rest
-    at = at.withColumn("epochs", epochs.cast("long"))
-    return at.withColumn("copies", F.least(F.col("epochs") + more.cast("long"), F.lit(MAX_EPOCHS)))
+    placed = placed.withColumn("at", _order(*last))
+    within = W.partitionBy("source", "range").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("run", F.coalesce(F.sum(words).over(within), F.lit(0)))
+    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
+    placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    # The j-th of m equal rows is taken if 2 (words before + j size) - size <= 2 rest.
+    room = 2 * (F.col("target") - F.col("epochs") * F.col("source_size")) - (2 * (F.col("start") + F.col("run"))).cast("double")
+    fit = F.when(F.col("size") > 0, F.floor((room + F.col("size")) / (2 * F.col("size")))).otherwise(F.when(room >= 0, F.col("m")).otherwise(0))
+    more = F.when(F.col("epochs") >= MAX_EPOCHS, F.lit(0)).otherwise(F.greatest(F.least(fit, F.col("m")), F.lit(0)))
+    return placed.withColumn("more", more.cast("long"))
+
+
+def _repeat(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column times says, without that column; large numbers are dealt out over tasks first."""
+    columns = [c for c in rows.columns if c != times]
+    chunks = rows.where(F.col(times) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+    left = F.least(F.lit(CHUNK).cast("long"), F.col(times) - F.col("chunk") * CHUNK)
+    return chunks.hint("rebalance").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("n")).select(*columns)
 
 
 def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of docs."""
-    rows = materialise(docs.select(*[c.alias(name) for name, c in _measured(quality, seed).items()]))
-    return _decided(rows, range_rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    groups = materialise(docs.select(*_measured(quality, seed)).groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("m")))
+    decided = _decided(groups, range_rows)
+    parts = F.array(F.struct((F.col("epochs") + 1).alias("copies"), F.col("more").alias("n")), F.struct(F.col("epochs").alias("copies"), (F.col("m") - F.col("more")).alias("n")))
+    rows = decided.select("doc_id", "size", "source_size", "target", F.inline(parts))
+    return _repeat(rows, "n").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself: each row as often as it is taken, all columns kept.
 
-    Rows are told apart by a number stored with them, not by their id: ids may be
-    null or repeated, and rows of one id have texts and copies of their own.
+    What decides is the row, not its id: rows of one id have texts and copies of
+    their own. Texts are written once and meet one row per source.
     """
-    measured = F.struct(*[c.alias(name) for name, c in _measured(quality, seed).items()], F.xxhash64("text").alias("hash"))
-    # Stored, so that numbers stay what they are; only what decides is ranged and sorted, texts move once.
-    numbered = materialise(docs.select(F.struct(*docs.columns).alias("_doc"), measured.alias("_m"), F.monotonically_increasing_id().alias("_row")))
-    copies = _decided(materialise(numbered.select("_m.*", "_row")), range_rows, "hash", "_row").where("copies > 0").select("_row", "copies")
-    joined = numbered.select("_doc", "_row").join(copies, "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    stored = materialise(docs.select(whole.alias("doc"), *_measured(quality, seed), F.xxhash64(whole).alias("hash")))
+    keys = ["doc_id", "source", "size", "key", "hash"]
+    groups = materialise(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")))
+    decided = _decided(groups, range_rows, "hash")
+    edge = F.when((F.col("more") > 0) & (F.col("more") < F.col("m")), F.struct("at", "more"))
+    told = decided.groupBy(F.col("source").alias("s")).agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("more") == F.col("m"), F.col("at"))).alias("last"), F.max(edge).alias("edge"))
+    met = stored.withColumn("at", _order("hash")).join(materialise(told), F.col("source").eqNullSafe(F.col("s")))
+    copies = F.col("epochs") + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
+    taken = met.select("doc", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))).alias("n")).select("doc.*")
+    # Of the equal rows on a source's edge, one stands for all that are taken.
+    extra = met.where("at = edge.at").groupBy("source").agg(F.first("doc").alias("doc"), F.first("edge.more").alias("more"))
+    return taken.union(_repeat(extra.select("doc", "more"), "more").select("doc.*"))

@@ -9,14 +9,20 @@ Grouping GA (the genes are bins, not pieces): crossover injects whole
 well-filled bins of one parent into another, drops the other's bins that
 share a piece with them, and puts the displaced pieces back by best fit,
 longest first; mutation dissolves the emptiest bins the same way. Each shard is
-evolved on several islands, which are separate tasks; between epochs an
-island's elite migrates to the next island through a shuffle. An island stops
-once it holds the lower bound ceil(tokens / capacity).
+evolved on several islands, which are separate tasks; after each epoch an
+island's elite migrates to the next island through a shuffle and takes part in
+its next crossovers. Fitness is the number of bins, then the sum of squared fills:
+a genome already at the lower bound ceil(tokens / capacity) goes on evolving
+towards full bins and one nearly empty one. That bin of each shard is opened
+again, and the open bins of all shards are packed together the same way, so
+what is wasted in the end is a bin for some thousands of shards, not for each.
 
-Tokens of a pre-token don't depend on its neighbours in the given tokenizer (NFC
-and lower case act between spaces, its pattern drops white space), so ids are
-looked up, from the tokenizer itself on a miss; a test compares with whole
-texts.
+Where the tokenizer is of the kind that ``WordIds`` knows (NFC, spaces, lower case;
+pre-tokens by pattern), tokens of a pre-token don't depend on its neighbours, so ids
+are looked up, from the tokenizer itself on a miss; a test compares with whole
+texts. Any other tokenizer is given whole texts.
+
+A further column, crossovers, tells how many the islands of the row's shard made.
 
 Edge cases: null and empty texts are one end id; repeated rows are packed as
 often as they occur; an empty table gives an empty result; doc_id may be null.
@@ -24,6 +30,7 @@ often as they occur; an empty table gives an empty result; doc_id may be null.
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import zlib
@@ -47,7 +54,8 @@ POPULATION = 4
 #: Pre-tokens (and chunks) remembered by a Python worker.
 CACHE = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_STATE = "shard long, island int, items binary, genomes array<binary>"
+_STATE = "shard long, island int, items binary, genomes array<binary>, crossovers int"
+_PACKED = f"{_PIECES}, sequence_id long, offset long, crossovers int, open boolean"
 _ITEM = np.dtype([("doc_id", "<i8"), ("null_id", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
 
@@ -71,6 +79,7 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known = self._is_known(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -81,6 +90,19 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
 
+    #: What the file must say of itself for ids to be looked up by pre-token.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    @classmethod
+    def _is_known(cls, path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        normalizers = (told.get("normalizer") or {}).get("normalizers")
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split, ends = steps[0], (told.get("model") or {}).get("end_of_word_suffix")
+        return normalizers == cls.NORMALIZERS and (split.get("pattern"), split.get("behavior"), split.get("invert"), ends) == ({"Regex": cls.PATTERN}, "Removed", True, "</w>")
+
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
@@ -121,6 +143,8 @@ class WordIds:
     def batch(self, texts: pa.Array) -> list[bytes]:
         """One result per string."""
         texts = texts.fill_null("")
+        if not self.known:
+            return self._encode(texts.to_pylist())
         odd = pc.match_substring_regex(texts, self.ODD)
         out: list[bytes] = [b""] * len(texts)
         plain = pc.utf8_lower(texts.filter(pc.invert(odd)))
@@ -220,6 +244,7 @@ class Island:
         self.n, self.array, self.capacity = len(lengths), lengths.astype(np.int64), capacity
         self.lengths, self.random = lengths.tolist(), random.Random(seed)
         self.bound = -(-int(self.array.sum()) // capacity)
+        self.crossovers = 0
 
     def fills(self, genome: np.ndarray) -> np.ndarray:
         return np.bincount(genome, weights=self.array).astype(np.int64)
@@ -273,26 +298,27 @@ class Island:
         return self._refit(genome, gone[genome])
 
     def evolve(self, population: list[np.ndarray], size: int, generations: int) -> list[np.ndarray]:
-        ranked = sorted(population, key=self.fitness)
-        if ranked and self.fitness(ranked[0])[0] <= self.bound:
-            return ranked[:1]
+        """The best genomes after some generations, best first; genomes of the population (own and migrated) are parents."""
+        ranked = [(self.fitness(g), g) for g in population]
         while len(ranked) < size:
-            ranked.append(self.first(bool(ranked)))
-            if self.fitness(ranked[-1])[0] <= self.bound:
-                return ranked[-1:]
+            new = self.first(bool(ranked))
+            ranked.append((self.fitness(new), new))
         for _ in range(generations):
-            ranked = sorted(ranked, key=self.fitness)[:size]
-            if self.fitness(ranked[0])[0] <= self.bound:
-                break
-            a, b = self.random.sample(ranked, 2)
-            ranked += [self.cross(a, b), self.mutate(ranked[0])]
-        return sorted(ranked, key=self.fitness)[:size]
+            ranked = sorted(ranked, key=lambda r: r[0])[:size]
+            if len(ranked) > 1:
+                (_, a), (_, b) = self.random.sample(ranked, 2)
+                child = self.cross(a, b)
+                self.crossovers += 1
+                ranked.append((self.fitness(child), child))
+            changed = self.mutate(ranked[0][1])
+            ranked.append((self.fitness(changed), changed))
+        return [g for _, g in sorted(ranked, key=lambda r: r[0])[:size]]
 
 
 def _states(table: list[tuple]) -> pa.Table:
-    types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
-    columns = zip(*table, strict=True) if table else [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "island", "items", "genomes"])
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.int32())
+    columns = zip(*table, strict=True) if table else [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "island", "items", "genomes", "crossovers"])
 
 
 def _seed(islands: int):
@@ -305,7 +331,7 @@ def _seed(islands: int):
         items["doc_id"] = ids.fill_null(0).to_numpy()
         items = items[np.lexsort((items["crc"], items["piece"], items["doc_id"], -items["length"]))]
         shard = group.column("shard")[0].as_py()
-        return _states([(shard, i, items.tobytes(), []) for i in range(islands)])
+        return _states([(shard, i, items.tobytes(), [], 0) for i in range(islands)])
 
     return run
 
@@ -319,18 +345,20 @@ def _epoch(number: int, islands: int, capacity: int, population: int, generation
         genomes = sorted(g for r in rows for g in r["genomes"])
         evolved = world.evolve([np.frombuffer(g, "<i4") for g in genomes], population, generations)
         packed = [g.astype("<i4").tobytes() for g in evolved]
-        return _states([(shard, island, own["items"], packed), (shard, (island + 1) % islands, None, packed[:1])])
+        migrants = [(shard, (island + 1) % islands, None, packed[:1], 0)] if islands > 1 else []
+        return _states([(shard, island, own["items"], packed, own["crossovers"] + world.crossovers), *migrants])
 
     return run
 
 
-def _finish(capacity: int):
+def _finish(capacity: int, first_id: int):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         own = next(r for r in rows if r["items"] is not None)
         items = np.frombuffer(own["items"], _ITEM)
         world = Island(items["length"], capacity, "")
         best = min((np.frombuffer(g, "<i4") for g in sorted({g for r in rows for g in r["genomes"]})), key=world.fitness)
+        emptiest = int(np.argmin(world.fills(best)))
         order = np.argsort(best, kind="stable")
         items, best = items[order], best[order]
         before = np.cumsum(items["length"], dtype=np.int64) - items["length"]
@@ -341,8 +369,10 @@ def _finish(capacity: int):
             "start": pa.array(items["start"]),
             "length": pa.array(items["length"].astype(np.int64)),
             "ids_crc32": pa.array(items["crc"].astype(np.int64)),
-            "sequence_id": pa.array((own["shard"] << 24) + best.astype(np.int64)),
+            "sequence_id": pa.array(((first_id + own["shard"]) << 24) + best.astype(np.int64)),
             "offset": pa.array(before - before[first]),
+            "crossovers": pa.array(np.full(len(items), sum(r["crossovers"] for r in rows), np.int32)),
+            "open": pa.array(best == emptiest),
         }
         return pa.table(columns)
 
@@ -350,15 +380,24 @@ def _finish(capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for rows of token_pieces()."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, crossovers) for rows of token_pieces()."""
     pieces = materialise(pieces)
+
+    def evolved(some: DataFrame, shards: int, first_id: int) -> DataFrame:
+        # Equal rows hash alike; the number of a row within its task sets them apart.
+        dealt = some.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
+        state = dealt.groupBy("shard").applyInArrow(_seed(islands), _STATE)
+        for number in range(epochs):
+            state = state.groupBy("shard", "island").applyInArrow(_epoch(number, islands, capacity, population, generations), _STATE)
+        return state.groupBy("shard").applyInArrow(_finish(capacity, first_id), _PACKED)
+
     shards = max(1, -(-pieces.count() // shard))
-    # Equal rows hash alike; the number of a row within its task sets them apart.
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
-    state = dealt.groupBy("shard").applyInArrow(_seed(islands), _STATE)
-    for number in range(epochs):
-        state = state.groupBy("shard", "island").applyInArrow(_epoch(number, islands, capacity, population, generations), _STATE)
-    return state.groupBy("shard").applyInArrow(_finish(capacity), f"{_PIECES}, sequence_id long, offset long")
+    packed = evolved(pieces, shards, 0)
+    if shards > 1:
+        packed = materialise(packed)
+        loose = packed.where("open").select(*pieces.columns)
+        packed = packed.where("not open").union(evolved(loose, max(1, -(-loose.count() // shard)), shards))
+    return packed.drop("open")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, **options: int) -> DataFrame:

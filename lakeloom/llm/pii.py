@@ -6,7 +6,8 @@ need a checksum (iban: mod-97; short_card: Luhn) and/or words nearby
 (ssn, local_phone, short_card). Offsets are code points of the whole text.
 
 Every scanner is linear in the text: digit runs are taken whole (possessive
-quantifiers, no start inside a run), and addresses are found from their "@".
+quantifiers, no start inside a run), addresses are found from their "@", and an added
+span is held against the union of the base spans by bisection.
 
 Edge cases: null and empty texts have no spans; rows keep their doc_id (null
 included); repeated rows give repeated results; other columns are ignored.
@@ -15,6 +16,7 @@ included); repeated rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -110,10 +112,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+_NEARBY = {kind: re.compile(rf"(?<![a-z])(?:{'|'.join(map(re.escape, words))})") for kind, words in CONTEXT.items()}
+
+
 def _score(kind: str, text: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT_CHARS) : start].lower() + " " + text[end : end + CONTEXT_CHARS].lower()
-    hit = any(re.search(rf"(?<![a-z]){re.escape(w)}", near) for w in CONTEXT[kind])
-    return round(min(1.0, PRIOR[kind] + CONTEXT_GAIN * hit), 3)
+    return round(min(1.0, PRIOR[kind] + CONTEXT_GAIN * bool(_NEARBY[kind].search(near))), 3)
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
@@ -121,7 +125,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     base = base_spans(text)
     found = [(k, s, e, _score(k, text, s, e)) for k, s, e in base]
     if _DIGIT.search(text):
-        taken = sorted((s, e) for _, s, e in base)
+        taken = _merged(base)
         more = [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
         more += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
         for m in _CARD.finditer(text):
@@ -135,8 +139,23 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     return found
 
 
-def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in taken)
+def _merged(found: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, apart and in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((s, e) for _, s, e in found):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _overlaps(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    starts, ends = taken
+    at = bisect_right(starts, end - 1) - 1
+    return at >= 0 and ends[at] > start
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))

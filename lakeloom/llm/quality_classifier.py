@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lakeloom.llm.common import byte_rows, id_and_text, materialise
 
@@ -227,3 +228,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", per_cl
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def with_score(docs: DataFrame, model: Model, column: str, text_col: str = "text") -> DataFrame:
+    """docs with the score in a further column, whose name docs must not have; one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = model.measure(byte_rows(batch, text_col)) if model.constant is None else np.zeros((batch.num_rows, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, column])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))

@@ -79,10 +79,12 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         0.1::DOUBLE + 0.9::DOUBLE * (length(translate(coalesce(text, ''), '#*$%&|<>', ''))::DOUBLE / greatest(length(coalesce(text, '')), 1)::DOUBLE) AS weight,
+         greatest(length(coalesce(text, '')), 1)::DOUBLE AS n,
+         (greatest(length(coalesce(text, '')), 1) - length(coalesce(text, '')) + length(translate(coalesce(text, ''), '#*$%&|<>', '')))::DOUBLE AS plain,
+         (greatest(length(coalesce(text, '')), 1) - length(coalesce(text, '')) + length(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::DOUBLE AS small,
          (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM documents),
-k AS (SELECT doc_id, source, size, -ln(u) / weight AS key FROM d),
+k AS (SELECT doc_id, source, size, -ln(u) / (0.05::DOUBLE + 0.95::DOUBLE * ((plain / n) * (small / n)) * (size::DOUBLE / (size + 20)::DOUBLE)) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w
       FROM k GROUP BY source),

@@ -7,9 +7,10 @@ one byte at most), so the guaranteed minimum of shared positional bytes is
 positional bytes: among the four positions of one half at least two agree for
 any pair that reaches the minimum, so twelve postings a fingerprint (six pairs
 of positions for each half) suffice and a posting list has one in 65,536 of the
-fingerprints. Within a list the tally goes on over the six other positions:
-fingerprints that share two more of them have reached the count of four and are
-verified bit by bit; nothing else is ever paired.
+fingerprints. Within a list, fingerprints that share two more of the six other
+positions are candidates: their shared positional bytes are tallied over all
+eight positions, pairs that reach the minimum are verified bit by bit, and
+nothing else is ever paired.
 
 Work that grows with the square of a list is avoided: within runs that agree in
 four positions, pairs are compared directly only in runs of up to
@@ -72,11 +73,26 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "fp"])
 
 
+def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (f,) = _fingerprints(iter([batch]))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *f.columns], ["row", "doc_id", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _reach(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Pairs whose tally of shared positional bytes reaches the guaranteed minimum and that differ in at most max_bits bits."""
+    differ = x ^ y
+    tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    out = tally >= 8 - max_bits
+    out[out] = np.bitwise_count(differ[out]) <= max_bits
+    return out
+
+
 def _byte(f: np.ndarray, i: int) -> np.ndarray:
     return (f >> np.uint64(8 * i)) & np.uint64(255)
 
@@ -136,7 +152,7 @@ def _links(key: np.ndarray, f: np.ndarray, max_bits: int, pairwise_run: int) ->
                 else:
                     x, y = [], []
                     for d in range(1, n):
-                        near = np.bitwise_count(run[d:] ^ run[:-d]) <= max_bits
+                        near = _reach(run[d:], run[:-d], max_bits)
                         x.append(run[d:][near])
                         y.append(run[:-d][near])
                     x, y = star_forest(np.concatenate(x), np.concatenate(y))
@@ -150,7 +166,7 @@ def _links(key: np.ndarray, f: np.ndarray, max_bits: int, pairwise_run: int) ->
                 if not same.any():
                     break
                 x, y = h[d:][same], h[:-d][same]
-                near = np.bitwise_count(x ^ y) <= max_bits
+                near = _reach(x, y, max_bits)
                 a.append(x[near])
                 b.append(y[near])
                 d += 1
@@ -197,11 +213,15 @@ def _link_lists(max_bits: int, list_limit: int, pairwise_run: int):
     return run
 
 
-def near_components(prints: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT, pairwise_run: int = PAIRWISE_RUN) -> DataFrame:
-    """(fp, component_id) for each distinct fp of ``prints`` (doc_id, fp)."""
+def _representatives(prints: DataFrame, *last: str) -> DataFrame:
+    """(fp, vertex): of the rows of a fingerprint, the least (null ids last) with the columns named last as ties."""
+    return prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", *last)).alias("vertex"))
+
+
+def near_components(reps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT, pairwise_run: int = PAIRWISE_RUN) -> DataFrame:
+    """(fp, root) for the distinct fingerprints of _representatives(): root is the least vertex that links reach."""
     if max_bits not in (2, 4):
         raise ValueError("the index and its common neighbours serve two or four differing bits")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
     post = [F.lit(n << 16) + byte(i) * 256 + byte(j) for n, (i, j) in enumerate(POSTED)]
     postings = reps.select(F.explode(F.array(*post)).alias("key"), "fp")
@@ -212,20 +232,28 @@ def near_components(prints: DataFrame, max_bits: int = MAX_BITS, list_limit: int
     near = large.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("c"))
     low = near.groupBy("c").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m <> x").select("c", "m")
     links = links.union(near.join(low, "c").where("fp <> m").select("fp", "m").distinct())
-    roots = connected_components(links).withColumnRenamed("vertex", "fp")
-    member = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return member.join(named, "root").select("fp", "component_id")
+    # Links go over to vertices, so that the least vertex of a component is its answer and no join on roots follows.
+    ends = links.join(reps.select(F.col("fp").alias("a"), F.col("vertex").alias("u")), "a").join(reps.select(F.col("fp").alias("b"), F.col("vertex").alias("v")), "b")
+    roots = connected_components(ends, "u", "v").select(F.col("vertex.fp").alias("fp"), "root")
+    return reps.join(roots, "fp", "left").select("fp", F.coalesce("root", "vertex").alias("root"))
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, **limits: int) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     prints = materialise(fingerprints(docs, id_col, text_col))
-    named = near_components(prints, max_bits, **limits)
+    named = near_components(materialise(_representatives(prints)), max_bits, **limits).select("fp", F.col("root.doc_id").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component (or null), all columns kept."""
-    gone = simhash_near_dedup(docs, max_bits=max_bits).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near-copies, all columns kept: that with the smallest id (null last), then fingerprint.
+
+    Rows are told apart by a number stored with them: ids may be null or repeated,
+    and rows of one id may belong to different groups.
+    """
+    numbered = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    texts = numbered.select(F.col("row"), F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
+    prints = materialise(texts.mapInArrow(_row_fingerprints, "row long, doc_id long, fp long"))
+    roots = near_components(materialise(_representatives(prints, "row")), max_bits)
+    first = roots.select(F.col("root.row").alias("row")).distinct()
+    return numbered.join(first, "row", "left_semi").select("doc.*")

@@ -54,6 +54,10 @@ PART_BYTES = 512 << 10
 GROUP_BYTES = 8 << 20
 #: Spare bits of an anchor's hash over those that number all anchors: one false share in 2 ** 7.
 SPARE_BITS = 7
+#: Bytes of text for each bucket of the stored table, and for each part into which anchors are dealt by hash.
+BUCKET_BYTES, ROUTE_BYTES = 64 << 20, 16 << 20
+MOST_BUCKETS = 100_000
+_TEXTS = "gid long, part int, ids array<long>, lengths array<long>, n_bytes long, texts binary"
 _LAST_ID = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 24) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -166,35 +170,33 @@ def _store(group_bytes: int, part_bytes: int):
     return run
 
 
-def store_texts(docs: DataFrame, group_bytes: int, part_bytes: int) -> tuple[str, str, int]:
-    """Writes the texts as a table bucketed by group: its name, its folder, its number of buckets."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def store_texts(docs: DataFrame, group_bytes: int, part_bytes: int, buckets: int) -> str:
+    """Writes the texts to the shared checkpoint folder as a table bucketed by group: its name."""
     name = f"lakeloom_texts_{secrets.token_hex(8)}"
-    rows = docs.mapInArrow(_store(group_bytes, part_bytes), "gid long, part int, ids array<long>, lengths array<long>, n_bytes long, texts binary")
-    folder = f"{checkpoint_dir(spark)}/{name}"
+    rows = docs.mapInArrow(_store(group_bytes, part_bytes), _TEXTS)
+    folder = f"{checkpoint_dir(docs.sparkSession)}/{name}"
     rows.write.option("path", folder).option("compression", "uncompressed").bucketBy(buckets, "gid").saveAsTable(name)
-    return name, folder, buckets
+    return name
 
 
-def drop_texts(spark: SparkSession, name: str, folder: str) -> None:
-    spark.sql(f"DROP TABLE {name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_texts(spark: SparkSession, name: str) -> None:
+    """Empties the table's folder, then forgets the table."""
+    if spark.catalog.tableExists(name):
+        spark.createDataFrame([], _TEXTS).write.insertInto(name, overwrite=True)
+        spark.sql(f"DROP TABLE {name}")
 
 
-def _pieces(row: dict, part_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
-    """(bytes, ends, document numbers in the row, offsets) with long documents in overlapping pieces."""
+def _pieces(row: dict, part_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, ends, document numbers in the row, offsets in them): the row's bytes in pieces that overlap by one window less a byte."""
     whole = np.frombuffer(_unzip(row["texts"]), np.uint8)
-    stops = np.cumsum(np.array(row["lengths"], np.int64))
-    if len(whole) <= 4 * part_bytes:
-        yield whole, stops, list(range(len(stops))), [0] * len(stops)
-        return
-    for n, (stop, length) in enumerate(zip(stops.tolist(), row["lengths"], strict=True)):
-        doc = whole[stop - length : stop]
-        for at in range(0, max(1, length - LENGTH + 1), 2 * part_bytes):
-            piece = doc[at : at + 2 * part_bytes + LENGTH - 1]
-            yield piece, np.array([len(piece)], np.int64), [n], [at]
+    lengths = np.array(row["lengths"], np.int64)
+    stops = np.cumsum(lengths)
+    starts = stops - lengths
+    for at in range(0, max(1, len(whole)), 2 * part_bytes):
+        piece = whole[at : at + 2 * part_bytes + LENGTH - 1]
+        end = at + len(piece)
+        first, last = np.searchsorted(stops, at, "right"), np.searchsorted(starts, end, "left")
+        yield piece, np.minimum(stops[first:last], end) - at, np.arange(first, last), np.maximum(at - starts[first:last], 0)
 
 
 def _ids(row: dict) -> np.ndarray:
@@ -280,7 +282,7 @@ class Stretches:
             if not len(hit):
                 continue
             raw, starts = data.tobytes(), np.r_[0, stops[:-1]]
-            docs_, offsets_ = np.array(docs), np.array(offsets)
+            docs_, offsets_ = docs, offsets
             p = piece[hit]
             owner = ids[docs_[p]].tolist()
             numbers = []
@@ -303,7 +305,7 @@ class Stretches:
     def _local(rows: list[dict], pieces: list[tuple], bits: int) -> np.ndarray:
         """Hashes that occur in two documents of the group."""
         before = np.cumsum([0, *(len(row["lengths"]) for row in rows)])
-        found = [(h, np.array(docs, np.int64)[piece] + before[r]) for r, _, _, docs, _, h, _, _, piece in pieces if len(h)]
+        found = [(h, docs[piece] + before[r]) for r, _, _, docs, _, h, _, _, piece in pieces if len(h)]
         if not found:
             return np.zeros(0, np.uint64)
         h, doc = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]).astype(np.uint64)
@@ -490,17 +492,22 @@ def _remove(bits: int, part_bytes: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs."""
     spark = docs.sparkSession
-    name, folder, parts = store_texts(id_and_text(docs, id_col, text_col), group_bytes, part_bytes)
-    texts = spark.table(name)
-    total = texts.agg(F.sum("n_bytes")).first()[0] or 0
+    own = id_and_text(docs, id_col, text_col)
+    total = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # Both grow with the texts, so what a task holds doesn't. Fewer buckets than shuffle partitions would be dealt anew.
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(least, -(-total // BUCKET_BYTES)))
+    parts = max(least, -(-total // ROUTE_BYTES))
     bits = min(56, max(24, int(2 * total / (SPAN + 1) + 1).bit_length() + SPARE_BITS))
-    sketch = texts.mapInArrow(_sketch(bits, parts, part_bytes), "pid int, gid long, hashes binary")
     reply = "gid long, kind int, told binary"
-    shared = materialise(sketch.groupBy("pid").applyInArrow(_shared, reply))
-    sent = texts.groupBy("gid").cogroup(shared.groupBy("gid")).applyInArrow(_send(bits, parts, part_bytes), "pid int, gid long, stretches binary")
-    judged = materialise(sent.groupBy("pid").applyInArrow(_judge, reply))
-    answers = shared.union(judged)
-    result = texts.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_remove(bits, part_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    result = materialise(result)
-    drop_texts(spark, name, folder)
-    return result
+    name = store_texts(own, group_bytes, part_bytes, buckets)
+    try:
+        texts = spark.table(name)
+        sketch = texts.mapInArrow(_sketch(bits, parts, part_bytes), "pid int, gid long, hashes binary")
+        shared = materialise(sketch.repartition(parts, "pid").groupBy("pid").applyInArrow(_shared, reply))
+        sent = texts.groupBy("gid").cogroup(shared.groupBy("gid")).applyInArrow(_send(bits, parts, part_bytes), "pid int, gid long, stretches binary")
+        judged = materialise(sent.repartition(parts, "pid").groupBy("pid").applyInArrow(_judge, reply))
+        answers = shared.union(judged)
+        return materialise(texts.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_remove(bits, part_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    finally:
+        drop_texts(spark, name)
