@@ -3,14 +3,24 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the docs of the next one. All but the last return the
 columns of documents.
+
+Edge cases, for every stage: rows are told apart as rows, so null and repeated
+doc_ids neither merge nor lose texts; a null text counts as an empty one (it has a
+score, fingerprint zero, no personal data, size zero and one end token); very long
+texts are worked on whole; an empty table gives an empty result; further columns
+are carried along under any name. The first stage keeps a row or not by its text
+alone; the second keeps one row of each group of near-copies (smallest doc_id,
+nulls last); the third changes texts and n_chars only; the fourth leaves out,
+keeps or repeats whole rows; the last gives a row for each piece of each row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.llm import mixing, packing, pii, quality_classifier, simhash
-from lakeloom.llm.common import materialise, table
+from lakeloom.llm.common import id_and_text, materialise, spare_name, table
 from lakeloom.llm.queries import tokenizer_path
 
 
@@ -20,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
+    """One row of each SimHash group stays: one with the smallest doc_id."""
     return simhash.keep_first(docs)
 
 
@@ -30,8 +40,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources reach their target weights: a document occurs as often as the mix takes it."""
-    return mixing.mixed_documents(docs)
+    """Sources reach their target weights: a document occurs as often as the mix takes it, those the classifier scores well first."""
+    # Fitted on the raw documents: hardly a bad one is left among docs.
+    model = quality_classifier.fit(id_and_text(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+    score = spare_name(docs, "score")
+    scored = quality_classifier.with_score(docs, model, score)
+    return mixing.mixed_documents(scored, F.col(score)).drop(score)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
