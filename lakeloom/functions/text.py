@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -110,28 +111,37 @@ def damage_signals(text: Column) -> Column:
     )
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it (a plain Column is computed anew in each branch that names it)."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def quality_reasons(text: Column) -> Column:
     """Reasons against a chunk that can be told without its corpus.
 
     Costly signs are only sought where a cheap one allows them: leaders or trailing
     digits for contents, a question mark or ending for questions, Hangul or ideographs for damage.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    sub = substantive_length(t)
-    share = sub / F.greatest(F.length(normalize(t)), F.lit(1))
-    digits = F.regexp_count(t, F.lit("[0-9]")) / F.greatest(sub, F.lit(1))
-    reasons = F.array_compact(
-        F.array(
-            F.when(is_page_number(t), "page_number"),
-            F.when(is_rule(t) | (share < LOW_WORD_SHARE), "symbol_only"),
-            F.when(t.rlike(r"[.·․‧⋯…\t ]{2}") & t.rlike(r"[.·․‧⋯…]{5}|\d\s*(?:\r?\n|$)") & is_toc(t), "toc_line"),
-            F.when(sub < TOO_SHORT, "too_short").when(sub < THIN, "thin"),
-            F.when(t.rlike(QUESTION) & is_question_only(t), "question_only"),
-            F.when(t.rlike("[가-힣一-鿿㐀-䶿]") & (F.size(damage_signals(t)) >= SIGNALS_TO_DROP), "ocr_damage"),
-            F.when((sub >= THIN) & (digits >= HIGH_DIGIT_SHARE), "low_text"),
+
+    def of(x: Column) -> Column:
+        t, sub = x.t, x.sub
+        share = sub / F.greatest(x.total, F.lit(1))
+        digits = F.regexp_count(t, F.lit("[0-9]")) / F.greatest(sub, F.lit(1))
+        reasons = F.array_compact(
+            F.array(
+                F.when(is_page_number(t), "page_number"),
+                F.when((share < LOW_WORD_SHARE) | is_rule(t), "symbol_only"),
+                F.when(t.rlike(r"[.·․‧⋯…\t ]{2}") & t.rlike(r"[.·․‧⋯…]{5}|\d\s*(?:\r?\n|$)") & is_toc(t), "toc_line"),
+                F.when(sub < TOO_SHORT, "too_short").when(sub < THIN, "thin"),
+                F.when(t.rlike(QUESTION) & is_question_only(t), "question_only"),
+                F.when(t.rlike("[가-힣一-鿿㐀-䶿]") & (F.size(damage_signals(t)) >= SIGNALS_TO_DROP), "ocr_damage"),
+                F.when((sub >= THIN) & (digits >= HIGH_DIGIT_SHARE), "low_text"),
+            )
         )
-    )
-    return F.when(t == "", F.array(F.lit("too_short"))).otherwise(reasons)
+        return F.when(t == "", F.array(F.lit("too_short"))).otherwise(reasons)
+
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return let(trimmed, lambda t: let(F.struct(t.alias("t"), substantive_length(t).alias("sub"), F.length(normalize(t)).alias("total")), of))
 
 
 def quality_score(text: Column, reasons: Column) -> Column:
@@ -189,9 +199,9 @@ def join_split_words(text: Column, known: Column | None = None) -> Column:
     return F.aggregate(known, joined, lambda a, w: F.when(F.length(w) == 2, F.regexp_replace(a, F.concat(F.lit("(?<![가-힣])"), F.substring(w, 1, 1), F.lit(" "), F.substring(w, 2, 1), F.lit("(?![가-힣])")), w)).otherwise(a))
 
 
-def terms(text: Column, longest: int = 4000) -> Column:
-    """Language-neutral content words: distinct lower-case runs of letters or digits, two characters and more, of the first characters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, longest)), F.lit("[가-힣a-z0-9]{2,}"), F.lit(0)))
+def terms(text: Column) -> Column:
+    """Language-neutral content words: distinct lower-case runs of letters or digits, two characters and more, of the whole text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[가-힣a-z0-9]{2,}"), F.lit(0)))
 
 
 def tidy_reply(text: Column) -> Column:

@@ -103,19 +103,19 @@ def _decided(groups: DataFrame, range_rows: int, *last: str) -> DataFrame:
 
     at is the group's place in its source; more of its m rows are taken once more than epochs.
     """
-    targets = source_targets(groups)
-    ranges = F.greatest(F.ceil(F.col("n_docs") / range_rows), F.lit(1))
+    # Sources by a name that is never null: windows and joins then share one partitioning.
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    targets = source_targets(groups).select(name.alias("of"), "source_size", "target", F.greatest(F.ceil(F.col("n_docs") / range_rows), F.lit(1)).alias("ranges"))
     # A key may be 0 if u rounds to 1.
     octave = F.log2(F.greatest(F.col("key"), F.lit(1e-300)))
-    placed = groups.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", F.floor(octave * ranges).alias("range"))
+    placed = groups.withColumn("of", name).join(targets, "of").withColumn("range", F.floor(octave * F.col("ranges"))).drop("ranges")
     words = F.col("size") * F.col("m")
-    sums = placed.groupBy("source", "range").agg(F.sum(words).alias("words"))
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("g"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    before = W.partitionBy("of").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy("of", "range").agg(F.sum(words).alias("words"))
+    sums = sums.select("of", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     placed = placed.withColumn("at", _order(*last))
-    within = W.partitionBy("source", "range").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("run", F.coalesce(F.sum(words).over(within), F.lit(0)))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
+    within = W.partitionBy("of", "range").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("run", F.coalesce(F.sum(words).over(within), F.lit(0))).join(sums, ["of", "range"])
     placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     # The j-th of m equal rows is taken if 2 (words before + j size) - size <= 2 rest.
     room = 2 * (F.col("target") - F.col("epochs") * F.col("source_size")) - (2 * (F.col("start") + F.col("run"))).cast("double")
@@ -153,8 +153,8 @@ def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: str =
     groups = materialise(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")))
     decided = _decided(groups, range_rows, "hash")
     edge = F.when((F.col("more") > 0) & (F.col("more") < F.col("m")), F.struct("at", "more"))
-    told = decided.groupBy(F.col("source").alias("s")).agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("more") == F.col("m"), F.col("at"))).alias("last"), F.max(edge).alias("edge"))
-    met = stored.withColumn("at", _order("hash")).join(materialise(told), F.col("source").eqNullSafe(F.col("s")))
+    told = decided.groupBy("of").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("more") == F.col("m"), F.col("at"))).alias("last"), F.max(edge).alias("edge"))
+    met = stored.withColumn("at", _order("hash")).withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(materialise(told), "of")
     copies = F.col("epochs") + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
     taken = met.select("doc", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))).alias("n")).select("doc.*")
     # Of the equal rows on a source's edge, one stands for all that are taken.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators.similarity import fingerprint, shingles
+from lakeloom.operators.similarity import fingerprint, gram_hashes, shingles
 
 
 def following(hits: DataFrame, chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", ahead: int = 6) -> DataFrame:
@@ -69,17 +69,21 @@ def diff_listings(old: DataFrame, new: DataFrame, classes: list[str]) -> DataFra
     return lone.unionByName(rest)
 
 
-def relink_gold(golds: DataFrame, chunks: DataFrame, gold_id: str = "gold_id", chunk_id: str = "chunk_id", term: str = "term") -> DataFrame:
-    """(gold_id, chunk_id): chunks that now hold a gold text, from rows of shingles.
+def relink_gold(golds: DataFrame, chunks: DataFrame, gold_id: str = "gold_id", chunk_id: str = "chunk_id", text: str = "text", gram: int = 8) -> DataFrame:
+    """(gold_id, chunk_id): chunks that now hold a gold text, by shared character grams.
 
     Fixed values of the rule: a chunk counts when it covers .6 of the gold, or .6 of
     it lies in the gold and it has half of the best chunk's overlap; nothing counts unless the best
     has .2 of the gold and one of its two covers reaches .5; the best is kept if no other is.
+
+    Grams are hashes in one array for each text, so sizes need no counting; those that no gold has
+    go in a semi-join before anything is shuffled.
     """
-    g = golds.select(gold_id, F.xxhash64(term).alias("h")).distinct()
-    c = chunks.select(chunk_id, F.xxhash64(term).alias("h")).distinct()
-    hits = g.join(c, "h").groupBy(gold_id, chunk_id).agg(F.count(F.lit(1)).alias("n"))
-    hits = hits.join(g.groupBy(gold_id).agg(F.count(F.lit(1)).alias("ng")), gold_id).join(c.groupBy(chunk_id).agg(F.count(F.lit(1)).alias("nc")), chunk_id)
+    g = golds.select(gold_id, gram_hashes(F.col(text), gram, short=True).alias("_h")).where(F.size("_h") > 0)
+    c = chunks.select(chunk_id, gram_hashes(F.col(text), gram, short=True).alias("_h")).where(F.size("_h") > 0)
+    g = g.select(gold_id, F.size("_h").alias("ng"), F.explode("_h").alias("h"))
+    c = c.select(chunk_id, F.size("_h").alias("nc"), F.explode("_h").alias("h")).join(g.select("h").distinct(), "h", "left_semi")
+    hits = g.join(c, "h").groupBy(gold_id, chunk_id, "ng", "nc").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy(gold_id)
     hits = hits.withColumns({"cg": F.col("n") / F.col("ng"), "cc": F.col("n") / F.col("nc"), "r": F.row_number().over(w.orderBy(F.desc("n"), chunk_id)), "best": F.max("n").over(w)})
     hits = hits.withColumn("sound", F.max(F.when(F.col("r") == 1, (F.col("n") >= 0.2 * F.col("ng")) & (F.greatest("cg", "cc") >= 0.5))).over(w)).where("sound")

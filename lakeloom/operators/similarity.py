@@ -8,6 +8,7 @@ first size - ceil(t * size) + 1 terms, so frequent terms hardly ever join.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -103,30 +104,41 @@ def containment_join(left: DataFrame, right: DataFrame, left_id: str, right_id:
     return both.where(F.col("shared") >= F.col("left_size") * least).join(nb, right_id).select(left_id, right_id, "shared", "left_size", "right_size")
 
 
-#: Needle grams up to which they are handed to the tasks that cut the bodies; above it they are joined.
-FEW_GRAMS = 500_000
+def gram_hashes(text: Column, k: int, step: int = 1, short: bool = False) -> Column:
+    """Distinct 64-bit hashes of the k-character grams at every step-th place, sorted; a shorter text is one gram if ``short``, else none. Arrow-batched, numpy within a text."""
+
+    @F.pandas_udf("array<long>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: rolling_hashes(t, k, step, short))
+
+    return cut(text)
+
+
+def rolling_hashes(text: str | None, k: int, step: int = 1, short: bool = False) -> np.ndarray:
+    c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if short and 0 < len(c) < k:
+        c = np.pad(c, (0, k - len(c)))
+    n = len(c) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = np.zeros(-(-n // step), np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + n : step]
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return np.unique(h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle: str, body_id: str, body: str, gram: int = 8) -> DataFrame:
-    """(needle_id, body_id) where the body contains the needle: an equi-join on one rare gram of the needle, then the exact test.
+    """(needle_id, body_id) where the body contains the needle: an equi-join on the hash of one rare gram of the needle, then the exact test.
 
-    Needles shorter than a gram are nobody's (their matches would be chance).
-    Bodies give only grams that some needle has: told by a set of checked size, or else by a semi-join.
+    Needles shorter than a gram are nobody's (their matches would be chance). Grams of
+    bodies that no needle has go in a semi-join (Spark broadcasts the needles' side by
+    its own size check, or filters by it at run time).
     """
     n = needles.where(F.length(needle) >= gram).select(needle_id, needle)
-    prepared = n.withColumn("g", F.explode(shingles(F.col(needle), gram)))
-    wanted = prepared.select("g").distinct()
-    few = wanted.limit(FEW_GRAMS + 1).collect()
-    if len(few) <= FEW_GRAMS:
-        known = frozenset(r.g for r in few)
-
-        @F.pandas_udf("array<string>")
-        def cut(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: sorted(known.intersection(t[i : i + gram] for i in range(len(t) - gram + 1))) if t else [])
-
-        seen = bodies.select(body_id, F.explode(cut(body)).alias("g"))
-    else:
-        seen = bodies.select(body_id, F.explode(shingles(F.col(body), gram)).alias("g")).join(wanted, "g", "left_semi")
+    prepared = n.select(needle_id, F.explode(gram_hashes(F.col(needle), gram)).alias("g"))
+    seen = bodies.select(body_id, F.explode(gram_hashes(F.col(body), gram)).alias("g")).join(prepared.select("g").distinct(), "g", "left_semi")
     df = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     key = prepared.join(df, "g").groupBy(needle_id).agg(F.min_by("g", F.struct("df", "g")).alias("g"))
     found = key.join(seen, "g").select(needle_id, body_id).distinct()
@@ -134,15 +146,50 @@ def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle:
     return j.where(F.contains(body, F.col(needle))).select(needle_id, body_id)
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vector: str, k: int, least: float, blocks: int = 8) -> DataFrame:
+def cosine_all(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vector: str, also: list[str] | None = None, keep: Column | None = None) -> DataFrame:
+    """(query_id, vector_id, also, _block, cosine) of unit vectors for a stated query set against all rows.
+
+    Vectors are dealt into blocks, one for each shuffle partition of the session, and
+    every query visits each block; ``keep`` is a condition on other columns of both sides.
+    """
+    blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.withColumnRenamed(vector, "_q").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    v = vectors.withColumnRenamed(vector, "_v").withColumn("_block", F.pmod(F.xxhash64(vector_id), F.lit(blocks)))
+    j = q.join(v, "_block")
+    j = j if keep is None else j.where(keep)
+    return j.select(query_id, vector_id, *(also or []), "_block", dot("_q", "_v").alias("cosine"))
+
+
+def cosine_top(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vector: str, k: int, least: float, keep: Column | None = None) -> DataFrame:
     """(query_id, vector_id, cosine, rank): exact top k of unit vectors for a stated query set, against all rows in blocks.
 
     Every block of vectors keeps its own top k before the shuffle, so what moves is k rows for each query and block.
     """
-    q = queries.select(F.col(query_id), F.col(vector).alias("_q"))
-    v = vectors.select(F.col(vector_id), F.col(vector).alias("_v")).withColumn("_block", F.pmod(F.xxhash64(vector_id), F.lit(blocks)))
-    spread = q.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    s = spread.join(v, "_block").select(query_id, vector_id, "_block", dot("_q", "_v").alias("cosine")).where(F.col("cosine") >= least)
+    s = cosine_all(queries, vectors, query_id, vector_id, vector, keep=keep).where(F.col("cosine") >= least)
     best = W.partitionBy(query_id, "_block").orderBy(F.desc("cosine"), vector_id)
     s = s.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     return s.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("cosine"), vector_id))).where(F.col("rank") <= k).select(query_id, vector_id, "cosine", "rank")
+
+
+def edit_pairs(names: DataFrame, name: str, most: int, partition: list[str]) -> DataFrame:
+    """(partition..., a, b, d): names a < b of a partition that are at most ``most`` edits apart.
+
+    Two such names have a string in common that each gives when at most ``most``
+    of its characters are left out: these strings are the keys on which candidates
+    meet (their number depends on a name's length only), and the distance is checked.
+    """
+
+    @F.pandas_udf("array<string>")
+    def without(texts: pd.Series) -> pd.Series:
+        def keys(text: str | None) -> list[str]:
+            found = level = {text or ""}
+            for _ in range(most):
+                level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+                found = found | level
+            return sorted(found)
+
+        return texts.map(keys)
+
+    k = names.select(*partition, F.col(name)).distinct().withColumn("_k", F.explode(without(name)))
+    p = k.select(*partition, "_k", F.col(name).alias("a")).join(k.select(*partition, "_k", F.col(name).alias("b")), [*partition, "_k"]).where("a < b")
+    return p.select(*partition, "a", "b").distinct().withColumn("d", F.levenshtein("a", "b", most)).where("d >= 0")

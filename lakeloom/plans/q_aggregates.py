@@ -17,6 +17,11 @@ def lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")).withColumn("seq", (F.col("seq") + 1).cast("long"))
 
 
+def chunk_id() -> F.Column:
+    """Number of a line: 16 million lines a document, as many documents as a long holds beside them."""
+    return F.col("doc_id") * 16777216 + F.col("seq")
+
+
 def words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term")).distinct()
 

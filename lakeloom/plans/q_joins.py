@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.operators import joins, similarity
-from lakeloom.plans.q_aggregates import LINES_SQL, lines
+from lakeloom.plans.q_aggregates import LINES_SQL, chunk_id, lines
 from lakeloom.plans.registry import Tables, query
 
 #: Distinct character shingles in DuckDB.
@@ -69,11 +69,11 @@ def jn_theta_contains(t: Tables) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT vec_id, label, embedding FROM embeddings), s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS c
-FROM (SELECT * FROM v WHERE label = 3) a JOIN v b ON a.vec_id <> b.vec_id)
+FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT src, dst, round(c, 6) AS cosine, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c DESC, dst) AS r FROM s WHERE c >= 0.25) WHERE r <= 2"""
 )
 def jn_similarity_cos(t: Tables) -> DataFrame:
-    q = t.embeddings.where("label = 3").select(F.col("vec_id").alias("src"), "embedding")
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("src"), "embedding")
     v = t.embeddings.select(F.col("vec_id").alias("dst"), "embedding")
     hits = similarity.cosine_top(q, v, "src", "dst", "embedding", 3, 0.25).where("src <> dst")
     r = F.row_number().over(W.partitionBy("src").orderBy(F.desc("cosine"), "dst"))
@@ -128,15 +128,15 @@ def jn_aspect(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH l AS ({LINES_SQL}), g AS (SELECT item_id AS gold_id, unnest({GRAMS_SQL.format(t="text", k=8)}) AS term FROM benchmark), c AS (SELECT DISTINCT doc_id * 100000 + seq AS chunk_id, unnest({GRAMS_SQL.format(t="line", k=8)}) AS term FROM l WHERE line <> ''),
+    f"""WITH l AS ({LINES_SQL}), g AS (SELECT item_id AS gold_id, unnest({GRAMS_SQL.format(t="text", k=8)}) AS term FROM benchmark), c AS (SELECT DISTINCT doc_id * 16777216 + seq AS chunk_id, unnest({GRAMS_SQL.format(t="line", k=8)}) AS term FROM l WHERE line <> ''),
 h AS (SELECT gold_id, chunk_id, count(*) AS n FROM g JOIN c USING (term) GROUP BY 1, 2), ng AS (SELECT gold_id, count(*) AS ng FROM g GROUP BY 1), nc AS (SELECT chunk_id, count(*) AS nc FROM c GROUP BY 1),
 x AS (SELECT *, n / ng AS cg, n / nc AS cc, row_number() OVER (PARTITION BY gold_id ORDER BY n DESC, chunk_id) AS r, max(n) OVER (PARTITION BY gold_id) AS best FROM h JOIN ng USING (gold_id) JOIN nc USING (chunk_id)),
 y AS (SELECT *, max(CASE WHEN r = 1 THEN n >= 0.2 * ng AND greatest(cg, cc) >= 0.5 END) OVER (PARTITION BY gold_id) AS sound, cg >= 0.6 OR (cc >= 0.6 AND n >= 0.5 * best) AS own FROM x)
 SELECT gold_id, chunk_id FROM (SELECT *, max(own) OVER (PARTITION BY gold_id) AS anyone FROM y WHERE sound) WHERE own OR (NOT anyone AND r = 1)"""
 )
 def jn_gold_relink(t: Tables) -> DataFrame:
-    g = t.benchmark.select(F.col("item_id").alias("gold_id"), F.explode(similarity.shingles(F.col("text"), 8)).alias("term"))
-    c = lines(t).where("line <> ''").select((F.col("doc_id") * 100000 + F.col("seq")).alias("chunk_id"), F.explode(similarity.shingles(F.col("line"), 8)).alias("term"))
+    g = t.benchmark.select(F.col("item_id").alias("gold_id"), "text")
+    c = lines(t).where("line <> ''").select(chunk_id().alias("chunk_id"), F.col("line").alias("text"))
     return joins.relink_gold(g, c)
 
 

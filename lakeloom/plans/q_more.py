@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +31,36 @@ def src_mht_eml(t: Tables) -> DataFrame:
     return t.pages.select("page_id", sources.mail_text(F.encode(mail, "UTF-8")).alias("text"))
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS text FROM pages")
+@F.pandas_udf("binary")
+def office_package(name: pd.Series, kind_name: pd.Series, size: pd.Series, kind: pd.Series) -> pd.Series:
+    """Files as office programs write them, to read back."""
+
+    def one(n: str, k: str, z: int, which: int) -> bytes:
+        p = lambda *runs: "<x:p>" + "".join(f"<x:r><x:t>{r}</x:t></x:r>" for r in runs) + "</x:p>"
+        doc = lambda body: f'<?xml version="1.0"?><x:root xmlns:x="urn:x">{body}</x:root>'
+        parts = {
+            0: {"[Content_Types].xml": "<t/>", "word/document.xml": doc(p(n[:2], n[2:]) + p(" ") + p(k, " &amp; co"))},
+            1: {"ppt/slides/slide10.xml": doc(p(str(z))), "ppt/slides/slide2.xml": doc(p(n))},
+            2: {"xl/workbook.xml": "<w/>", "xl/sharedStrings.xml": doc(f"<si><t>name</t></si><si><t>size</t></si><si><r><t>{n}</t></r></si>"), "xl/worksheets/sheet1.xml": doc(f'<row><c t="s"><v>0</v></c><c t="s"><v>1</v></c></row><row/><row><c t="s"><v>2</v></c><c/><c><v>{z}</v></c></row>')},
+            3: {"mimetype": "application/hwp+zip", "Contents/section0.xml": doc(p(n, " ", k))},
+        }.get(which)
+        if parts is None:
+            return b"PK\x03\x04 broken" if z % 2 else n.encode()
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for path, content in parts.items():
+                archive.writestr(path, content)
+        return out.getvalue()
+
+    return pd.Series([one(*x) for x in zip(name, kind_name, size, kind, strict=True)])
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || chr(10) || p_type || ' & co' WHEN 1 THEN p_name || chr(10) || p_size WHEN 2 THEN 'name | size' || chr(10) || p_name || ' | ' || p_size WHEN 3 THEN p_name || ' ' || p_type ELSE NULL END AS text FROM part"""
+)
 def src_office(t: Tables) -> DataFrame:
-    """Pages aren't packages: null for each, as for any file that isn't one."""
-    return t.pages.select("page_id", sources.office_text(F.encode("html", "UTF-8")).alias("text"))
+    """Packages of each kind (document, slides, sheet, Hangul) with a part's words, and files that are none."""
+    return t.part.select("p_partkey", sources.office_text(office_package("p_name", "p_type", "p_size", (F.col("p_partkey") % 5).alias("kind"))).alias("text"))
 
 
 @query()
@@ -55,42 +85,66 @@ def txt_index_ready(t: Tables) -> DataFrame:
     return chunking.index_ready(chunks(t)).select("doc_id", "chunk_id")
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, text, len(regexp_extract_all(text, '[éèñü]')) AS accents FROM documents WHERE text IS NOT NULL")
 def txt_nfc(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", tx.nfc("text").alias("text"))
+    """Texts taken apart into letters and accents, with a NUL behind each, and composed again."""
+    apart = F.col("text")
+    for whole, parts in (("é", "e\u0301"), ("è", "e\u0300"), ("ñ", "n\u0303"), ("ü", "u\u0308")):
+        apart = F.replace(apart, F.lit(whole), F.lit(parts + "\0"))
+    d = t.documents.where("text is not null").select("doc_id", tx.nfc(apart).alias("text"))
+    return d.select("doc_id", "text", F.regexp_count("text", F.lit("[éèñü]")).cast("long").alias("accents"))
 
 
-@query(f"WITH l AS ({LINES_SQL}) SELECT doc_id, seq, length(line) <= 40 AS whole FROM l")
+@query(
+    rf"""WITH l AS ({LINES_SQL}), h AS (SELECT *, substr(line, 1, 39) AS head FROM l), e AS (SELECT *, length(regexp_extract(head, '(?s)^.*[.?!다]\s')) AS stop, CASE WHEN contains(head, ' ') THEN length(head) - strpos(reverse(head), ' ') ELSE -1 END AS space FROM h)
+SELECT doc_id, seq, CASE WHEN length(line) <= 40 THEN line WHEN stop >= 20 THEN regexp_replace(substr(head, 1, stop), '[\s\x0b]+$', '') || '…' WHEN space >= 20 THEN regexp_replace(substr(head, 1, space), '[\s\x0b]+$', '') || '…' ELSE regexp_replace(head, '[\s\x0b]+$', '') || '…' END AS clipped FROM e"""
+)
 def txt_clip(t: Tables) -> DataFrame:
-    c = tx.clip("line", F.lit(40))
-    return lines(t).select("doc_id", "seq", ((c == F.col("line")) & (F.length(c) <= 40)).alias("whole"))
+    return lines(t).select("doc_id", "seq", tx.clip("line", F.lit(40)).alias("clipped"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, ' ', ' 은 ') || CASE WHEN substr(p_name, -1) IN ('l', 'm', 'n', 'r') THEN '은' ELSE '는' END AS name FROM part")
+@query(
+    """WITH w AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '부품' WHEN 2 THEN '길' ELSE '나사' END AS word, CASE p_partkey % 2 WHEN 0 THEN '은' ELSE '이' END AS closed, CASE p_partkey % 2 WHEN 0 THEN '는' ELSE '가' END AS open FROM part)
+SELECT p_partkey, word || CASE WHEN word = '부품' OR word = '길' OR (word <> '나사' AND substr(word, -1) IN ('0', '1', '3', '6', '7', '8', 'l', 'm', 'n', 'r')) THEN closed ELSE open END AS name,
+word || CASE WHEN word = '부품' OR (word NOT IN ('나사', '길') AND substr(word, -1) IN ('0', '1', '3', '6', '7', '8', 'l', 'm', 'n', 'r')) THEN '으로' ELSE '로' END AS by FROM w"""
+)
 def txt_josa(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", tx.particle(F.regexp_replace("p_name", " ", " 은 "), F.lit("은/는")).alias("name"))
+    word = F.element_at(F.array(F.col("p_name"), F.lit("부품"), F.lit("길"), F.lit("나사")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    pair = F.when(F.col("p_partkey") % 2 == 0, "은/는").otherwise("이/가")
+    return t.part.select("p_partkey", tx.particle(word, pair).alias("name"), tx.particle(word, F.lit("으로/로")).alias("by"))
 
 
-@query("SELECT p_partkey, p_name || '. ' || p_type || '.' AS text FROM part")
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || '. ' || p_type || '.' WHEN 1 THEN p_type || '? ' || p_name || '! ' || p_size || '.' ELSE p_name || ' ' || p_name END AS text FROM part"""
+)
 def txt_tidy_reply(t: Tables) -> DataFrame:
-    said = F.concat("p_name", F.lit(". "), "p_type", F.lit(". "), "p_name", F.lit("."))
+    name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string")
+    said = (
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(name, F.lit(". "), kind, F.lit(".  "), name, F.lit(".")))
+        .when(F.col("p_partkey") % 3 == 1, F.concat(kind, F.lit("? "), name, F.lit("!\n"), kind, F.lit("? "), size, F.lit(". "), name, F.lit("!")))
+        .otherwise(F.concat(name, F.lit(" "), name))
+    )
     return t.part.select("p_partkey", tx.tidy_reply(said).alias("text"))
 
 
-@query("SELECT p_partkey, '1. ' || p_name AS text FROM part")
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '1. ' || p_name WHEN 1 THEN '12) ' || p_name WHEN 2 THEN p_name WHEN 3 THEN '1. 2. ' || p_name ELSE 'x' || chr(10) || '  3. ' || p_name END AS text FROM part")
 def txt_numbering(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", tx.fix_numbering(F.concat(F.lit("1. 1. "), "p_name")).alias("text"))
+    heads = F.array(*[F.lit(x) for x in ("1. 1. ", "12)12)  ", "0. ", "1. 2. ", "x\n  3. 3. ")])
+    return t.part.select("p_partkey", tx.fix_numbering(F.concat(F.element_at(heads, (F.col("p_size") % 5 + 1).cast("int")), "p_name")).alias("text"))
 
 
-@query("SELECT p_partkey, '첨단소재 ' || p_name AS text FROM part")
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '첨단소재 ' WHEN 1 THEN '첨 단 ' WHEN 2 THEN '첨단 소재 ' WHEN 3 THEN '새첨 단소재 ' ELSE '연구비 a 집행률 ' END || p_name AS text, CASE p_size % 5 WHEN 0 THEN '첨단소재' WHEN 1 THEN '첨단' WHEN 2 THEN '첨단 소재' WHEN 3 THEN '새첨 단소재' ELSE '연구비 a 집행률' END AS known FROM part")
 def txt_repair_split(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", tx.join_split_words(F.concat(F.lit("첨 단 소 재 "), "p_name")).alias("text"))
+    heads = F.array(*[F.lit(x) for x in ("첨 단 소 재", "첨 단", "첨단 소재", "새첨 단 소 재", "연 구 비 a 집 행 률")])
+    head = F.element_at(heads, (F.col("p_size") % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", tx.join_split_words(F.concat(head, F.lit(" "), "p_name")).alias("text"), tx.join_split_words(head, F.array(F.lit("첨단"))).alias("known"))
 
 
-@query("SELECT a.p_partkey, a.p_name = b.p_name AS same FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+@query("SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN 2 * length(p_name) / (2 * length(p_name) + p_size) WHEN 1 THEN 1.0 ELSE 0.0 END, 9)::DOUBLE AS ratio FROM part")
 def txt_seq_ratio(t: Tables) -> DataFrame:
-    j = t.part.select("p_partkey", F.col("p_name").alias("a")).join(t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
-    return j.select("p_partkey", (tx.sequence_ratio("a", "b") == 1.0).alias("same"))
+    """Names against themselves with a tail, against themselves, and against signs alone."""
+    other = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.repeat(F.lit("#"), F.col("p_size").cast("int")))).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.lit("##"))
+    return t.part.select("p_partkey", F.round(tx.sequence_ratio("p_name", other), 9).alias("ratio"))
 
 
 PAYLOAD = ("""{"n_rows": 2, "n_cols": 2, "cells": [[0, 0, 1, 1, true, "name"], [0, 1, 1, 1, true, "size"], [1, 0, 1, 1, false, \"""", """\"], [1, 1, 1, 1, false, \"""", """\"]]}""")
@@ -105,14 +159,35 @@ def json_table_text(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", chunking.table_text(_payload()).alias("text"))
 
 
-@query("SELECT p_partkey, CAST(NULL AS VARCHAR) AS heading FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Ⅱ. ' || p_name WHEN 1 THEN p_name || ' ' || p_size WHEN 2 THEN NULL WHEN 3 THEN 'IV. ' || p_name ELSE NULL END AS heading FROM part")
 def txt_table_heading(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", chunking.table_heading(_payload()).alias("heading"))
+    """Band tables of one row, a chapter, two cells, three rows, four cells, and no table at all."""
+    cells = lambda *texts: F.array(*[F.array(F.lit("0"), F.lit(str(i)), F.lit("1"), F.lit("1"), F.lit("false"), x) for i, x in enumerate(texts)])
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    table = lambda rows, c: F.to_json(F.struct(F.lit(rows).alias("n_rows"), c.alias("cells")))
+    kind = F.col("p_partkey") % 5
+    payload = (
+        F.when(kind == 0, table(1, cells(F.concat(F.lit("Ⅱ. "), name), size)))
+        .when(kind == 1, table(2, cells(name, F.lit(" "), size)))
+        .when(kind == 2, table(3, cells(name)))
+        .when(kind == 3, table(1, cells(F.concat(F.lit("IV. "), name))))
+        .otherwise(F.when(F.col("p_size") < 25, table(1, cells(name, name, name, size))).otherwise(F.lit("no table")))
+    )
+    return t.part.select("p_partkey", chunking.table_heading(payload).alias("heading"))
 
 
-@query("SELECT p_partkey, CAST(CAST(p_size AS BIGINT) * 1000000 AS VARCHAR) AS won FROM part")
+@query(
+    """SELECT p_partkey, CAST(CAST(p_size AS BIGINT) * CASE p_partkey % 4 WHEN 0 THEN 1000000 WHEN 1 THEN 1000 WHEN 2 THEN 10000 ELSE 1 END AS VARCHAR) AS won FROM part"""
+)
 def num_scaled(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("| 구분 | 금액(백만원) |\n| 장비 | "), F.col("p_size").cast("string"), F.lit(" |"))
+    """Money by a table's head, a unit in brackets, a unit declared above, and a won sign."""
+    n = F.col("p_size").cast("string")
+    said = (
+        F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("| 구분 | 금액(백만원) |\n| 장비 | "), n, F.lit(" |")))
+        .when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("장비 "), n, F.lit("(단위: 천원)")))
+        .when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("단위: 만원\n장비 "), n))
+        .otherwise(F.concat(F.lit("장비 "), n, F.lit("원")))
+    )
     return t.part.select("p_partkey", F.array_join(numbers.scaled_values(said), ",").alias("won"))
 
 
@@ -122,11 +197,14 @@ def arr_set(t: Tables) -> DataFrame:
     return g.select("l_orderkey", F.size(F.array_intersect("a", "b")).alias("both_"), F.size(F.array_union("a", "b")).alias("either"), (F.size(F.array_except("a", "b")) == 0).alias("inside"))
 
 
-@query(r"SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'KR_NAME' ELSE 'NONE' END AS entity FROM customer")
+@query(
+    """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'KR_NAME' WHEN 1 THEN 'KR_NAME' WHEN 2 THEN 'NONE' WHEN 3 THEN 'KR_STUDENT_ID' WHEN 4 THEN 'KR_BIRTHDATE' WHEN 5 THEN 'EMAIL' WHEN 6 THEN 'NONE' ELSE 'KR_PHONE' END AS entity, CASE WHEN c_custkey % 8 IN (2, 6) THEN 0 ELSE 1 END::BIGINT AS n FROM customer"""
+)
 def pii_rows(t: Tables) -> DataFrame:
-    """Names in table rows, by the label in the cell before."""
-    row = F.when(F.col("c_acctbal") < 0, F.lit("성 명 | 홍길동 | 끝")).otherwise(F.lit("품명 | 의자 | 끝"))
-    return privacy.events(t.customer.select("c_custkey", row.alias("text")), "c_custkey").select("c_custkey", "entity")
+    """Table rows whose label, in the cell before, says what a cell holds; a form's next label is nobody's name."""
+    rows = ("성 명 | 홍길동 | 끝", "담당자: 김철수", "성명 | 생년월일 | 비고", "학번 2020123456", "생년월일 | 1990. 1. 2 | 끝", "문의 hong@example.org", "품명 | 의자 | 끝", "전화 010-1234-5678")
+    row = F.element_at(F.array(*[F.lit(x) for x in rows]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return privacy.events(t.customer.select("c_custkey", row.alias("text")), "c_custkey")
 
 
 # --- retrieval -------------------------------------------------------------------------------------------
@@ -233,12 +311,22 @@ def ds_authoring(t: Tables) -> DataFrame:
     return datasets.approved_to_the_root(n, 4)
 
 
-@query("SELECT item_id AS id, 'no_candidates' AS issues FROM benchmark WHERE trim(text) <> ''")
+@query(
+    """SELECT item_id AS id, CASE item_id % 7 WHEN 0 THEN 'no_candidates' WHEN 1 THEN 'accepted_without_selection' WHEN 2 THEN 'unknown_selection' WHEN 3 THEN 'selected_and_rejected' WHEN 4 THEN 'cross_program_candidate' WHEN 5 THEN 'empty_question,unknown_selection,selected_and_rejected' ELSE '' END AS issues FROM benchmark WHERE trim(text) <> ''"""
+)
 def ds_cases(t: Tables) -> DataFrame:
+    kind = F.col("item_id") % 7
+    candidate = lambda program: F.array(F.struct(F.lit("a").alias("node_id"), program.alias("program_id"), F.lit("t").alias("text")))
+    ids = lambda *x: F.array(*[F.lit(i) for i in x]).cast("array<string>")
     c = t.benchmark.where("trim(text) <> ''").select(
-        F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit("p").alias("program_id"), F.lit("hold").alias("decision"),
-        F.lit(None).cast("array<struct<node_id:string,program_id:string,text:string>>").alias("candidates"), F.lit(None).cast("array<string>").alias("selected"), F.lit(None).cast("array<string>").alias("rejected"),
-    )
+        F.col("item_id").alias("id"),
+        F.when(kind == 5, " ").otherwise(F.col("text")).alias("question"),
+        F.lit("p").alias("program_id"),
+        F.when(kind == 1, "accept").otherwise("hold").alias("decision"),
+        F.when(kind != 0, candidate(F.when(kind == 4, "q").otherwise("p"))).alias("candidates"),
+        F.when(kind.isin(2, 5), ids("b")).when(kind == 1, ids()).otherwise(F.when(kind == 3, ids("a"))).alias("selected"),
+        F.when(kind.isin(3), ids("a")).when(kind == 5, ids("b")).alias("rejected"),
+    )
     return datasets.case_issues(c).select("id", F.array_join("issues", ",").alias("issues"))
 
 

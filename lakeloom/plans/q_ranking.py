@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators import aggregates as agg
-from lakeloom.operators import ranking, windows
+from lakeloom.operators import ranking, similarity, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, WORDS_SQL, lines, words
 from lakeloom.plans.registry import Tables, query
 
@@ -122,21 +122,23 @@ def win_rrf(t: Tables) -> DataFrame:
 # --- sort, limit, paging ---------------------------------------------------------------------------
 
 
-@query(f"SELECT b.vec_id, round({DOT_SQL}, 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 7) a, embeddings b WHERE b.label <> a.label ORDER BY {DOT_SQL} DESC, b.vec_id LIMIT 20")
+@query(f"SELECT q, vec_id, round(s, 6) AS score, rank FROM (SELECT a.vec_id AS q, b.vec_id, {DOT_SQL} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT_SQL} DESC, b.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) a, embeddings b WHERE b.label <> a.label) WHERE rank <= 20")
 def srt_topk_dense(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    j = t.embeddings.join(F.broadcast(q), F.col("label") != F.col("ql"))  # the query is one row
-    return j.select("vec_id", agg.dot("embedding", "q").alias("s")).orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 6).alias("score"))
+    """Every fiftieth vector asks; rows of its own label don't answer."""
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", "embedding")
+    v = t.embeddings.select("vec_id", F.col("label").alias("other"), "embedding")
+    top = similarity.cosine_top(q, v, "q", "vec_id", "embedding", 20, -2.0, keep=F.col("label") != F.col("other"))
+    return top.select("q", "vec_id", F.round("cosine", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
-    f"""WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 5),
+    f"""WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT a.vec_id AS q, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT_SQL} DESC, b.vec_id) AS rank FROM q a, embeddings b WHERE a.label = b.label) SELECT q, vec_id, rank FROM s WHERE rank <= 10"""
 )
 def srt_ann_hnsw(t: Tables) -> DataFrame:
     """Filtered nearest neighbours in one plan: the filter is an equi-join, scores are exact."""
-    q = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("label"), F.col("embedding").alias("qv"))
-    j = t.embeddings.join(F.broadcast(q), "label").select("q", "vec_id", agg.dot("embedding", "qv").alias("s"))
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("label"), F.col("embedding").alias("qv"))
+    j = t.embeddings.join(q, "label").select("q", "vec_id", agg.dot("embedding", "qv").alias("s"))
     return windows.top_k(j, ["q"], [F.desc("s"), F.col("vec_id")], 10).select("q", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import graph, joins, retrieval, similarity, windows
 from lakeloom.operators.aggregates import dot
-from lakeloom.plans.q_aggregates import LINES_SQL, lines
+from lakeloom.plans.q_aggregates import LINES_SQL, chunk_id, lines
 from lakeloom.plans.registry import Tables, query
 
 
 def chunks(t: Tables) -> DataFrame:
-    return lines(t).select((F.col("doc_id") * 100000 + F.col("seq")).alias("chunk_id"), "doc_id", "seq", F.col("line").alias("text"))
+    return lines(t).select(chunk_id().alias("chunk_id"), "doc_id", "seq", F.col("line").alias("text"))
 
 
 def questions(t: Tables) -> DataFrame:
@@ -27,8 +27,8 @@ def ranked(t: Tables) -> DataFrame:
     return retrieval.lexical(questions(t), retrieval.postings(c), c.count())
 
 
-TERM = "list_distinct(regexp_extract_all(lower(substr(text, 1, 4000)), '[가-힣a-z0-9]{2,}'))"
-LEX_SQL = f"""c AS (SELECT doc_id * 100000 + seq AS chunk_id, doc_id, seq, line AS text FROM ({LINES_SQL})), i AS (SELECT chunk_id, unnest({TERM}) AS term FROM c), n AS (SELECT count(*) AS n FROM c),
+TERM = "list_distinct(regexp_extract_all(lower(text), '[가-힣a-z0-9]{2,}'))"
+LEX_SQL = f"""c AS (SELECT doc_id * 16777216 + seq AS chunk_id, doc_id, seq, line AS text FROM ({LINES_SQL})), i AS (SELECT chunk_id, unnest({TERM}) AS term FROM c), n AS (SELECT count(*) AS n FROM c),
 q0 AS (SELECT item_id AS qid, unnest({TERM}) AS term FROM benchmark), d AS (SELECT term, count(*) AS df FROM i WHERE term IN (SELECT term FROM q0) GROUP BY 1),
 q1 AS (SELECT qid, q0.term, coalesce(df, 0) AS df, ln(1 + n / (1 + coalesce(df, 0))) AS idf, n, count(*) OVER (PARTITION BY qid) AS size FROM q0 LEFT JOIN d ON q0.term = d.term, n),
 q2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, length(term) DESC, term) AS place FROM q1), q3 AS (SELECT *, size > 2 AND n >= 200 AS focused, size > 2 AND n >= 200 AND place <= 2 AND df > 0 AS focus FROM q2),
@@ -55,24 +55,24 @@ def ret_dense(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 11), s AS (SELECT v.label AS chunk_id, max(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE))) AS c FROM q, embeddings v GROUP BY 1)
-SELECT chunk_id, round(c, 6) AS score FROM s"""
+    """WITH q AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, v.label AS chunk_id, max(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE))) AS c FROM q, embeddings v GROUP BY 1, 2)
+SELECT qid, chunk_id, round(c, 6) AS score FROM s"""
 )
 def ret_question_axis(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id = 11").select(F.col("embedding").alias("q"))
-    j = t.embeddings.join(F.broadcast(q))  # the question is one row
-    return j.groupBy(F.col("label").alias("chunk_id")).agg(F.round(F.max(dot("embedding", "q")), 6).alias("score"))
+    """Every fiftieth vector asks; a chunk answers with the best of its question vectors."""
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    s = similarity.cosine_all(q, t.embeddings.select(F.col("label").alias("chunk_id"), "vec_id", "embedding"), "qid", "vec_id", "embedding", ["chunk_id"])
+    return s.groupBy("qid", "chunk_id").agg(F.round(F.max("cosine"), 6).alias("score"))
 
 
-DENSE_SQL = f"""dense AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY abs(chunk_id - qid * 2500000), chunk_id) AS rank FROM (SELECT DISTINCT qid FROM lex), c WHERE length(text) > 600)"""
+DENSE_SQL = """dense AS (SELECT qid, b.vec_id * 16777216 + 1 AS chunk_id, row_number() OVER (PARTITION BY qid ORDER BY list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) DESC, b.vec_id) AS rank FROM (SELECT DISTINCT qid FROM lex) JOIN embeddings a ON a.vec_id = qid, embeddings b)"""
 
 
-def fake_dense(t: Tables, lex: DataFrame) -> DataFrame:
-    """A stand-in for a model's ranking: long chunks by the distance of their id, computed from blocks of ids per question."""
-    long_ = chunks(t).where(F.length("text") > 600).select("chunk_id")
-    q = lex.select("qid").distinct()
-    d = q.join(long_).withColumn("far", F.abs(F.col("chunk_id") - F.col("qid") * 2500000))
-    return windows.top_k(d, ["qid"], [F.col("far"), F.col("chunk_id")], 20)
+def dense(t: Tables, lex: DataFrame) -> DataFrame:
+    """(qid, chunk_id, rank) by vectors: vector n stands for question n and for the first chunk of document n."""
+    q = t.embeddings.select(F.col("vec_id").alias("qid"), "embedding").join(lex.select("qid").distinct(), "qid", "left_semi")
+    s = similarity.cosine_top(q, t.embeddings.select("vec_id", "embedding"), "qid", "vec_id", "embedding", 20, -2.0)
+    return s.select("qid", (F.col("vec_id") * 16777216 + 1).alias("chunk_id"), "rank")
 
 
 FUSED_SQL = f"""{LEX_SQL}, {DENSE_SQL}, f0 AS (SELECT qid, chunk_id, sum(w) AS score FROM (SELECT qid, chunk_id, 0.4::DOUBLE / (60 + rank) AS w FROM lex UNION ALL SELECT qid, chunk_id, 1.0::DOUBLE / (60 + rank) FROM dense WHERE rank <= 20) GROUP BY 1, 2),
@@ -82,7 +82,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_i
 @query(f"WITH {FUSED_SQL} SELECT qid, chunk_id, round(score, 8) AS score, rank FROM f")
 def ret_rrf(t: Tables) -> DataFrame:
     lex = ranked(t)
-    return retrieval.hybrid(lex, fake_dense(t, lex)).select("qid", "chunk_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.hybrid(lex, dense(t, lex)).select("qid", "chunk_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -90,7 +90,7 @@ def ret_rrf(t: Tables) -> DataFrame:
 )
 def ret_keep_lex(t: Tables) -> DataFrame:
     lex = ranked(t)
-    return retrieval.keep_lexical_tops(retrieval.hybrid(lex, fake_dense(t, lex)), lex).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.keep_lexical_tops(retrieval.hybrid(lex, dense(t, lex)), lex).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -172,13 +172,16 @@ def ret_index_incr(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {LEX_SQL}, k AS (SELECT chunk_id, lower(regexp_replace(regexp_replace(text, '^\\s*[0-9]+(?:[.)-][0-9]*)*\\s*', ''), '[^가-힣A-Za-z0-9]', '', 'g')) AS k FROM c), b AS (SELECT item_id, lower(regexp_replace(regexp_replace(text, '^\\s*[0-9]+(?:[.)-][0-9]*)*\\s*', ''), '[^가-힣A-Za-z0-9]', '', 'g')) AS k FROM benchmark)
-SELECT item_id AS qid, min(chunk_id) AS chunk_id FROM b JOIN k USING (k) WHERE k <> '' GROUP BY 1"""
+    f"""WITH c AS (SELECT doc_id * 16777216 + seq AS chunk_id, doc_id, seq, line AS text FROM ({LINES_SQL})), k AS (SELECT chunk_id, doc_id, seq, lower(regexp_replace(regexp_replace(text, '^\\s*[0-9]+(?:[.)-][0-9]*)*\\s*', ''), '[^가-힣A-Za-z0-9]', '', 'g')) AS k FROM c)
+SELECT a.doc_id AS qid, min(b.chunk_id) AS chunk_id, count(*) AS n FROM k a JOIN k b USING (k) WHERE a.seq = 1 AND k <> '' GROUP BY 1""".replace("\\\\", "\\")
 )
 def ret_section_hits(t: Tables) -> DataFrame:
-    k = chunks(t).select("chunk_id", joins.key_of(F.col("text")).alias("k"))
-    b = t.benchmark.select(F.col("item_id").alias("qid"), joins.key_of(F.col("text")).alias("k")).where("k <> ''")
-    return b.join(k, "k").groupBy("qid").agg(F.min("chunk_id").alias("chunk_id"))
+    """The first line of each document, numbered anew, as a question for a section."""
+    k = chunks(t).select("chunk_id", "doc_id", "seq", "text")
+    asked = k.where("seq = 1").select(F.col("doc_id").alias("qid"), joins.key_of(F.concat(F.lit("3-1. "), "text")).alias("k")).where("k <> ''")
+    # Equal keys of a section first become one row with a count.
+    held = k.select("chunk_id", joins.key_of(F.col("text")).alias("k")).groupBy("k").agg(F.min("chunk_id").alias("chunk_id"), F.count(F.lit(1)).alias("n"))
+    return asked.join(held, "k").select("qid", "chunk_id", "n")
 
 
 # --- graph: region -> nation -> customer and supplier -> part ------------------------------------------------

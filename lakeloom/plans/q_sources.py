@@ -23,9 +23,19 @@ def src_html(t: Tables) -> DataFrame:
     return t.pages.select("page_id", docs.html_text("html").alias("text"))
 
 
-@query()
+@query(
+    """WITH g(r, c, rowspan, colspan, is_header) AS (VALUES (0, 0, 1, 2, true), (0, 2, 2, 1, true), (1, 0, 1, 1, false), (1, 1, 1, 1, false), (2, 0, 1, 1, false), (2, 1, 1, 1, false), (2, 2, 1, 1, false))
+SELECT p_partkey, 0 AS table_no, r, c, rowspan, colspan, is_header, CASE WHEN (r, c) = (0, 0) THEN p_brand WHEN (r, c) = (0, 2) THEN p_type WHEN (r, c) = (1, 0) THEN p_name WHEN (r, c) = (1, 1) THEN CAST(p_size AS VARCHAR) WHEN (r, c) = (2, 0) THEN '' WHEN (r, c) = (2, 1) THEN 'a & b' ELSE 'last' END AS text FROM part, g
+UNION ALL SELECT p_partkey, 1, 0, 0, 1, 1, false, 'inner' FROM part WHERE p_size > 25"""
+)
 def src_html_table(t: Tables) -> DataFrame:
-    return docs.html_tables(t.pages)
+    """Cells with spans, entities, missing end tags and, for some, a table within a cell."""
+    inner = F.when(F.col("p_size") > 25, "<table><tr><td>inner</table>").otherwise("")
+    html = F.concat(
+        F.lit("<p>x</p><TABLE><tr><th colspan=2>"), "p_brand", F.lit("</th><th rowspan='2'> "), "p_type", F.lit("</th></tr><tr><td>"), "p_name", F.lit("<td>"), F.col("p_size").cast("string"),
+        F.lit("</td></tr><tr><td></td><td>a &amp;\n b</td><td>"), inner, F.lit("last</td></tr></TABLE><td>outside</td>"),
+    )
+    return docs.html_tables(t.part.select("p_partkey", html.alias("html")), "p_partkey")
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(lower(substr(html, 1, 300)), '^\\s*(?:<!doctype html|<html)') THEN 'html' ELSE 'text' END AS format FROM pages")
@@ -39,12 +49,13 @@ def src_vectors(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS id, c_mktsegment AS seg FROM customer WHERE c_custkey < 800), i AS (SELECT c_custkey AS id, 'new ' || c_mktsegment AS seg FROM customer WHERE c_custkey BETWEEN 500 AND 1000)
+    """WITH c AS (SELECT c_custkey AS id, c_mktsegment AS seg FROM customer WHERE c_mktsegment <> 'BUILDING'), i AS (SELECT c_custkey AS id, 'new ' || c_mktsegment AS seg FROM customer WHERE c_nationkey >= 12)
 SELECT * FROM c WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT * FROM i"""
 )
 def snk_upsert(t: Tables) -> DataFrame:
-    c = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"))
-    return sinks.upsert(c.where("id < 800"), c.where("id between 500 and 1000").withColumn("seg", F.concat(F.lit("new "), "seg")), ["id"])
+    c = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), "c_nationkey")
+    new = c.where("c_nationkey >= 12").select("id", F.concat(F.lit("new "), "seg").alias("seg"))
+    return sinks.upsert(c.where("seg <> 'BUILDING'").select("id", "seg"), new, ["id"])
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderstatus = 'P'")

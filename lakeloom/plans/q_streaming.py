@@ -189,10 +189,16 @@ def hier_covered(t: Tables) -> DataFrame:
     return graph.descendants(e, roots, 5).select("id")
 
 
-@query()
+@query(
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'mine' || substr(text, length(split_part(text, chr(10), 1)) + 1) WHEN 1 THEN 'mine' || chr(10) || text || chr(10) || 'theirs' ELSE text || chr(10) || 'both' END AS text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS conflicts FROM documents"""
+)
 def merge3(t: Tables) -> DataFrame:
+    """Both sides change the first line; one adds at the top and one at the end; both add the same."""
     from lakeloom.functions.text import merge_three
 
-    d = t.documents.where("n_chars < 4000")
-    mine, theirs = F.concat(F.lit("mine\n"), "text"), F.concat("text", F.lit("\ntheirs"))
-    return d.select("doc_id", merge_three("text", mine, theirs).alias("m")).select("doc_id", "m.text", F.size("m.conflicts").alias("conflicts"))
+    first = F.length(F.substring_index("text", "\n", 1))
+    rest = F.col("text").substr(first + 1, F.length("text"))
+    kind = F.col("doc_id") % 3
+    mine = F.when(kind == 0, F.concat(F.lit("mine"), rest)).when(kind == 1, F.concat(F.lit("mine\n"), "text")).otherwise(F.concat("text", F.lit("\nboth")))
+    theirs = F.when(kind == 0, F.concat(F.lit("theirs"), rest)).when(kind == 1, F.concat("text", F.lit("\ntheirs"))).otherwise(F.concat("text", F.lit("\nboth")))
+    return t.documents.select("doc_id", merge_three("text", mine, theirs).alias("m")).select("doc_id", "m.text", F.size("m.conflicts").alias("conflicts"))

@@ -81,9 +81,23 @@ def txt_garbled_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(text.garbled_share(F.col("text")), 6).alias("share"))
 
 
-@query("SELECT doc_id, '' AS signals FROM documents")
+@query(
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN n / (n + 40) >= 0.15 THEN 'garbled' ELSE '' END WHEN 1 THEN CASE WHEN 1000 / (9 + 60 * n) >= 0.5 THEN 'date_collapse' ELSE '' END
+WHEN 2 THEN CASE WHEN n >= 16 AND n / (n + 40) >= 0.1 THEN 'no_spaces' ELSE '' END WHEN 3 THEN CASE WHEN n >= 3 AND n / (n + 12) >= 0.25 THEN 'split_syllables' ELSE '' END
+ELSE array_to_string(list_filter([CASE WHEN 40 / (40 + n) >= 0.15 THEN 'garbled' END, CASE WHEN n >= 40 THEN 'no_spaces' END], lambda x: x IS NOT NULL), ',') END AS signals FROM (SELECT p_partkey, p_size AS n FROM part)"""
+)
 def txt_ocr_damage(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.array_join(text.damage_signals(F.col("text")), ",").alias("signals"))
+    """Pages with more and more of each kind of damage."""
+    n = F.col("p_size").cast("int")
+    many = lambda s, k: F.repeat(F.lit(s), k)
+    page = (
+        F.when(F.col("p_partkey") % 5 == 0, F.concat(many("漢", n), F.repeat(F.lit("a"), F.lit(40))))
+        .when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("12345(월) "), many("ab cd ", n * 10)))
+        .when(F.col("p_partkey") % 5 == 2, F.concat(many("가", n), F.lit(" "), F.repeat(F.lit("나다 "), F.lit(20))))
+        .when(F.col("p_partkey") % 5 == 3, F.concat(many("가 ", n), F.repeat(F.lit("나다 "), F.lit(12))))
+        .otherwise(F.concat(F.repeat(F.lit("漢"), F.lit(40)), many("라", n)))
+    )
+    return t.part.select("p_partkey", F.array_join(text.damage_signals(page), ",").alias("signals"))
 
 
 REASONS_SQL = rf"""l AS ({LINES_SQL}), m AS (SELECT doc_id, seq, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),
@@ -131,7 +145,7 @@ def txt_clean_row(t: Tables) -> DataFrame:
     return lines(t).where(F.contains("line", F.lit("|"))).select("doc_id", "seq", text.clean_row(F.col("line")).alias("row"))
 
 
-@query("WITH l AS (" + LINES_SQL + r") SELECT doc_id, seq, list_sort(list_distinct(regexp_extract_all(lower(substr(line, 1, 4000)), '[가-힣a-z0-9]{2,}'))) AS terms FROM l")
+@query("WITH l AS (" + LINES_SQL + r") SELECT doc_id, seq, list_sort(list_distinct(regexp_extract_all(lower(line), '[가-힣a-z0-9]{2,}'))) AS terms FROM l")
 def txt_nouns(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seq", F.array_sort(text.terms(F.col("line"))).alias("terms"))
 
@@ -146,11 +160,16 @@ def txt_tokens_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS d FROM (SELECT * FROM part WHERE p_size < 3) a JOIN (SELECT * FROM part WHERE p_size < 3) b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2")
+@query(
+    """WITH n AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2) SELECT a.p_brand, a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS d, a.n * b.n AS pairs
+FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 2"""
+)
 def txt_levenshtein(t: Tables) -> DataFrame:
-    p = t.part.where("p_size < 3").select("p_brand", "p_partkey", "p_name")
-    j = p.select("p_brand", F.col("p_partkey").alias("a"), F.col("p_name").alias("x")).join(p.select("p_brand", F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), "p_brand").where("a < b")
-    return j.withColumn("d", F.levenshtein("x", "y", 2).cast("long")).where("d >= 0").select("a", "b", "d")
+    """Names of a brand that are at most two edits apart, and how many pairs of parts bear them."""
+    n = t.part.groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    p = similarity.edit_pairs(n, "p_name", 2, ["p_brand"])
+    of = lambda c: n.select("p_brand", F.col("p_name").alias(c), F.col("n").alias(f"n{c}"))
+    return p.join(of("a"), ["p_brand", "a"]).join(of("b"), ["p_brand", "b"]).select("p_brand", "a", "b", F.col("d").cast("long").alias("d"), (F.col("na") * F.col("nb")).alias("pairs"))
 
 
 @query()
@@ -224,11 +243,11 @@ def num_mask(t: Tables) -> DataFrame:
     return d.where(F.contains("masked", F.lit("○○")))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 2 = l_quantity + l_linenumber THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' × 2 = ' || CAST(CAST(l_quantity AS BIGINT) + l_linenumber AS VARCHAR) END AS issue FROM lineitem WHERE l_orderkey < 400")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 2 = l_quantity + l_linenumber THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' × 2 = ' || CAST(CAST(l_quantity AS BIGINT) + l_linenumber AS VARCHAR) END AS issue FROM lineitem")
 def num_calc(t: Tables) -> DataFrame:
     q = F.col("l_quantity").cast("long")
     said = F.concat(q.cast("string"), F.lit(" × 2 = "), (q + F.col("l_linenumber")).cast("string"))
-    return t.lineitem.where("l_orderkey < 400").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(numbers.budget_issues(said), ";").alias("issue"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(numbers.budget_issues(said), ";").alias("issue"))
 
 
 @query(
