@@ -49,6 +49,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which small() lets a table be broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, stored and counted: to be broadcast if it has at most so many rows, else to be joined as any other."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spare_name(df: DataFrame, name: str) -> str:
     """The name, or one like it, that no column of df has."""
     taken = {c.lower() for c in df.columns}

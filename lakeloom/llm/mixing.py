@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise
+from lakeloom.llm.common import materialise, small
 
 CYCLE = 3
 MAX_EPOCHS = 3
-RANGE_ROWS = 5_000
+RANGE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -105,7 +105,7 @@ def _decided(groups: DataFrame, range_rows: int, *last: str) -> DataFrame:
     """
     # Sources by a name that is never null: windows and joins then share one partitioning.
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    targets = source_targets(groups).select(name.alias("of"), "source_size", "target", F.greatest(F.ceil(F.col("n_docs") / range_rows), F.lit(1)).alias("ranges"))
+    targets = small(source_targets(groups).select(name.alias("of"), "source_size", "target", F.greatest(F.ceil(F.col("n_docs") / range_rows), F.lit(1)).alias("ranges")))
     # A key may be 0 if u rounds to 1.
     octave = F.log2(F.greatest(F.col("key"), F.lit(1e-300)))
     placed = groups.withColumn("of", name).join(targets, "of").withColumn("range", F.floor(octave * F.col("ranges"))).drop("ranges")
@@ -154,7 +154,7 @@ def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: str =
     decided = _decided(groups, range_rows, "hash")
     edge = F.when((F.col("more") > 0) & (F.col("more") < F.col("m")), F.struct("at", "more"))
     told = decided.groupBy("of").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("more") == F.col("m"), F.col("at"))).alias("last"), F.max(edge).alias("edge"))
-    met = stored.withColumn("at", _order("hash")).withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(materialise(told), "of")
+    met = stored.withColumn("at", _order("hash")).withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(small(told), "of")
     copies = F.col("epochs") + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
     taken = met.select("doc", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies))).alias("n")).select("doc.*")
     # Of the equal rows on a source's edge, one stands for all that are taken.
