@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -109,15 +110,22 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def bootstrap(rows: DataFrame, key: str, value: str, reps: int = 2000, seed: int = 7) -> DataFrame:
     """(key, mean, low, high): a 95% interval of each group's mean by the Poisson bootstrap.
 
-    A row enters replicate r with a Poisson(1) weight hashed from its values, so a
-    replicate is a sum: groups of any size combine before the shuffle.
+    Equal values of a group are one row with a count c: together they enter a
+    replicate with a Poisson(c) weight, drawn by hash (exactly for up to 30 rows, by the
+    normal approximation beyond). So a group costs its distinct values, not its rows, and
+    rows that look alike still have weights of their own.
     """
-    rid = F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(seed))
-    each = rows.select(key, F.col(value).cast("double").alias("v"), rid.alias("id")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = (F.shiftrightunsigned(F.xxhash64("id", "r"), 11).cast("double") + 0.5) / float(1 << 53)
+    exact = 30
+    each = rows.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    each = each.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    uniform = lambda *salt: (F.shiftrightunsigned(F.xxhash64(F.col(key), "v", "r", *salt, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    weight = reduce(lambda a, c: a + (u > c).cast("int"), cuts, F.lit(0))
-    reps_ = each.groupBy(key, "r").agg((F.sum(weight * F.col("v")) / F.nullif(F.sum(weight), F.lit(0))).alias("m"))
+    one = lambda i: reduce(lambda a, c: a + (uniform(i) > c).cast("int"), cuts, F.lit(0))
+    few = F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.col("c"), F.lit(exact)).cast("int")), one), F.lit(0), lambda a, x: a + x).cast("double")
+    normal = F.sqrt(-2 * F.log(uniform(F.lit("a")))) * F.cos(2 * math.pi * uniform(F.lit("b")))
+    weight = F.when(F.col("c") <= exact, few).otherwise(F.greatest(F.round(F.col("c") + F.sqrt("c") * normal), F.lit(0.0)))
+    drawn = each.select(key, "v", "r", weight.alias("w"))
+    reps_ = drawn.groupBy(key, "r").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     ends = reps_.where("m is not null").groupBy(key).agg(percentile_rank("m", 0.025).alias("low"), percentile_rank("m", 0.975).alias("high"))
     return rows.groupBy(key).agg(F.avg(value).alias("mean")).join(ends, key)
 

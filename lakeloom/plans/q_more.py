@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.functions import chunking, numbers, privacy
 from lakeloom.functions import text as tx
@@ -31,7 +32,7 @@ def src_mht_eml(t: Tables) -> DataFrame:
     return t.pages.select("page_id", sources.mail_text(F.encode(mail, "UTF-8")).alias("text"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def office_package(name: pd.Series, kind_name: pd.Series, size: pd.Series, kind: pd.Series) -> pd.Series:
     """Files as office programs write them, to read back."""
 
