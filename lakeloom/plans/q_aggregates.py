@@ -31,9 +31,9 @@ def agg_count_group(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1")
 def agg_count_distinct(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+    return t.lineitem.groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_orderkey").alias("orders"))
 
 
 @query("SELECT l_partkey, count(DISTINCT l_orderkey) AS docs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 30")
@@ -167,16 +167,16 @@ def agg_related_share(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT n_name || '/' || c_mktsegment AS path, CASE WHEN c_acctbal > 1000 THEN 'rich' ELSE 'poor' END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    """WITH r AS (SELECT n_name || '/' || c_mktsegment AS path, CASE WHEN c_acctbal > c_nationkey * 400 THEN 'rich' ELSE 'poor' END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey),
 x AS (SELECT path, split_part(path, '/', 1) AS folder, label FROM r UNION ALL SELECT path, path, label FROM r),
 n AS (SELECT folder, label, count(*) AS n FROM x GROUP BY 1, 2),
-c AS (SELECT folder, arg_max(label, (n, label)) AS label FROM n GROUP BY folder HAVING sum(n) >= 10 AND max(n) >= 0.7 * sum(n)),
+c AS (SELECT folder, arg_max(label, (n, label)) AS label FROM n GROUP BY folder HAVING sum(n) >= 3 AND max(n) >= 0.7 * sum(n)),
 p AS (SELECT DISTINCT path, folder FROM x)
 SELECT path, arg_max(label, length(folder)) AS label FROM p JOIN c USING (folder) GROUP BY path"""
 )
 def agg_dominant_share(t: Tables) -> DataFrame:
-    r = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "n_name", "c_mktsegment").alias("path"), F.when(F.col("c_acctbal") > 1000, "rich").otherwise("poor").alias("label"))
-    return agg.dominant_share(r, "path", "label")
+    r = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "n_name", "c_mktsegment").alias("path"), F.when(F.col("c_acctbal") > F.col("c_nationkey") * 400, "rich").otherwise("poor").alias("label"))
+    return agg.dominant_share(r, "path", "label", least=3)
 
 
 @query(

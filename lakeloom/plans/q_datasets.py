@@ -141,14 +141,6 @@ def pii_events(t: Tables) -> DataFrame:
     return privacy.events(t.documents)
 
 
-@query(
-    r"""WITH r AS (SELECT doc_id, regexp_replace(text, '\[[A-Z_]+\]', '', 'g') AS t FROM documents), x AS (SELECT doc_id, 'EMAIL' AS kind, len(regexp_extract_all(t, '[\w.+-]+@[\w-]+\.[\w.-]+')) AS n FROM r)
-SELECT doc_id, kind, n FROM x WHERE n > 0"""
-)
-def pii_residual_scan(t: Tables) -> DataFrame:
-    return privacy.residual(t.documents).where("kind = 'EMAIL'")
-
-
 # RE2 has no look-around: what stands beside a match is caught and put back, twice for neighbours that share it.
 _CARD_SQL, _MOBILE_SQL = r"(^|[^0-9])[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}[- ][0-9]{4}($|[^0-9])", r"(^|[^0-9])01[016789][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}($|[^0-9])"
 _RRN_SQL, _MAIL_SQL = r"[0-9]{6}[- ]?[1-4][0-9]{6}", r"[\w.+-]+@[\w-]+\.[\w.-]+"
@@ -168,6 +160,19 @@ def _twice(sql: str, pattern: str, mark: str) -> str:
 _SCRUB_SQL = f"replace(regexp_replace({_twice(_twice(f"regexp_replace(t, '{_RRN_SQL}', '[RRN]', 'g')", _CARD_SQL, 'CARD'), _MOBILE_SQL, 'PHONE')}, '{_MAIL_SQL}', '[EMAIL]', 'g'), 'worthless', 'poor')"
 
 
+def _marks(sql: str, mark: str) -> str:
+    return f"CAST((length({sql}) - length(replace({sql}, '[{mark}]', ''))) / {len(mark) + 2} AS BIGINT)"
+
+
+@query(
+    f"""WITH d AS ({_EGRESS_SQL}), r AS (SELECT doc_id, regexp_replace(t, '\\[[A-Z_]+\\]', '', 'g') AS t FROM d), x AS (SELECT doc_id, 'EMAIL' AS kind, len(regexp_extract_all(t, '{_MAIL_SQL}')) AS n FROM r UNION ALL SELECT doc_id, 'RRN', len(regexp_extract_all(t, '{_RRN_SQL}')) FROM r
+UNION ALL SELECT doc_id, 'CARD', {_marks(_twice('t', _CARD_SQL, 'CARD'), 'CARD')} FROM r UNION ALL SELECT doc_id, 'PHONE', {_marks(_twice('t', _MOBILE_SQL, 'PHONE'), 'PHONE')} FROM r)
+SELECT doc_id, kind, n FROM x WHERE n > 0""".replace("\\\\", "\\")
+)
+def pii_residual_scan(t: Tables) -> DataFrame:
+    return privacy.residual(_egress(t).withColumnRenamed("t", "text"))
+
+
 @query(f"WITH d AS ({_EGRESS_SQL}) SELECT doc_id, {_SCRUB_SQL} AS text FROM d")
 def prv_scrub(t: Tables) -> DataFrame:
     return _egress(t).select("doc_id", privacy.scrub(F.col("t"), {"worthless": "poor"}).alias("text"))

@@ -293,12 +293,23 @@ def gr_indicators(t: Tables) -> DataFrame:
     return graph.indicator_observations(cells)
 
 
+_FAULTS_SQL = f"""{GRAPH_SQL}, n AS (SELECT id, label FROM nodes UNION ALL SELECT 'blank:' || p_partkey, ' ' FROM part WHERE p_size = 46 UNION ALL SELECT 'lone:' || p_partkey, 'x' FROM part WHERE p_size >= 48),
+e AS (SELECT src, dst, basis, 1 AS evidence FROM edges UNION ALL SELECT 'part:' || p_partkey, CASE WHEN p_size = 50 THEN 'part:' ELSE 'gone:' END || p_partkey, CASE WHEN p_size = 48 THEN 'guess' ELSE '구조' END, CASE WHEN p_size = 47 THEN 0 ELSE 1 END FROM part WHERE p_size >= 47)"""
+
+
 @query(
-    f"""WITH {GRAPH_SQL} SELECT 'edge to a missing node' AS rule, (SELECT count(*) FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM nodes)) AS n UNION ALL SELECT 'loop', (SELECT count(*) FROM edges WHERE src = dst) UNION ALL SELECT 'unknown basis', 0 UNION ALL SELECT 'no evidence', 0
-UNION ALL SELECT 'empty label', (SELECT count(*) FROM nodes WHERE trim(coalesce(label, '')) = '') UNION ALL SELECT 'isolated node', (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges))"""
+    f"""WITH {_FAULTS_SQL} SELECT 'edge to a missing node' AS rule, (SELECT count(*) FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) WHERE id NOT IN (SELECT id FROM n)) AS n UNION ALL SELECT 'loop', (SELECT count(*) FROM e WHERE src = dst) UNION ALL SELECT 'unknown basis', (SELECT count(*) FROM e WHERE basis = 'guess') UNION ALL SELECT 'no evidence', (SELECT count(*) FROM e WHERE evidence = 0)
+UNION ALL SELECT 'empty label', (SELECT count(*) FROM n WHERE trim(coalesce(label, '')) = '') UNION ALL SELECT 'isolated node', (SELECT count(*) FROM n WHERE id NOT IN (SELECT src FROM e UNION ALL SELECT dst FROM e))"""
 )
 def gr_audit(t: Tables) -> DataFrame:
-    return graph.audit(nodes(t), edges(t))
+    """The graph with faults of each kind added to it."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    n = nodes(t).select("id", "label").union(t.part.where("p_size = 46").select(F.concat(F.lit("blank:"), key), F.lit(" "))).union(t.part.where("p_size >= 48").select(F.concat(F.lit("lone:"), key), F.lit("x")))
+    bad = t.part.where("p_size >= 47").select(
+        F.concat(F.lit("part:"), key).alias("src"), F.concat(F.when(size == 50, "part:").otherwise("gone:"), key).alias("dst"), F.lit("odd").alias("kind"), F.when(size == 48, "guess").otherwise("구조").alias("basis"),
+        F.when(size == 47, F.array().cast("array<string>")).otherwise(F.array(F.lit("table"))).alias("evidence"), F.lit(1.0).alias("weight"),
+    )
+    return graph.audit(n, edges(t).unionByName(bad))
 
 
 @query()

@@ -38,9 +38,19 @@ def src_html_table(t: Tables) -> DataFrame:
     return docs.html_tables(t.part.select("p_partkey", html.alias("html")), "p_partkey")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(lower(substr(html, 1, 300)), '^\\s*(?:<!doctype html|<html)') THEN 'html' ELSE 'text' END AS format FROM pages")
+@query(
+    """SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'zip' WHEN 3 THEN 'gzip' WHEN 4 THEN 'xml' WHEN 5 THEN 'text' WHEN 6 THEN 'ole' WHEN 7 THEN 'unknown' WHEN 8 THEN 'empty' ELSE CASE WHEN regexp_matches(lower(substr(html, 1, 300)), '^\\s*(?:<!doctype html|<html)') THEN 'html' ELSE 'text' END END AS format FROM pages""".replace("\\\\", "\\")
+)
 def src_sniff(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", docs.sniff(F.encode("html", "UTF-8")).alias("format"))
+    """Pages behind the first bytes of other formats, and as they are."""
+    heads = ("255044462D", "89504E470D0A1A0A", "504B030414", "1F8B08", None, None, "D0CF11E0A1B11AE1", "0001020304")
+    page, kind = F.encode("html", "UTF-8"), F.col("page_id") % 10
+    content = F.when(kind == 8, F.unhex(F.lit(""))).otherwise(page)
+    for k, head in enumerate(heads):
+        if head:
+            content = F.when(kind == k, F.concat(F.unhex(F.lit(head)), page)).otherwise(content)
+    content = F.when(kind == 4, F.concat(F.encode(F.lit(" <?xml version='1.0'?>"), "UTF-8"), page)).when(kind == 5, F.concat(F.encode(F.lit("so: "), "UTF-8"), page)).otherwise(content)
+    return t.pages.select("page_id", docs.sniff(content).alias("format"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS first_mean FROM embeddings GROUP BY 1")

@@ -48,9 +48,9 @@ def st_debounce(t: Tables) -> DataFrame:
     return batch.write_backs(_requests(t).select("field", (F.col("at") / 60).alias("at")))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 9000 - 50")
+@query("SELECT event_id, event_type FROM events WHERE event_id > 900 - 50")
 def st_cursor(t: Tables) -> DataFrame:
-    return events.since(t.events, 9000, 50).select("event_id", "event_type")
+    return events.since(t.events, 900, 50).select("event_id", "event_type")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5")
@@ -100,11 +100,14 @@ def prj_browse(t: Tables) -> DataFrame:
     return j.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice", "c_mktsegment")
 
 
-@query("SELECT part, arg_min(role, p) AS role FROM (SELECT l_partkey AS part, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS p, CASE l_returnflag WHEN 'R' THEN 'attachment' WHEN 'A' THEN 'reference' ELSE 'criteria' END AS role FROM lineitem) GROUP BY 1")
+@query(
+    """SELECT part, arg_min(role, p) AS role FROM (SELECT l_partkey AS part, CASE WHEN l_discount > 0.09 AND l_quantity > 45 THEN 0 WHEN l_tax > 0.07 AND l_quantity > 45 THEN 1 ELSE 2 END AS p, CASE WHEN l_discount > 0.09 AND l_quantity > 45 THEN 'attachment' WHEN l_tax > 0.07 AND l_quantity > 45 THEN 'reference' ELSE 'criteria' END AS role FROM lineitem) GROUP BY 1"""
+)
 def doc_three_way(t: Tables) -> DataFrame:
     """Each document once, in its strongest role."""
-    r = F.col("l_returnflag")
-    j = t.lineitem.select(F.col("l_partkey").alias("part"), F.when(r == "R", 0).when(r == "A", 1).otherwise(2).alias("p"), F.when(r == "R", "attachment").when(r == "A", "reference").otherwise("criteria").alias("role"))
+    big = F.col("l_quantity") > 45
+    attached, referred = big & (F.col("l_discount") > 0.09), big & (F.col("l_tax") > 0.07)
+    j = t.lineitem.select(F.col("l_partkey").alias("part"), F.when(attached, 0).when(referred, 1).otherwise(2).alias("p"), F.when(attached, "attachment").when(referred, "reference").otherwise("criteria").alias("role"))
     return j.groupBy("part").agg(F.min_by("role", "p").alias("role"))
 
 

@@ -75,10 +75,13 @@ def txt_toc(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) < 40 THEN 0.0 ELSE len(regexp_extract_all(text, '[一-鿿㐀-䶿]')) / len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) END, 6)::DOUBLE AS share FROM documents"""
+    """WITH d AS (SELECT doc_id, repeat('漢', CAST(doc_id % 30 AS INTEGER)) || repeat('가', CAST(doc_id % 7 AS INTEGER)) || substr(text, 1, 100) AS text FROM documents) SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) < 40 THEN 0.0 ELSE len(regexp_extract_all(text, '[一-鿿㐀-䶿]')) / len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) END, 6)::DOUBLE AS share FROM d"""
 )
 def txt_garbled_ratio(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.round(text.garbled_share(F.col("text")), 6).alias("share"))
+    """Beginnings of documents behind more and more ideographs."""
+    many = lambda s, n: F.repeat(F.lit(s), (F.col("doc_id") % n).cast("int"))
+    page = F.concat(many("漢", 30), many("가", 7), F.substring("text", 1, 100))
+    return t.documents.select("doc_id", F.round(text.garbled_share(page), 6).alias("share"))
 
 
 @query(
@@ -150,9 +153,10 @@ def txt_nouns(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seq", F.array_sort(text.terms(F.col("line"))).alias("terms"))
 
 
-@query("SELECT c_custkey, substr(c_name, 1, 3) || repeat('*', greatest(length(c_name) - 3, 0)) AS name FROM customer")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '홍' || repeat('*', 2 + p_size) WHEN 1 THEN substr(p_name, 1, 3) || repeat('*', greatest(length(p_name) - 3, 0)) ELSE substr(p_type, 1, 2) END AS name FROM part")
 def txt_redact(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", text.redact(F.col("c_name")).alias("name"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("홍길동"), F.repeat(F.lit("x"), F.col("p_size").cast("int")))).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.substring("p_type", 1, 2))
+    return t.part.select("p_partkey", text.redact(name).alias("name"))
 
 
 @query("SELECT doc_id, CAST(ceil(len(regexp_extract_all(text, '[가-힣]')) * 0.7::DOUBLE + len(regexp_extract_all(text, '[A-Za-z]')) * 0.25::DOUBLE + len(regexp_extract_all(text, '[0-9]')) * 0.5::DOUBLE + len(regexp_extract_all(text, '[^\\s가-힣A-Za-z0-9]'))) AS BIGINT) AS tokens FROM documents".replace("\\\\", "\\"))
