@@ -183,3 +183,22 @@ def review_decisions(tasks: DataFrame, task: str = "task") -> DataFrame:
     t = F.from_json(task, schema)
     last = F.element_at(t["annotations"], -1)
     return tasks.select(t["id"].alias("id"), F.get(F.get(last["result"], F.lit(0))["value"]["choices"], F.lit(0)).alias("decision"), last["completed_by"].alias("reviewer"))
+
+
+def kind_weights(terms: DataFrame, doc: str = "doc_id", kind: str = "kind", term: str = "term") -> DataFrame:
+    """(term, kind, weight): how telling a term is of a kind: its share of the kind's documents times ln((1 + kinds) / (1 + kinds that have it)) + 1."""
+    t = terms.select(doc, kind, term).distinct()
+    n = t.groupBy(kind).agg(F.countDistinct(doc).alias("n"))
+    per = t.groupBy(term, kind).agg(F.count(F.lit(1)).alias("df"))
+    spread = per.groupBy(term).agg(F.count(F.lit(1)).alias("kinds"))
+    every = n.agg(F.count(F.lit(1)).alias("all"))
+    j = per.join(n, kind).join(spread, term).crossJoin(F.broadcast(every))  # one row
+    return j.select(term, kind, (F.col("df") / F.col("n") * (F.log((1 + F.col("all")) / (1 + F.col("kinds"))) + 1)).alias("weight"))
+
+
+def guess_kind(terms: DataFrame, weights: DataFrame, margin: float = 1.2, doc: str = "doc_id", kind: str = "kind", term: str = "term") -> DataFrame:
+    """(doc, kind, score, sure): the kind with the greatest sum of its terms' weights; sure if it is ``margin`` times the second's. Equal sums go by name."""
+    s = terms.select(doc, term).distinct().join(weights, term).groupBy(doc, kind).agg(F.round(F.sum("weight"), 9).alias("score"))
+    w = W.partitionBy(doc).orderBy(F.desc("score"), kind)
+    s = s.withColumn("_n", F.row_number().over(w)).withColumn("_second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    return s.where("_n = 1").select(doc, kind, "score", (F.col("score") >= margin * F.col("_second")).alias("sure"))

@@ -118,3 +118,25 @@ def table_cells(got: DataFrame, want: DataFrame, keys: tuple[str, ...] = ("page"
     """(cells, found, equal): how many wanted cells a parser found and read alike."""
     j = want.select(*keys, F.col("text").alias("_w")).join(got.select(*keys, F.col("text").alias("_g")), list(keys), "left")
     return j.agg(F.count(F.lit(1)).alias("cells"), F.count("_g").alias("found"), F.count_if(F.trim("_w") == F.trim("_g")).alias("equal"))
+
+
+def style(text: Column) -> dict[str, Column]:
+    """How a text is written: words a sentence, letters a word, and shares of list lines, digits and questions."""
+    sentences = F.filter(F.split(text, r"(?<=[.?!])\s+"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    words, letters = F.regexp_count(text, F.lit(r"\S+")), F.length(F.regexp_replace(text, r"\s", ""))
+    at_least_one = lambda c: F.greatest(c, F.lit(1))
+    return {
+        "sentence_words": words / at_least_one(F.size(sentences)),
+        "word_letters": letters / at_least_one(words),
+        "list_share": F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(?:[-*•]|\d{1,2}[.)])\s"))) / at_least_one(F.size(lines)),
+        "digit_share": F.regexp_count(text, F.lit("[0-9]")) / at_least_one(letters),
+        "question_share": F.size(F.filter(sentences, lambda x: x.rlike(r"\?\s*$"))) / at_least_one(F.size(sentences)),
+    }
+
+
+def style_gap(a: Column, b: Column) -> Column:
+    """How differently two texts are written, 0 to 1: the mean over style() of |x - y| / max(x, y), 0 where both are 0."""
+    x, y = style(a), style(b)
+    gaps = [F.when(F.greatest(x[k], y[k]) > 0, F.abs(x[k] - y[k]) / F.greatest(x[k], y[k])).otherwise(F.lit(0.0)) for k in x]
+    return sum(gaps[1:], gaps[0]) / len(gaps)

@@ -165,3 +165,21 @@ def align_by_context(a: DataFrame, b: DataFrame, titles_a: DataFrame, titles_b:
         total, weight = total + F.when(there, w * level).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
     up = F.when(weight > 0, total / weight).otherwise(0.0)
     return best_with_margin(j.withColumn("s", 0.5 * up + 0.5 * F.coalesce("body", F.lit(0.0))), "s", accept, margin)
+
+
+def match_ledger(ledger: DataFrame, cards: DataFrame, entry: str = "entry", card: str = "card", name: str = "name", acronym: str = "acronym", start: str = "start", end: str = "end") -> DataFrame:
+    """(entry, card, by): the card of each ledger entry (name, acronym, start, end): one that bears its name, else its acronym, in years that meet the entry's.
+
+    Names compare without numbering, spaces and signs; an open year meets any. Two cards that
+    answer equally well leave the entry without one (by = ambiguous), none at all gives no row.
+    """
+    keys = lambda df, who: df.select(
+        F.col(who), F.col(start).alias("_from"), F.col(end).alias("_to"), F.explode(F.array(F.struct(F.lit(1).alias("grade"), key_of(F.col(name)).alias("key")), F.struct(F.lit(2).alias("grade"), F.upper(acronym).alias("key")))).alias("k")
+    ).select(who, "_from", "_to", "k.*").where("key <> ''")
+    e = keys(ledger, entry)
+    c = keys(cards, card).select(card, "grade", "key", F.col("_from").alias("_since"), F.col("_to").alias("_until"))
+    meets = (F.coalesce("_from", "_until", F.lit(0)) <= F.coalesce("_until", F.lit(9999))) & (F.coalesce("_since", "_to", F.lit(0)) <= F.coalesce("_to", F.lit(9999)))
+    hit = e.join(c, ["grade", "key"]).where(meets).groupBy(entry, "grade").agg(F.min(card).alias("a"), F.max(card).alias("b"))
+    best = hit.groupBy(entry).agg(F.min_by(F.struct("a", "b"), "grade").alias("x"), F.min("grade").alias("grade"))
+    one = F.col("x.a") == F.col("x.b")
+    return best.select(entry, F.when(one, F.col("x.a")).alias(card), F.when(~one, "ambiguous").when(F.col("grade") == 1, "name").otherwise("acronym").alias("by"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as tx
 from lakeloom.operators.aggregates import idf
-from lakeloom.operators.similarity import fingerprint, jaccard_pairs, shingles
+from lakeloom.operators.graph import descendants
+from lakeloom.operators.similarity import cosine_all, fingerprint, jaccard_pairs, shingles
 from lakeloom.operators.windows import fuse, grouped_fold, top_k
 
 # Fixed values of the ranking rules.
@@ -158,6 +159,60 @@ def pack_fitting(ranked: DataFrame, budget: int, size: str, qid: str = "qid", ch
     return grouped_fold(ranked.select(qid, chunk_id, "rank", size), qid, ["rank"], f"{qid} {kinds[qid]}, {chunk_id} {kinds[chunk_id]}", fold)
 
 
+def pack_closure(roots: DataFrame, needs: DataFrame, sizes: DataFrame, budget: int, depth: int = 30) -> DataFrame:
+    """(root, id): each root with all it depends on, directly or not, if that fits the budget as a whole; else nothing of it.
+
+    roots (root), needs (src, dst), sizes (id, size). A cycle is one of its members' closures.
+    """
+    inside = descendants(needs, roots.select(F.col("root").alias("id")), depth).select("root", "id").distinct()
+    total = inside.join(sizes, "id").groupBy("root").agg(F.sum("size").alias("_s"))
+    return inside.join(total.where(F.col("_s") <= budget).select("root"), "root", "left_semi")
+
+
+class LexicalIndex:
+    """Postings kept as files: one generation for each update, and the list of chunks that are live with the generation they are in.
+
+    postings/generation=n holds the terms of what came or changed with n, in ranges of
+    terms, so that a search reads the ranges its terms fall into; live/generation=n says
+    which generation of each chunk counts. Readers of the last generation aren't disturbed by the next.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _live(self, generation: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/live/generation={generation:06d}")
+
+    def update(self, chunks: DataFrame, generation: int, chunk_id: str = "chunk_id", text: str = "text") -> None:
+        """The next generation: only new and changed chunks are taken apart."""
+        now = chunks.select(chunk_id, F.sha2(text, 256).alias("digest"))
+        if generation == 0:
+            fresh = chunks.select(chunk_id, text)
+            live = now.select(chunk_id, "digest", F.lit(0).alias("since"))
+        else:
+            old = self._live(generation - 1)
+            changed = index_delta(now, old.select(chunk_id, "digest"), chunk_id).where("action <> 'drop'").select(chunk_id)
+            fresh = chunks.select(chunk_id, text).join(changed, chunk_id, "left_semi")
+            kept = old.select(chunk_id, F.col("digest").alias("_d"), F.col("since").alias("_s"))
+            live = now.join(kept, chunk_id, "left").select(chunk_id, "digest", F.when(F.col("_d") == F.col("digest"), F.col("_s")).otherwise(generation).alias("since"))
+        postings(fresh, chunk_id, text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.folder}/postings/generation={generation:06d}")
+        live.write.mode("overwrite").parquet(f"{self.folder}/live/generation={generation:06d}")
+
+    def search(self, questions: DataFrame, generation: int, chunk_id: str = "chunk_id", **options) -> DataFrame:
+        """lexical() over the live chunks of a generation."""
+        live = self._live(generation)
+        every = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("generation") <= generation)
+        wanted = every.join(questions.select("term").distinct(), "term", "left_semi")
+        index = wanted.join(live.select(chunk_id, F.col("since").alias("generation")), [chunk_id, "generation"], "left_semi").select("term", chunk_id)
+        return lexical(questions, index, live.count(), chunk_id=chunk_id, **options)
+
+
+def covered_by_meaning(criteria: DataFrame, paragraphs: DataFrame, criterion: str, paragraph: str, document: str, vector: str, near: float = 0.40, lead: float = 0.10, least: int = 4) -> DataFrame:
+    """(criterion, document, top, covered): by unit vectors; the nearest paragraph is near enough and leads the document's mean clearly, and there are enough paragraphs to tell."""
+    s = cosine_all(criteria, paragraphs, criterion, paragraph, vector, [document]).groupBy(criterion, document).agg(F.max("cosine").alias("top"), F.avg("cosine").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return s.select(criterion, document, "top", ((F.col("top") >= near) & (F.col("top") - F.col("mean") >= lead) & (F.col("n") >= least)).alias("covered"))
+
+
 def follow_references(ranked: DataFrame, chunks: DataFrame, pattern: str, key: str, qid: str = "qid", chunk_id: str = "chunk_id", doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(qid, chunk_id, rank): clauses named in a hit (of its own document), interleaved behind the hit."""
     named = ranked.join(chunks.select(chunk_id, doc, text), chunk_id).select(qid, F.col("rank").alias("_r"), doc, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias(key))

@@ -81,9 +81,10 @@ def jaccard_join(rows: DataFrame, item: str, term: str, least: float, partition:
     return out.where(F.col("jaccard") >= least).select(*partition, "a", "b", "jaccard")
 
 
-def jaccard_pairs(rows: DataFrame, item: str, terms: str, least: float, partition: list[str]) -> DataFrame:
-    """As jaccard_join, for rows (item, array of terms) inside groups that hold few items each: the prefix order is the hash's own, so nothing is counted first."""
-    h = rows.select(*partition, item, F.array_sort(F.array_distinct(F.transform(terms, lambda x: F.xxhash64(x)))).alias("h")).where(F.size("h") > 0)
+def jaccard_pairs(rows: DataFrame, item: str, terms: str, least: float, partition: list[str], hashed: bool = False) -> DataFrame:
+    """As jaccard_join, for rows (item, array of terms): the prefix order is the hash's own, so nothing is counted first. hashed: terms are distinct, sorted hashes already."""
+    own = F.col(terms) if hashed else F.array_sort(F.array_distinct(F.transform(terms, lambda x: F.xxhash64(x))))
+    h = rows.select(*partition, item, own.alias("h")).where(F.size("h") > 0)
     n = F.size("h")
     each = h.select(*partition, item, n.alias("n"), F.explode(F.slice("h", F.lit(1), n - F.ceil(n * F.lit(least)).cast("int") + 1)).alias("t"))
     x = each.select(*partition, "t", F.col(item).alias("a"), F.col("n").alias("na"))

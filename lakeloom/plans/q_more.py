@@ -14,7 +14,8 @@ from lakeloom.functions import chunking, numbers, privacy
 from lakeloom.functions import text as tx
 from lakeloom.operators import datasets, dedup, evaluation, joins, retrieval
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
-from lakeloom.plans.q_retrieval import chunks, ranked
+from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
+from lakeloom.operators.lineage import scratch
 from lakeloom.plans.registry import Tables, query
 from lakeloom.sources import documents as sources
 from lakeloom.sources import tables
@@ -355,3 +356,124 @@ def ev_ngram_recall(t: Tables) -> DataFrame:
 def ev_table_fill(t: Tables) -> DataFrame:
     v = F.when(F.col("p_size") < 10, "확인 필요").otherwise("x")
     return t.part.groupBy("p_brand").agg(F.count_if((F.trim(v) != "") & (v != "확인 필요")).alias("filled"), F.count(F.lit(1)).alias("cells"))
+
+
+# --- context, ledgers, kinds, indexes -------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT p_partkey, p_size AS n, p_partkey % 6 AS k FROM part)
+SELECT p_partkey, CAST(n AS VARCHAR) AS value, '명' AS unit, 6 AS at FROM d WHERE CASE k WHEN 0 THEN n <= 10 WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN n <= 10 ELSE n <= 10 END"""
+)
+def num_context(t: Tables) -> DataFrame:
+    """A draft's count of people against evidence: of another thing, given, of the same thing, with another counter, without a counter, and none."""
+    n = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 6
+    told = F.when(kind == 0, F.concat(F.lit("팀 "), n, F.lit("명으로"))).when(kind == 1, F.concat(F.lit("팀 "), n, F.lit("명"))).when(kind == 2, F.concat(F.lit("학생 참여자는 "), n, F.lit("명"))).when(kind == 3, F.concat(F.lit("참여 "), n, F.lit("개 기관"))).when(kind == 4, F.concat(F.lit("참여 "), n, F.lit(" 안내"))).otherwise("없음")
+    drafts = t.part.select("p_partkey", F.concat(F.lit("참여 인원 "), n, F.lit("명")).alias("draft"))
+    return numbers.out_of_context(drafts, t.part.select("p_partkey", told.alias("text"), (kind == 1).alias("given")), "p_partkey")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS card, p_name AS name, p_brand AS acronym, 2000 + p_size AS s, 2010 + p_size AS e FROM part), l AS (SELECT s_suppkey AS entry, (SELECT p_name FROM part WHERE p_partkey = s_suppkey) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'brand#11' ELSE 'none' END AS acronym, 2020 + s_nationkey AS s, CASE WHEN s_suppkey % 2 = 0 THEN 2022 + s_nationkey END AS e FROM supplier),
+k AS (SELECT entry, CASE WHEN lower(regexp_replace(l.name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(c.name, '[^A-Za-z0-9]', '', 'g')) THEN 1 ELSE 2 END AS grade, card FROM l JOIN c ON (lower(regexp_replace(l.name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(c.name, '[^A-Za-z0-9]', '', 'g')) OR upper(l.acronym) = upper(c.acronym)) AND l.s <= c.e AND c.s <= coalesce(l.e, 9999)),
+g AS (SELECT entry, grade, min(card) AS a, max(card) AS b FROM k GROUP BY 1, 2), m AS (SELECT entry, min(grade) AS grade FROM g GROUP BY 1)
+SELECT entry, CASE WHEN a = b THEN a END AS card, CASE WHEN a <> b THEN 'ambiguous' WHEN grade = 1 THEN 'name' ELSE 'acronym' END AS by FROM g JOIN m USING (entry, grade)"""
+)
+def jn_ledger_program(t: Tables) -> DataFrame:
+    cards = t.part.select(F.col("p_partkey").alias("card"), F.col("p_name").alias("name"), F.col("p_brand").alias("acronym"), (2000 + F.col("p_size")).alias("start"), (2010 + F.col("p_size")).alias("end"))
+    names = t.part.select(F.col("p_partkey").alias("s_suppkey"), F.upper("p_name").alias("name"))
+    year = 2020 + F.col("s_nationkey")
+    ledger = t.supplier.join(names, "s_suppkey", "left").select(
+        F.col("s_suppkey").alias("entry"), F.concat(F.lit("2) "), "name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "brand#11").otherwise("none").alias("acronym"), year.alias("start"), F.when(F.col("s_suppkey") % 2 == 0, year + 2).alias("end")
+    )
+    return joins.match_ledger(ledger, cards)
+
+
+_KIND_SQL = r"""t AS (SELECT DISTINCT doc_id, lang AS kind, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), n AS (SELECT kind, count(DISTINCT doc_id) AS n FROM t GROUP BY 1), p AS (SELECT term, kind, count(*) AS df FROM t GROUP BY 1, 2), s AS (SELECT term, count(*) AS kinds FROM p GROUP BY 1),
+w AS (SELECT term, kind, df / n * (ln((1 + (SELECT count(*) FROM n)) / (1 + kinds)) + 1) AS weight FROM p JOIN n USING (kind) JOIN s USING (term))"""
+
+
+def _kind_terms(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.col("lang").alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("term"))
+
+
+@query(f"WITH {_KIND_SQL}, x AS (SELECT t.doc_id, w.kind, round(sum(weight), 9) AS score FROM t JOIN w USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER v AS r, coalesce(lead(score) OVER v, 0) AS second FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY score DESC, kind)) SELECT doc_id, kind, round(score, 6) AS score, score >= 1.2 * second AS sure FROM r WHERE r = 1")
+def txt_kind_weights(t: Tables) -> DataFrame:
+    """The kind (here: language) of each document by the weights of its terms, and whether it leads clearly."""
+    terms = _kind_terms(t)
+    return datasets.guess_kind(terms, datasets.kind_weights(terms)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {LEX_SQL} SELECT qid, chunk_id, rare_hits, round(score, 6) AS score, matched, rank FROM lex")
+def ret_lexical_indexed(t: Tables) -> DataFrame:
+    """An index of half the lines, some of them with other texts, brought up to date and searched."""
+    index = retrieval.LexicalIndex(t.spark, scratch(t.spark, "lexical"))
+    c = chunks(t).select("chunk_id", "text")
+    first = c.where("chunk_id % 2 = 0").withColumn("text", F.when(F.col("chunk_id") % 3 == 0, F.lit("worthless words that are gone later")).otherwise(F.col("text"))).union(c.limit(1).select(F.lit(-1).cast("long"), F.lit("a line that goes")))
+    index.update(first, 0)
+    index.update(c, 1)
+    return index.search(questions(t), 1).select("qid", "chunk_id", "rare_hits", F.round("score", 6).alias("score"), "matched", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT p_partkey AS root, p_partkey AS id FROM part WHERE p_size > 40 UNION SELECT root, id // 2 FROM c WHERE id > 1), t AS (SELECT root, sum(p_size) AS s FROM c JOIN part ON p_partkey = id GROUP BY 1) SELECT root, id FROM c JOIN t USING (root) WHERE s <= 260"""
+)
+def ret_pack_closure(t: Tables) -> DataFrame:
+    """Parts that need the part of half their number, and so on; a part comes with all it needs or not at all."""
+    needs = t.part.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    sizes = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
+    return retrieval.pack_closure(t.part.where("p_size > 40").select(F.col("p_partkey").alias("root")), needs, sizes, 260)
+
+
+@query(
+    """WITH s AS (SELECT q.vec_id AS criterion, v.label AS document, max(c) AS top, avg(c) AS mean, count(*) AS n FROM (SELECT q.vec_id, v.label, v.vec_id AS p, list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)) AS c FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings v) x JOIN (SELECT vec_id FROM embeddings) q ON q.vec_id = x.vec_id JOIN (SELECT DISTINCT label FROM embeddings) v ON v.label = x.label GROUP BY 1, 2)
+SELECT criterion, document, round(top, 6) AS top, top >= 0.4 AND top - mean >= 0.1 AND n >= 4 AS covered FROM s"""
+)
+def num_coverage_meaning(t: Tables) -> DataFrame:
+    criteria = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("criterion"), "embedding")
+    paragraphs = t.embeddings.select(F.col("vec_id").alias("paragraph"), F.col("label").alias("document"), "embedding")
+    return retrieval.covered_by_meaning(criteria, paragraphs, "criterion", "paragraph", "document", "embedding").withColumn("top", F.round("top", 6))
+
+
+_STYLE_SQL = r"""SELECT conv_id, turn, len(regexp_extract_all(text, '[^\s\x0b]+')) AS words, length(regexp_replace(text, '[\s\x0b]', '', 'g')) AS letters, len(list_filter(string_split(regexp_replace(text, '([.?!])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentences, len(list_filter(string_split(regexp_replace(text, '([.?!])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\?[\s\x0b]*$'))) AS asks,
+len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND regexp_matches(x, '^[\s\x0b]*(?:[-*•]|\d{1,2}[.)])[\s\x0b]'))) AS listed, len(regexp_extract_all(text, '[0-9]')) AS digits FROM conversations"""
+
+
+@query(
+    f"""WITH s AS ({_STYLE_SQL}), f AS (SELECT conv_id, turn, words / greatest(sentences, 1) AS a, letters / greatest(words, 1) AS b, listed / greatest(lines, 1) AS c, digits / greatest(letters, 1) AS d, asks / greatest(sentences, 1) AS e FROM s)
+SELECT conv_id, round(((CASE WHEN greatest(x.a, y.a) > 0 THEN abs(x.a - y.a) / greatest(x.a, y.a) ELSE 0 END) + (CASE WHEN greatest(x.b, y.b) > 0 THEN abs(x.b - y.b) / greatest(x.b, y.b) ELSE 0 END) + (CASE WHEN greatest(x.c, y.c) > 0 THEN abs(x.c - y.c) / greatest(x.c, y.c) ELSE 0 END) + (CASE WHEN greatest(x.d, y.d) > 0 THEN abs(x.d - y.d) / greatest(x.d, y.d) ELSE 0 END) + (CASE WHEN greatest(x.e, y.e) > 0 THEN abs(x.e - y.e) / greatest(x.e, y.e) ELSE 0 END)) / 5, 6) AS gap
+FROM f x JOIN f y USING (conv_id) WHERE x.turn = 0 AND y.turn = 1"""
+)
+def ev_style(t: Tables) -> DataFrame:
+    """How differently the first two turns of a conversation are written."""
+    c = t.conversations
+    j = c.where("turn = 0").select("conv_id", F.col("text").alias("a")).join(c.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id")
+    return j.select("conv_id", F.round(evaluation.style_gap(F.col("a"), F.col("b")), 6).alias("gap"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '지원 사업 신청 안내 및 일정 ' WHEN 1 THEN '지원사업신청안내및일정모름 ' ELSE '지원사업 ' END || p_name AS text FROM part")
+def txt_respace(t: Tables) -> DataFrame:
+    runs = F.array(*[F.lit(x) for x in ("지원사업신청안내및일정", "지원사업신청안내및일정모름", "지원사업")])
+    said = F.concat(F.element_at(runs, (F.col("p_partkey") % 3 + 1).cast("int")), F.lit(" "), "p_name")
+    return t.part.select("p_partkey", tx.respace(said, ["지원", "사업", "신청", "안내", "및", "일정"]).alias("text"))
+
+
+@query(f"WITH {LEX_SQL}, x AS (SELECT qid, l.chunk_id, rank AS old, round((length(c.text) % 97) / 97, 6) AS score FROM lex l JOIN c USING (chunk_id)) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old, chunk_id) AS rank FROM x")
+def udf_callable(t: Tables) -> DataFrame:
+    """A function of (questions, texts) as the reranker, run in Arrow batches."""
+
+    def judge(question: pd.Series, text: pd.Series) -> pd.Series:
+        return (text.str.len() % 97) / 97
+
+    r = ranked(t).join(chunks(t).select("chunk_id", "text"), "chunk_id").join(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid")
+    return retrieval.rerank(r, judge).select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def src_gz_json(t: Tables) -> DataFrame:
+    """Events as compressed JSON lines, some of them broken, read back."""
+    folder = scratch(t.spark, "json")
+    t.events.select("event_id", "user_id", "event_type").write.option("compression", "gzip").json(folder)
+    t.spark.createDataFrame([("{broken",), ("",), ("not json",)], "value string").coalesce(1).write.mode("append").option("compression", "gzip").text(folder)
+    return tables.json_lines(t.spark, folder, "event_id long, user_id long, event_type string")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import scratch
 from lakeloom.streaming import batch, events
 from lakeloom.plans.registry import Tables, query
 
@@ -77,11 +76,11 @@ def st_sliding(t: Tables) -> DataFrame:
 def st_incremental_sync(t: Tables) -> DataFrame:
     """The event file as a stream, applied in micro-batches to a table until nothing is left."""
     spark = t.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-")
-    out = f"{base}/sync-{spark.sparkContext.applicationId}-{id(t)}"
+    out = scratch(spark, "sync")
     schema = t.events.schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    events.sync(stream, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/table"), f"{out}/checkpoint")
+    # A batch that is run again overwrites what it wrote.
+    events.sync(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/table/batch={n}"), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
