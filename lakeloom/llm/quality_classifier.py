@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -181,7 +182,11 @@ def _featured(model: Model):
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model from labelled rows outside the hold-out fold. docs: (doc_id, text)."""
     sample = _sample(docs, labels, per_class)
-    cuts = sample.where("part = 0").mapInArrow(_snippets, "doc_id long, y int, cut binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    # No more than fills a dictionary comes to the driver: at most DICT_BYTES + SNIPPET of each class.
+    order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    cuts = sample.where("part = 0").mapInArrow(_snippets, "doc_id long, y int, cut binary")
+    cuts = cuts.withColumn("before", F.coalesce(F.sum(F.length("cut") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cuts = cuts.where(F.col("before") < DICT_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     held = {y: b"\n".join(bytes(r.cut) for r in cuts if r.y == y) for y in (0, 1)}
     budget = min(DICT_BYTES, *map(len, held.values()))
     if budget < 8:  # nothing to hold one class against
