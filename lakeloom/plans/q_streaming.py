@@ -17,19 +17,21 @@ def st_op_dedup(t: Tables) -> DataFrame:
 
 
 def _requests(t: Tables) -> DataFrame:
+    """Events as requests for the fields of documents: a kind of event on a day is a field."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return t.events.select(F.col("event_type").alias("field"), F.col("user_id").cast("string").alias("user"), at.alias("at"))
+    field = F.concat_ws("/", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd"))
+    return t.events.select(field.alias("field"), F.col("user_id").cast("string").alias("user"), at.alias("at"), F.col("event_id").alias("seq"), "value", F.col("props").alias("text"))
 
 
 @query()
 def st_lease(t: Tables) -> DataFrame:
-    return batch.leases(_requests(t))
+    return batch.leases(_requests(t).select("field", "user", "at"))
 
 
 @query()
 def st_version(t: Tables) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))
-    e = t.events.select(F.col("event_type").alias("field"), F.col("event_id").alias("seq"), (n - F.when(F.col("value") > 90, 3).otherwise(1)).alias("base"), "props").withColumnRenamed("props", "text")
+    n = F.row_number().over(W.partitionBy("field").orderBy("at", "seq"))
+    e = _requests(t).withColumn("base", n - F.when(F.col("value") > 90, 3).otherwise(1)).select("field", "seq", "at", "base", "text")
     return batch.versions(e)
 
 
@@ -44,7 +46,8 @@ def st_presence(t: Tables) -> DataFrame:
 
 @query()
 def st_debounce(t: Tables) -> DataFrame:
-    return batch.write_backs(_requests(t).select("field", (F.col("at") / 60).alias("at")))
+    # Ten minutes of the table count as a second of typing.
+    return batch.write_backs(_requests(t).select("field", (F.col("at") / 600).alias("at")))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 900 - 50")

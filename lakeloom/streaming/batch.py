@@ -2,56 +2,50 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.operators.windows import grouped_fold
-from lakeloom.streaming.events import QUIET_S, LONGEST_S, lease_step, version_step
+from lakeloom.streaming import events
 
 
-def leases(requests: DataFrame) -> DataFrame:
-    def fold(rows: list[dict]) -> list[tuple]:
-        now, out = (None, 0.0, 0.0), []
-        for r in rows:
-            action, now = lease_step(*now, r["user"], float(r["at"]))
-            out.append((r["field"], float(r["at"]), r["user"], action, now[2]))
-        return out
+def _folded(rows: DataFrame, order: list[str], out: str, step, deadline, ends, time: str) -> DataFrame:
+    """The fold of the streaming operator over all rows of each field; at the end of the table, everything has ended."""
 
-    return grouped_fold(requests, "field", ["at", "user"], "field string, at double, user string, action string, until double", fold)
+    def run(some: list[dict]) -> list[tuple]:
+        return events.fold(some[0]["field"], None, some, math.inf, step, deadline, ends, time)[0]
 
+    return grouped_fold(rows, "field", order, out, run)
 
-def versions(edits: DataFrame) -> DataFrame:
-    def fold(rows: list[dict]) -> list[tuple]:
-        version, text, out = 0, "", []
-        for r in rows:
-            result, version, text = version_step(version, text, int(r["base"]), r["text"])
-            out.append((r["field"], int(r["seq"]), result, version))
-        return out
 
-    return grouped_fold(edits, "field", ["seq"], "field string, seq long, result string, version int", fold)
+def leases(requests: DataFrame) -> DataFrame:
+    return _folded(requests, ["at", "user"], events.LEASE_OUT, events.lease_step, events.lease_deadline, events.lease_ends, "at")
+
+
+def versions(edits: DataFrame) -> DataFrame:
+    return _folded(edits, ["at", "seq"], events.VERSION_OUT, events.version_step, None, None, "at")
 
 
-def write_backs(edits: DataFrame, field: str = "field", at: str = "at") -> DataFrame:
+def write_backs(edits: DataFrame) -> DataFrame:
     """(field, at, edits): bursts by gaps of QUIET_S, cut after LONGEST_S from their first edit.
 
-    A cut moves the start of what follows, so the fold is sequential within a burst, not across bursts.
+    A cut moves the start of what follows, so the fold is sequential within a burst, not across bursts: bursts are the groups.
     """
-    w = W.partitionBy(field).orderBy(at)
-    b = edits.withColumn("_gap", F.when(F.col(at) - F.lag(at).over(w) <= QUIET_S, 0).otherwise(1))
+    w = W.partitionBy("field").orderBy("at")
+    b = edits.withColumn("_gap", F.when(F.col("at") - F.lag("at").over(w) <= events.QUIET_S, 0).otherwise(1))
     b = b.withColumn("_burst", F.sum("_gap").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    times = b.groupBy(field, "_burst").agg(F.array_sort(F.collect_list(at)).alias("t"))
-    step = lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1)["first"] > LONGEST_S), F.concat(a, F.array(F.struct(x.alias("first"), x.alias("last"), F.lit(1).alias("n"))))).otherwise(
-        F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), x.alias("last"), (F.element_at(a, -1)["n"] + 1).alias("n"))))
-    )
-    empty = F.array().cast("array<struct<first:double,last:double,n:int>>")
-    return times.select(field, F.explode(F.aggregate("t", empty, step)).alias("s")).select(field, F.least(F.col("s.last") + QUIET_S, F.col("s.first") + LONGEST_S).alias("at"), F.col("s.n").alias("edits"))
+    burst = b.select(F.concat_ws("\u0001", "field", F.col("_burst").cast("string")).alias("field"), "at")
+    done = _folded(burst, ["at"], events.WRITE_OUT, events.write_step, events.write_deadline, events.write_ends, "at")
+    return done.withColumn("field", F.substring_index("field", "\u0001", 1))
 
 
-def presence(events: DataFrame, user: str = "user_id", time: str = "ts", gap: int = 30) -> DataFrame:
+def presence(rows: DataFrame, user: str = "user_id", time: str = "ts", gap: int = 30) -> DataFrame:
     s = F.session_window(F.col(time).cast("timestamp"), f"{gap} seconds")
-    return events.groupBy(s.alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+    return rows.groupBy(s.alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def first_of_operation(events: DataFrame, key: list[str], order: list) -> DataFrame:
-    return events.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+def first_of_operation(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -6,6 +6,7 @@ twins (for backfills and tests) are in batch.py.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,77 +52,127 @@ def presence(stream: DataFrame, user: str = "user_id", time: str = "ts", gap: st
     return stream.withWatermark(time, late).groupBy(s.alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
+# --- rules that are folded in the order of time ------------------------------------------------------------------
+#
+# A step takes (state, row) and gives (rows out, state); a deadline tells when a state ends by itself, and an
+# ending gives the rows out for that. States are tuples of plain values; None is a key nothing is known of.
+
 LEASE_OUT = "field string, at double, user string, action string, until double"
-LEASE_STATE = "holder string, since double, until double"
+VERSION_OUT = "field string, seq long, result string, version int, copy string"
+WRITE_OUT = "field string, at double, edits int"
 
 
-def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    frames = list(batches)
-    return pd.concat(frames).sort_values(by, kind="stable") if frames else pd.DataFrame()
+def lease_step(held: tuple | None, r: dict) -> tuple[list[tuple], tuple]:
+    """One request. A holder extends; others get a free lease, or shorten a contended one and wait."""
+    at, user = float(r["at"]), r["user"]
+    if held is None or held[0] == user:
+        since = held[1] if held else at
+        now = (user, since, at + LEASE_S)
+        return [(r["field"], at, user, "extend" if held else "acquire", now[2])], now
+    holder, since, until = held
+    contended = since + LEASE_CONTENDED_S
+    until = min(until, max(min(until, contended), at + LEASE_GRACE_S if contended <= at else 0.0))
+    return [(r["field"], at, user, "wait", until)], (holder, since, until)
 
 
-def lease_step(holder: str | None, since: float, until: float, user: str, at: float) -> tuple[str, tuple[str, float, float]]:
-    """One request: (action, state). A holder extends; others get a free or expired lease, or shorten a contended one and wait."""
-    if holder is None or at > until or holder == user:
-        action = "extend" if holder == user and at <= until else "acquire"
-        return action, (user, since if action == "extend" else at, at + LEASE_S)
-    shorter = max(min(until, since + LEASE_CONTENDED_S), at + LEASE_GRACE_S if since + LEASE_CONTENDED_S <= at else 0.0)
-    return "wait", (holder, since, min(until, shorter))
+def lease_deadline(held: tuple) -> float:
+    return held[2]
 
 
-def _lease(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else (None, 0.0, 0.0)
-    out = []
-    for r in _ordered(batches, ["at", "user"]).itertuples():
-        action, now = lease_step(*now, r.user, float(r.at))
-        out.append((key[0], float(r.at), r.user, action, now[2]))
-    state.update(now)
-    yield pd.DataFrame(out, columns=["field", "at", "user", "action", "until"])
+def lease_ends(field: str, held: tuple) -> list[tuple]:
+    return [(field, held[2], held[0], "expire", held[2])]
 
 
-def leases(stream: DataFrame) -> DataFrame:
-    """Requests (field, user, at in epoch seconds) answered with acquire, extend or wait, and until when the lease runs."""
-    return stream.groupBy("field").applyInPandasWithState(_lease, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.NoTimeout)
+def version_step(held: tuple | None, r: dict) -> tuple[list[tuple], tuple]:
+    """An edit on the current version is applied; one on an older version is kept as a conflict copy unless it changes nothing."""
+    version, text = held or (0, "")
+    if int(r["base"]) == version:
+        return [(r["field"], int(r["seq"]), "applied", version + 1, None)], (version + 1, r["text"])
+    result = "same" if r["text"] == text else "conflict"
+    return [(r["field"], int(r["seq"]), result, version, r["text"] if result == "conflict" else None)], (version, text)
 
 
-def version_step(version: int, text: str, base: int, new: str) -> tuple[str, int, str]:
-    """An edit on the current version is applied; one on an older version is kept as a conflict copy unless it changes nothing."""
-    if base == version:
-        return "applied", version + 1, new
-    return ("same" if new == text else "conflict"), version, text
+def write_step(held: tuple | None, r: dict) -> tuple[list[tuple], tuple]:
+    """An edit joins the burst, or opens the next one if the first edit of the burst is too long ago."""
+    at = float(r["at"])
+    if held and at - held[0] > LONGEST_S:
+        return write_ends(r["field"], held), (at, at, 1)
+    return [], (held[0] if held else at, at, (held[2] if held else 0) + 1)
 
 
-def _versions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, text = state.get if state.exists else (0, "")
-    out = []
-    for r in _ordered(batches, ["seq"]).itertuples():
-        result, version, text = version_step(version, text, int(r.base), r.text)
-        out.append((key[0], int(r.seq), result, version, r.text if result == "conflict" else None))
-    state.update((version, text))
-    yield pd.DataFrame(out, columns=["field", "seq", "result", "version", "copy"])
+def write_deadline(held: tuple) -> float:
+    return held[1] + QUIET_S
 
 
-def versions(stream: DataFrame) -> DataFrame:
-    """Edits (field, seq, base, text) checked against the field's version."""
-    return stream.groupBy("field").applyInPandasWithState(_versions, "field string, seq long, result string, version int, copy string", "version int, text string", "append", GroupStateTimeout.NoTimeout)
+def write_ends(field: str, held: tuple) -> list[tuple]:
+    return [(field, min(held[1] + QUIET_S, held[0] + LONGEST_S), held[2])]
 
 
-def _debounce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first, last, n = state.get if state.exists else (0.0, 0.0, 0)
+def fold(field: str, held: tuple | None, rows: list[dict], now: float, step: Callable, deadline: Callable | None, ends: Callable | None, time: str = "at") -> tuple[list[tuple], tuple | None]:
+    """Rows in order of time, and what has ended before each of them and before now."""
     out = []
-    for r in _ordered(batches, ["at"]).itertuples():
-        at = float(r.at)
-        if n and (at - last > QUIET_S or at - first > LONGEST_S):
-            out.append((key[0], min(last + QUIET_S, first + LONGEST_S), n))
-            n = 0
-        first, last, n = (at if not n else first), at, n + 1
-    state.update((first, last, n))
-    yield pd.DataFrame(out, columns=["field", "at", "edits"])
-
-
-def write_backs(stream: DataFrame) -> DataFrame:
-    """(field, at, edits): a write after 3 quiet seconds, at the latest 20 seconds after the first edit; emitted when the next edit shows it is due."""
-    return stream.groupBy("field").applyInPandasWithState(_debounce, "field string, at double, edits int", "first double, last double, n int", "append", GroupStateTimeout.NoTimeout)
+    for r in rows:
+        if held is not None and deadline and deadline(held) < float(r[time]):
+            out += ends(field, held)
+            held = None
+        more, held = step(held, r)
+        out += more
+    if held is not None and deadline and deadline(held) < now:
+        out += ends(field, held)
+        held = None
+    return out, held
+
+
+def _in_order(step: Callable, deadline: Callable | None, ends: Callable | None, columns: list[str], order: list[str], time: str):
+    """A state function: rows wait until the watermark has passed them, then are folded in order; a timer wakes the key for the next of them, or for its deadline.
+
+    So what comes out doesn't depend on how rows were cut into batches, and a key that has ended keeps no state.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, held = json.loads(state.get[0]) if state.exists else ([], None)
+        held = None if held is None else tuple(held)
+        for pdf in batches:
+            waiting += pdf.drop(columns=["_event"]).to_dict("records")
+        now = state.getCurrentWatermarkMs() / 1000.0
+        waiting.sort(key=lambda r: [r[c] for c in order])
+        ready = [r for r in waiting if r[time] <= now]
+        waiting = waiting[len(ready) :]
+        out, held = fold(key[0], held, ready, now, step, deadline, ends, time)
+        due = [r[time] for r in waiting[:1]] + ([deadline(held)] if held is not None and deadline else [])
+        if waiting or held is not None:
+            state.update((json.dumps([waiting, held]),))
+            if due:
+                state.setTimeoutTimestamp(int(max(min(due), now) * 1000) + 1)
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _folded(stream: DataFrame, out: str, step: Callable, deadline: Callable | None, ends: Callable | None, order: list[str], time: str, late: str) -> DataFrame:
+    stamped = stream.withColumn("_event", F.timestamp_micros((F.col(time) * 1_000_000).cast("long"))).withWatermark("_event", late)
+    return stamped.groupBy("field").applyInPandasWithState(_in_order(step, deadline, ends, _names(out), order, time), out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def leases(stream: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Requests (field, user, at in epoch seconds) answered with acquire, extend or wait, and until when the lease runs; expire when it ran out."""
+    return _folded(stream, LEASE_OUT, lease_step, lease_deadline, lease_ends, ["at", "user"], "at", late)
+
+
+def versions(stream: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Edits (field, seq, at, base, text) checked against the field's version, in order of (at, seq). Copies are kept by retained() on what comes out."""
+    return _folded(stream, VERSION_OUT, version_step, None, None, ["at", "seq"], "at", late)
+
+
+def write_backs(stream: DataFrame, late: str = "5 seconds") -> DataFrame:
+    """(field, at, edits): a write after 3 quiet seconds, at the latest 20 seconds after the first edit; the last burst too, when its quiet has passed."""
+    return _folded(stream, WRITE_OUT, write_step, write_deadline, write_ends, ["at"], "at", late)
 
 
 def since(events: DataFrame, last_id: int, lookback: int = 0, key: str = "event_id") -> DataFrame:

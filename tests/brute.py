@@ -505,21 +505,35 @@ def _signed(x):
 # --- streaming -------------------------------------------------------------------------------------------------
 
 
+def _field(e):
+    return f"{e['event_type']}/{e['ts']:%Y-%m-%d}"
+
+
 def st_lease(t):
     state, out = {}, []
+
+    def row(field, at, user, action, until):
+        out.append({"field": field, "at": at, "user": user, "action": action, "until": until})
+
     for e in sorted(t["events"], key=lambda e: (_seconds(e["ts"]), str(e["user_id"]))):
-        field, user, at = e["event_type"], str(e["user_id"]), _seconds(e["ts"])
-        holder, since, until = state.get(field, (None, 0, 0))
-        if holder is not None and at <= until and holder != user:
-            contended = since + 120
-            until = min(until, max(min(until, contended), at + 30 if contended <= at else 0))
-            action = "wait"
-        elif holder == user and at <= until:
-            action, until = "extend", at + 300
-        else:
-            action, holder, since, until = "acquire", user, at, at + 300
+        field, user, at = _field(e), str(e["user_id"]), _seconds(e["ts"])
+        if field in state and state[field][2] < at:
+            holder, _, until = state.pop(field)
+            row(field, until, holder, "expire", until)
+        if field not in state:
+            state[field] = (user, at, at + 300)
+            row(field, at, user, "acquire", at + 300)
+            continue
+        holder, since, until = state[field]
+        if holder == user:
+            until = at + 300
+            row(field, at, user, "extend", until)
+        else:  # two minutes from the start are the holder's, then half a minute from the request, never longer than before
+            until = min(until, max(since + 120, at + 30)) if at >= since + 120 else min(until, since + 120)
+            row(field, at, user, "wait", until)
         state[field] = (holder, since, until)
-        out.append({"field": field, "at": at, "user": user, "action": action, "until": until})
+    for field, (holder, _, until) in state.items():
+        row(field, until, holder, "expire", until)
     return out
 
 
@@ -528,8 +542,10 @@ def _seconds(ts):
 
 
 def st_version(t):
-    out = []
-    for field, rows in _by(sorted(t["events"], key=lambda e: e["event_id"]), "event_type").items():
+    out, fields = [], defaultdict(list)
+    for e in sorted(t["events"], key=lambda e: (_seconds(e["ts"]), e["event_id"])):
+        fields[_field(e)].append(e)
+    for field, rows in fields.items():
         version, text = 0, ""
         for n, e in enumerate(rows, 1):
             base = n - (3 if e["value"] > 90 else 1)
@@ -537,15 +553,17 @@ def st_version(t):
                 version, text, result = version + 1, e["props"], "applied"
             else:
                 result = "same" if e["props"] == text else "conflict"
-            out.append({"field": field, "seq": e["event_id"], "result": result, "version": version})
+            out.append({"field": field, "seq": e["event_id"], "result": result, "version": version, "copy": e["props"] if result == "conflict" else None})
     return out
 
 
 def st_debounce(t):
-    out = []
-    for field, rows in _by(t["events"], "event_type").items():
+    out, fields = [], defaultdict(list)
+    for e in t["events"]:
+        fields[_field(e)].append(_seconds(e["ts"]) / 600)
+    for field, times in fields.items():
         burst = []
-        for at in [*sorted(_seconds(e["ts"]) / 60 for e in rows), math.inf]:
+        for at in [*sorted(times), math.inf]:
             if burst and (at - burst[-1] > 3 or at - burst[0] > 20):
                 out.append({"field": field, "at": min(burst[-1] + 3, burst[0] + 20), "edits": len(burst)})
                 burst = []

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import itertools
 import random
 
@@ -160,20 +162,33 @@ def test_files(spark, tmp_path):
 
 
 def test_lease_steps():
-    assert events.lease_step(None, 0, 0, "a", 10) == ("acquire", ("a", 10, 310))
-    assert events.lease_step("a", 10, 310, "a", 100) == ("extend", ("a", 10, 400))
-    action, state = events.lease_step("a", 10, 310, "b", 20)
-    assert action == "wait" and state[0] == "a" and state[2] == 130
-    assert events.lease_step("a", 10, 130, "b", 131)[0] == "acquire"
+    ask = lambda held, user, at: events.lease_step(held, {"field": "f", "user": user, "at": at})
+    assert ask(None, "a", 10) == ([("f", 10, "a", "acquire", 310)], ("a", 10, 310))
+    assert ask(("a", 10, 310), "a", 100) == ([("f", 100, "a", "extend", 400)], ("a", 10, 400))
+    assert ask(("a", 10, 310), "b", 20) == ([("f", 20, "b", "wait", 130)], ("a", 10, 130))
+    rows_, held = events.fold("f", ("a", 10, 130), [{"field": "f", "user": "b", "at": 131.0}], 132, events.lease_step, events.lease_deadline, events.lease_ends)
+    assert [r[3] for r in rows_] == ["expire", "acquire"] and held == ("b", 131, 431)
+    assert events.fold("f", held, [], 500, events.lease_step, events.lease_deadline, events.lease_ends) == ([("f", 431, "b", "expire", 431)], None)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    e = spark.createDataFrame([("f", u, float(at)) for at, u in [(0, "a"), (5, "b"), (50, "a"), (400, "b"), (405, "a"), (1000, "a")]], "field string, user string, at double")
-    e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    q = events.leases(stream).writeStream.format("memory").queryName("leases_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+@pytest.mark.parametrize("rule", ["leases", "versions", "write_backs"])
+def test_stream_equals_batch(spark, tmp_path, rule):
+    """Rows late and out of order, cut into files at random: the stream says what the batch twin says, timers included."""
+    import random
+
+    rng = random.Random(3)
+    at = [1_700_000_000 + x for x in sorted(rng.sample(range(4000), 120))]
+    e = [(rng.choice("abc"), rng.choice("uvw"), float(x), n, rng.randrange(0, 9), rng.choice("xyz")) for n, x in enumerate(at)]
+    schema = "field string, user string, at double, seq long, base int, text string"
+    end = [("end", "z", at[-1] + 9000.0, 1000, 0, "x")]
+    late = sorted(e, key=lambda r: r[2] + rng.random() * 200)  # up to 200 seconds out of order
+    for n, part in enumerate([late[:40], late[40:90], late[90:], end]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = getattr(events, rule)(stream.drop("part"), "5 minutes").writeStream.format("memory").queryName(f"{rule}_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert rows(spark.table("leases_out")) == rows(batch.leases(e))
+    want = getattr(batch, rule)(spark.createDataFrame(e, schema))
+    assert rows(spark.table(f"{rule}_out").where("field <> 'end'")) == rows(want) and want.count() > 20
 
 
 def test_stream_operations_and_windows(spark, tmp_path):
