@@ -12,7 +12,8 @@ anew, and the escaped form parses to the source for every input: a control
 string gets one backslash behind its "<|" (one more if it has some already), and
 reading takes one away. Line feeds in roles become "<|nl|>". Texts without a
 conflict stay as they are. After the turns are joined, the whole conversation
-is parsed again, and what the queries return is read from that parse.
+is parsed again and compared with the source turns (a conversation that didn't
+come back would fail the query), and what the queries return is read from that parse.
 
 Loss mask: spans (start, length) in code points of the formatted text, one for
 each assistant text, excluding its header and end marker.
@@ -107,15 +108,20 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             "start": F.coalesce(F.sum(F.length("rendered")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
             "head": F.length(F.col("r")) + len(START) + 1,
             "loss": F.when(role == ASSISTANT, F.length("t")),
+            "source": F.xxhash64(role, text),
         }
     )
-    c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "start", "head", "loss", "rendered"))).alias("rows"))
-    c = c.withColumn("formatted", F.array_join(F.transform("rows", lambda x: x.rendered), ""))
+    c = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "start", "head", "loss", "source", "rendered"))).alias("rows"))
+    c = c.withColumn("formatted", F.array_join(F.transform("rows", lambda x: x.rendered), "")).withColumn("sources", F.transform("rows", lambda x: x.source))
     masked = F.filter("rows", lambda x: x.loss.isNotNull())
     c = c.withColumn("loss_spans", F.transform(masked, lambda x: F.struct((x.start + x["head"]).alias("start"), x.loss.alias("length"))))
     c = c.withColumn("rows", F.transform("rows", lambda x: F.struct(x.start.alias("start"), (x.start + x["head"]).alias("at"), x.loss.alias("loss"))))
     c = c.withColumn("parts", segments(F.col("formatted")))
-    return c.withColumn("turns", parse(F.col("parts")))
+    c = c.withColumn("turns", parse(F.col("parts")))
+    # The whole conversation's parse against the source rows: what doesn't come back is refused, not returned.
+    back = F.forall("turns", lambda t: t.sound) & (F.transform("turns", lambda t: F.xxhash64(t.role, t.text)) == F.col("sources"))
+    refused = F.raise_error(F.concat(F.lit("conversation doesn't survive its grammar: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    return c.withColumn("formatted", F.when(back, F.col("formatted")).otherwise(refused)).drop("sources")
 
 
 def masked_text(c: DataFrame) -> Column:

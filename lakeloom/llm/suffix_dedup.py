@@ -16,8 +16,10 @@ only where a repeat is possible:
    bucket has several, their suffixes start with bucket identifiers of
    8-grams and are refined by sorting on (own bucket, bucket at a later offset),
    to 16, 32 and LENGTH bytes; each round reuses the identifiers that the
-   last one updated, and suffixes that are alone in their bucket are done. The
-   comparison is exact; hashes only decide where to look.
+   last one updated, and suffixes that are alone in their bucket are done.
+   (Identifiers of one round aren't reused within it: they would tell suffixes
+   apart beyond LENGTH bytes, where windows that must count as equal may differ.)
+   The comparison is exact; hashes only decide where to look.
 3. Marks go back to the groups, which cover, cut and digest their texts.
 
 Texts are stored once, compressed and bucketed by group, in the shared
