@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators.similarity import fingerprint, gram_hashes, shingles
+from lakeloom.operators.lineage import cut
+from lakeloom.operators.similarity import contains_join, fingerprint, gram_hashes
 
 
 def following(hits: DataFrame, chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", ahead: int = 6) -> DataFrame:
@@ -91,17 +92,24 @@ def relink_gold(golds: DataFrame, chunks: DataFrame, gold_id: str = "gold_id", c
     return hits.withColumn("any", F.max("own").over(w)).where(F.col("own") | (~F.col("any") & (F.col("r") == 1))).select(gold_id, chunk_id)
 
 
-def provenance(lines: DataFrame, chunks: DataFrame, line: str = "line", chunk_id: str = "chunk_id", text: str = "text", piece: int = 40) -> DataFrame:
-    """lines with chunk_id: the first chunk with the whole line, else with one of its first ``piece`` characters of substance.
+def provenance(lines: DataFrame, chunks: DataFrame, line: str = "line", chunk_id: str = "chunk_id", text: str = "text", piece: int = 40, least: int = 14) -> DataFrame:
+    """lines with chunk_id: the first chunk with the whole line, else one that has its first ``piece`` characters of substance within a line, else its last.
 
-    Whole lines meet as equal fingerprints of chunk lines; long pieces as equal shingles.
+    Lines shorter than that count as a piece from ``least`` characters on. Whole lines meet as equal
+    fingerprints, pieces by contains_join(); each line of the chunks is one row, however often it occurs.
     """
     k = chunks.select(chunk_id, F.explode(F.split(text, "\n")).alias("_l")).select(chunk_id, fingerprint(F.col("_l")).alias("_f")).where("_f <> ''")
-    whole = k.groupBy("_f").agg(F.min(chunk_id).alias("_whole"))
-    cut = lines.withColumn("_f", fingerprint(F.col(line)))
-    start = F.when(F.length("_f") >= piece, F.substring("_f", 1, piece))
-    grams = k.where(F.length("_f") >= piece).select(chunk_id, F.explode(shingles(F.col("_f"), piece)).alias("_p")).groupBy("_p").agg(F.min(chunk_id).alias("_part"))
-    return cut.withColumn("_p", start).join(whole, "_f", "left").join(grams, "_p", "left").withColumn(chunk_id, F.coalesce("_whole", "_part")).drop("_f", "_p", "_whole", "_part")
+    whole = cut(k.groupBy("_f").agg(F.min(chunk_id).alias("_c")))
+    f, long_ = F.col("_f"), F.length("_f") >= piece
+    asked = lines.withColumn("_f", fingerprint(F.col(line)))
+    asked = asked.withColumns({"_p1": F.when(long_, F.substring(f, 1, piece)).when(F.length(f) >= least, f), "_p2": F.when(long_, F.substring(f, -piece, piece))})
+    probes = asked.select(F.explode(F.array("_p1", "_p2")).alias("_p")).where("_p is not null").distinct().select("_p", F.col("_p").alias("_n"))
+    bodies = whole.select("_f", F.col("_f").alias("_b"))
+    held = contains_join(probes, bodies, "_p", "_n", "_f", "_b", gram=least).join(whole, "_f").groupBy("_p").agg(F.min("_c").alias("_h"))
+    held = cut(held)
+    first, last = held.select(F.col("_p").alias("_p1"), F.col("_h").alias("_h1")), held.select(F.col("_p").alias("_p2"), F.col("_h").alias("_h2"))
+    out = asked.join(whole, "_f", "left").join(first, "_p1", "left").join(last, "_p2", "left")
+    return out.withColumn(chunk_id, F.coalesce("_c", "_h1", "_h2")).drop("_f", "_p1", "_p2", "_c", "_h1", "_h2")
 
 
 def best_by_words(sections: DataFrame, aspects: DataFrame, least: int = 1) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.operators.aggregates import dot
+from lakeloom.operators.lineage import cut
 
 #: What counts as a character of substance.
 SUBSTANCE = "[^가-힣A-Za-z0-9]"
@@ -32,10 +33,10 @@ def shingles(text: Column, k: int = 12, step: int = 1) -> Column:
     """
 
     @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
+    def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted({t[i : i + k] for i in range(0, max(1, len(t) - k + 1), step)}) if t else [])
 
-    return cut(text)
+    return pieces(text)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -109,10 +110,10 @@ def gram_hashes(text: Column, k: int, step: int = 1, short: bool = False) -> Col
     """Distinct 64-bit hashes of the k-character grams at every step-th place, sorted; a shorter text is one gram if ``short``, else none. Arrow-batched, numpy within a text."""
 
     @F.pandas_udf("array<long>")
-    def cut(texts: pd.Series) -> pd.Series:
+    def hashes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: rolling_hashes(t, k, step, short))
 
-    return cut(text)
+    return hashes(text)
 
 
 def rolling_hashes(text: str | None, k: int, step: int = 1, short: bool = False) -> np.ndarray:
@@ -140,6 +141,7 @@ def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle:
     n = needles.where(F.length(needle) >= gram).select(needle_id, needle)
     prepared = n.select(needle_id, F.explode(gram_hashes(F.col(needle), gram)).alias("g"))
     seen = bodies.select(body_id, F.explode(gram_hashes(F.col(body), gram)).alias("g")).join(prepared.select("g").distinct(), "g", "left_semi")
+    seen = cut(seen)  # few rows, asked for twice: bodies are taken apart once
     df = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     key = prepared.join(df, "g").groupBy(needle_id).agg(F.min_by("g", F.struct("df", "g")).alias("g"))
     found = key.join(seen, "g").select(needle_id, body_id).distinct()

@@ -143,7 +143,7 @@ def jn_gold_relink(t: Tables) -> DataFrame:
 @query(
     f"""WITH l AS ({LINES_SQL}), k AS (SELECT doc_id, regexp_replace(line, '[^가-힣A-Za-z0-9]', '', 'g') AS f FROM l), w AS (SELECT f, min(doc_id) AS d FROM k WHERE f <> '' GROUP BY 1),
 b AS (SELECT item_id, regexp_replace(text, '[^가-힣A-Za-z0-9]', '', 'g') AS f FROM benchmark)
-SELECT item_id, coalesce(w.d, (SELECT min(k.doc_id) FROM k WHERE length(b.f) >= 40 AND contains(k.f, substr(b.f, 1, 40)))) AS chunk_id FROM b LEFT JOIN w USING (f)"""
+SELECT item_id, coalesce(w.d, (SELECT min(k.doc_id) FROM k WHERE length(b.f) >= 14 AND contains(k.f, CASE WHEN length(b.f) >= 40 THEN substr(b.f, 1, 40) ELSE b.f END)), (SELECT min(k.doc_id) FROM k WHERE length(b.f) >= 40 AND contains(k.f, substr(b.f, length(b.f) - 39)))) AS chunk_id FROM b LEFT JOIN w USING (f)"""
 )
 def jn_provenance(t: Tables) -> DataFrame:
     b = t.benchmark.select("item_id", F.col("text").alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators import platform
 from lakeloom.operators.lineage import scratch
 from lakeloom.streaming import batch, events
 from lakeloom.plans.registry import Tables, query
@@ -114,32 +115,28 @@ def doc_three_way(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT l_orderkey AS tbl, l_linenumber AS col, CASE WHEN l_quantity > 25 THEN 'number' WHEN l_discount > 0.05 THEN 'percent' ELSE 'text' END AS kind FROM lineitem), c AS (SELECT tbl, kind, count(*) AS n FROM k GROUP BY 1, 2)
+    """WITH k AS (SELECT l_orderkey AS tbl, CASE WHEN l_quantity > 25 THEN 'number' WHEN l_discount > 0.05 THEN 'percent' WHEN l_tax > 0.06 THEN 'empty' ELSE 'text' END AS kind FROM lineitem), c AS (SELECT tbl, kind, count(*) AS n FROM k GROUP BY 1, 2)
 SELECT tbl, arg_max(kind, (n, kind)) AS kind, CAST(sum(n) AS BIGINT) AS cells FROM c GROUP BY 1"""
 )
 def tbl_classify(t: Tables) -> DataFrame:
-    kind = F.when(F.col("l_quantity") > 25, "number").when(F.col("l_discount") > 0.05, "percent").otherwise("text")
-    c = t.lineitem.groupBy(F.col("l_orderkey").alias("tbl"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("tbl").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"), F.sum("n").alias("cells"))
+    said = F.when(F.col("l_quantity") > 25, F.format_number("l_quantity", 2)).when(F.col("l_discount") > 0.05, F.concat(F.lit(" "), F.format_number(F.col("l_discount") * 100, 0), F.lit(" %"))).when(F.col("l_tax") > 0.06, " ").otherwise(F.col("l_returnflag"))
+    return platform.classify_tables(t.lineitem.select(F.col("l_orderkey").alias("tbl"), platform.cell_kind(said).alias("kind")), "tbl")
 
 
 @query("WITH c AS (SELECT p_type, p_size, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_type, arg_max(p_size, (n, p_size)) AS style, max(n) AS n FROM c GROUP BY 1 HAVING sum(n) >= 20 AND max(n) >= 0.02 * sum(n)")
 def tbl_style_mode(t: Tables) -> DataFrame:
-    c = t.part.groupBy("p_type", "p_size").agg(F.count(F.lit(1)).alias("n"))
-    g = c.groupBy("p_type").agg(F.max_by("p_size", F.struct("n", "p_size")).alias("style"), F.max("n").alias("n"), F.sum("n").alias("s"))
-    return g.where((F.col("s") >= 20) & (F.col("n") >= 0.02 * F.col("s"))).drop("s")
+    return platform.usual_style(t.part.withColumnRenamed("p_size", "style"), "p_type", "style", least=20, share=0.02)
 
 
 @query("WITH c AS (SELECT role, length(text) % 7 AS font, sum(length(text)) AS chars FROM conversations GROUP BY 1, 2) SELECT role, CAST(arg_max(font, (chars, font)) AS INTEGER) AS font FROM c GROUP BY 1")
 def role_style_mode(t: Tables) -> DataFrame:
-    c = t.conversations.groupBy("role", (F.length("text") % 7).alias("font")).agg(F.sum(F.length("text")).alias("chars"))
-    return c.groupBy("role").agg(F.max_by("font", F.struct("chars", "font")).alias("font"))
+    c = t.conversations.withColumn("font", F.length("text") % 7)
+    return platform.usual_style(c, "role", "font", F.length("text")).drop("n")
 
 
 @query("SELECT o_orderpriority AS heading, CASE WHEN o_totalprice < 50000 THEN 'no evidence' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'filled' END AS cause, count(*) AS n FROM orders GROUP BY 1, 2")
 def gap_causes(t: Tables) -> DataFrame:
-    cause = F.when(F.col("o_totalprice") < 50000, "no evidence").when(F.col("o_orderstatus") == "P", "pending").otherwise("filled")
-    return t.orders.groupBy(F.col("o_orderpriority").alias("heading"), cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+    return platform.gap_causes(t.orders.withColumnRenamed("o_orderpriority", "heading"), "heading", F.col("o_totalprice") >= 50000, F.col("o_orderstatus") == "P")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 're%' OR p_type LIKE 'RE%' OR p_name LIKE '%re%' ORDER BY CASE WHEN p_name LIKE 're%' THEN 0 WHEN p_type LIKE 'RE%' THEN 1 ELSE 2 END, p_name, p_partkey LIMIT 20")
@@ -175,14 +172,18 @@ def tok_timing(t: Tables) -> DataFrame:
 SELECT user_id, CASE WHEN recent > 2 * first THEN 'diverging' WHEN recent < first THEN 'improving' ELSE 'flat' END AS status FROM s WHERE r = 1"""
 )
 def train_judge(t: Tables) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    s = t.events.withColumns({"recent": F.avg("value").over(w.rowsBetween(-4, 0)), "first": F.first("value").over(w), "r": F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))})
-    return s.where("r = 1").select("user_id", F.when(F.col("recent") > 2 * F.col("first"), "diverging").when(F.col("recent") < F.col("first"), "improving").otherwise("flat").alias("status"))
+    return platform.training_status(t.events, "user_id", ["ts", "event_id"], "value")
 
 
-@query("SELECT source, count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) <> 50 AS stale FROM documents GROUP BY 1")
+@query(
+    """WITH c AS (SELECT source, count(*) AS chunks FROM documents GROUP BY 1), i AS (SELECT source, count(*) AS indexed, bool_or(changed) AS changed FROM (SELECT source, source = 'src1' AND doc_id % 7 = 0 AS changed FROM documents WHERE source <> 'src2' OR doc_id % 5 <> 0) GROUP BY 1)
+SELECT source, chunks, coalesce(indexed, 0) AS indexed, changed OR chunks <> coalesce(indexed, 0) AS stale FROM c LEFT JOIN i USING (source)"""
+)
 def stale_index(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars")).withColumn("stale", F.col("chunks") != 50)
+    """One source has lost documents since, another has changed ones."""
+    d = t.documents.select("source", "doc_id", F.md5("text").alias("digest"))
+    old = d.where("source <> 'src2' or doc_id % 5 <> 0").withColumn("digest", F.when((F.col("source") == "src1") & (F.col("doc_id") % 7 == 0), F.lit("old")).otherwise(F.col("digest")))
+    return platform.stale_indexes(d, old, "source", "digest")
 
 
 @query("WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), b AS (SELECT 'r1' AS id UNION ALL SELECT dst FROM b JOIN e ON src = id) SELECT DISTINCT id FROM b")

@@ -130,3 +130,41 @@ def test_packages_and_mail():
     assert documents.office_to_text(b"nonsense") is None
     mail = b"Subject: s\r\nContent-Type: text/html; charset=utf-8\r\n\r\n<p>hi</p>"
     assert documents.mail_to_text(mail) == "s\nhi"
+
+
+def test_names_by_label_role_title_and_list():
+    found = lambda t: [t[s:e] for s, e, k in privacy.spans_of(t) if k == "KR_NAME"]
+    assert found("성 명: 홍길동, 소속 없음") == ["홍길동"]
+    assert found("이름 김철수") == ["김철수"] and found("이름으로 변경한다") == []
+    assert found("담당자 | 사무관 | 홍길동") == ["홍길동"] and found("과 장 | 이영희") == ["이영희"]
+    assert found("신청인 자격은 없다") == [] and found("담당자: 박민수") == ["박민수"]
+    assert found("성명 | 생년월일 | 연락처") == [] and found("성명 | 성명 | 성명") == [] and found("총장: 정보학과") == []
+    assert found("참석자: 홍길동, 김철수, 이영희") == ["홍길동, 김철수, 이영희"]
+    assert found("서울, 인천, 경기") == [] and found("참석자: 홍길동, 김철수") == []
+    for t in ("성명 " * 20_000, "홍길동, " * 20_000, "가나다 | " * 20_000):
+        privacy.spans_of(t)
+
+
+def test_labelled_numbers():
+    kinds = lambda t: [(k, t[s:e]) for s, e, k in privacy.spans_of(t)]
+    assert kinds("학 번: 20201234") == [("KR_STUDENT_ID", "20201234")] and kinds("번호 20201234") == []
+    assert kinds("생년월일 | 1990. 1. 2") == [("KR_BIRTHDATE", "1990. 1. 2")] and kinds("작성일 1990. 1. 2") == []
+    assert kinds("입금계좌: 123-456-789012") == [("KR_BANK_ACCOUNT", "123-456-789012")] and kinds("품번 123-456-789012") == []
+    assert kinds("880101-1234568")[:1] in ([], [("KR_RRN", "880101-1234568")])
+
+
+def test_counts_in_context(spark):
+    from lakeloom.functions import numbers
+
+    def bad(draft, evidence):
+        d = spark.createDataFrame([(1, draft)], "k int, draft string")
+        e = spark.createDataFrame([(1, t, g) for t, g in evidence], "k int, text string, given boolean")
+        return [(r.value, r.unit) for r in numbers.out_of_context(d, e, "k").orderBy("at").collect()]
+
+    assert bad("팀 인원 4명", [("팀 4명으로 운영", False)]) == []
+    assert bad("참여 인원 4명", [("팀 4명", False)]) == [("4", "명")]
+    assert bad("참여 인원 4명", [("팀 4명", True)]) == []
+    assert bad("참여 인원 30명", [("작년 30개 기관 참여", False)]) == [("30", "명")]
+    assert bad("참여 인원 30명", [("| 구분 | 인원 |\n| 학생 | 30 |", False)]) == []
+    assert bad("총 4회 운영", [("각 2회 운영", True)]) == [("4", "회")]
+    assert bad("2026년 착수", [("없음", False)]) == []
