@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions import numbers
+from lakeloom.operators.joins import key_of
 from lakeloom.operators.similarity import contains_join
 
 #: What a reviewer must have checked.
@@ -202,3 +203,45 @@ def guess_kind(terms: DataFrame, weights: DataFrame, margin: float = 1.2, doc: s
     w = W.partitionBy(doc).orderBy(F.desc("score"), kind)
     s = s.withColumn("_n", F.row_number().over(w)).withColumn("_second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
     return s.where("_n = 1").select(doc, kind, "score", (F.col("score") >= margin * F.col("_second")).alias("sure"))
+
+
+# --- pairs from forms and outlines -----------------------------------------------------------------------------
+
+# How a number is written, and what is a section's number rather than a fact.
+WRITTEN_NUMBER, SECTION_NUMBER, FACT_DIGITS = r"([0-9][0-9,]*(?:\.[0-9]+)?%?)", r"^[0-9]{1,2}(?:\.[0-9]{1,2}){1,3}$", 3
+
+
+def written_numbers(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WRITTEN_NUMBER), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(""))))
+
+
+def fact_numbers(text: Column) -> Column:
+    """Numbers that state a fact: three digits and more, with a point, or per cent; section numbers don't."""
+    fact = lambda x: (F.length(F.regexp_replace(x, "[^0-9]", "")) >= FACT_DIGITS) | F.contains(x, F.lit(".")) | F.contains(x, F.lit("%"))
+    return F.filter(written_numbers(text), lambda x: ~x.rlike(SECTION_NUMBER) & fact(x))
+
+
+def form_pairs(forms: DataFrame, finals: DataFrame, pair: str = "pair", heading: str = "heading", guide: str = "guide", body: str = "body", facts: str = "facts") -> DataFrame:
+    """(pair, heading, human, output, missing): a form's section with the finished text of the same title.
+
+    A title that occurs twice on either side says nothing, and an empty text teaches nothing. human is what the writer
+    saw: heading, guide, facts. missing are facts in numbers that the text states and human doesn't have.
+    """
+    alone = lambda df: df.withColumn("_k", key_of(F.col(heading))).where("_k <> ''").withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(pair, "_k"))).where("_n = 1").drop("_n")
+    j = alone(forms).join(alone(finals.where(F.coalesce(F.trim(body), F.lit("")) != "")).select(pair, "_k", F.col(body).alias("output")), [pair, "_k"])
+    human = F.concat_ws("\n", heading, guide, facts)
+    return j.select(pair, heading, human.alias("human"), "output", F.array_sort(F.array_except(fact_numbers(F.col("output")), written_numbers(human))).alias("missing"))
+
+
+def outline_steps(headings: DataFrame, doc: str = "doc_id", path: str = "path", order: str = "seq") -> DataFrame:
+    """(doc, order, human, answer, missing): for each section that has others below it, the question for its skeleton and the answer.
+
+    headings carry their path (breadcrumbs()). A path that a document has twice names no section. The question
+    states the path, so it can be asked by itself; missing are the answer's facts in numbers that the question doesn't have.
+    """
+    h = headings.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(doc, path)))
+    below = h.where(F.size(path) > 1).groupBy(doc, F.slice(path, F.lit(1), F.size(path) - 1).alias("_p")).agg(F.array_sort(F.collect_list(F.struct(order, F.element_at(path, -1).alias("t")))).alias("_c"))
+    j = h.where("_n = 1").join(below.withColumnRenamed("_p", path), [doc, path])
+    human = F.concat(F.lit("범위: "), F.array_join(path, " → "), F.lit("\n[질문] 이 절의 소제목을 차례대로 적어 줘."))
+    answer = F.array_join(F.transform("_c", lambda c: F.concat(F.lit("- "), c.t)), "\n")
+    return j.select(doc, order, human.alias("human"), answer.alias("answer"), F.array_sort(F.array_except(fact_numbers(answer), written_numbers(human))).alias("missing"))

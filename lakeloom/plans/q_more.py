@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lakeloom.functions import chunking, numbers, privacy
 from lakeloom.functions import text as tx
-from lakeloom.operators import datasets, dedup, evaluation, joins, retrieval
+from lakeloom.operators import datasets, dedup, evaluation, joins, retrieval, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
 from lakeloom.operators.lineage import scratch
@@ -477,3 +477,41 @@ def src_gz_json(t: Tables) -> DataFrame:
     t.events.select("event_id", "user_id", "event_type").write.option("compression", "gzip").json(folder)
     t.spark.createDataFrame([("{broken",), ("",), ("not json",)], "value string").coalesce(1).write.mode("append").option("compression", "gzip").text(folder)
     return tables.json_lines(t.spark, folder, "event_id long, user_id long, event_type string")
+
+
+
+def _written_sql(text: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({text}, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: replace(x, ',', '')))"
+
+
+def _missing_sql(answer: str, question: str) -> str:
+    facts = f"list_filter({_written_sql(answer)}, lambda x: NOT regexp_full_match(x, '[0-9]{{1,2}}(?:\\.[0-9]{{1,2}}){{1,3}}') AND (length(regexp_replace(x, '[^0-9]', '', 'g')) >= 3 OR contains(x, '.') OR contains(x, '%')))"
+    return f"array_to_string(list_sort(list_filter({facts}, lambda y: NOT list_contains({_written_sql(question)}, y))), ' ')"
+
+
+@query(
+    f"""WITH f AS (SELECT o_custkey AS pair, '1. ' || substr(o_orderpriority, 3) AS heading, min(o_orderkey) AS k, count(*) AS n, max(o_totalprice) AS price FROM orders GROUP BY 1, 2), g AS (SELECT pair, heading, 'order ' || k || CASE WHEN n > 2 THEN ' of 3,500.75' ELSE '' END AS guide, n FROM f),
+h AS (SELECT pair, substr(heading, 4) AS title, 'placed ' || k || ' at 3500.75 or ' || n || '% and 1.2 on 12' AS body FROM f WHERE n <> 2)
+SELECT g.pair, g.heading, g.heading || chr(10) || guide AS human, body AS output, {_missing_sql("body", "g.heading || chr(10) || guide")} AS missing FROM g JOIN h ON g.pair = h.pair AND substr(g.heading, 4) = h.title"""
+)
+def ds_form_pairs(t: Tables) -> DataFrame:
+    """A customer's orders by priority as a form and its finished version, which lacks some sections and has others twice."""
+    f = t.orders.groupBy(F.col("o_custkey").alias("pair"), F.concat(F.lit("1. "), F.substring("o_orderpriority", 3, 99)).alias("heading")).agg(F.min("o_orderkey").cast("string").alias("k"), F.count(F.lit(1)).alias("n"))
+    forms = f.select("pair", "heading", F.concat(F.lit("order "), "k", F.when(F.col("n") > 2, " of 3,500.75").otherwise("")).alias("guide"), F.lit(None).cast("string").alias("facts"))
+    done = f.select("pair", F.substring("heading", 4, 99).alias("heading"), "n", F.concat(F.lit("placed "), "k", F.lit(" at 3500.75 or "), F.col("n").cast("string"), F.lit("% and 1.2 on 12")).alias("body"))
+    finals = done.where("n <> 2").select("pair", "heading", "body").union(done.where("n = 2").select("pair", "heading", "body")).union(done.where("n = 2").select("pair", F.concat(F.lit("9) "), "heading"), F.lit("again")))
+    return datasets.form_pairs(forms, finals).withColumn("missing", F.array_join("missing", " "))
+
+
+@query(
+    f"""WITH h AS (SELECT n_regionkey AS doc_id, n_nationkey * 100000 AS seq, [r_name, n_name] AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey, -1, [r_name] FROM region UNION ALL SELECT n_regionkey, n_nationkey * 100000 + s_suppkey, [r_name, n_name, s_name || CASE WHEN s_acctbal > 5000 THEN ' ' || s_suppkey || '%' ELSE '' END] FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT doc_id, list_slice(path, 1, len(path) - 1) AS path, string_agg('- ' || path[-1], chr(10) ORDER BY seq) AS answer FROM h WHERE len(path) > 1 GROUP BY 1, 2), j AS (SELECT h.doc_id, h.seq, '범위: ' || array_to_string(h.path, ' → ') || chr(10) || '[질문] 이 절의 소제목을 차례대로 적어 줘.' AS human, answer FROM h JOIN c ON h.doc_id = c.doc_id AND h.path = c.path)
+SELECT doc_id, seq, human, answer, {_missing_sql("answer", "human")} AS missing FROM j"""
+)
+def ds_outline_steps(t: Tables) -> DataFrame:
+    """Regions as documents, nations and suppliers as sections."""
+    name = F.concat("s_name", F.when(F.col("s_acctbal") > 5000, F.concat(F.lit(" "), F.col("s_suppkey").cast("string"), F.lit("%"))).otherwise(""))
+    seq = F.col("n_nationkey").cast("long") * 100000
+    lines_ = t.region.select(F.col("r_regionkey").alias("doc_id"), F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("level"), F.col("r_name").alias("title"))
+    lines_ = lines_.union(t.nation.select("n_regionkey", seq, F.lit(2), "n_name")).union(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", seq + F.col("s_suppkey"), F.lit(3), name))
+    return datasets.outline_steps(windows.breadcrumbs(lines_, order=["seq"], deepest=3)).withColumn("missing", F.array_join("missing", " "))
