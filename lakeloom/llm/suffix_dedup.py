@@ -57,7 +57,7 @@ GROUP_BYTES = 8 << 20
 #: Spare bits of an anchor's hash over those that number all anchors: one false share in 2 ** 7.
 SPARE_BITS = 7
 #: Bytes of text for each bucket of the stored table, and for each part into which anchors are dealt by hash.
-BUCKET_BYTES, ROUTE_BYTES = 8 << 20, 4 << 20
+BUCKET_BYTES, ROUTE_BYTES = 8 << 20, 8 << 20
 MOST_BUCKETS = 100_000
 _TEXTS = "gid long, part int, ids array<long>, lengths array<long>, n_bytes long, texts binary"
 _LAST_ID = np.iinfo(np.int64).max
