@@ -375,17 +375,21 @@ def num_context(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT p_partkey AS card, p_name AS name, p_brand AS acronym, 2000 + p_size AS s, 2010 + p_size AS e FROM part), l AS (SELECT s_suppkey AS entry, (SELECT p_name FROM part WHERE p_partkey = s_suppkey) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'brand#11' ELSE 'none' END AS acronym, 2020 + s_nationkey AS s, CASE WHEN s_suppkey % 2 = 0 THEN 2022 + s_nationkey END AS e FROM supplier),
+    """WITH c AS (SELECT p_partkey AS card, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_partkey ELSE '' END AS name, 'a' || p_partkey AS acronym, 2000 + p_size AS s, 2010 + p_size AS e FROM part),
+l AS (SELECT s_suppkey AS entry, (SELECT name FROM c WHERE card = s_suppkey) AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'A' || (s_suppkey + 1) ELSE 'none' END AS acronym, 2020 + s_nationkey AS s, CASE WHEN s_suppkey % 2 = 0 THEN 2022 + s_nationkey END AS e FROM supplier),
 k AS (SELECT entry, CASE WHEN lower(regexp_replace(l.name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(c.name, '[^A-Za-z0-9]', '', 'g')) THEN 1 ELSE 2 END AS grade, card FROM l JOIN c ON (lower(regexp_replace(l.name, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(c.name, '[^A-Za-z0-9]', '', 'g')) OR upper(l.acronym) = upper(c.acronym)) AND l.s <= c.e AND c.s <= coalesce(l.e, 9999)),
 g AS (SELECT entry, grade, min(card) AS a, max(card) AS b FROM k GROUP BY 1, 2), m AS (SELECT entry, min(grade) AS grade FROM g GROUP BY 1)
 SELECT entry, CASE WHEN a = b THEN a END AS card, CASE WHEN a <> b THEN 'ambiguous' WHEN grade = 1 THEN 'name' ELSE 'acronym' END AS by FROM g JOIN m USING (entry, grade)"""
 )
 def jn_ledger_program(t: Tables) -> DataFrame:
-    cards = t.part.select(F.col("p_partkey").alias("card"), F.col("p_name").alias("name"), F.col("p_brand").alias("acronym"), (2000 + F.col("p_size")).alias("start"), (2010 + F.col("p_size")).alias("end"))
-    names = t.part.select(F.col("p_partkey").alias("s_suppkey"), F.upper("p_name").alias("name"))
-    year = 2020 + F.col("s_nationkey")
-    ledger = t.supplier.join(names, "s_suppkey", "left").select(
-        F.col("s_suppkey").alias("entry"), F.concat(F.lit("2) "), "name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "brand#11").otherwise("none").alias("acronym"), year.alias("start"), F.when(F.col("s_suppkey") % 2 == 0, year + 2).alias("end")
+    """Half of the cards have names of their own, the others share theirs; some entries know an acronym."""
+    key = F.col("p_partkey").cast("string")
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), key)).otherwise(""))
+    cards = t.part.select(F.col("p_partkey").alias("card"), name.alias("name"), F.concat(F.lit("a"), key).alias("acronym"), (2000 + F.col("p_size")).alias("start"), (2010 + F.col("p_size")).alias("end"))
+    year, entry = 2020 + F.col("s_nationkey"), F.col("s_suppkey")
+    named = t.supplier.join(cards.select(F.col("card").alias("s_suppkey"), F.upper("name").alias("name")), "s_suppkey", "left")
+    ledger = named.select(
+        entry.alias("entry"), F.concat(F.lit("2) "), "name").alias("name"), F.when(entry % 3 == 0, F.concat(F.lit("A"), (entry + 1).cast("string"))).otherwise("none").alias("acronym"), year.alias("start"), F.when(entry % 2 == 0, year + 2).alias("end")
     )
     return joins.match_ledger(ledger, cards)
 
