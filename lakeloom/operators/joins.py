@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.operators.lineage import cut
-from lakeloom.operators.similarity import contains_join, fingerprint, gram_hashes
+from lakeloom.operators.similarity import contains_join, fingerprint, gram_hashes, sieve, sifted_hashes
 
 
 def following(hits: DataFrame, chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", ahead: int = 6) -> DataFrame:
@@ -78,12 +78,12 @@ def relink_gold(golds: DataFrame, chunks: DataFrame, gold_id: str = "gold_id", c
     has .2 of the gold and one of its two covers reaches .5; the best is kept if no other is.
 
     Grams are hashes in one array for each text, so sizes need no counting; those that no gold has
-    go in a semi-join before anything is shuffled.
+    fall through a sieve where they are read, or in a semi-join before anything is shuffled.
     """
     g = golds.select(gold_id, gram_hashes(F.col(text), gram, short=True).alias("_h")).where(F.size("_h") > 0)
-    c = chunks.select(chunk_id, gram_hashes(F.col(text), gram, short=True).alias("_h")).where(F.size("_h") > 0)
     g = g.select(gold_id, F.size("_h").alias("ng"), F.explode("_h").alias("h"))
-    c = c.select(chunk_id, F.size("_h").alias("nc"), F.explode("_h").alias("h")).join(g.select("h").distinct(), "h", "left_semi")
+    c = chunks.select(chunk_id, sifted_hashes(F.col(text), gram, sieve(g), short=True).alias("_s"))
+    c = c.select(chunk_id, F.col("_s.n").alias("nc"), F.explode("_s.h").alias("h")).join(g.select("h").distinct(), "h", "left_semi")
     hits = g.join(c, "h").groupBy(gold_id, chunk_id, "ng", "nc").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy(gold_id)
     hits = hits.withColumns({"cg": F.col("n") / F.col("ng"), "cc": F.col("n") / F.col("nc"), "r": F.row_number().over(w.orderBy(F.desc("n"), chunk_id)), "best": F.max("n").over(w)})

@@ -131,16 +131,42 @@ def rolling_hashes(text: str | None, k: int, step: int = 1, short: bool = False)
     return np.unique(h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+#: Bits of the sieve: its size is fixed, so it may go to the driver and to every task; with very many grams it only lets more through.
+SIEVE_BITS, _BUCKET = 1 << 20, 1 << 15
+
+
+def sieve(hashes: DataFrame, column: str = "h") -> bytes:
+    """A bitmap of the low bits of all hashes (128 KB), put together on the cluster."""
+    low = F.pmod(F.col(column), F.lit(SIEVE_BITS))
+    parts = hashes.select(low.alias("p")).groupBy(F.floor(F.col("p") / _BUCKET).alias("b")).agg(F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("bits"))
+    out = bytearray(SIEVE_BITS // 8)
+    for r in parts.collect():  # 32 rows of 4 KB at most
+        out[r.b * _BUCKET // 8 : (r.b + 1) * _BUCKET // 8] = bytes(r.bits)
+    return bytes(out)
+
+
+def sifted_hashes(text: Column, k: int, bits: bytes, short: bool = False) -> Column:
+    """(n, h): how many distinct gram hashes a text has, and those of them that the sieve lets through. What goes through must still be joined."""
+
+    @F.pandas_udf("n int, h array<long>")
+    def sift(texts: pd.Series) -> pd.DataFrame:
+        open_ = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        every = [rolling_hashes(t, k, 1, short) for t in texts]
+        return pd.DataFrame({"n": [len(h) for h in every], "h": [h[open_[h & (SIEVE_BITS - 1)]] for h in every]})
+
+    return sift(text)
+
+
 def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle: str, body_id: str, body: str, gram: int = 8) -> DataFrame:
     """(needle_id, body_id) where the body contains the needle: an equi-join on the hash of one rare gram of the needle, then the exact test.
 
     Needles shorter than a gram are nobody's (their matches would be chance). Grams of
-    bodies that no needle has go in a semi-join (Spark broadcasts the needles' side by
-    its own size check, or filters by it at run time).
+    bodies that no needle has mostly fall through a sieve where they are read, the rest in a semi-join.
     """
     n = needles.where(F.length(needle) >= gram).select(needle_id, needle)
     prepared = n.select(needle_id, F.explode(gram_hashes(F.col(needle), gram)).alias("g"))
-    seen = bodies.select(body_id, F.explode(gram_hashes(F.col(body), gram)).alias("g")).join(prepared.select("g").distinct(), "g", "left_semi")
+    sifted = bodies.select(body_id, sifted_hashes(F.col(body), gram, sieve(prepared, "g")).alias("_s"))
+    seen = sifted.select(body_id, F.explode("_s.h").alias("g")).join(prepared.select("g").distinct(), "g", "left_semi")
     seen = cut(seen)  # few rows, asked for twice: bodies are taken apart once
     df = seen.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     key = prepared.join(df, "g").groupBy(needle_id).agg(F.min_by("g", F.struct("df", "g")).alias("g"))

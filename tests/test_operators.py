@@ -202,3 +202,15 @@ def test_stream_operations_and_windows(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() == n
+
+
+def test_sieve_lets_every_asked_hash_through(spark):
+    import numpy as np
+    from lakeloom.operators import similarity
+
+    asked = np.r_[similarity.rolling_hashes("every gram of this text is asked for", 8), [0, -1, (1 << 20) - 1, 1 << 20, -(1 << 63), (1 << 63) - 1]]
+    bits = np.unpackbits(np.frombuffer(similarity.sieve(spark.createDataFrame([(int(x),) for x in asked], "h long")), np.uint8), bitorder="little")
+    low = asked.astype(np.int64) & (similarity.SIEVE_BITS - 1)
+    assert bits[low].all() and bits.sum() == len(set(low.tolist()))
+    r = spark.createDataFrame([("every gram of this text is asked for",), (None,), ("no",)], "t string").select(similarity.sifted_hashes(F.col("t"), 8, similarity.sieve(spark.createDataFrame([(int(asked[3]),)], "h long"))).alias("s")).select("s.*").collect()
+    assert [x.n for x in r] == [29, 0, 0] and list(r[0].h) == [int(asked[3])] and not r[1].h
