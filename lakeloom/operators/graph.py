@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import cut
+
+#: Steps down that descendants() takes between two checkpoints.
+MOST_STEPS = 8
+
 # Bases an edge may rest on, and the limits of what is kept.
 BASES = ("구조", "분류", "식별자 일치", "추출", "유사도")
 LABEL_CHARS, EVIDENCE_CHARS, EVIDENCE_ITEMS = 300, 240, 5
@@ -60,18 +65,25 @@ def subtree(nodes: DataFrame, root: str, path: str = "path") -> DataFrame:
     return nodes.where((F.col(path) == root) | F.startswith(path, F.lit(root + ".")))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 20) -> DataFrame:
-    """(root, id, depth): everything below each root by (src, dst) edges; a guard stops cycles."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").createOrReplaceTempView("_lakeloom_edges")
-    roots.select("id").createOrReplaceTempView("_lakeloom_roots")
-    found = spark.sql(
-        f"""WITH RECURSIVE below(root, id, depth) AS (
-            SELECT id, id, 0 FROM _lakeloom_roots
-            UNION ALL SELECT b.root, e.dst, b.depth + 1 FROM below b JOIN _lakeloom_edges e ON e.src = b.id WHERE b.depth < {int(depth)} AND e.dst <> b.root)
-        SELECT root, id, depth FROM below"""
-    )
-    return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth): each root and everything below it by (src, dst) edges, with the length of the shortest way down.
+
+    Semi-naive rounds without a limit: only what the last round found first is followed further,
+    so each (root, id) is followed once, and cycles and many ways to one node cost nothing more. A round
+    takes one step at first and ``MOST_STEPS`` later, so that long chains need few checkpoints. Null ends lead nowhere.
+    """
+    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    new = cut(roots.select(F.col("id").alias("root"), "id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
+    known, depth, steps = new, 0, 1
+    while not new.isEmpty():
+        step, found = new.where(F.col("depth") == depth), None
+        for _ in range(steps):
+            step = step.join(e, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id"), F.col("depth") + 1).toDF("root", "id", "depth").distinct()
+            found = step if found is None else found.union(step)
+        found = found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+        new = cut(found.join(known.select("root", "id"), ["root", "id"], "left_anti"))
+        known, depth, steps = known.union(new), depth + steps, min(2 * steps, MOST_STEPS)
+    return known
 
 
 def merge_equal_labels(nodes: DataFrame, edges: DataFrame, type_: str) -> tuple[DataFrame, DataFrame]:

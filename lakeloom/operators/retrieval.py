@@ -159,12 +159,12 @@ def pack_fitting(ranked: DataFrame, budget: int, size: str, qid: str = "qid", ch
     return grouped_fold(ranked.select(qid, chunk_id, "rank", size), qid, ["rank"], f"{qid} {kinds[qid]}, {chunk_id} {kinds[chunk_id]}", fold)
 
 
-def pack_closure(roots: DataFrame, needs: DataFrame, sizes: DataFrame, budget: int, depth: int = 30) -> DataFrame:
+def pack_closure(roots: DataFrame, needs: DataFrame, sizes: DataFrame, budget: int) -> DataFrame:
     """(root, id): each root with all it depends on, directly or not, if that fits the budget as a whole; else nothing of it.
 
     roots (root), needs (src, dst), sizes (id, size). A cycle is one of its members' closures.
     """
-    inside = descendants(needs, roots.select(F.col("root").alias("id")), depth).select("root", "id").distinct()
+    inside = descendants(needs, roots.select(F.col("root").alias("id"))).select("root", "id")
     total = inside.join(sizes, "id").groupBy("root").agg(F.sum("size").alias("_s"))
     return inside.join(total.where(F.col("_s") <= budget).select("root"), "root", "left_semi")
 

@@ -192,7 +192,7 @@ def hier_covered(t: Tables) -> DataFrame:
 
     e = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).union(t.supplier.select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey")))
     roots = t.spark.sql("SELECT 'r1' AS id")
-    return graph.descendants(e, roots, 5).select("id")
+    return graph.descendants(e, roots).select("id")
 
 
 @query(

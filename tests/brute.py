@@ -571,6 +571,29 @@ def st_debounce(t):
     return out
 
 
+def nearest(rows, t, spark, name):
+    """Recall of at least 0.9 in the exact first ten; scores, order and filter are exact."""
+    import numpy as np
+
+    kept = [e for e in t["embeddings"] if name != "srt_ann_filtered" or e["label"] == 3]
+    x = np.array([e["embedding"] for e in kept], np.float64)
+    at = {e["vec_id"]: i for i, e in enumerate(kept)}
+    queries = {e["vec_id"]: np.array(e["embedding"], np.float64) for e in t["embeddings"] if e["vec_id"] % 50 == 0}
+    found, hits, wanted = defaultdict(list), 0, 0
+    for r in rows:
+        found[r["q"]].append(r)
+    assert set(found) == set(queries)
+    for q, v in queries.items():
+        mine = sorted(found[q], key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, min(10, len(kept)) + 1))
+        scores = x @ v
+        assert all(abs(scores[at[r["vec_id"]]] - r["score"]) < 1e-9 for r in mine)
+        assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
+        best = {kept[i]["vec_id"] for i in np.argsort(-scores, kind="stable")[:10]}
+        hits, wanted = hits + len(best & {r["vec_id"] for r in mine}), wanted + len(best)
+    assert hits >= 0.9 * wanted, (hits, wanted)
+
+
 ROWS = {
     f.__name__: f
     for f in (
@@ -578,4 +601,4 @@ ROWS = {
         ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
     )
 }
-CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap}
+CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap, "srt_ann_hnsw": nearest, "srt_ann_filtered": nearest}
