@@ -294,14 +294,18 @@ class Reader:
                     if k == key:
                         yield parse_record(gzip.decompress(self._range(*place)))
 
-    def payload_facts(self, key: bytes, page: int | None) -> tuple[int, str]:
-        """(bytes, SHA-256) of a response's payload; kept for the revisits of a popular page."""
+    def payload_facts(self, key: bytes, page: int | None, digest: str) -> tuple[int, str]:
+        """(bytes, SHA-256) of the response's payload that a revisit names; kept for the revisits of a popular page.
+
+        Captures of one page_id may differ: the digest says which of them is meant, and is computed from the payload itself.
+        """
 
         def read():
-            headers, payload = next(x for x in self.records(key, page) if x[0]["WARC-Type"] == "response")
+            same = (x for x in self.records(key, page) if x[0]["WARC-Type"] == "response" and x[0]["WARC-Payload-Digest"] == digest)
+            payload = next(same)[1]
             return len(payload), hashlib.sha256(payload).hexdigest()
 
-        return self._kept("page", (key, page), read, 4096)
+        return self._kept("page", (key, page, digest), read, 4096)
 
     def digest_rows(self, key: bytes, page: int | None) -> Iterator[tuple]:
         """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records found."""
@@ -309,7 +313,7 @@ class Reader:
             kind, target = headers["WARC-Type"], None
             if kind == "revisit":
                 target = page_of(headers["WARC-Refers-To"])
-                n, digest = self.payload_facts(unquote(headers["X-Refers-To-Key"]).encode(), target)
+                n, digest = self.payload_facts(unquote(headers["X-Refers-To-Key"]).encode(), target, headers["WARC-Payload-Digest"])
             else:
                 n, digest = len(payload), hashlib.sha256(payload).hexdigest()
             if headers["WARC-Payload-Digest"] != f"sha256:{digest}":
