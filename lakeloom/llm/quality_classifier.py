@@ -158,7 +158,9 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
         ids = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = ids if chosen is None else chosen.union(ids)
     chosen = chosen.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)))
-    return materialise(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    # Of several texts under one id the one with the least hash, whatever the order of rows is.
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return materialise(found.groupBy("doc_id", "y", "part").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y", "part"))
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
