@@ -141,6 +141,12 @@ def mix(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_
     return _repeat(rows, "n").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def _content_hash(docs: DataFrame) -> Column:
+    """A hash of a whole row; columns that hold maps, which have no hash of their own, count as JSON."""
+    has_map = {f.name: "map<" in f.dataType.simpleString() for f in docs.schema.fields}
+    return F.xxhash64(F.struct(*[F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) if has_map[c] else F.col(f"`{c}`") for c in docs.columns]))
+
+
 def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mix itself: each row as often as it is taken, all columns kept.
 
@@ -148,7 +154,7 @@ def mixed_documents(docs: DataFrame, quality: Column | None = None, seed: str =
     their own. Texts are written once and meet one row per source.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    stored = materialise(docs.select(whole.alias("doc"), *_measured(quality, seed), F.xxhash64(whole).alias("hash")))
+    stored = materialise(docs.select(whole.alias("doc"), *_measured(quality, seed), _content_hash(docs).alias("hash")))
     keys = ["doc_id", "source", "size", "key", "hash"]
     groups = materialise(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")))
     decided = _decided(groups, range_rows, "hash")

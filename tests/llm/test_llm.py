@@ -204,6 +204,17 @@ def test_warc(spark, tmp_path):
     assert [h["WARC-Type"] for h, _ in found] == ["response"] * 3
 
 
+def test_warc_tells_captures_of_one_page_apart(spark, tmp_path):
+    """A revisit finds the payload it stands for among several of its target's id and address, a very large one among them."""
+    a, b, c = "A" * 150, "B" * 150, "é" * 10_000_000
+    rows = [(1, "u", a), (1, "u", b), (2, "v", b), (3, "v", a), (4, "w", c), (4, "w", a), (5, "u", c), (6, "x", c), (6, "x", b)]
+    first = {a: 1, b: 1, c: 4}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.warc_round_trip(df, str(tmp_path / "w"), block_entries=2)
+    want = [(i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), *(("response", None) if first[h] == i else ("revisit", first[h]))) for i, _, h in rows]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_warc_key(spark):
     urls = {"http://www.A.com/P?q": "com,a,www)/P?q", "https://a.b.org": "org,b,a)/", "http://a.org:81/x#y": "org,a:81)/x", "": "", "http://u:p@a.org/@z": "org,a)/@z"}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
@@ -735,6 +746,26 @@ def test_mixed_documents(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_stages_carry_maps_along(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i % 9, f"word number {i} and more words", "en", f"s{i % 3}", {"k": i % 2}, [{"m": "x"}]) for i in range(40)], "doc_id long, text string, lang string, source string, extra map<string,int>, nested array<map<string,string>>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        df = corpus_pipeline.materialise(out)
+        assert not df.isEmpty(), name
+    assert all(r.extra and r.nested == [{"m": "x"}] for r in df.collect())
+
+
+def test_sample_of_repeated_ids_is_the_same_in_any_order(spark):
+    rows = [(i % 30, f"text {i % 7} of {i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    take = lambda d: sorted(map(tuple, quality_classifier._sample(d, labels, 10).collect()))
+    assert take(docs) == take(docs.repartition(7, "text")) == take(docs.orderBy(F.desc("text")))
+
+
 def test_mixed_documents_tells_rows_of_one_id_apart(spark):
     texts = [(None, f"n{i} " * (i % 5 + 1), "ab"[i % 2]) for i in range(40)] + [(7, f"r{i} " * (i % 4 + 1), "a") for i in range(20)] + [(100 + i, f"u{i} w w", "b") for i in range(20)] + [(8, "same text", "a")] * 2 + [(9, None, "a")]
     df = spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(5)
