@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.operators.lineage import cut
-from lakeloom.operators.similarity import contains_join, fingerprint, gram_hashes, sieve, sifted_hashes
+from lakeloom.operators.similarity import contains_join, fingerprint, gram_hashes, jaccard_between, shingles, sieve, sifted_hashes
+from lakeloom.operators.windows import grouped_fold
 
 
 def following(hits: DataFrame, chunks: DataFrame, doc: str = "doc_id", seq: str = "seq", ahead: int = 6) -> DataFrame:
@@ -154,25 +155,112 @@ def align_by_content(a: DataFrame, b: DataFrame, accept: float = 0.2, margin: fl
     return best_with_margin(weighted_overlap(a, b), "body", accept, margin, ratio)
 
 
-def align_by_context(a: DataFrame, b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, accept: float = 0.25, margin: float = 0.08) -> DataFrame:
-    """Sections of one title aligned by half the overlap of their bodies and half that of their ancestors' titles.
+#: A title that often within one document says little by itself; then parents must agree, bodies weigh more and must overlap.
+GENERIC_FROM, GENERIC_PARENT, GENERIC_BODY = 3, 0.5, 0.15
+_LINK = "pair {pair}, a_path {path}, b_path {path}, score double, generic boolean"
+
+
+def _bigrams(c: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+
+
+def _alike(p: Column, q: Column) -> Column:
+    return F.size(F.array_intersect(_bigrams(p), _bigrams(q))) / F.size(F.array_union(_bigrams(p), _bigrams(q)))
+
 
-    titles rows: (pair, path, title_key, ancestors array of titles, nearest first); an
-    ancestor level weighs .6, .3 or .1 and overlaps by character bigrams.
+def align_by_context(a: DataFrame, b: DataFrame, titles_a: DataFrame, titles_b: DataFrame, accept: float = 0.25, margin: float = 0.08) -> DataFrame:
+    """(pair, a_path, b_path, score): sections of one title, aligned by their ancestors' titles and their bodies.
+
+    titles rows: (pair, path, parent, title_key, ancestors array of titles, nearest first); a and b rows: (pair, path, word). An
+    ancestor level weighs .6, .3 or .1 and overlaps by character bigrams; two sections at the top agree wholly. A score is half
+    ancestors, half bodies, and every pair that reaches ``accept`` is linked. A title that one document has three times or more is
+    generic: nearest ancestors must overlap by half, bodies count .7 and must overlap by .15, links are one to one, best first,
+    and each must lead what rivals are left by the margin. A generic link whose parents bear one title holds only while the
+    parents are linked; links are taken away until that is so everywhere. Sections without words on both sides have no score.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    x = titles_a.select("pair", "title_key", F.col("path").alias("a_path"), F.col("ancestors").alias("aa"))
-    y = titles_b.select("pair", "title_key", F.col("path").alias("b_path"), F.col("ancestors").alias("ba"))
-    j = x.join(y, ["pair", "title_key"]).join(weighted_overlap(a, b), ["pair", "a_path", "b_path"], "left")
+    side = lambda t, s: t.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("pair", "title_key"))).select(
+        "pair", "title_key", F.col("path").alias(f"{s}_path"), F.col("parent").alias(f"{s}_parent"), F.col("ancestors").alias(f"{s}a"), F.col("_n").alias(f"{s}n")
+    )
+    x, y = side(titles_a, "a"), side(titles_b, "b")
+    j = x.join(y, ["pair", "title_key"]).where("title_key <> ''").join(weighted_overlap(a, b), ["pair", "a_path", "b_path"], "left")
+    worded = lambda w, s: w.select("pair", F.col("path").alias(f"{s}_path")).distinct().withColumn(f"{s}w", F.lit(True))
+    j = j.join(worded(a, "a"), ["pair", "a_path"], "left").join(worded(b, "b"), ["pair", "b_path"], "left")
     total, weight = F.lit(0.0), F.lit(0.0)
     for i, w in enumerate((0.6, 0.3, 0.1)):
         p, q = F.get("aa", F.lit(i)), F.get("ba", F.lit(i))
-        both = F.size(F.array_intersect(grams(p), grams(q)))
-        level = both / F.size(F.array_union(grams(p), grams(q)))
         there = p.isNotNull() & q.isNotNull()
-        total, weight = total + F.when(there, w * level).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
-    up = F.when(weight > 0, total / weight).otherwise(0.0)
-    return best_with_margin(j.withColumn("s", 0.5 * up + 0.5 * F.coalesce("body", F.lit(0.0))), "s", accept, margin)
+        total, weight = total + F.when(there, w * _alike(p, q)).otherwise(0.0), weight + F.when(there, w).otherwise(0.0)
+    top = (F.size("aa") == 0) & (F.size("ba") == 0)
+    up = F.when(top, 1.0).when(weight > 0, total / weight).otherwise(0.0)
+    near = F.when(top, 1.0).when((F.size("aa") > 0) & (F.size("ba") > 0), _alike(F.get("aa", F.lit(0)), F.get("ba", F.lit(0)))).otherwise(0.0)
+    body = F.coalesce("body", F.lit(0.0))
+    generic = (F.col("an") >= GENERIC_FROM) | (F.col("bn") >= GENERIC_FROM)
+    score = F.when(F.col("aw").isNull() & F.col("bw").isNull(), 0.0).when(~generic, 0.5 * up + 0.5 * body).when((near >= GENERIC_PARENT) & (body >= GENERIC_BODY), 0.3 * up + 0.7 * body).otherwise(0.0)
+    scored = cut(j.select("pair", "title_key", "a_path", "b_path", "a_parent", "b_parent", score.alias("score"), generic.alias("generic")).where(F.col("score") > 0))
+
+    def best_first(rows: list[dict]) -> list[tuple]:
+        out, used_a, used_b = [], set(), set()
+        rows = sorted(rows, key=lambda r: (-r["score"], r["a_path"], r["b_path"]))
+        for r in rows:
+            p, q = r["a_path"], r["b_path"]
+            if r["score"] < accept or p in used_a or q in used_b:
+                continue
+            rival = max((o["score"] for o in rows if (o["a_path"] == p) != (o["b_path"] == q) and o["a_path"] not in used_a and o["b_path"] not in used_b), default=0.0)
+            if r["score"] - rival >= margin:
+                used_a.add(p)
+                used_b.add(q)
+                out.append((r["pair"], p, q, r["score"], True))
+        return out
+
+    kinds = dict(titles_a.dtypes)
+    # A group is one title in one pair of documents.
+    group = F.concat_ws("\x1f", F.col("pair").cast("string"), "title_key")
+    chosen = grouped_fold(scored.where("generic").select(group.alias("_g"), "pair", "a_path", "b_path", "score"), "_g", ["a_path", "b_path"], _LINK.format(pair=kinds["pair"], path=kinds["path"]), best_first)
+    links = scored.where(F.col("generic") == F.lit(False)).where(F.col("score") >= accept).select("pair", "a_path", "b_path", "score", "generic").union(chosen)
+    titled = lambda t, s: t.select("pair", F.col("path").alias(f"{s}_parent"), F.col("title_key").alias(f"{s}_title"))
+    parents = scored.select("pair", "a_path", "b_path", "a_parent", "b_parent").join(titled(titles_a, "a"), ["pair", "a_parent"]).join(titled(titles_b, "b"), ["pair", "b_parent"])
+    parents = parents.where("a_title = b_title and a_title <> ''").select("pair", "a_path", "b_path", "a_parent", "b_parent")
+    links = cut(links.join(parents, ["pair", "a_path", "b_path"], "left"))
+    bound = links.where("generic and a_parent is not null")
+    held = links.select("pair", F.col("a_path").alias("a_parent"), F.col("b_path").alias("b_parent"))
+    # Only links below one that has just gone can go next.
+    gone = cut(bound.join(held, ["pair", "a_parent", "b_parent"], "left_anti").select("pair", "a_path", "b_path"))
+    last = gone
+    while not last.isEmpty():
+        above = last.select("pair", F.col("a_path").alias("a_parent"), F.col("b_path").alias("b_parent"))
+        last = cut(bound.join(above, ["pair", "a_parent", "b_parent"], "left_semi").select("pair", "a_path", "b_path").join(gone, ["pair", "a_path", "b_path"], "left_anti"))
+        gone = gone.union(last)
+    return links.join(gone, ["pair", "a_path", "b_path"], "left_anti").select("pair", "a_path", "b_path", "score")
+
+
+def greedy_pairs(scored: DataFrame, a: str = "a", b: str = "b", score: str = "score") -> DataFrame:
+    """One-to-one pairs of (a, b, score), as taking the best pair left (highest score, then least a, then least b) again and again gives them.
+
+    Each round takes every pair that is the best of both its ends, which the sequential rule would take too, and drops what they exclude;
+    what is left shrinks by rounds, and no group is ever held by a task.
+    """
+    left, taken = cut(scored.select(a, b, score).where(F.col(score).isNotNull()).groupBy(a, b).agg(F.max(score).alias(score))), None
+    while not left.isEmpty():
+        order = [F.desc(score), a, b]
+        ranked = left.withColumns({"_i": F.row_number().over(W.partitionBy(a).orderBy(*order)), "_j": F.row_number().over(W.partitionBy(b).orderBy(*order))})
+        now = cut(ranked.where("_i = 1 and _j = 1").select(a, b, score))
+        taken = now if taken is None else taken.union(now)
+        left = cut(left.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti"))
+    return left if taken is None else taken
+
+
+def match_titles(left: DataFrame, right: DataFrame, least: float = 0.6, left_id: str = "left", right_id: str = "right", title: str = "title", gram: int = 2) -> DataFrame:
+    """(left_id, right_id, score): rows of two tables matched one to one by title.
+
+    Equal keys (numbering, spaces, signs and case don't count) go first, in order of ids, with score 1; what is
+    left is matched by the Jaccard overlap of character bigrams, from ``least`` on, best first. Titles without a key match nothing; an id is one row's.
+    """
+    l, r = (t.select(i, key_of(F.col(title)).alias("_k")).where("_k <> ''") for t, i in ((left, left_id), (right, right_id)))
+    nth = lambda t, i: t.withColumn("_n", F.row_number().over(W.partitionBy("_k").orderBy(i)))
+    equal = cut(nth(l, left_id).join(nth(r, right_id), ["_k", "_n"]).select(left_id, right_id, F.lit(1.0).alias("score")))
+    grams = lambda t, i: t.join(equal.select(i), i, "left_anti").select(i, F.explode(shingles(F.col("_k"), gram)).alias("_g"))
+    near = jaccard_between(grams(l, left_id), grams(r, right_id), left_id, right_id, "_g", least)
+    return equal.union(greedy_pairs(near.withColumnRenamed("jaccard", "score"), left_id, right_id))
 
 
 def match_ledger(ledger: DataFrame, cards: DataFrame, entry: str = "entry", card: str = "card", name: str = "name", acronym: str = "acronym", start: str = "start", end: str = "end") -> DataFrame:

@@ -131,11 +131,6 @@ def suggest_documents(ranked: DataFrame, best: int = 3, within: int = 12, qid: s
     return top_k(s, [qid], [F.desc("score"), F.col(doc)], best)
 
 
-def nearest_scope(levels: DataFrame, qid: str = "qid", level: str = "level") -> DataFrame:
-    """Rows of the narrowest scope that found anything: one plan for all levels instead of retries."""
-    return levels.withColumn("_l", F.min(level).over(W.partitionBy(qid))).where(F.col(level) == F.col("_l")).drop("_l")
-
-
 def pack_until(ranked: DataFrame, budget: int, most: int, size: Column, qid: str = "qid") -> DataFrame:
     """In rank order up to the first row that breaks the count or the budget (the first row always stays)."""
     w = W.partitionBy(qid).orderBy("rank")

@@ -82,6 +82,22 @@ def jaccard_join(rows: DataFrame, item: str, term: str, least: float, partition:
     return out.where(F.col("jaccard") >= least).select(*partition, "a", "b", "jaccard")
 
 
+def jaccard_between(left: DataFrame, right: DataFrame, left_id: str, right_id: str, term: str, least: float) -> DataFrame:
+    """(left_id, right_id, jaccard) for pairs of two tables, rows (id, term), that reach ``least``; candidates as in jaccard_join, in one order of terms for both."""
+    x, y = (t.select(F.lit(s).alias("_s"), F.col(i).alias("_i"), F.xxhash64(term).alias("h")).distinct() for s, t, i in ((0, left, left_id), (1, right, right_id)))
+    both = x.union(y)
+    df = both.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("_s") == 0).alias("l")).where("l > 0 and l < df").drop("l")
+    w = W.partitionBy("_s", "_i")
+    # Terms of one side only count in sizes, but join nothing.
+    t = both.join(df, "h", "left").withColumns({"size": F.count(F.lit(1)).over(w), "place": F.row_number().over(w.orderBy(F.col("df").asc_nulls_first(), "h"))})
+    prefix = t.where((F.col("place") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1) & F.col("df").isNotNull())
+    one = lambda rows, s, name, n: rows.where(F.col("_s") == s).select("h", F.col("_i").alias(name), F.col("size").alias(n))
+    lengths = (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
+    pairs = one(prefix, 0, left_id, "na").join(one(prefix, 1, right_id, "nb"), "h").where(lengths).select(left_id, right_id, "na", "nb").distinct()
+    shared = pairs.join(one(t, 0, left_id, "_").drop("_"), left_id).join(one(t, 1, right_id, "_").drop("_"), [right_id, "h"]).groupBy(left_id, right_id, "na", "nb").agg(F.count(F.lit(1)).alias("n"))
+    return shared.withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).where(F.col("jaccard") >= least).select(left_id, right_id, "jaccard")
+
+
 def jaccard_pairs(rows: DataFrame, item: str, terms: str, least: float, partition: list[str], hashed: bool = False) -> DataFrame:
     """As jaccard_join, for rows (item, array of terms): the prefix order is the hash's own, so nothing is counted first. hashed: terms are distinct, sorted hashes already."""
     own = F.col(terms) if hashed else F.array_sort(F.array_distinct(F.transform(terms, lambda x: F.xxhash64(x))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import privacy
 from lakeloom.functions import text as tx
-from lakeloom.operators import datasets, dedup, evaluation, retrieval, similarity
+from lakeloom.operators import datasets, dedup, evaluation, names, retrieval, similarity
 from lakeloom.operators.aggregates import boilerplate_terms
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_retrieval import FUSED_SQL, LEX_SQL, chunks, dense, ranked
@@ -93,16 +93,13 @@ def er_variants(t: Tables) -> DataFrame:
     return dedup.merge_variants(words.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VARIANT_LEAST))
 
 
-@query(
-    """WITH k AS (SELECT p_partkey AS doc_id, split_part(p_name, ' ', 2) AS title, p_type AS path, p_name AS head FROM part), n(name, program) AS (VALUES ('ring', 'rings'), ('gear', 'gears'), ('bolt', 'bolts'), ('small', 'gears'), ('promo', 'bolts')),
-w AS (SELECT DISTINCT doc_id, points, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS name FROM (SELECT doc_id, 3 AS points, title AS t FROM k UNION ALL SELECT doc_id, 2, path FROM k UNION ALL SELECT doc_id, 1, head FROM k)),
-s AS (SELECT doc_id, program, sum(points) AS score FROM (SELECT DISTINCT doc_id, program, points FROM w JOIN n USING (name)) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER v AS r, coalesce(lead(score) OVER v, 0) AS second FROM s WINDOW v AS (PARTITION BY doc_id ORDER BY score DESC, program))
-SELECT doc_id, program, CAST(score AS BIGINT) AS score, score >= 3 AND score >= 2 * second AS sure FROM r WHERE r = 1"""
-)
+@query()
 def er_classify(t: Tables) -> DataFrame:
-    d = t.part.select(F.col("p_partkey").alias("doc_id"), F.element_at(F.split("p_name", " "), 2).alias("title"), F.col("p_type").alias("path"), F.col("p_name").alias("head"))
-    n = t.spark.sql("SELECT * FROM VALUES ('ring', 'rings'), ('gear', 'gears'), ('bolt', 'bolts'), ('small', 'gears'), ('promo', 'bolts') AS n(name, program)")
-    return dedup.classify_by_names(d, n).withColumn("score", F.col("score").cast("long"))
+    """Documents by names from their own first lines: its first word, and its first two, each a name of the document's source."""
+    d = t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.concat_ws("/", "source", "lang").alias("path"), F.col("text").alias("head"), "source")
+    word = F.filter(F.split("title", " "), lambda w: F.length(w) > 0)
+    n = d.select(F.explode(F.array(F.array_join(F.slice(word, 1, 1), " "), F.array_join(F.slice(word, 1, 2), " "))).alias("name"), F.col("source").alias("program"))
+    return names.classify(d, n)
 
 
 @query()

@@ -90,15 +90,13 @@ def jn_similarity_jaccard(t: Tables) -> DataFrame:
     return similarity.jaccard_join(w, "item_id", "term", 0.1).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(
-    f"""WITH p AS (SELECT DISTINCT p_name FROM part), k AS (SELECT p_name, {GRAMS_SQL.format(t="replace(p_name, ' ', '')", k=2)} AS g FROM p),
-s AS (SELECT a.p_name AS a, b.p_name AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS j FROM k a JOIN k b ON a.p_name < b.p_name)
-SELECT a, b, round(j, 6) AS jaccard FROM s WHERE j >= 0.6"""
-)
+@query()
 def jn_fuzzy_title(t: Tables) -> DataFrame:
-    p = t.part.select("p_name").distinct().withColumn("k", F.replace("p_name", F.lit(" "), F.lit("")))
-    grams = p.select("p_name", F.explode(similarity.shingles(F.col("k"), 2)).alias("g"))
-    return similarity.jaccard_join(grams, "p_name", "g", 0.6).withColumn("jaccard", F.round("jaccard", 6))
+    """First lines of documents of the sources with short names, each matched with one of the other sources."""
+    titles = t.documents.select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"))
+    left, right = (titles.where(F.length("source") < 5), "left"), (titles.where(F.length("source") >= 5), "right")
+    left, right = (d.select(F.col("doc_id").alias(name), "title") for d, name in (left, right))
+    return joins.match_titles(left, right).withColumn("score", F.round("score", 6))
 
 
 SECTIONS_SQL = """SELECT conv_id AS pair, turn AS path, role AS title_key, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS up1, CASE WHEN turn < 4 THEN 'early' ELSE 'late' END AS up2 FROM conversations"""

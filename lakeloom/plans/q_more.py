@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,10 +245,19 @@ def ret_refs(t: Tables) -> DataFrame:
 # --- alignment, entities -----------------------------------------------------------------------------------
 
 
+def _above(turn: str, low: int) -> Column:
+    """Titles of the turns above one, nearest first: turns from low on as a tree in which each has two below it."""
+    chain, place = [], F.col(turn) - low
+    for _ in range(3):
+        place = F.when(place > 0, F.floor((place - 1) / 2))
+        chain.append(F.concat(F.lit("part "), place.cast("string")))
+    return F.filter(F.array(*chain), lambda c: c.isNotNull())
+
+
 def _sections(t: Tables, low: int, high: int) -> tuple[DataFrame, DataFrame]:
     c = t.conversations.where(F.col("turn").between(low, high))
     words = c.select(F.col("conv_id").alias("pair"), F.col("turn").alias("path"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word"))
-    titles = c.select(F.col("conv_id").alias("pair"), F.col("turn").alias("path"), F.col("role").alias("title_key"), F.array(F.lit("dialogue"), F.concat(F.lit("part "), F.col("turn").cast("string"))).alias("ancestors"))
+    titles = c.select(F.col("conv_id").alias("pair"), F.col("turn").alias("path"), F.col("role").alias("title_key"), _above("turn", low).alias("ancestors"), F.expr(f"CASE WHEN turn > {low} THEN {low} + (turn - {low} - 1) div 2 END").alias("parent"))
     return words, titles
 
 

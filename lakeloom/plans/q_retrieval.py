@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators import graph, graph_build, joins, retrieval, similarity, windows
+from lakeloom.operators import graph, graph_build, joins, names, retrieval, similarity, windows
 from lakeloom.operators.aggregates import dot
 from lakeloom.plans.q_aggregates import LINES_SQL, chunk_id, lines
 from lakeloom.plans.registry import Tables, query
@@ -152,13 +152,79 @@ def ret_pack_fitting(t: Tables) -> DataFrame:
     return retrieval.pack_fitting(r, 3000, "size")
 
 
+def facts(t: Tables) -> dict[str, DataFrame]:
+    """Orders as documents of programs (nation and segment), their lines as sections that name parts, suppliers' nations as mentions, brands as indicators."""
+    key = lambda nation: F.concat(F.lit("program:"), F.col(nation).cast("string"), F.lit(":"), "c_mktsegment")
+    doc = lambda c: F.concat(F.lit("doc:"), F.col(c).cast("string"))
+    kind = F.when(F.startswith("o_orderpriority", F.lit("1")), "plan").when(F.startswith("o_orderpriority", F.lit("2")), "report").when(F.startswith("o_orderpriority", F.lit("3")), "evaluation").otherwise("other")
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    docs = o.select(doc("o_orderkey").alias("doc"), key("c_nationkey").alias("program"), F.year("o_orderdate").alias("year"), kind.alias("kind"), F.col("o_custkey").cast("string").alias("code"))
+    l = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    sections = l.select(doc("l_orderkey").alias("doc"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("path"), F.col("p_name").alias("title"))
+    measures = l.groupBy(doc("l_orderkey").alias("doc"), F.col("p_brand").alias("indicator")).agg(F.sum("l_quantity").cast("long").cast("string").alias("value"))
+    m = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    mentions = m.select(doc("l_orderkey").alias("doc"), key("s_nationkey").alias("program"))
+    p = t.nation.crossJoin(t.customer.select("c_mktsegment").distinct())
+    after = F.lead("n_nationkey").over(W.partitionBy("n_regionkey", "c_mktsegment").orderBy("n_nationkey"))
+    ledger = p.withColumn("_next", after).select(F.concat(F.lit("ledger:"), key("n_nationkey")).alias("doc"), key("n_nationkey").alias("program"), F.col("n_regionkey").cast("string").alias("family"), key("_next").alias("successor"), F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("program:"), F.col("n_nationkey").cast("string"), F.lit(":BUILDING"))).alias("into"))
+    return {"docs": docs, "sections": sections, "measures": measures, "mentions": mentions, "ledger": ledger}
+
+
+BUILT_SQL = """docs AS (SELECT 'doc:' || o_orderkey AS doc, 'program:' || c_nationkey || ':' || c_mktsegment AS program, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS code,
+  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'plan' WHEN '2' THEN 'report' WHEN '3' THEN 'evaluation' ELSE 'other' END AS kind FROM orders JOIN customer ON o_custkey = c_custkey),
+sec AS (SELECT DISTINCT d.*, d.doc || ':sec:' || l_linenumber || '-' || l_partkey AS node, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey JOIN docs d ON d.doc = 'doc:' || l_orderkey),
+mea AS (SELECT DISTINCT d.doc, d.program, p_brand AS indicator FROM lineitem JOIN part ON l_partkey = p_partkey JOIN docs d ON d.doc = 'doc:' || l_orderkey),
+men AS (SELECT DISTINCT d.doc, d.program, 'program:' || s_nationkey || ':' || split_part(d.program, ':', 3) AS other FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN docs d ON d.doc = 'doc:' || l_orderkey),
+led AS (SELECT n_regionkey, n_nationkey, c_mktsegment, lead(n_nationkey) OVER (PARTITION BY n_regionkey, c_mktsegment ORDER BY n_nationkey) AS after FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)),
+units AS (SELECT program, title FROM sec GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 2),
+py AS (SELECT DISTINCT program, code, year FROM sec WHERE kind = 'plan'),
+nx AS (SELECT a.program, a.code, a.year, min(b.year) AS following FROM py a JOIN py b ON a.program = b.program AND a.code = b.code AND b.year > a.year GROUP BY 1, 2, 3),
+tot AS (SELECT program, count(*) AS total FROM docs GROUP BY 1),
+rel AS (SELECT men.program, other, count(DISTINCT doc) AS n, total FROM men JOIN tot ON tot.program = men.program WHERE men.program <> other GROUP BY 1, 2, 4 HAVING count(DISTINCT doc) >= 3 AND count(DISTINCT doc) >= 0.05 * total),
+built AS (
+SELECT 'group:' || n_regionkey AS src, 'program:' || n_nationkey || ':' || c_mktsegment AS dst, 'contains' AS kind, '분류' AS basis, 1.0::DOUBLE AS weight FROM led
+UNION SELECT program, 'year:' || program || ':' || year, 'contains', '분류', 1.0 FROM docs
+UNION SELECT 'year:' || program || ':' || year, doc, 'contains', '분류', 1.0 FROM docs
+UNION SELECT doc, node, 'contains', '구조', 1.0 FROM sec
+UNION SELECT program, 'unit:' || program || ':' || title, 'contains', '식별자 일치', 1.0 FROM units
+UNION SELECT node, 'unit:' || program || ':' || title, 'instance_of', '식별자 일치', 1.0 FROM sec JOIN units USING (program, title)
+UNION SELECT a.doc, b.doc, 'plans_reports', '식별자 일치', 1.0 FROM docs a JOIN docs b ON a.program = b.program AND a.year = b.year AND a.code = b.code WHERE a.kind = 'plan' AND b.kind = 'report'
+UNION SELECT a.node, b.node, 'plans_reports', '식별자 일치', 1.0 FROM sec a JOIN sec b ON a.program = b.program AND a.year = b.year AND a.code = b.code AND a.title = b.title WHERE a.kind = 'plan' AND b.kind = 'report'
+UNION SELECT a.doc, b.doc, 'evaluates', '분류', 1.0 FROM docs a JOIN docs b ON a.program = b.program AND a.year = b.year AND a.code = b.code WHERE a.kind = 'evaluation' AND b.kind IN ('plan', 'report')
+UNION SELECT a.node, b.node, 'continues', '식별자 일치', 1.0 FROM sec a JOIN nx ON nx.program = a.program AND nx.code = a.code AND nx.year = a.year JOIN sec b ON b.program = a.program AND b.code = a.code AND b.year = nx.following AND b.title = a.title WHERE a.kind = 'plan' AND b.kind = 'plan'
+UNION SELECT program, 'ind:' || program || ':' || indicator, 'has_indicator', '추출', 1.0 FROM mea
+UNION SELECT doc, 'ind:' || program || ':' || indicator, 'measures', '추출', 1.0 FROM mea
+UNION SELECT 'program:' || n_nationkey || ':' || c_mktsegment, 'program:' || after || ':' || c_mktsegment, 'succeeded_by', '분류', 1.0 FROM led WHERE after IS NOT NULL
+UNION SELECT 'program:' || n_nationkey || ':' || c_mktsegment, 'program:' || n_nationkey || ':BUILDING', 'integrated_into', '분류', 1.0 FROM led WHERE c_mktsegment = 'MACHINERY'
+UNION SELECT program, other, 'related', '식별자 일치', least(1.0, n / total * 5) FROM rel)"""
+
+
+_ASKED_SQL = """a AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) || ':' || c_mktsegment || ':' || year(o_orderdate) AS qid, c_nationkey AS nation, c_mktsegment AS segment, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
 @query(
-    """WITH l AS (SELECT label AS qid, vec_id, CASE WHEN vec_id % 3 = 0 THEN 0 WHEN label > 4 THEN 1 ELSE 2 END AS level FROM embeddings WHERE label <> 7 OR vec_id % 3 <> 0) SELECT qid, vec_id FROM (SELECT *, min(level) OVER (PARTITION BY qid) AS best FROM l) WHERE level = best"""
+    f"""WITH {BUILT_SQL}, {_ASKED_SQL},
+k AS (SELECT qid, nation, segment, 'program:' || nation || ':' || segment AS program, CASE WHEN segment = 'FURNITURE' THEN NULL ELSE year END AS asked, CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN 'plan' WHEN segment = 'MACHINERY' THEN 'report' END AS kind, segment IN ('MACHINERY', 'AUTOMOBILE') AS wide, segment = 'HOUSEHOLD' AS lost FROM a),
+own AS (SELECT qid, doc, (asked IS NULL OR asked = year) AND (k.kind IS NULL OR k.kind = docs.kind) AS fits FROM k JOIN docs ON docs.program = k.program WHERE NOT lost),
+far AS (SELECT qid, doc, 'succeeded_by' AS why FROM k JOIN led ON n_nationkey = nation AND c_mktsegment = segment JOIN docs ON docs.program = 'program:' || after || ':' || segment WHERE wide AND NOT lost AND (k.kind IS NULL OR k.kind = docs.kind))
+SELECT qid, doc, 'scope' AS why FROM own WHERE fits UNION ALL SELECT qid, doc, 'program' FROM own WHERE qid NOT IN (SELECT qid FROM own WHERE fits) UNION ALL SELECT * FROM far UNION ALL SELECT qid, NULL, 'everything' FROM k WHERE lost"""
 )
 def ret_scope(t: Tables) -> DataFrame:
-    level = F.when(F.col("vec_id") % 3 == 0, 0).when(F.col("label") > 4, 1).otherwise(2)
-    rows = t.embeddings.select(F.col("label").alias("qid"), "vec_id", level.alias("level")).where("qid <> 7 or level <> 0")
-    return retrieval.nearest_scope(rows).select("qid", "vec_id")
+    """A question for each program and year: names lie within one another (NATION_1, NATION_12), some questions name no program, kind or year, some follow a relation."""
+    f = facts(t)
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_mktsegment", F.year("o_orderdate").alias("year")).distinct()
+    segment = F.col("c_mktsegment")
+    nation = F.concat(F.lit("Nation_"), F.col("c_nationkey").cast("string"))
+    kind = F.when(segment.isin("BUILDING", "FURNITURE"), "plans").when(segment == "MACHINERY", "reports").otherwise("papers")
+    when = F.when(segment == "FURNITURE", "ever").otherwise(F.concat(F.lit("in "), F.col("year").cast("string")))
+    told = F.when(segment == "HOUSEHOLD", nation).otherwise(F.concat_ws(" ", segment, nation))
+    text = F.concat_ws(" ", F.lit("Which"), kind, F.lit("of"), told, when, F.when(segment.isin("MACHINERY", "AUTOMOBILE"), "and what came after?").otherwise("?"))
+    questions = o.select(F.concat_ws(":", "c_nationkey", "c_mktsegment", "year").alias("qid"), text.alias("text"))
+    programs = f["docs"].select("program").distinct().withColumn("name", F.regexp_replace("program", r"^program:(\d+):(.*)$", "$2 NATION_$1"))
+    relations = f["ledger"].where("successor is not null").select(F.col("program").alias("src"), F.col("successor").alias("dst"), F.lit("succeeded_by").alias("relation"))
+    kinds = t.spark.sql("SELECT * FROM VALUES ('plan', 'plans'), ('report', 'reports') AS k(kind, word)")
+    words = t.spark.sql("SELECT * FROM VALUES ('succeeded_by', 'came after') AS r(relation, word)")
+    return names.resolve_scope(questions, programs, f["docs"], relations, kinds, words)
 
 
 @query(
@@ -211,53 +277,6 @@ UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'supplies', '
 GRAPH_SQL = f"{NODES_SQL}, {EDGES_SQL}"
 
 
-def facts(t: Tables) -> dict[str, DataFrame]:
-    """Orders as documents of programs (nation and segment), their lines as sections that name parts, suppliers' nations as mentions, brands as indicators."""
-    key = lambda nation: F.concat(F.lit("program:"), F.col(nation).cast("string"), F.lit(":"), "c_mktsegment")
-    doc = lambda c: F.concat(F.lit("doc:"), F.col(c).cast("string"))
-    kind = F.when(F.startswith("o_orderpriority", F.lit("1")), "plan").when(F.startswith("o_orderpriority", F.lit("2")), "report").when(F.startswith("o_orderpriority", F.lit("3")), "evaluation").otherwise("other")
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    docs = o.select(doc("o_orderkey").alias("doc"), key("c_nationkey").alias("program"), F.year("o_orderdate").alias("year"), kind.alias("kind"), F.col("o_custkey").cast("string").alias("code"))
-    l = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    sections = l.select(doc("l_orderkey").alias("doc"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("path"), F.col("p_name").alias("title"))
-    measures = l.groupBy(doc("l_orderkey").alias("doc"), F.col("p_brand").alias("indicator")).agg(F.sum("l_quantity").cast("long").cast("string").alias("value"))
-    m = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    mentions = m.select(doc("l_orderkey").alias("doc"), key("s_nationkey").alias("program"))
-    p = t.nation.crossJoin(t.customer.select("c_mktsegment").distinct())
-    after = F.lead("n_nationkey").over(W.partitionBy("n_regionkey", "c_mktsegment").orderBy("n_nationkey"))
-    ledger = p.withColumn("_next", after).select(F.concat(F.lit("ledger:"), key("n_nationkey")).alias("doc"), key("n_nationkey").alias("program"), F.col("n_regionkey").cast("string").alias("family"), key("_next").alias("successor"), F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("program:"), F.col("n_nationkey").cast("string"), F.lit(":BUILDING"))).alias("into"))
-    return {"docs": docs, "sections": sections, "measures": measures, "mentions": mentions, "ledger": ledger}
-
-
-BUILT_SQL = """docs AS (SELECT 'doc:' || o_orderkey AS doc, 'program:' || c_nationkey || ':' || c_mktsegment AS program, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS code,
-  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'plan' WHEN '2' THEN 'report' WHEN '3' THEN 'evaluation' ELSE 'other' END AS kind FROM orders JOIN customer ON o_custkey = c_custkey),
-sec AS (SELECT DISTINCT d.*, d.doc || ':sec:' || l_linenumber || '-' || l_partkey AS node, p_name AS title FROM lineitem JOIN part ON l_partkey = p_partkey JOIN docs d ON d.doc = 'doc:' || l_orderkey),
-mea AS (SELECT DISTINCT d.doc, d.program, p_brand AS indicator FROM lineitem JOIN part ON l_partkey = p_partkey JOIN docs d ON d.doc = 'doc:' || l_orderkey),
-men AS (SELECT DISTINCT d.doc, d.program, 'program:' || s_nationkey || ':' || split_part(d.program, ':', 3) AS other FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN docs d ON d.doc = 'doc:' || l_orderkey),
-led AS (SELECT n_regionkey, n_nationkey, c_mktsegment, lead(n_nationkey) OVER (PARTITION BY n_regionkey, c_mktsegment ORDER BY n_nationkey) AS after FROM nation, (SELECT DISTINCT c_mktsegment FROM customer)),
-units AS (SELECT program, title FROM sec GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 2),
-py AS (SELECT DISTINCT program, code, year FROM sec WHERE kind = 'plan'),
-nx AS (SELECT a.program, a.code, a.year, min(b.year) AS following FROM py a JOIN py b ON a.program = b.program AND a.code = b.code AND b.year > a.year GROUP BY 1, 2, 3),
-tot AS (SELECT program, count(*) AS total FROM docs GROUP BY 1),
-rel AS (SELECT men.program, other, count(DISTINCT doc) AS n, total FROM men JOIN tot ON tot.program = men.program WHERE men.program <> other GROUP BY 1, 2, 4 HAVING count(DISTINCT doc) >= 3 AND count(DISTINCT doc) >= 0.05 * total),
-built AS (
-SELECT 'group:' || n_regionkey AS src, 'program:' || n_nationkey || ':' || c_mktsegment AS dst, 'contains' AS kind, '분류' AS basis, 1.0::DOUBLE AS weight FROM led
-UNION SELECT program, 'year:' || program || ':' || year, 'contains', '분류', 1.0 FROM docs
-UNION SELECT 'year:' || program || ':' || year, doc, 'contains', '분류', 1.0 FROM docs
-UNION SELECT doc, node, 'contains', '구조', 1.0 FROM sec
-UNION SELECT program, 'unit:' || program || ':' || title, 'contains', '식별자 일치', 1.0 FROM units
-UNION SELECT node, 'unit:' || program || ':' || title, 'instance_of', '식별자 일치', 1.0 FROM sec JOIN units USING (program, title)
-UNION SELECT a.doc, b.doc, 'plans_reports', '식별자 일치', 1.0 FROM docs a JOIN docs b ON a.program = b.program AND a.year = b.year AND a.code = b.code WHERE a.kind = 'plan' AND b.kind = 'report'
-UNION SELECT a.node, b.node, 'plans_reports', '식별자 일치', 1.0 FROM sec a JOIN sec b ON a.program = b.program AND a.year = b.year AND a.code = b.code AND a.title = b.title WHERE a.kind = 'plan' AND b.kind = 'report'
-UNION SELECT a.doc, b.doc, 'evaluates', '분류', 1.0 FROM docs a JOIN docs b ON a.program = b.program AND a.year = b.year AND a.code = b.code WHERE a.kind = 'evaluation' AND b.kind IN ('plan', 'report')
-UNION SELECT a.node, b.node, 'continues', '식별자 일치', 1.0 FROM sec a JOIN nx ON nx.program = a.program AND nx.code = a.code AND nx.year = a.year JOIN sec b ON b.program = a.program AND b.code = a.code AND b.year = nx.following AND b.title = a.title WHERE a.kind = 'plan' AND b.kind = 'plan'
-UNION SELECT program, 'ind:' || program || ':' || indicator, 'has_indicator', '추출', 1.0 FROM mea
-UNION SELECT doc, 'ind:' || program || ':' || indicator, 'measures', '추출', 1.0 FROM mea
-UNION SELECT 'program:' || n_nationkey || ':' || c_mktsegment, 'program:' || after || ':' || c_mktsegment, 'succeeded_by', '분류', 1.0 FROM led WHERE after IS NOT NULL
-UNION SELECT 'program:' || n_nationkey || ':' || c_mktsegment, 'program:' || n_nationkey || ':BUILDING', 'integrated_into', '분류', 1.0 FROM led WHERE c_mktsegment = 'MACHINERY'
-UNION SELECT program, other, 'related', '식별자 일치', least(1.0, n / total * 5) FROM rel)"""
-
-
 @query(f"WITH {BUILT_SQL} SELECT src, dst, kind, basis, round(weight, 6) AS weight FROM built")
 def gr_build_v3(t: Tables) -> DataFrame:
     """All ten kinds of edges from all facts."""

@@ -420,17 +420,146 @@ def jn_align_content(t):
     return _best(_overlaps(_sections(t, 0, 3), _sections(t, 2, 9)), 0.2, 0.05, 2.0)
 
 
+def aligned(a, b, accept=0.25, margin=0.08):
+    """Links of sections (pair, path, parent, title, ancestors, words) by title, ancestors and bodies, one step after the other."""
+    out = []
+    for pair in sorted({s["pair"] for s in a} & {s["pair"] for s in b}, key=repr):
+        x, y = ([s for s in side if s["pair"] == pair] for side in (a, b))
+        body = _overlaps({(0, s["path"]): (s["words"],) for s in x}, {(0, s["path"]): (s["words"],) for s in y})
+        bigrams = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))}
+        titles = Counter(s["title"] for s in x), Counter(s["title"] for s in y)
+        cands = []
+        for p in x:
+            for q in y:
+                if p["title"] != q["title"] or not p["title"]:
+                    continue
+                up, uq = p["ancestors"], q["ancestors"]
+                levels = [(w, jaccard(bigrams(m), bigrams(n))) for w, m, n in zip((0.6, 0.3, 0.1), up, uq, strict=False)]
+                anc = 1.0 if not up and not uq else sum(w * j for w, j in levels) / sum(w for w, _ in levels) if levels else 0.0
+                near = 1.0 if not up and not uq else levels[0][1] if levels else 0.0
+                words = body.get((0, p["path"], q["path"]), 0.0)
+                generic = max(n[p["title"]] for n in titles) >= 3
+                if not p["words"] and not q["words"]:
+                    score = 0.0
+                elif not generic:
+                    score = 0.5 * anc + 0.5 * words
+                else:
+                    score = 0.3 * anc + 0.7 * words if near >= 0.5 and words >= 0.15 else 0.0
+                if score > 0:
+                    cands.append((score, p, q, generic))
+        cands.sort(key=lambda c: (-c[0], c[1]["path"], c[2]["path"]))
+        links, used_p, used_q = {}, set(), set()
+        for score, p, q, generic in cands:
+            if score < accept or (generic and (p["path"] in used_p or q["path"] in used_q)):
+                continue
+            if generic:
+                rival = max((s for s, u, v, g in cands if g and u["title"] == p["title"] and (u is p) != (v is q) and u["path"] not in used_p and v["path"] not in used_q), default=0.0)
+                if score - rival < margin:
+                    continue
+                used_p.add(p["path"])
+                used_q.add(q["path"])
+            links[p["path"], q["path"]] = score, generic
+        by_path = [{s["path"]: s for s in side} for side in (x, y)]
+        while True:
+            bad = []
+            for (i, j), (_, generic) in links.items():
+                up, uq = by_path[0].get(by_path[0][i]["parent"]), by_path[1].get(by_path[1][j]["parent"])
+                if generic and up and uq and up["title"] == uq["title"] and up["title"] and (up["path"], uq["path"]) not in links:
+                    bad.append((i, j))
+            if not bad:
+                break
+            for k in bad:
+                del links[k]
+        out += [{"pair": pair, "a_path": i, "b_path": j, "score": s} for (i, j), (s, _) in links.items()]
+    return out
+
+
 def jn_align_context(t):
-    a, b = _sections(t, 0, 3), _sections(t, 2, 9)
-    body, scored = _overlaps(a, b), {}
-    bigrams = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))}
-    for (p, x), (_, tx, ux) in a.items():
-        for (q, y), (_, ty, uy) in b.items():
-            if p == q and tx == ty:
-                levels = [(w, jaccard(bigrams(m), bigrams(n))) for w, m, n in zip((0.6, 0.3, 0.1), ux, uy, strict=False)]
-                up = sum(w * j for w, j in levels) / sum(w for w, _ in levels)
-                scored[p, x, y] = 0.5 * up + 0.5 * body.get((p, x, y), 0.0)
-    return _best(scored, 0.25, 0.08)
+    def side(low, high):
+        out = []
+        for (pair, turn), (words, role, _) in _sections(t, low, high).items():
+            chain, place = [], turn - low
+            while place > 0 and len(chain) < 3:
+                place = (place - 1) // 2
+                chain.append(f"part {place}")
+            out.append({"pair": pair, "path": turn, "parent": low + (turn - low - 1) // 2 if turn > low else None, "title": role, "ancestors": chain, "words": words})
+        return out
+
+    return aligned(side(0, 3), side(2, 9))
+
+
+def matched_titles(left, right, least=0.6):
+    """Equal keys in order of ids, then the best pair left by bigrams again and again."""
+    key = lambda s: re.sub("[^가-힣A-Za-z0-9]", "", re.sub(r"^[ \t\n\x0b\f\r]*[0-9]+(?:[.)-][0-9]*)*[ \t\n\x0b\f\r]*", "", s or "")).lower()
+    sides = [sorted((i, key(x)) for i, x in side if key(x)) for side in (left, right)]
+    out, used = [], (set(), set())
+    for k in {k for _, k in sides[0]} & {k for _, k in sides[1]}:
+        for a, b in zip(*([i for i, x in side if x == k] for side in sides), strict=False):
+            out.append((a, b, 1.0))
+            used[0].add(a)
+            used[1].add(b)
+    grams = lambda s: {s[i : i + 2] for i in range(max(1, len(s) - 1))}
+    x, y = ([(i, grams(k)) for i, k in side if i not in u] for side, u in zip(sides, used, strict=True))
+    scored = sorted((-len(p & q) / len(p | q), a, b) for a, p in x for b, q in y if len(p & q) / len(p | q) >= least)
+    for s, a, b in scored:
+        if a not in used[0] and b not in used[1]:
+            used[0].add(a)
+            used[1].add(b)
+            out.append((a, b, -s))
+    return out
+
+
+def jn_fuzzy_title(t):
+    first = lambda d: (d["doc_id"], (d["text"] or "").split("\n")[0])
+    left, right = [first(d) for d in t["documents"] if len(d["source"]) < 5], [first(d) for d in t["documents"] if len(d["source"]) >= 5]
+    return [{"left": a, "right": b, "score": round(s, 6)} for a, b, s in matched_titles(left, right)]
+
+
+def flat_name(s):
+    return re.sub(r"[ \t\n\x0b\f\r.]+", "", s or "").upper()
+
+
+def found_names(text, names):
+    """Longest names first, leftmost of equal ones; what is covered can't be found again."""
+    text, hits, covered, out = flat_name(text), [], set(), []
+    for name in names:
+        at = text.find(name)
+        while at >= 0:
+            hits.append((-len(name), at, name))
+            at = text.find(name, at + 1)
+    for n, at, name in sorted(hits):
+        if covered.isdisjoint(range(at, at - n)):
+            covered.update(range(at, at - n))
+            out.append((at, at - n, name))
+    return sorted(out)
+
+
+def classified(docs, names, floor=3):
+    owners = defaultdict(set)
+    for name, program in names:
+        if len(flat_name(name)) >= 3:
+            owners[flat_name(name)].add(program)
+    out = []
+    for doc, title, path, head in docs:
+        score = Counter()
+        for place, text in (("title", title), ("path", path), ("head", head)):
+            n = Counter(p for *_, name in found_names(text, owners) for p in owners[name])
+            for p, k in n.items():
+                score[p] += 3 if place == "title" else 2 if place == "path" else min(k, 5)
+        if score:
+            (program, best), *rest = sorted(score.items(), key=lambda x: (-x[1], x[0]))
+            out.append({"doc_id": doc, "program": program, "score": best, "sure": best >= floor and best >= 2 * (rest[0][1] if rest else 0)})
+    return out
+
+
+def er_classify(t):
+    docs, names = [], []
+    for d in t["documents"]:
+        title = d["text"].split("\n")[0]
+        docs.append((d["doc_id"], title, f"{d['source']}/{d['lang']}", d["text"]))
+        w = [x for x in title.split(" ") if x]
+        names += [(" ".join(w[:n]), d["source"]) for n in (1, 2)]
+    return classified(docs, names)
 
 
 def _answers(t):
@@ -598,7 +727,7 @@ ROWS = {
     f.__name__: f
     for f in (
         txt_minhash, txt_toc, txt_repair, num_canonical, num_mask, src_html, src_mht_eml, src_dir_listing, pii_detect, pii_mask, pii_events, ret_candidates, ret_near_copies, ret_expand_query,
-        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
+        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
     )
 }
 CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap, "srt_ann_hnsw": nearest, "srt_ann_filtered": nearest}
