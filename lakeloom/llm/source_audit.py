@@ -8,8 +8,13 @@ are dealt by ranges of (language, term), each range is merged into a trie again,
 and its traversal gives every term of the range once, in UTF-8 order, with all
 its counters. Terms in fewer than ``LEAST_DOCS`` documents end there.
 
-What is kept is read in pieces of the traversal: for each pair of blocks of
-``BLOCK`` sources a piece gives the differences of all pairs of sources and the
+Most words of a large collection are in few documents. A first pass therefore
+sums the documents of each term's hash, and hashes that reach ``LEAST_DOCS`` open a bit of a
+sieve of fixed size; only terms whose bit is open go into the tries. Equal hashes and bits let
+more through, never less: what decides is the count in the merged trie.
+
+What is kept is read in runs of the traversal: for each pair of blocks of
+``BLOCK`` sources a run gives the differences of all pairs of sources and the
 first terms of each source, ties in the order of the traversal. Terms that
 neither source of a pair has differ by the same amount each; they are never
 visited, that amount times the vocabulary is added at the end.
@@ -26,11 +31,11 @@ cut between terms; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -51,6 +56,8 @@ PIECE = 4_096
 BLOCK = 256
 #: Bytes of text that are cut into terms at once.
 SLICE_BYTES = 8 << 20
+#: Bits of the sieve (1 MB, whatever the input is), and of one row while it is put together.
+SIEVE_BITS, SIEVE_ROW = 1 << 23, 1 << 15
 
 #: For each byte its lower-case form, or 0 where it is no part of a term.
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], np.uint8)
@@ -166,46 +173,97 @@ def _given(tries: dict[str, RadixTrie]) -> Iterator[pa.RecordBatch]:
     tries.clear()
 
 
-def _count(most: int, slice_bytes: int):
+def _hashes(terms: pa.Array, lang: int) -> np.ndarray:
+    """64-bit hashes of byte strings, each the sum of its bytes times powers of an odd number; lang sets languages apart."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    lengths = np.diff(offsets)
+    powers = np.cumprod(np.full(max(int(lengths.max()), 1), 0x9E3779B97F4A7C15, np.uint64))
+    at = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+    h = np.add.reduceat(data * powers[at], offsets[:-1] - offsets[0]) ^ np.uint64(lang)
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _coded(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[tuple]:
+    """For each slice and language of a batch: (lang, rows, texts, terms, codes, of): distinct terms, and the term and the place in rows of each occurrence."""
+    langs = batch.column("lang").to_pylist()
+    texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text").cast(pa.large_binary())]
+    by_lang: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        by_lang.setdefault(lang, []).append(i)
+    for lang, mine in by_lang.items():
+        for rows, held in _slices([texts[i] for i in mine], slice_bytes):
+            terms, of = _cut(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])[:-1])
+            if len(terms):
+                coded = terms.dictionary_encode()
+                yield lang, [mine[r] for r in rows], texts, coded.dictionary, coded.indices.to_numpy().astype(np.int64), of
+
+
+def _lang_hash(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
+def _documents(slice_bytes: int):
+    """(h, docs): documents of each term's hash; parts of one long text count apart, so it may be too many, never too few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, _, _, terms, codes, of in _coded(batch, slice_bytes):
+                docs = np.bincount(np.unique(of * len(terms) + codes) % len(terms), minlength=len(terms))
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(terms, _lang_hash(lang))), pa.array(docs.astype(np.int64))], ["h", "docs"])
+        give_back()
+
+    return run
+
+
+def _sieve(docs: DataFrame, least: int, slice_bytes: int) -> bytes:
+    """A bit for each hash with enough documents. What comes to the driver has a fixed size."""
+    enough = docs.mapInArrow(_documents(slice_bytes), "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+    bit = F.pmod("h", F.lit(SIEVE_BITS))
+    parts = enough.groupBy(F.floor(bit / SIEVE_ROW).alias("row")).agg(F.bitmap_construct_agg(bit % SIEVE_ROW).alias("bits"))
+    out = bytearray(SIEVE_BITS // 8)
+    for r in parts.collect():
+        out[r.row * SIEVE_ROW // 8 : (r.row + 1) * SIEVE_ROW // 8] = bytes(r.bits)
+    return bytes(out)
+
+
+def _count(most: int, slice_bytes: int, sieve: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, RadixTrie] = {}
+        open_ = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text").cast(pa.large_binary())]
+            sources = batch.column("source").to_pylist()
             cut_from, said = -1, set()  # terms that earlier parts of a text have told of
-            for rows, held in _slices(texts, slice_bytes):
-                starts = np.cumsum([0, *map(len, held)])[:-1]
-                terms, of = _cut(np.frombuffer(b"".join(held), np.uint8), starts)
-                if not len(terms):
-                    continue
-                coded = terms.dictionary_encode()
-                names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-                kinds: dict[tuple[str, str], int] = {}
-                kind = np.array([kinds.setdefault((langs[r], sources[r]), len(kinds)) for r in rows], np.int64)[of]
+            for lang, rows, texts, terms, codes, of in _coded(batch, slice_bytes):
+                through = open_[_hashes(terms, _lang_hash(lang)) & (SIEVE_BITS - 1)]
+                kept = np.flatnonzero(through)
+                names = terms.take(pa.array(kept)).to_pylist()
+                own = through[codes]
+                codes, of = (np.cumsum(through) - 1)[codes[own]], of[own]
+                n_names = max(len(names), 1)
+                kinds: dict[str, int] = {}
+                kind = np.array([kinds.setdefault(sources[r], len(kinds)) for r in rows], np.int64)[of]
                 told = list(kinds)
-                cells, n = np.unique(kind * len(names) + codes, return_counts=True)
-                in_docs = np.unique(of * len(names) + codes)
-                first_part, last_part = rows[0] == cut_from, len(texts[rows[-1]]) > slice_bytes
-                if first_part and said:
+                cells, n = np.unique(codes * len(told) + kind, return_counts=True)
+                in_docs = np.unique(of * n_names + codes)
+                if rows[0] == cut_from and said:
                     known = np.fromiter((x in said for x in names), bool, len(names))
-                    in_docs = in_docs[~((in_docs < len(names)) & known[in_docs % len(names)])]
-                if last_part:
+                    in_docs = in_docs[~((in_docs < n_names) & known[in_docs % n_names])] if len(names) else in_docs
+                if len(texts[rows[-1]]) > slice_bytes:
                     mine = {names[c] for c in np.unique(codes[of == len(rows) - 1]).tolist()}
                     said = said | mine if rows[-1] == cut_from else mine
                     cut_from = rows[-1]
-                lang_no: dict[str, int] = {}
-                lang_of = np.array([lang_no.setdefault(langs[r], len(lang_no)) for r in rows], np.int64)
-                docs_of, docs_n = np.unique(lang_of[in_docs // len(names)] * len(names) + in_docs % len(names), return_counts=True)
-                leaves: dict[tuple[int, int], list] = {}
+                trie = tries.setdefault(lang, RadixTrie())
+                docs = np.bincount(in_docs % n_names, minlength=n_names).tolist()
+                before, leaf = -1, None
                 for cell, m in zip(cells.tolist(), n.tolist(), strict=True):
-                    lang, source = told[cell // len(names)]
-                    c = cell % len(names)
-                    leaf = leaves.get((lang_no[lang], c))
-                    if leaf is None:
-                        leaf = leaves[lang_no[lang], c] = tries.setdefault(lang, RadixTrie()).leaf(names[c])
-                    leaf[1][source] = leaf[1].get(source, 0) + m
-                for cell, m in zip(docs_of.tolist(), docs_n.tolist(), strict=True):
-                    leaves[divmod(cell, len(names))][0] += m
+                    c, k = divmod(cell, len(told))
+                    if c != before:
+                        before, leaf = c, trie.leaf(names[c])
+                        leaf[0] += docs[c]
+                    leaf[1][told[k]] = leaf[1].get(told[k], 0) + m
                 if sum(t.size for t in tries.values()) >= most:
                     yield from _given(tries)
         yield from _given(tries)
@@ -305,7 +363,8 @@ def _compare(top: int):
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS, leaves: int = LEAVES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(piece, lang, term, total, sources, counts) for every term in enough documents of its language; piece numbers runs in UTF-8 order."""
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    parts = stored_table(own.mapInArrow(_count(leaves, slice_bytes), PART_DDL))
+    sieve = _sieve(own.select("text", "lang"), least_docs, slice_bytes)
+    parts = stored_table(own.mapInArrow(_count(leaves, slice_bytes, sieve), PART_DDL))
     ranges = -(-parts.count() // RANGE_LEAVES) or 1
     return parts.repartitionByRange(ranges, "lang", "term").mapInArrow(_merge(least_docs), KEPT_DDL)
 
@@ -323,13 +382,17 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     listed = groups.groupBy("lang", "block", "terms", "lang_size").agg(F.sort_array(F.collect_list(F.struct("source", "size"))).alias("held"))
     listed = listed.select("lang", "block", "terms", "lang_size", F.col("held.source").alias("a"), F.col("held.size").alias("na"))
     pairs = listed.withColumnRenamed("block", "bi").join(listed.select("lang", F.col("block").alias("bj"), F.col("a").alias("b"), F.col("na").alias("nb")), "lang").where("bi <= bj")
+    # Pieces are as many as merging tasks were, and more; neighbours go together until they hold about PIECE terms.
+    pieces = kept.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = stored_table(pieces.select("lang", "piece", F.floor(before / PIECE).alias("run")))
     blocks = groups.groupBy("lang").agg(F.max("block").alias("last"))
     low = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
     high = F.explode(F.sequence(F.col("bi"), F.col("last")))
-    dealt = kept.join(blocks, "lang").withColumn("bi", low).withColumn("bj", high).drop("last")
-    keys = ["lang", "bi", "bj", "piece"]
+    dealt = kept.join(runs, ["lang", "piece"]).join(blocks, "lang").withColumn("bi", low).withColumn("bj", high).drop("last")
+    keys = ["lang", "bi", "bj", "run"]
     # Under names of their own: both sides come from one table.
-    told = pairs.join(kept.select("lang", "piece").distinct(), "lang").select(*[F.col(c).alias(f"of_{c}") for c in keys], "bi", "bj", "lang", "terms", "lang_size", "a", "na", "b", "nb")
+    told = pairs.join(runs.select("lang", "run").distinct(), "lang").select(*[F.col(c).alias(f"of_{c}") for c in keys], "bi", "bj", "lang", "terms", "lang_size", "a", "na", "b", "nb")
     parts = stored_table(dealt.groupBy(*keys).cogroup(told.groupBy(*[f"of_{c}" for c in keys])).applyInArrow(_compare(top), DIFFERENT))
 
     none = F.when(F.col("terms") > 0, F.expr(f"1 + {SCALE * PRIOR}L div (size + {PRIOR} * terms)")).otherwise(F.lit(0)).cast("long")
