@@ -204,34 +204,6 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[가-힣a-z0-9]{2,}"), F.lit(0)))
 
 
-def respace(text: Column, known: list[str] | None = None, split: Callable[[str], list[str]] | None = None, least: int = 10) -> Column:
-    """Runs of ``least`` and more Hangul syllables get their spaces back: by an injected splitter, or by the longest known words from the left.
-
-    A run that the known words don't cover to its end stays as it is.
-    """
-    words = frozenset(known or ())
-    longest = max(map(len, words), default=0)
-
-    def cover(run: str) -> list[str]:
-        out, at = [], 0
-        while at < len(run):
-            n = next((k for k in range(min(longest, len(run) - at), 0, -1) if run[at : at + k] in words), 0)
-            if not n:
-                return [run]
-            out.append(run[at : at + n])
-            at += n
-        return out
-
-    parts = split or cover
-    pattern = re.compile("[가-힣]{%d,}" % least)
-
-    @F.pandas_udf(T.StringType())
-    def run_on(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else pattern.sub(lambda m: " ".join(parts(m[0])), x))
-
-    return run_on(text)
-
-
 def tidy_reply(text: Column) -> Column:
     """Repeated sentences once, in order."""
     sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.?!])\s+"), lambda s: F.trim(s) != "")

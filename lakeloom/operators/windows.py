@@ -118,25 +118,6 @@ def pack_windows(rows: DataFrame, key: str, order: Sequence[str], size: str, lim
     return grouped_fold(rows.select(*names, size), key, order, schema, fold)
 
 
-def rebuild_versions(log: DataFrame, doc: str = "doc_id", version: str = "version") -> DataFrame:
-    """(doc, version, text) from a log of snapshots (kind 'full', text) and edits (kind 'edit', at, removed, text)."""
-    types = {f.name: f.dataType for f in log.schema.fields}
-    schema = T.StructType([T.StructField(doc, types[doc]), T.StructField(version, types[version]), T.StructField("text", T.StringType())])
-
-    def fold(items: list[dict]) -> list[tuple]:
-        out, now = [], ""
-        for r in items:
-            if r["kind"] == "full":
-                now = r["text"] or ""
-            else:
-                at = int(r["at"])
-                now = now[:at] + (r["text"] or "") + now[at + int(r["removed"]) :]
-            out.append((r[doc], r[version], now))
-        return out
-
-    return grouped_fold(log, doc, [version], schema, fold)
-
-
 def evidence_before(turns: DataFrame, conv: str, turn: str, evidence: Column) -> DataFrame:
     """turns with seen: how much evidence stands in strictly earlier turns."""
     w = W.partitionBy(conv).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)

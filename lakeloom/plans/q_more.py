@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.functions import chunking, numbers, privacy
+from lakeloom.functions import chunking, numbers, privacy, segment
 from lakeloom.functions import text as tx
-from lakeloom.operators import datasets, dedup, evaluation, joins, retrieval, windows
+from lakeloom.operators import datasets, dedup, evaluation, joins, mining, retrieval, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
 from lakeloom.operators.lineage import scratch
@@ -295,10 +295,22 @@ def hier_assemble(t: Tables) -> DataFrame:
     return dedup.parents_by_mention(j.select(F.col("c_mktsegment").alias("unit"), F.col("n_name").alias("parent"), F.col("n_regionkey").alias("depth")))
 
 
-@query("SELECT lower(p_name) AS name, count(*) AS titles, count(*) AS documents FROM part GROUP BY 1 HAVING count(*) >= 3")
+def _titled(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
+
+
+@query()
 def er_mine_programs(t: Tables) -> DataFrame:
-    p = t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.col("p_name").alias("text"))
-    return dedup.mine_names(p, p, longest=2)
+    """Names from first lines, borne out by whole texts."""
+    d = _titled(t)
+    return mining.mine_names(d, d, least_mentions=1.0).withColumn("titles", F.col("titles").cast("long"))
+
+
+@query()
+def er_roles(t: Tables) -> DataFrame:
+    """What first lines end in, by words that mostly stand at the back."""
+    d = _titled(t)
+    return mining.document_roles(d, mining.role_words(mining.frequent_sequences(d, longest=1)))
 
 
 @query("SELECT key, arg_max(p_name, (n, p_name)) AS name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS key, p_name, count(*) AS n FROM part GROUP BY ALL) GROUP BY key")
@@ -465,11 +477,12 @@ def ev_style(t: Tables) -> DataFrame:
     return j.select("conv_id", F.round(evaluation.style_gap(F.col("a"), F.col("b")), 6).alias("gap"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '지원 사업 신청 안내 및 일정 ' WHEN 1 THEN '지원사업신청안내및일정모름 ' ELSE '지원사업 ' END || p_name AS text FROM part")
+@query()
 def txt_respace(t: Tables) -> DataFrame:
-    runs = F.array(*[F.lit(x) for x in ("지원사업신청안내및일정", "지원사업신청안내및일정모름", "지원사업")])
-    said = F.concat(F.element_at(runs, (F.col("p_partkey") % 3 + 1).cast("int")), F.lit(" "), "p_name")
-    return t.part.select("p_partkey", tx.respace(said, ["지원", "사업", "신청", "안내", "및", "일정"]).alias("text"))
+    """All texts without their spaces, and how many of these come back where they were."""
+    costs = segment.word_costs(t.documents)
+    restored = segment.respace(F.replace("text", F.lit(" "), F.lit("")), costs)
+    return t.documents.select("doc_id", restored.alias("restored"), "text").select("doc_id", F.md5("restored").alias("digest"), segment.spaces_restored(F.col("text"), F.col("restored")).alias("s")).select("doc_id", "digest", "s.*")
 
 
 @query(f"WITH {LEX_SQL}, x AS (SELECT qid, l.chunk_id, rank AS old, round((length(c.text) % 97) / 97, 6) AS score FROM lex l JOIN c USING (chunk_id)) SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old, chunk_id) AS rank FROM x")

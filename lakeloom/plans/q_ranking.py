@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.operators import aggregates as agg
-from lakeloom.operators import ranking, similarity, vector_index, windows
-from lakeloom.operators.lineage import scratch
+from lakeloom.operators import ranking, similarity, vector_index, versions, windows
+from lakeloom.operators.lineage import cut, scratch
 from lakeloom.plans.q_aggregates import LINES_SQL, WORDS_SQL, lines, words
 from lakeloom.plans.registry import Tables, query
 
@@ -79,13 +79,15 @@ def win_toc_run(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)
-SELECT a.conv_id, a.turn, string_agg(b.text, '' ORDER BY b.turn) AS text FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY 1, 2"""
+    """SELECT user_id AS doc_id, event_id AS version, 'user ' || user_id || chr(10) || string_agg(coalesce(props, ''), chr(10)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) || chr(10) || 'end' AS text,
+CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 50 AS INTEGER) AS step FROM events"""
 )
 def win_version_history(t: Tables) -> DataFrame:
-    before = F.coalesce(F.sum(F.length("text")).over(windows.W.partitionBy("conv_id").orderBy("turn").rowsBetween(windows.W.unboundedPreceding, -1)), F.lit(0))
-    log = t.conversations.select("conv_id", "turn", F.when(F.col("turn") == 0, "full").otherwise("edit").alias("kind"), before.alias("at"), F.lit(0).alias("removed"), "text")
-    return windows.rebuild_versions(log, "conv_id", "turn")
+    """A text for each user that shows the last four events: written as deltas, read back version by version."""
+    recent = F.collect_list(F.coalesce("props", F.lit(""))).over(windows.W.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, 0))
+    text = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit("\n"), F.array_join(recent, "\n"), F.lit("\nend"))
+    log = cut(versions.write_deltas(t.events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("version"), text.alias("text"))))
+    return versions.read_versions(log)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators import graph, graph_build, joins, names, retrieval, similarity, windows
+from lakeloom.operators import graph, graph_build, joins, names, retrieval, shapes, similarity, windows
 from lakeloom.operators.aggregates import dot
 from lakeloom.plans.q_aggregates import LINES_SQL, chunk_id, lines
 from lakeloom.plans.registry import Tables, query
@@ -399,3 +399,34 @@ def gr_fingerprint(t: Tables) -> DataFrame:
 @query(f"WITH {GRAPH_SQL} SELECT '<urn:graph:' || replace(src, ':', '%3A') || '> <urn:graph:' || kind || '> <urn:graph:' || replace(dst, ':', '%3A') || '> .' AS line FROM edges UNION ALL SELECT '<urn:graph:' || replace(id, ':', '%3A') || '> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <urn:graph:' || type || '> .' FROM nodes UNION ALL SELECT '<urn:graph:' || replace(id, ':', '%3A') || '> <http://www.w3.org/2000/01/rdf-schema#label> \"' || label || '\" .' FROM nodes")
 def snk_rdf(t: Tables) -> DataFrame:
     return graph.ntriples(nodes(t), edges(t))
+
+
+SHAPES = [
+    shapes.Shape("region", [shapes.Value("label")], [shapes.Link("contains", 1, None, "nation")], closed=True),
+    shapes.Shape("nation", [shapes.Value("label", pattern="^NATION_[0-9]+$")], [shapes.Link("contains", 0, None, "supplier"), shapes.Link("contains", 1, 1, "region", inverse=True)], closed=True),
+    shapes.Shape("supplier", [shapes.Value("label")], [shapes.Link("supplies", 1, None, "part"), shapes.Link("contains", 1, 1, "nation", inverse=True)], closed=True),
+    shapes.Shape("part", [shapes.Value("label")], [shapes.Link("supplies", 0, None, "supplier", inverse=True)], closed=True),
+]
+
+
+@query(
+    f"""WITH {GRAPH_SQL}, n AS (SELECT * FROM nodes UNION ALL SELECT 'blank:' || p_partkey, 'part', ' ' FROM part WHERE p_size = 46 UNION ALL SELECT 'lone:' || p_partkey, 'supplier', 'x' FROM part WHERE p_size = 49 UNION ALL SELECT 'odd:' || p_partkey, 'nation', 'Nation' FROM part WHERE p_size = 45),
+e AS (SELECT src, dst, kind FROM edges UNION SELECT 'part:' || p_partkey, 'part:' || p_partkey, 'odd' FROM part WHERE p_size = 47 UNION SELECT 'nation:0', 'part:' || p_partkey, 'contains' FROM part WHERE p_size = 48 UNION SELECT 'nation:' || n_nationkey, 'supplier:1', 'contains' FROM nation UNION SELECT 'supplier:2', 'gone:' || p_partkey, 'supplies' FROM part WHERE p_size = 50),
+l(type, kind, inv, least, most, other) AS (VALUES ('region', 'contains', false, 1, NULL, 'nation'), ('nation', 'contains', false, 0, NULL, 'supplier'), ('nation', 'contains', true, 1, 1, 'region'), ('supplier', 'supplies', false, 1, NULL, 'part'), ('supplier', 'contains', true, 1, 1, 'nation'), ('part', 'supplies', true, 0, NULL, 'supplier')),
+d AS (SELECT src AS node, dst AS far, kind, false AS inv FROM e UNION ALL SELECT dst, src, kind, true FROM e),
+c AS (SELECT n.type AS shape, n.id AS node, CASE WHEN l.inv THEN '^' ELSE '' END || l.kind AS path, least, most, count(d.far) AS k, count(CASE WHEN d.far IS NOT NULL AND m.type IS DISTINCT FROM l.other THEN 1 END) AS foreign_ends
+  FROM n JOIN l ON n.type = l.type LEFT JOIN d ON d.node = n.id AND d.kind = l.kind AND d.inv = l.inv LEFT JOIN n m ON m.id = d.far GROUP BY 1, 2, 3, 4, 5)
+SELECT type AS shape, id AS node, 'missing' AS rule, 'label' AS path, CAST(1 AS BIGINT) AS n FROM n WHERE trim(coalesce(label, '')) = '' UNION ALL SELECT type, id, 'pattern', 'label', 1 FROM n WHERE type = 'nation' AND NOT regexp_matches(label, '^NATION_[0-9]+$')
+UNION ALL SELECT shape, node, 'too few', path, k FROM c WHERE k < least UNION ALL SELECT shape, node, 'too many', path, k FROM c WHERE k > most UNION ALL SELECT shape, node, 'class', path, foreign_ends FROM c WHERE foreign_ends > 0
+UNION ALL SELECT n.type, n.id, 'closed', d.kind, count(*) FROM d JOIN n ON n.id = d.node WHERE NOT inv AND NOT EXISTS (SELECT 1 FROM l WHERE l.type = n.type AND l.kind = d.kind AND NOT l.inv) GROUP BY 1, 2, 4"""
+)
+def snk_rdf_shapes(t: Tables) -> DataFrame:
+    """The graph with faults of every kind against the shapes of its nodes."""
+    key = F.col("p_partkey").cast("string")
+    more = lambda size, prefix, kind, label: t.part.where(F.col("p_size") == size).select(F.concat(F.lit(prefix), key).alias("id"), F.lit(kind).alias("type"), F.lit(label).alias("label"))
+    n = nodes(t).union(more(46, "blank:", "part", " ")).union(more(49, "lone:", "supplier", "x")).union(more(45, "odd:", "nation", "Nation"))
+    link = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
+    part, sized = F.concat(F.lit("part:"), key), lambda size: t.part.where(F.col("p_size") == size)
+    e = edges(t).select("src", "dst", "kind").union(link(sized(47), part, part, "odd")).union(link(sized(48), F.lit("nation:0"), part, "contains"))
+    e = e.union(link(t.nation, F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")), F.lit("supplier:1"), "contains")).union(link(sized(50), F.lit("supplier:2"), F.concat(F.lit("gone:"), key), "supplies"))
+    return shapes.violations(n, e, SHAPES)

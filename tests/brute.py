@@ -562,6 +562,91 @@ def er_classify(t):
     return classified(docs, names)
 
 
+def title_words(s):
+    return re.findall(r"[^\s!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+", (s or "").lower(), re.ASCII)
+
+
+def sequences(titles, least=2, longest=6):
+    """{gram: (documents, mean place)} of repeated word sequences."""
+    first = defaultdict(dict)
+    for doc, title in titles:
+        w = title_words(title)
+        for n in range(1, (longest or len(w)) + 1):
+            for i in range(len(w) - n + 1):
+                first[" ".join(w[i : i + n])].setdefault(doc, i / len(w))
+    return {g: (len(p), round(sum(p.values()) / len(p), 9)) for g, p in first.items() if len(p) >= least}
+
+
+def mined_names(titles, bodies, least=2, longest=6, least_bodies=2, least_mentions=2.0):
+    found = sequences(titles, least, longest)
+    inside = lambda g, h: g != h and f" {g} " in f" {h} "
+    roles = {g for g, (_, p) in found.items() if " " not in g and p >= 0.45 and len(g) >= 2}
+    core = {}
+    for g, (n, p) in found.items():
+        longer = any(k >= n and len(h.split()) == len(g.split()) + 1 and inside(g, h) for h, (k, _) in found.items())
+        if not longer and p <= 0.25 and len(re.sub(r"[\W_]+", "", g, flags=re.ASCII)) >= 3 and not any(re.fullmatch(r"[0-9]{1,2}", w) for w in g.split()):
+            core[g] = n
+    kept = {g: n for g, n in core.items() if not any(inside(h, g) and roles & (set(g.split()) - set(h.split())) for h in core)}
+    names = defaultdict(set)
+    for g, n in kept.items():
+        over = [h for h, m in kept.items() if inside(g, h) and m >= 0.6 * n]
+        names[max(over, key=lambda h: (len(h), h)) if over else g].add(g)
+    out = []
+    for name, surfaces in names.items():
+        if not any(re.fullmatch(r"[A-Za-z0-9.]{3,}", w) or len(re.findall("[가-힣]", w)) >= 3 for w in name.split()):
+            continue
+        key, seen = flat_name(name), Counter()
+        for doc, text in bodies:
+            text = flat_name(text)
+            seen[doc] += sum(text.startswith(key, i) for i in range(len(text)))
+        seen = {d: n for d, n in seen.items() if n}
+        if len(seen) >= least_bodies and sum(seen.values()) >= least_mentions * len(seen):
+            out.append({"name": name, "surfaces": sorted(surfaces | {name}), "titles": kept[name], "documents": len(seen), "mentions": sum(seen.values())})
+    return out
+
+
+def _titled(t):
+    return [(d["doc_id"], d["text"].split("\n")[0]) for d in t["documents"]]
+
+
+def er_mine_programs(t):
+    return mined_names(_titled(t), [(d["doc_id"], d["text"]) for d in t["documents"]], least_mentions=1.0)
+
+
+def er_roles(t):
+    roles = {g for g, (_, p) in sequences(_titled(t), longest=1).items() if p >= 0.45 and len(g) >= 2}
+    last = {doc: [w for w in title_words(title) if w in roles] for doc, title in _titled(t)}
+    return [{"doc_id": doc, "role": w[-1]} for doc, w in last.items() if w]
+
+
+def spaced(run, costs):
+    """The cheapest cut of a run; of cuts that cost the same the one whose last words are shorter."""
+    best = {0: (0.0, 0)}
+    for end in range(1, len(run) + 1):
+        best[end] = min((best[end - n][0] + costs.get(run[end - n : end], costs[""] + math.log(40) * n), n) for n in range(1, min(24, end) + 1))
+    out, end = [], len(run)
+    while end:
+        out.insert(0, run[end - best[end][1] : end])
+        end -= best[end][1]
+    return out
+
+
+def respaced(rows, t, spark, name):
+    """Cuts cost what a plain search finds, and most spaces come back."""
+    words = Counter(w for d in t["documents"] for w in re.split(r"[ \t\n\x0b\f\r]+", d["text"]) if w and len(w) <= 24)
+    total = sum(words.values())
+    costs = {w: -math.log(n / total) for w, n in words.items()} | {"": math.log(total + 1)}
+    digest = {r["doc_id"]: r["digest"] for r in rows}
+    assert set(digest) == {d["doc_id"] for d in t["documents"]}
+    same = 0
+    for d in t["documents"][:40]:
+        text = re.sub(r"\S{10,}", lambda m: " ".join(spaced(m[0], costs)), d["text"].replace(" ", ""))
+        same += hashlib.md5(text.encode()).hexdigest() == digest[d["doc_id"]]
+    assert same == len(t["documents"][:40])
+    wanted, given, right = (sum(r[c] for r in rows) for c in ("wanted", "given", "right"))
+    assert 2 * right / (wanted + given) > 0.9, (wanted, given, right)
+
+
 def _answers(t):
     by = {(c["conv_id"], c["turn"]): c["text"] for c in t["conversations"]}
     return [(k, x, by[k, 3]) for (k, n), x in by.items() if n == 1 and (k, 3) in by]
@@ -727,7 +812,7 @@ ROWS = {
     f.__name__: f
     for f in (
         txt_minhash, txt_toc, txt_repair, num_canonical, num_mask, src_html, src_mht_eml, src_dir_listing, pii_detect, pii_mask, pii_events, ret_candidates, ret_near_copies, ret_expand_query,
-        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
+        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, er_mine_programs, er_roles, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
     )
 }
-CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap, "srt_ann_hnsw": nearest, "srt_ann_filtered": nearest}
+CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap, "txt_respace": respaced, "srt_ann_hnsw": nearest, "srt_ann_filtered": nearest}
