@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators.windows import number_rows
+
 
 def page(rows: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` from 1 (smaller numbers count as 1)."""
@@ -28,7 +30,8 @@ def stable_sample(rows: DataFrame, key: Sequence[Column], seed: str, k: int) ->
 
 def promote(rows: DataFrame, has: Column, rank: str) -> DataFrame:
     """Rows that have it first, otherwise in their old order; rank is written anew."""
-    return rows.withColumn(rank, F.row_number().over(W.orderBy(F.desc(has), rank)))
+    first = F.when(has, 0).otherwise(1)
+    return number_rows(rows.withColumn("_first", first), [F.col("_first"), F.col(rank)], "_new").drop("_first", rank).withColumnRenamed("_new", rank)
 
 
 def newest_groups_first(rows: DataFrame, key: str, at: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.operators.lineage import cut
+
 
 def top_k(rows: DataFrame, key: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each key with their rank; Spark cuts groups to k before the shuffle (window group limit)."""
@@ -68,14 +70,46 @@ def toc_runs(chunks: DataFrame, heading: Column, doc: str = "doc_id", page: str
     return c.withColumn("toc", F.col("_h") & (F.count(F.lit(1)).over(run) >= least)).drop("_h", "_i", "_j")
 
 
-def latest_version(rows: DataFrame, family: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return first_seen(rows, family, order)
+#: Fixed value: the share of the shorter version's grams that a version and the one it follows have in common.
+FOLLOWS_FROM = 0.3
+
+
+def current_versions(rows: DataFrame, family: str = "family", version: str = "version", latest: str = "latest", trusted: str = "trusted", dates: str = "dates", grams: str = "grams") -> DataFrame:
+    """(family, version, status): current, old or unsure, for the versions (latest: when last revised, dates: all revisions, grams: hashes of the text) of each family.
+
+    From the latest version down, the first one that is trusted, or has nothing before it, or follows its anchor is current: the anchor is the nearest trusted version
+    before it, else the nearest one, and a version follows it that is later, keeps all its revisions and shares enough of its
+    text. Versions above the current one are unsure, those below are old. Only an anchor's row meets a version: no family is held by a task.
+    """
+    down = W.partitionBy(family).orderBy(F.col(latest).desc_nulls_last(), F.desc(version))
+    below = down.rowsBetween(1, W.unboundedFollowing)
+    known = F.coalesce(F.col(trusted), F.lit(False))
+    near = F.first(F.when(known, F.col(version)), ignorenulls=True).over(below)
+    v = rows.select(family, version, latest, known.alias("_ok"), F.coalesce(near, F.lead(version).over(down)).alias("_anchor"), F.row_number().over(down).alias("_at"))
+    own = rows.select(family, version, F.coalesce(dates, F.array()).alias("_d"), F.coalesce(grams, F.array()).alias("_g"))
+    anchor = rows.select(family, F.col(version).alias("_anchor"), F.col(latest).alias("_was"), F.coalesce(dates, F.array()).alias("_ad"), F.coalesce(grams, F.array()).alias("_ag"))
+    asked = v.where(~F.col("_ok") & F.col("_anchor").isNotNull()).join(own, [family, version]).join(anchor, [family, "_anchor"])
+    shared = F.size(F.array_intersect("_g", "_ag")) / F.greatest(F.least(F.size(F.array_distinct("_g")), F.size(F.array_distinct("_ag"))), F.lit(1))
+    follows = F.coalesce(F.col(latest) > F.col("_was"), F.col(latest).isNotNull()) & (F.size(F.array_except("_ad", "_d")) == 0) & (shared >= FOLLOWS_FROM)
+    sound = asked.where(follows).select(family, version, F.lit(True).alias("_follows"))
+    v = v.join(sound, [family, version], "left").withColumn("_good", F.col("_ok") | F.col("_anchor").isNull() | F.coalesce("_follows", F.lit(False)))
+    first = F.min(F.when(F.col("_good"), F.col("_at"))).over(W.partitionBy(family))
+    return v.select(family, version, F.when(F.col("_at") == first, "current").when(F.col("_at") < first, "unsure").otherwise("old").alias("status"))
+
+
+def number_rows(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """rows with name, their place from 1 in an order over all of them: sorted ranges, and for each range how many rows lie before it. No task holds more than its range."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))  # one row a range
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return placed.withColumn("_p", part).join(before, "_p").withColumn(name, F.col("_b") + F.col("_m") - F.shiftleft("_p", 33) + 1).drop("_p", "_m", "_b")
 
 
 def round_robin(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """rows with turn: the first row of every key, then the second of every key, and so on."""
     rn = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return rows.withColumn("round", rn).withColumn("turn", F.row_number().over(W.orderBy("round", key)))
+    return number_rows(rows.withColumn("round", rn), [F.col("round"), F.col(key)], "turn")
 
 
 def fuse(a: DataFrame, b: DataFrame, by: Sequence[str], item: str, k: int = 60, w_a: float = 1.0, w_b: float = 1.0) -> DataFrame:

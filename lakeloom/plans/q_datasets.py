@@ -214,23 +214,22 @@ def ds_chat_sessions(t: Tables) -> DataFrame:
     return datasets.sessions(t.conversations).select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join(F.transform("turns", lambda x: x.role), ">").alias("roles"))
 
 
-@query(
-    """WITH s AS (SELECT conv_id, count(*) FILTER (role <> 'system') AS n, bool_or(role <> 'system' AND ((k % 2 = 1) <> (role = 'user'))) AS bad, bool_or(trim(text) = '') AS empty_ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) AS k FROM conversations) GROUP BY 1)
-SELECT conv_id, CASE WHEN n = 0 OR n % 2 = 1 THEN 'invalid_conversation,review_incomplete' ELSE array_to_string(list_filter(['answer_without_evidence', CASE WHEN bad THEN 'invalid_turn_order' END, 'missing_evidence_records', 'review_incomplete'], lambda x: x IS NOT NULL), ',') END AS issues FROM s"""
-)
+@query()
 def ds_audit(t: Tables) -> DataFrame:
+    """Conversations with evidence from their own questions; by the length of a conversation's text one thing or another is wrong with it."""
     s = datasets.sessions(t.conversations)
-    none = F.lit(None)
-    rows = s.select(
-        "conv_id",
-        F.concat(F.lit("p"), "conv_id").alias("program_id"),
-        F.array(F.lit("root")).alias("node_path"),
-        none.cast("struct<decision:string,reviewer:string,checks:map<string,boolean>>").alias("review"),
-        datasets.training_form(s).alias("conversations"),
-        none.cast("array<struct<doc_id:bigint,chunk_id:bigint,text:string,turn:int,program_id:string>>").alias("evidence"),
-    )
-    without = F.filter("issues", lambda x: x != "unsupported_number")
-    return datasets.audit_pairs(rows).select("conv_id", F.array_join(without, ",").alias("issues"))
+    fault = F.pmod(F.aggregate("turns", F.lit(0), lambda n, x: n + F.length(F.coalesce(x.text, F.lit("")))), F.lit(11))
+    s = s.withColumn("fault", fault).withColumn("conversations", datasets.training_form(s))
+    program = F.when(F.col("fault") == 1, F.lit(" ")).otherwise(F.concat(F.lit("p"), F.col("conv_id").cast("string")))
+    turn = lambda i: F.when((F.col("fault") == 3) & (i == 0), i + 1).otherwise(i).cast("int")
+    said = lambda x, i: F.when(F.col("fault") == 4, F.concat(x["value"], F.lit(" unseen"))).otherwise(x["value"])
+    whose = F.when(F.col("fault") == 5, F.lit("another")).otherwise(program)
+    each = F.transform("conversations", lambda x, i: F.struct(F.col("conv_id").cast("long").alias("doc_id"), i.cast("long").alias("chunk_id"), said(x, i).alias("text"), turn(i).alias("turn"), whose.alias("program_id")))
+    evidence = F.when(F.col("fault") == 2, F.array().cast("array<struct<doc_id:bigint,chunk_id:bigint,text:string,turn:int,program_id:string>>")).otherwise(F.filter(each, lambda e, i: i % 2 == 0))
+    checks = F.create_map(*[x for c in datasets.REVIEW_CHECKS for x in (F.lit(c), F.lit(c != "privacy") | (F.col("fault") != 6))])
+    review = F.struct(F.when(F.col("fault") == 7, "reject").otherwise("accept").alias("decision"), F.when(F.col("fault") == 8, "").otherwise("r1").alias("reviewer"), checks.alias("checks"))
+    path = F.when(F.col("fault") == 9, F.array().cast("array<string>")).otherwise(F.array(F.lit("root")))
+    return datasets.audit_pairs(s.select("conv_id", program.alias("program_id"), path.alias("node_path"), review.alias("review"), "conversations", evidence.alias("evidence"))).select("conv_id", F.array_join("issues", ",").alias("issues"))
 
 
 @query(
@@ -385,22 +384,23 @@ def ev_loss_audit(t: Tables) -> DataFrame:
     return evaluation.loss_causes(golds(t), {"fusion": fused, "candidates": fused.where("rank <= 5")})
 
 
-def _answers(t: Tables) -> DataFrame:
-    c = t.conversations
-    return c.where("turn = 1").select("conv_id", F.col("text").alias("hyp")).join(c.where("turn = 3").select("conv_id", F.col("text").alias("ref")), "conv_id")
+def answers(t: Tables) -> DataFrame:
+    """(conv_id, turn, hyp, ref): every assistant turn against the next one of its conversation."""
+    c = t.conversations.where("role = 'assistant'")
+    return c.withColumn("ref", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("ref is not null").select("conv_id", "turn", F.col("text").alias("hyp"), "ref")
 
 
 @query()
 def ev_chrf_rouge(t: Tables) -> DataFrame:
-    return _answers(t).select("conv_id", evaluation.chrf("hyp", "ref").alias("chrf"), evaluation.rouge_l("hyp", "ref").alias("rouge_l"), evaluation.ngram_recall("ref", "hyp").alias("recall3"))
+    return answers(t).select("conv_id", "turn", evaluation.chrf("hyp", "ref").alias("chrf"), evaluation.rouge_l("hyp", "ref").alias("rouge_l"), evaluation.ngram_recall("ref", "hyp").alias("recall3"))
 
 
 @query(
-    r"""WITH p AS (SELECT a.conv_id, a.text AS h, b.text AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 1 AND b.turn = 3), w AS (SELECT conv_id, 'h' AS side, unnest(list_filter(regexp_split_to_array(h, '[\s\x0b]+'), lambda x: x <> '')) AS w FROM p UNION ALL SELECT conv_id, 'r', unnest(list_filter(regexp_split_to_array(r, '[\s\x0b]+'), lambda x: x <> '')) FROM p),
-n AS (SELECT conv_id, w, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM w GROUP BY 1, 2) SELECT conv_id, round(2 * sum(least(h, r)) / (sum(h) + sum(r)), 6)::DOUBLE AS f1 FROM n GROUP BY 1"""
+    r"""WITH l AS (SELECT conv_id || '-' || turn AS answer, text AS h, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant'), p AS (SELECT * FROM l WHERE r IS NOT NULL), w AS (SELECT answer, 'h' AS side, unnest(list_filter(regexp_split_to_array(h, '[\s\x0b]+'), lambda x: x <> '')) AS w FROM p UNION ALL SELECT answer, 'r', unnest(list_filter(regexp_split_to_array(r, '[\s\x0b]+'), lambda x: x <> '')) FROM p),
+n AS (SELECT answer, w, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM w GROUP BY 1, 2) SELECT answer, round(2 * sum(least(h, r)) / (sum(h) + sum(r)), 6)::DOUBLE AS f1 FROM n GROUP BY 1"""
 )
 def ev_word_f1(t: Tables) -> DataFrame:
-    return evaluation.word_f1(_answers(t), "conv_id", "hyp", "ref").withColumn("f1", F.round("f1", 6))
+    return evaluation.word_f1(answers(t).withColumn("answer", F.concat_ws("-", "conv_id", "turn")), "answer", "hyp", "ref").withColumn("f1", F.round("f1", 6))
 
 
 @query("SELECT a.p_partkey, round(levenshtein(a.p_name, b.p_name) / greatest(length(b.p_name), 1), 6) AS cer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from lakeloom.functions import chunking, numbers, privacy, segment
 from lakeloom.functions import text as tx
-from lakeloom.operators import datasets, dedup, evaluation, joins, mining, retrieval, windows
+from lakeloom.operators import datasets, dedup, evaluation, joins, mining, organisation, retrieval, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
+from lakeloom.plans.q_datasets import answers
 from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
 from lakeloom.operators.lineage import scratch
 from lakeloom.plans.registry import Tables, query
@@ -306,6 +307,21 @@ def er_mine_programs(t: Tables) -> DataFrame:
     return mining.mine_names(d, d, least_mentions=1.0).withColumn("titles", F.col("titles").cast("long"))
 
 
+@query()
+def er_dept_dictionary(t: Tables) -> DataFrame:
+    """Rules written from the tables: regions found nations, nations suppliers with aliases and former names; names change, and some nations claim their region."""
+    item = F.concat("s_name", F.when(F.col("s_acctbal") < 0, F.concat(F.lit("(약칭: S"), F.col("s_suppkey").cast("string"), F.lit(")"))).when(F.col("s_acctbal") > 5000, F.concat(F.lit("(구: Old"), F.col("s_suppkey").cast("string"), F.lit(")"))).otherwise(""))
+    items = lambda c: F.array_join(F.sort_array(F.collect_list(c)), ", ")
+    region = t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(items("n_name").alias("i"))
+    nation = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_name", "r_name").agg(items(item).alias("i"))
+    text = F.concat("n_name", F.lit("에는 "), "i", F.lit("를 둔다. "), F.when(F.col("n_nationkey") >= 20, F.concat("n_name", F.lit("에 "), "r_name", F.lit("을 둘 수 있다."))).otherwise(""))
+    docs = region.select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat("r_name", F.lit(" 직속으로 "), "i", F.lit("를 둔다.")).alias("text"))
+    docs = docs.union(nation.where("i <> ''").select((F.col("n_nationkey") + 1000).cast("long"), text))
+    old = F.concat("n_name", F.lit("_before"))
+    docs = docs.union(t.nation.select((F.col("n_nationkey") + 2000).cast("long"), F.concat(old, F.lit("에 사업"), "n_nationkey", F.lit("팀을 둔다. "), old, F.lit("을 "), "n_name", F.lit("으로 명칭을 변경한다."))))
+    return organisation.unit_dictionary(docs).withColumn("path", F.array_join("path", " > "))
+
+
 @query()
 def er_roles(t: Tables) -> DataFrame:
     """What first lines end in, by words that mostly stand at the back."""
@@ -368,9 +384,7 @@ def snk_dataset(t: Tables) -> DataFrame:
 
 @query()
 def ev_ngram_recall(t: Tables) -> DataFrame:
-    c = t.conversations
-    j = c.where("turn = 1").select("conv_id", F.col("text").alias("a")).join(c.where("turn = 3").select("conv_id", F.col("text").alias("b")), "conv_id")
-    return j.select("conv_id", evaluation.ngram_recall("a", "b").alias("recall3"))
+    return answers(t).select("conv_id", "turn", evaluation.ngram_recall("hyp", "ref").alias("recall3"))
 
 
 @query("SELECT p_brand, CAST(count(*) FILTER (p_size >= 10) AS BIGINT) AS filled, count(*) AS cells FROM part GROUP BY 1")

@@ -36,9 +36,19 @@ def win_dup_of_first(t: Tables) -> DataFrame:
     return windows.duplicate_of(f).select("rel", "dup_of")
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+@query(
+    """WITH o AS (SELECT o_custkey AS family, o_orderkey AS version, o_orderdate AS latest, o_orderstatus = 'F' AS trusted, list_distinct(list(year(l_shipdate)) FILTER (l_shipdate IS NOT NULL)) AS dates, list_distinct(list(p_brand) FILTER (p_brand IS NOT NULL)) AS grams
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3, 4),
+a AS (SELECT *, row_number() OVER w AS place, coalesce(first_value(CASE WHEN trusted THEN version END IGNORE NULLS) OVER (PARTITION BY family ORDER BY latest DESC NULLS LAST, version DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), lead(version) OVER w) AS anchor FROM o WINDOW w AS (PARTITION BY family ORDER BY latest DESC NULLS LAST, version DESC)),
+g AS (SELECT a.family, a.version, a.place, a.trusted OR a.anchor IS NULL OR (a.latest > b.latest AND len(list_filter(coalesce(b.dates, []), lambda x: NOT list_contains(coalesce(a.dates, []), x))) = 0
+  AND len(list_intersect(coalesce(a.grams, []), coalesce(b.grams, []))) / greatest(least(len(coalesce(a.grams, [])), len(coalesce(b.grams, []))), 1) >= 0.3) AS good FROM a LEFT JOIN o b ON b.family = a.family AND b.version = a.anchor)
+SELECT family, version, CASE WHEN place = f THEN 'current' WHEN place < f THEN 'unsure' ELSE 'old' END AS status FROM (SELECT *, min(CASE WHEN good THEN place END) OVER (PARTITION BY family) AS f FROM g)"""
+)
 def win_latest_version(t: Tables) -> DataFrame:
-    return windows.latest_version(t.events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+    """A customer's orders as versions: finished ones are trusted, years of shipping are revisions, brands the text."""
+    l = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("l_orderkey").agg(F.collect_set(F.year("l_shipdate")).alias("dates"), F.collect_set("p_brand").alias("grams"))
+    o = t.orders.join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return windows.current_versions(o.select(F.col("o_custkey").alias("family"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("latest"), (F.col("o_orderstatus") == "F").alias("trusted"), "dates", "grams"))
 
 
 @query(
@@ -158,10 +168,11 @@ def srt_multi_key(t: Tables) -> DataFrame:
     return g.orderBy(F.desc("rare"), F.desc("score"), F.desc("matched"), "l_partkey").limit(50)
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN contains(text, 'License') THEN 0 ELSE 1 END, r) AS rank FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 100)")
+@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN contains(text, 'License') THEN 0 ELSE 1 END, r) AS rank FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)")
 def srt_stable_promote(t: Tables) -> DataFrame:
-    top = t.documents.orderBy(F.desc("n_chars"), "doc_id").limit(100).withColumn("rank", F.row_number().over(windows.W.orderBy(F.desc("n_chars"), "doc_id")))
-    return ranking.promote(top, F.contains("text", F.lit("License")), "rank").select("doc_id", F.col("rank").cast("long").alias("rank"))
+    d = t.documents.select("doc_id", "n_chars", F.contains("text", F.lit("License")).alias("has"))
+    ranked = windows.number_rows(d, [F.desc("n_chars"), F.col("doc_id")], "rank")
+    return ranking.promote(ranked, F.col("has"), "rank").select("doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")

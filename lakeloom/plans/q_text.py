@@ -75,12 +75,12 @@ def txt_toc(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, repeat('漢', CAST(doc_id % 30 AS INTEGER)) || repeat('가', CAST(doc_id % 7 AS INTEGER)) || substr(text, 1, 100) AS text FROM documents) SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) < 40 THEN 0.0 ELSE len(regexp_extract_all(text, '[一-鿿㐀-䶿]')) / len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) END, 6)::DOUBLE AS share FROM d"""
+    """WITH d AS (SELECT doc_id, repeat('漢', CAST(doc_id % 30 AS INTEGER)) || repeat('가', CAST(doc_id % 7 AS INTEGER)) || text AS text FROM documents) SELECT doc_id, round(CASE WHEN len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) < 40 THEN 0.0 ELSE len(regexp_extract_all(text, '[一-鿿㐀-䶿]')) / len(regexp_extract_all(text, '[가-힣A-Za-z一-鿿㐀-䶿]')) END, 6)::DOUBLE AS share FROM d"""
 )
 def txt_garbled_ratio(t: Tables) -> DataFrame:
-    """Beginnings of documents behind more and more ideographs."""
+    """Whole documents behind more and more ideographs."""
     many = lambda s, n: F.repeat(F.lit(s), (F.col("doc_id") % n).cast("int"))
-    page = F.concat(many("漢", 30), many("가", 7), F.substring("text", 1, 100))
+    page = F.concat(many("漢", 30), many("가", 7), "text")
     return t.documents.select("doc_id", F.round(text.garbled_share(page), 6).alias("share"))
 
 
@@ -191,11 +191,11 @@ def txt_program_key(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, lower(substr(text, 1, 400)) AS h FROM documents), s AS (SELECT doc_id, CASE WHEN contains(h, 'the ') THEN 2 ELSE 0 END + CASE WHEN contains(h, ' and ') THEN 1 ELSE 0 END AS en, CASE WHEN contains(h, 'der ') THEN 2 ELSE 0 END + CASE WHEN contains(h, ' und ') THEN 1 ELSE 0 END AS de, CASE WHEN contains(h, 'les ') THEN 2 ELSE 0 END + CASE WHEN contains(h, ' et ') THEN 1 ELSE 0 END AS fr FROM w)
+    """WITH w AS (SELECT doc_id, lower(text) AS h FROM documents), s AS (SELECT doc_id, CASE WHEN contains(h, 'the ') THEN 2 ELSE 0 END + CASE WHEN contains(h, ' and ') THEN 1 ELSE 0 END AS en, CASE WHEN contains(h, 'der ') THEN 2 ELSE 0 END + CASE WHEN contains(h, ' und ') THEN 1 ELSE 0 END AS de, CASE WHEN contains(h, 'les ') THEN 2 ELSE 0 END + CASE WHEN contains(h, ' et ') THEN 1 ELSE 0 END AS fr FROM w)
 SELECT doc_id, CASE WHEN en > greatest(de, fr) THEN 'en' WHEN de > greatest(en, fr) THEN 'de' WHEN fr > greatest(en, de) THEN 'fr' ELSE 'unknown' END AS kind FROM s"""
 )
 def txt_kind_rules(t: Tables) -> DataFrame:
-    h = F.lower(F.substring("text", 1, 400))
+    h = F.lower("text")
     has = lambda w, n: F.when(F.contains(h, F.lit(w)), n).otherwise(0)
     s = t.documents.select("doc_id", (has("the ", 2) + has(" and ", 1)).alias("en"), (has("der ", 2) + has(" und ", 1)).alias("de"), (has("les ", 2) + has(" et ", 1)).alias("fr"))
     top = lambda a, b, c: F.col(a) > F.greatest(b, c)

@@ -648,8 +648,11 @@ def respaced(rows, t, spark, name):
 
 
 def _answers(t):
-    by = {(c["conv_id"], c["turn"]): c["text"] for c in t["conversations"]}
-    return [(k, x, by[k, 3]) for (k, n), x in by.items() if n == 1 and (k, 3) in by]
+    by = defaultdict(list)
+    for c in sorted(t["conversations"], key=lambda c: c["turn"]):
+        if c["role"] == "assistant":
+            by[c["conv_id"]].append((c["turn"], c["text"]))
+    return [(k, n, x, y) for k, turns in by.items() for (n, x), (_, y) in zip(turns, turns[1:], strict=False) if y is not None]
 
 
 def _trigram_recall(ref, got):
@@ -659,12 +662,12 @@ def _trigram_recall(ref, got):
 
 
 def ev_ngram_recall(t):
-    return [{"conv_id": k, "recall3": _trigram_recall(a, b)} for k, a, b in _answers(t)]
+    return [{"conv_id": k, "turn": n, "recall3": _trigram_recall(a, b)} for k, n, a, b in _answers(t)]
 
 
 def ev_chrf_rouge(t):
     out = []
-    for k, hyp, ref in _answers(t):
+    for k, turn, hyp, ref in _answers(t):
         h, r = "".join(hyp.split()), "".join(ref.split())
         scores = []
         for n in range(1, 7):
@@ -681,10 +684,146 @@ def ev_chrf_rouge(t):
                 best[i + 1][j + 1] = best[i][j] + 1 if u == v else max(best[i][j + 1], best[i + 1][j])
         n = best[-1][-1]
         rouge = round(100 * 2 * (n / len(x)) * (n / len(y)) / (n / len(x) + n / len(y)), 2) if n else 0.0
-        out.append({"conv_id": k, "chrf": chrf, "rouge_l": rouge, "recall3": _trigram_recall(ref, hyp)})
+        out.append({"conv_id": k, "turn": turn, "chrf": chrf, "rouge_l": rouge, "recall3": _trigram_recall(ref, hyp)})
+    return out
+
+
+NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?"
+
+
+def audited(program, path, review, turns, evidence):
+    """Codes against a training pair, one check after the other."""
+    blank = lambda x: not (x or "").strip(" ")
+    n, out = len(turns), set()
+    if blank(program):
+        out.add("missing_program_id")
+    if not path or any(map(blank, path)):
+        out.add("missing_node_path")
+    if review[0] not in ("accept", "corrected") or blank(review[1]) or not all(review[2].get(c) for c in ("grounding", "structure", "context", "privacy")):
+        out.add("review_incomplete")
+    if n == 0 or n % 2:
+        return out | {"invalid_conversation"}
+    valid = []
+    if not evidence:
+        out.add("missing_evidence_records")
+    for doc, chunk, text, turn, whose in evidence:
+        if doc is None or chunk is None or blank(text) or turn is None or not 0 <= turn < n or turn % 2:
+            out.add("invalid_evidence_record")
+        elif whose != program:
+            out.add("cross_program_evidence")
+        elif text not in (turns[turn][1] or ""):
+            out.add("evidence_not_visible")
+        else:
+            valid.append((turn, text))
+    numbers = lambda s: {x.replace(",", "") for x in re.findall(NUMBER, s or "")}
+    for i, (who, text) in enumerate(turns):
+        if who != ("human", "gpt")[i % 2]:
+            out.add("invalid_turn_order")
+        if blank(text):
+            out.add("empty_turn")
+        if i % 2:
+            before = [x for k, x in valid if k < i]
+            if not before:
+                out.add("answer_without_evidence")
+            if numbers(re.sub(r"\[[0-9]+단계:[^\]]*\]|\[E[0-9]+\]", "", text or "")) - set().union(*map(numbers, before)):
+                out.add("unsupported_number")
+    return out
+
+
+def ds_audit(t):
+    by, out = defaultdict(list), []
+    for c in sorted(t["conversations"], key=lambda c: c["turn"]):
+        by[c["conv_id"]].append(c)
+    for k, rows in by.items():
+        fault = sum(len(c["text"] or "") for c in rows) % 11
+        turns = [("human" if c["role"] == "user" else "gpt", c["text"]) for c in rows if c["role"] in ("user", "assistant")]
+        program = " " if fault == 1 else f"p{k}"
+        evidence = [(k, i, f"{x} unseen" if fault == 4 else x, 1 if fault == 3 and i == 0 else i, "another" if fault == 5 else program) for i, (_, x) in enumerate(turns) if i % 2 == 0 and fault != 2]
+        checks = {c: c != "privacy" or fault != 6 for c in ("grounding", "structure", "context", "privacy")}
+        review = ("reject" if fault == 7 else "accept", "" if fault == 8 else "r1", checks)
+        out.append({"conv_id": k, "issues": ",".join(sorted(audited(program, [] if fault == 9 else ["root"], review, turns, evidence)))})
     return out
 
 
+def organised(docs):
+    """Units and their names, by reading sentence after sentence and breaking one circle after the other."""
+    said = set()
+    for doc, text in docs:
+        for parent, items in re.findall(r"(?:^|[ \n])([^ \n,]+?)(?:에는|에| +직속으로) +([^.\n]+?)(?:을|를) *(?:두며|두고|둔다|두어|두되|둘 *수)", text or ""):
+            for item in re.split(r", *| +및 +| +또는 +", items):
+                unit = (re.match(r"^([^()]+?) *(?:\(|$)", item) or [None, ""])[1].strip()
+                if not unit:
+                    continue
+                if unit != parent:
+                    said.add((doc, "under", unit, parent))
+                for note in re.findall(r"\(([^()]*)\)", item):
+                    name = re.sub(r"^ *(?:구|옛|종전) *[:：]? *", "", note)
+                    if name.strip() and name.strip() != unit:
+                        said.add((doc, "former" if name != note else "alias", name.strip(), unit))
+        for old, new in re.findall(r"([0-9A-Za-z가-힣·_-]+?)(?:을|를) +([0-9A-Za-z가-힣·_-]+?)(?:으로|로) +(?:명칭을 +)?(?:변경|개칭)", text or ""):
+            if old != new:
+                said.add((doc, "renamed", old, new))
+    nexts = {}
+    for doc, _, a, b in sorted(x for x in said if x[1] in ("renamed", "former")):
+        nexts[a] = max(nexts.get(a, (doc, b)), (doc, b))
+
+    def last(x):
+        seen = []
+        while x in nexts and x not in seen:
+            seen.append(x)
+            x = nexts[x][1]
+        return min(seen[seen.index(x) :]) if x in seen else x
+
+    votes = defaultdict(set)
+    for doc, what, a, b in said:
+        if what == "under" and last(a) != last(b):
+            votes[last(a), last(b)].add(doc)
+    left = {k: (len(d), max(d)) for k, d in votes.items()}
+    while True:
+        best = {}
+        for (u, p), (n, doc) in left.items():
+            best[u] = min(best.get(u, (-n, -doc, p)), (-n, -doc, p))
+        circles, done = [], set()
+        for u in best:
+            way = []
+            while u in best and u not in way and u not in done:
+                way.append(u)
+                u = best[u][2]
+            if u in way:
+                circles.append(way[way.index(u) :])
+            done |= set(way)
+        if not circles:
+            break
+        for circle in circles:
+            weakest = min(circle, key=lambda u: (-best[u][0], -best[u][1], [-ord(x) for x in u]))
+            del left[weakest, best[weakest][2]]
+    units = {x for k in votes for x in k} | {last(b) for _, what, _, b in said if what != "under"}
+    kinds = [("위원회", "위원회"), ("본부", "본부"), ("센터", "센터"), ("학과", "학과·계열"), ("계열", "학과·계열"), ("처", "처·국"), ("국", "처·국"), ("실", "실"), ("단", "단"), ("원", "원·관"), ("관", "원·관"), ("팀", "팀"), ("부", "부"), ("과", "과")]
+    out = []
+    for u in units:
+        path = [u]
+        while path[0] in best:
+            path.insert(0, best[path[0]][2])
+        out.append({
+            "unit": u, "kind": next((k for end, k in kinds if u.endswith(end)), "기관"), "parent": best[u][2] if u in best else None, "path": " > ".join(path), "votes": -best[u][0] if u in best else 0,
+            "aliases": sorted({a for _, what, a, b in said if what == "alias" and last(b) == u}), "former": sorted(a for a in nexts if last(a) == u and a != u),
+        })
+    return out
+
+
+def er_dept_dictionary(t):
+    docs, region = [], {r["r_regionkey"]: r["r_name"] for r in t["region"]}
+    for k, name in region.items():
+        docs.append((k, f"{name} 직속으로 {', '.join(sorted(n['n_name'] for n in t['nation'] if n['n_regionkey'] == k))}를 둔다."))
+    for n in t["nation"]:
+        k, name = n["n_nationkey"], n["n_name"]
+        items = sorted(s["s_name"] + (f"(약칭: S{s['s_suppkey']})" if s["s_acctbal"] < 0 else f"(구: Old{s['s_suppkey']})" if s["s_acctbal"] > 5000 else "") for s in t["supplier"] if s["s_nationkey"] == k)
+        if items:
+            docs.append((k + 1000, f"{name}에는 {', '.join(items)}를 둔다. " + (f"{name}에 {region[n['n_regionkey']]}을 둘 수 있다." if k >= 20 else "")))
+        docs.append((k + 2000, f"{name}_before에 사업{k}팀을 둔다. {name}_before을 {name}으로 명칭을 변경한다."))
+    return organised(docs)
+
+
 def bootstrap(got, t, spark, query):
     """Means are exact; the interval holds the mean and is about as wide as the normal one; equal rows have weights of their own."""
     lang = {d["doc_id"]: d["lang"] for d in t["documents"]}
@@ -812,7 +951,7 @@ ROWS = {
     f.__name__: f
     for f in (
         txt_minhash, txt_toc, txt_repair, num_canonical, num_mask, src_html, src_mht_eml, src_dir_listing, pii_detect, pii_mask, pii_events, ret_candidates, ret_near_copies, ret_expand_query,
-        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, er_mine_programs, er_roles, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
+        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, ds_audit, er_dept_dictionary, er_mine_programs, er_roles, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
     )
 }
 CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap, "txt_respace": respaced, "srt_ann_hnsw": nearest, "srt_ann_filtered": nearest}
