@@ -8,11 +8,17 @@ first size - ceil(t * size) + 1 terms, so frequent terms hardly ever join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakeloom.operators.aggregates import dot
 from lakeloom.operators.lineage import cut
@@ -173,13 +179,47 @@ def sifted_hashes(text: Column, k: int, bits: bytes, short: bool = False) -> Col
     return sift(text)
 
 
-def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle: str, body_id: str, body: str, gram: int = 8) -> DataFrame:
-    """(needle_id, body_id) where the body contains the needle: an equi-join on the hash of one rare gram of the needle, then the exact test.
+#: Characters of needles that one task holds.
+NEEDLE_CHARS = 2_000_000
+
+
+def contains_join(needles: DataFrame, bodies: DataFrame, needle_id: str, needle: str, body_id: str, body: str, gram: int = 8, most_chars: int = NEEDLE_CHARS) -> DataFrame:
+    """(needle_id, body_id) where the body contains the needle. Needles shorter than a gram are nobody's (their matches would be chance).
 
-    Needles shorter than a gram are nobody's (their matches would be chance). Grams of
-    bodies that no needle has mostly fall through a sieve where they are read, the rest in a semi-join.
+    Needles of up to ``most_chars`` characters in all go to every task as one automaton, and each body is read once where it lies.
+    More of them meet the bodies on the hash of one rare gram each, and are tested afterwards.
     """
     n = needles.where(F.length(needle) >= gram).select(needle_id, needle)
+    if n.agg(F.coalesce(F.sum(F.length(needle)), F.lit(0)).alias("c")).first().c > most_chars:
+        return _contains_by_grams(n, bodies, needle_id, needle, body_id, body, gram)
+    by_text: dict[str, list] = {}
+    for r in n.collect():  # at most most_chars characters
+        by_text.setdefault(r[needle], []).append(r[needle_id])
+    kinds = dict(needles.dtypes)[needle_id], dict(bodies.dtypes)[body_id]
+    schema = T.StructType([T.StructField(needle_id, needles.schema[needle_id].dataType), T.StructField(body_id, bodies.schema[body_id].dataType)])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        for text, ids in by_text.items():
+            machine.add_word(text, (text, ids))
+        machine.make_automaton()
+        for batch in batches:
+            found: list = []
+            rows: list[int] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text and len(machine):
+                    hits = {t: ids for _, (t, ids) in machine.iter(text)}
+                    for ids in hits.values():
+                        found += ids
+                        rows += [i] * len(ids)
+            left = pa.array(found, to_arrow_type(schema[needle_id].dataType))
+            yield pa.RecordBatch.from_arrays([left, batch.column(0).take(pa.array(rows, pa.int64()))], [needle_id, body_id])
+
+    return bodies.select(body_id, body).mapInArrow(search, f"{needle_id} {kinds[0]}, {body_id} {kinds[1]}")
+
+
+def _contains_by_grams(n: DataFrame, bodies: DataFrame, needle_id: str, needle: str, body_id: str, body: str, gram: int) -> DataFrame:
+    """Grams of bodies that no needle has mostly fall through a sieve where they are read, the rest in a semi-join."""
     prepared = n.select(needle_id, F.explode(gram_hashes(F.col(needle), gram)).alias("g"))
     sifted = bodies.select(body_id, sifted_hashes(F.col(body), gram, sieve(prepared, "g")).alias("_s"))
     seen = sifted.select(body_id, F.explode("_s.h").alias("g")).join(prepared.select("g").distinct(), "g", "left_semi")

@@ -47,7 +47,8 @@ def test_contains_join(spark):
     n = spark.createDataFrame(list(enumerate(needles)), "n long, needle string")
     b = spark.createDataFrame(list(enumerate(bodies)), "b long, body string")
     want = {(i, j) for i, x in enumerate(needles) for j, y in enumerate(bodies) if len(x) >= 8 and x in y}
-    assert {(r.n, r.b) for r in similarity.contains_join(n, b, "n", "needle", "b", "body").collect()} == want
+    for most in (similarity.NEEDLE_CHARS, 0):
+        assert {(r.n, r.b) for r in similarity.contains_join(n, b, "n", "needle", "b", "body", most_chars=most).collect()} == want
 
 
 def test_following(spark):
