@@ -7,12 +7,13 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.functions import chunking, numbers, privacy, segment
 from lakeloom.functions import text as tx
-from lakeloom.operators import datasets, dedup, evaluation, joins, mining, organisation, retrieval, windows
+from lakeloom.operators import chains, datasets, dedup, evaluation, joins, mining, organisation, retrieval, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_datasets import answers
 from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
@@ -555,3 +556,14 @@ def ds_outline_steps(t: Tables) -> DataFrame:
     lines_ = t.region.select(F.col("r_regionkey").alias("doc_id"), F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("level"), F.col("r_name").alias("title"))
     lines_ = lines_.union(t.nation.select("n_regionkey", seq, F.lit(2), "n_name")).union(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", seq + F.col("s_suppkey"), F.lit(3), name))
     return datasets.outline_steps(windows.breadcrumbs(lines_, order=["seq"], deepest=3)).withColumn("missing", F.array_join("missing", " "))
+
+
+@query()
+def ds_tree_chains(t: Tables) -> DataFrame:
+    """Lines of documents as a tree in which each line has up to three below it: steps down all levels."""
+    l = lines(t).withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("seq")) - 1)
+    words = F.filter(F.split("line", " "), lambda w: F.length(w) > 0)
+    rest = F.array_join(F.slice(words, F.lit(4), F.greatest(F.size(words) - 3, F.lit(0))), " ")
+    s = l.select("doc_id", F.col("n").alias("path"), F.expr("CASE WHEN n > 0 THEN (n - 1) div 3 END").cast("int").alias("parent"), F.col("n").alias("seq"), F.array_join(F.slice(words, 1, 3), " ").alias("heading"), rest.alias("text"))
+    steps = chains.tree_steps(s)
+    return steps.select("doc_id", "path", "level", "kind", F.array_join("node_path", " > ").alias("node_path"), F.md5("answer").alias("digest"), F.size("evidence").alias("evidence"), F.array_join("unsupported", ",").alias("unsupported"))

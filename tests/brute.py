@@ -824,6 +824,45 @@ def er_dept_dictionary(t):
     return organised(docs)
 
 
+def chained(sections):
+    """Steps down a tree of sections (doc, path, parent, seq, heading, text), one section after the other."""
+    items = lambda x: [y.strip(" ") for y in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n", x or "") if y.strip(" ")]
+    numbers = lambda xs: {y.replace(",", "") for x in xs for y in re.findall(NUMBER, x)}
+    by = {(s["doc_id"], s["path"]): s for s in sections}
+    below = defaultdict(list)
+    for s in sections:
+        if s["parent"] is not None and s["parent"] != s["path"]:
+            below[s["doc_id"], s["parent"]].append(s)
+    out = []
+
+    def walk(s, level, above, known):
+        key, said = (s["doc_id"], s["path"]), items(s["text"])
+        node = [*above, s["heading"] or ""]
+        kids = sorted(below.get(key, []), key=lambda k: (k["seq"], k["path"]))
+        outline = [(k["heading"] or "") + (": " + " ".join(items(k["text"])[:1])[:120] if items(k["text"]) else "") for k in kids]
+        given = known | numbers(said) | numbers(node)
+        told = numbers(outline) if outline else numbers(said)
+        answer = "\n".join(f"- {x}" for x in outline) if outline else "\n".join(f"{i}) {x}" for i, x in enumerate(said, 1))
+        if outline or said:
+            out.append({"doc_id": key[0], "path": key[1], "level": level, "kind": "outline" if outline else "items", "node_path": " > ".join(node), "digest": hashlib.md5(answer.encode()).hexdigest(), "evidence": len(said), "unsupported": ",".join(sorted(told - given))})
+        for k in kids:
+            walk(k, level + 1, node, given | (told & given))
+
+    for s in sections:
+        if (s["doc_id"], s["parent"]) not in by:
+            walk(s, 0, [], set())
+    return out
+
+
+def ds_tree_chains(t):
+    sections = []
+    for d in t["documents"]:
+        for n, line in enumerate(d["text"].split("\n")):
+            w = [x for x in line.split(" ") if x]
+            sections.append({"doc_id": d["doc_id"], "path": n, "parent": (n - 1) // 3 if n else None, "seq": n, "heading": " ".join(w[:3]), "text": " ".join(w[3:])})
+    return chained(sections)
+
+
 def bootstrap(got, t, spark, query):
     """Means are exact; the interval holds the mean and is about as wide as the normal one; equal rows have weights of their own."""
     lang = {d["doc_id"]: d["lang"] for d in t["documents"]}
@@ -951,7 +990,7 @@ ROWS = {
     f.__name__: f
     for f in (
         txt_minhash, txt_toc, txt_repair, num_canonical, num_mask, src_html, src_mht_eml, src_dir_listing, pii_detect, pii_mask, pii_events, ret_candidates, ret_near_copies, ret_expand_query,
-        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, ds_audit, er_dept_dictionary, er_mine_programs, er_roles, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
+        ret_refs, txt_index_ready, txt_corpus_reasons, ddp_near_chunk, er_variants, ds_tree_chains, ds_audit, er_dept_dictionary, er_mine_programs, er_roles, er_classify, jn_fuzzy_title, jn_align_content, jn_align_context, ev_ngram_recall, ev_chrf_rouge, agg_corpus_stats, st_lease, st_version, st_debounce,
     )
 }
 CHECKS = {"gr_fingerprint": _same_digest(("n", "digest")), "mig_digest": _same_digest(("name", "rows", "digest")), "txt_chunk": chunk_rules, "udtf_chunk": chunk_rules, "ddp_doc_groups": doc_groups, "agg_bootstrap": bootstrap, "txt_respace": respaced, "srt_ann_hnsw": nearest, "srt_ann_filtered": nearest}
