@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import text as tx
 from lakeloom.operators.aggregates import idf
 from lakeloom.operators.graph import descendants
+from lakeloom.operators.lineage import cut
 from lakeloom.operators.similarity import cosine_all, fingerprint, jaccard_pairs, shingles
 from lakeloom.operators.windows import fuse, grouped_fold, top_k
 
@@ -30,28 +31,32 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text")
     return chunks.select(chunk_id, F.explode(tx.terms(F.col(text))).alias("term"))
 
 
-def lexical(questions: DataFrame, index: DataFrame, n_chunks: int, least_overlap: int = 2, k: int | None = TOP, qid: str = "qid", chunk_id: str = "chunk_id") -> DataFrame:
+def lexical(questions: DataFrame, index: DataFrame, n_chunks: int | DataFrame, least_overlap: int = 2, k: int | None = TOP, qid: str = "qid", chunk_id: str = "chunk_id") -> DataFrame:
     """(qid, chunk_id, rare_hits, score, matched, rank) from questions (qid, term) and postings.
 
     Terms weigh min(length, 4) * ln(1 + n / (1 + df)). A chunk needs enough terms in
     common, a rare one (df <= max(3, n / 10)) among them, and for longer questions over
     enough chunks one of the two most telling terms; if none of those occurs anywhere,
-    the question has no evidence.
+    the question has no evidence. n_chunks may be a row (n), counted where the rest is.
+
+    The index is read once: what the questions ask of it is stored, as it is needed for frequencies, candidates and scores.
     """
     q = questions.select(qid, "term").distinct()
-    df = index.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = cut(index.join(q.select("term").distinct(), "term", "left_semi"))
+    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     q = q.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    q = q.withColumn("idf", idf(F.col("df"), n_chunks))
+    q = q.withColumn("_n", F.lit(n_chunks)) if isinstance(n_chunks, int) else q.withColumn("_one", F.lit(1)).join(F.broadcast(n_chunks.select(F.col("n").alias("_n"), F.lit(1).alias("_one"))), "_one").drop("_one")  # one row
+    q = cut(q.withColumn("idf", idf(F.col("df"), F.col("_n"))))
     per = W.partitionBy(qid)
     q = q.withColumn("size", F.count(F.lit(1)).over(per)).withColumn("place", F.row_number().over(per.orderBy(F.desc("idf"), F.desc(F.length("term")), "term")))
-    focused = (F.col("size") > FOCUS_TERMS) & F.lit(n_chunks >= FOCUS_FROM)
+    focused = (F.col("size") > FOCUS_TERMS) & (F.col("_n") >= FOCUS_FROM)
     q = q.withColumn("focus", focused & (F.col("place") <= FOCUS_TERMS) & (F.col("df") > 0))
     q = q.withColumn("has_focus", F.max("focus").over(per)).where(~focused | F.col("has_focus"))
-    rare = F.col("df") <= max(RARE_LEAST, int(n_chunks * RARE_SHARE))
+    rare = F.col("df") <= F.greatest(F.lit(RARE_LEAST), F.floor(F.col("_n") * F.lit(RARE_SHARE)))
     # Chunks that can pass at all hold a telling (else a rare) term; frequent terms are only counted within those.
     able = q.where((F.col("df") > 0) & F.when(F.col("has_focus"), F.col("focus")).otherwise(rare)).select(qid, "term")
     able = able.join(index, "term").select(qid, chunk_id).distinct()
-    hit = able.join(index.join(q.select("term").distinct(), "term", "left_semi"), chunk_id).join(q, [qid, "term"])
+    hit = able.join(index, chunk_id).join(q, [qid, "term"])
     s = hit.groupBy(qid, chunk_id).agg(
         F.count_if(rare).alias("rare_hits"),
         F.sum(F.least(F.length("term"), F.lit(LONGEST_TERM)) * F.col("idf")).alias("score"),
@@ -199,7 +204,7 @@ class LexicalIndex:
         every = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("generation") <= generation)
         wanted = every.join(questions.select("term").distinct(), "term", "left_semi")
         index = wanted.join(live.select(chunk_id, F.col("since").alias("generation")), [chunk_id, "generation"], "left_semi").select("term", chunk_id)
-        return lexical(questions, index, live.count(), chunk_id=chunk_id, **options)
+        return lexical(questions, index, live.agg(F.count(F.lit(1)).alias("n")), chunk_id=chunk_id, **options)
 
 
 def covered_by_meaning(criteria: DataFrame, paragraphs: DataFrame, criterion: str, paragraph: str, document: str, vector: str, near: float = 0.40, lead: float = 0.10, least: int = 4) -> DataFrame:

@@ -245,14 +245,54 @@ def cosine_all(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id:
     return j.select(query_id, vector_id, *(also or []), "_block", dot("_q", "_v").alias("cosine"))
 
 
+def _block_tops(k: int, least: float, query_id: str, vector_id: str):
+    """The k best vectors of a block for each query. Products are summed in the order of components, so equal vectors score alike."""
+
+    def by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        rows = column.to_pylist()
+        places: dict[int, list[int]] = {}
+        for i, v in enumerate(rows):
+            if v is not None and None not in v:
+                places.setdefault(len(v), []).append(i)
+        return {n: (np.array(at), np.array([rows[i] for i in at], np.float64)) for n, at in places.items()}
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if queries.num_rows and vectors.num_rows:
+            vectors = vectors.sort_by(vector_id)
+            asked, held = by_length(queries.column("_q")), by_length(vectors.column("_v"))
+            for n in asked.keys() & held.keys():
+                (qi, q), (vi, v) = asked[n], held[n]
+                for at in range(0, len(qi), 256):
+                    some = q[at : at + 256]
+                    score = np.zeros((len(some), len(vi)))
+                    for d in range(n):
+                        score += some[:, d, None] * v[None, :, d]
+                    for i, row in zip(qi[at : at + 256], score, strict=True):
+                        best = np.argsort(-row, kind="stable")[:k]
+                        best = best[row[best] >= least]
+                        found.append((np.full(len(best), i), vi[best], row[best]))
+        q_at, v_at, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table([queries.column(query_id).take(pa.array(q_at)), vectors.column(vector_id).take(pa.array(v_at)), pa.array(cosine, pa.float64())], [query_id, vector_id, "cosine"])
+
+    return run
+
+
 def cosine_top(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, vector: str, k: int, least: float, keep: Column | None = None) -> DataFrame:
     """(query_id, vector_id, cosine, rank): exact top k of unit vectors for a stated query set, against all rows in blocks.
 
-    Every block of vectors keeps its own top k before the shuffle, so what moves is k rows for each query and block.
+    Every block of vectors keeps its own top k before the shuffle, so what moves is k rows for each query and block. Without
+    a condition on other columns, blocks are scored as matrices.
     """
-    s = cosine_all(queries, vectors, query_id, vector_id, vector, keep=keep).where(F.col("cosine") >= least)
-    best = W.partitionBy(query_id, "_block").orderBy(F.desc("cosine"), vector_id)
-    s = s.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    if keep is None and query_id != vector_id:
+        blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        q = queries.select(query_id, F.col(vector).alias("_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+        v = vectors.select(vector_id, F.col(vector).alias("_v"), F.pmod(F.xxhash64(vector_id), F.lit(blocks)).alias("_at"))
+        s = q.groupBy("_block").cogroup(v.groupBy("_at")).applyInArrow(_block_tops(k, least, query_id, vector_id), f"{query_id} {dict(queries.dtypes)[query_id]}, {vector_id} {dict(vectors.dtypes)[vector_id]}, cosine double")
+    else:
+        s = cosine_all(queries, vectors, query_id, vector_id, vector, keep=keep).where(F.col("cosine") >= least)
+        best = W.partitionBy(query_id, "_block").orderBy(F.desc("cosine"), vector_id)
+        s = s.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     return s.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("cosine"), vector_id))).where(F.col("rank") <= k).select(query_id, vector_id, "cosine", "rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import graph, graph_build, joins, names, retrieval, shapes, similarity, windows
 from lakeloom.operators.aggregates import dot
+from lakeloom.operators.lineage import cut
 from lakeloom.plans.q_aggregates import LINES_SQL, chunk_id, lines
 from lakeloom.plans.registry import Tables, query
 
@@ -23,8 +24,9 @@ def questions(t: Tables) -> DataFrame:
 
 
 def ranked(t: Tables) -> DataFrame:
+    """The ranking, stored: it has at most TOP rows a question, and most queries ask for it more than once."""
     c = chunks(t)
-    return retrieval.lexical(questions(t), retrieval.postings(c), c.count())
+    return cut(retrieval.lexical(questions(t), retrieval.postings(c), c.agg(F.count(F.lit(1)).alias("n"))))
 
 
 TERM = "list_distinct(regexp_extract_all(lower(text), '[가-힣a-z0-9]{2,}'))"
