@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.operators.aggregates import wilson
+
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: tuple[str, ...] = (), qid: str = "qid", item: str = "item") -> DataFrame:
     """(by..., n, mrr, recall_k, ndcg_k): any-hit recall, reciprocal rank and binary nDCG over all queries (those without hits count 0).
@@ -114,6 +116,14 @@ def pairwise(a: Column, b: Column, margin: float = 0.0) -> list[Column]:
     return [F.count_if(a > b + margin).alias("win"), F.count_if(F.abs(a - b) <= margin).alias("tie"), F.count_if(b > a + margin).alias("loss")]
 
 
+def pairwise_shares(rows: DataFrame, by: str, a: Column, b: Column, margin: float = 0.0) -> DataFrame:
+    """(by, win, tie, loss, share, low, high): counts of a against b, a's share of them with ties as halves, and its Wilson interval. Rows without one of the two count for nothing."""
+    r = rows.groupBy(by).agg(*pairwise(a, b, margin)).withColumn("n", F.col("win") + F.col("tie") + F.col("loss")).where("n > 0")
+    hits = F.col("win") + F.lit(0.5) * F.col("tie")
+    low, high = wilson(hits, F.col("n"))
+    return r.select(by, "win", "tie", "loss", (hits / F.col("n")).alias("share"), low.alias("low"), high.alias("high"))
+
+
 def table_cells(got: DataFrame, want: DataFrame, keys: tuple[str, ...] = ("page", "r", "c")) -> DataFrame:
     """(cells, found, equal): how many wanted cells a parser found and read alike."""
     j = want.select(*keys, F.col("text").alias("_w")).join(got.select(*keys, F.col("text").alias("_g")), list(keys), "left")

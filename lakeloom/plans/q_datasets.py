@@ -409,9 +409,22 @@ def ev_cer(t: Tables) -> DataFrame:
     return j.select("p_partkey", F.round(evaluation.cer(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
-@query("SELECT source, CAST(count(*) FILTER (n_chars > length(text) * 0.9 + 100) AS BIGINT) AS win, CAST(count(*) FILTER (n_chars = length(text) * 0.9 + 100) AS BIGINT) AS tie, CAST(count(*) FILTER (n_chars < length(text) * 0.9 + 100) AS BIGINT) AS loss FROM documents GROUP BY 1")
+_RICH_SQL = "list_filter(regexp_split_to_array(lower({t}), '[^a-z]+'), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH h AS (SELECT lang, {_RICH_SQL.format(t="substr(text, 1, length(text) // 2)")} AS x, {_RICH_SQL.format(t="substr(text, length(text) // 2 + 1)")} AS y FROM documents), r AS (SELECT lang, len(list_distinct(x)) / greatest(len(x), 1) AS a, len(list_distinct(y)) / greatest(len(y), 1) AS b FROM h),
+c AS (SELECT lang, count(*) FILTER (a > b + 0.02) AS win, count(*) FILTER (abs(a - b) <= 0.02) AS tie, count(*) FILTER (b > a + 0.02) AS loss FROM r GROUP BY 1), p AS (SELECT *, (win + 0.5::DOUBLE * tie) / (win + tie + loss) AS p, (win + tie + loss)::DOUBLE AS n, 1.96::DOUBLE * 1.96::DOUBLE AS z FROM c)
+SELECT lang, win, tie, loss, round(p, 6) AS share, round((p + z / (2 * n)) / (1 + z / n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + z / (4 * n * n)) / (1 + z / n), 6) AS low, round((p + z / (2 * n)) / (1 + z / n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + z / (4 * n * n)) / (1 + z / n), 6) AS high FROM p"""
+)
 def ev_pairwise(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(*evaluation.pairwise(F.col("n_chars").cast("double"), F.length("text") * 0.9 + 100))
+    """First halves of texts against second ones, by the share of distinct words; ties within .02."""
+    half = F.expr("length(text) div 2").cast("int")
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w != "")
+    rich = lambda c: F.size(F.array_distinct(words(c))) / F.greatest(F.size(words(c)), F.lit(1))
+    s = t.documents.select("lang", rich(F.substring("text", F.lit(1), half)).alias("a"), rich(F.substring("text", half + 1, F.length("text"))).alias("b"))
+    r = evaluation.pairwise_shares(s, "lang", F.col("a"), F.col("b"), 0.02)
+    return r.select("lang", "win", "tie", "loss", *[F.round(c, 6).alias(c) for c in ("share", "low", "high")])
 
 
 @query("WITH w AS (SELECT l_orderkey AS page, l_linenumber AS r, l_partkey AS c, l_returnflag AS text FROM lineitem GROUP BY ALL), g AS (SELECT page, r, c, min(text) AS text FROM w WHERE c > 100 GROUP BY 1, 2, 3) SELECT count(*) AS cells, count(g.text) AS found, count(*) FILTER (w.text = g.text) AS equal FROM w LEFT JOIN g USING (page, r, c)")

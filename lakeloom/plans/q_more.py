@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lakeloom.functions import chunking, numbers, privacy, segment
 from lakeloom.functions import text as tx
+from lakeloom.functions.sql import register_sql
 from lakeloom.operators import chains, datasets, dedup, evaluation, joins, mining, organisation, retrieval, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_datasets import answers
@@ -567,3 +568,15 @@ def ds_tree_chains(t: Tables) -> DataFrame:
     s = l.select("doc_id", F.col("n").alias("path"), F.expr("CASE WHEN n > 0 THEN (n - 1) div 3 END").cast("int").alias("parent"), F.col("n").alias("seq"), F.array_join(F.slice(words, 1, 3), " ").alias("heading"), rest.alias("text"))
     steps = chains.tree_steps(s)
     return steps.select("doc_id", "path", "level", "kind", F.array_join("node_path", " > ").alias("node_path"), F.md5("answer").alias("digest"), F.size("evidence").alias("evidence"), F.array_join("unsupported", ",").alias("unsupported"))
+
+
+@query(
+    r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(CASE WHEN strpos(substr(event_type, 2), 'i') > 0 THEN strpos(substr(event_type, 2), 'i') + 1 ELSE 0 END AS INTEGER) AS at,
+upper(regexp_replace(event_type || ' . ' || user_id, '[ \t\n.]+', '', 'g')) AS name, round(CASE WHEN value > 0 THEN user_id / value ELSE 0 END, 6)::DOUBLE AS share FROM events"""
+)
+def udf_sql(t: Tables) -> DataFrame:
+    """A SQL text with functions that are registered in SQL, over all events."""
+    register_sql(t.spark)
+    return t.spark.sql(
+        "SELECT event_id, cast(json_extract(props, '$.k') AS INT) AS k, instr_from(event_type, 'i', 2) AS at, flat_name(event_type || ' . ' || user_id) AS name, round(share_of(user_id, value), 6) AS share FROM {events}", events=t.events
+    )

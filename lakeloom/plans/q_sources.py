@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import ranking
 from lakeloom.sources import documents as docs
 from lakeloom.sources import sinks
+from lakeloom.operators.lineage import scratch
 from lakeloom.plans.registry import Tables, query
 
 
@@ -76,17 +77,28 @@ def snk_replace_child(t: Tables) -> DataFrame:
 
 @query("SELECT 'documents' AS name, lang AS split, count(*) AS rows, 'doc_id:bigint,lang:string,n_chars:bigint' AS fields FROM documents GROUP BY lang")
 def snk_jsonl_zip(t: Tables) -> DataFrame:
-    return sinks.manifest(t.documents.select("doc_id", "lang", "n_chars"), "documents", "lang")
+    """Written as compressed lines, a folder for each language; the rows are those read back from the files."""
+    folder = scratch(t.spark, "export")
+    told = sinks.export_json(t.documents.select("doc_id", "lang", "n_chars"), folder, "documents", "lang")
+    back = sinks.read_export(t.spark, folder, "documents").groupBy(F.col("lang").alias("split")).agg(F.count("doc_id").alias("rows"))
+    return told.drop("rows").join(back, "split").select("name", "split", "rows", "fields")
 
 
 @query("SELECT o_orderdate, o_orderkey, o_totalprice FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1998-01-01', 0) ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def snk_csv_keyset(t: Tables) -> DataFrame:
-    return ranking.keyset_page(t.orders.select("o_orderdate", "o_orderkey", "o_totalprice"), ["o_orderdate", "o_orderkey"], ("1998-01-01 00:00:00", 0), 100)
+    """All orders written as CSV in order of their keys; a page is read from the files."""
+    folder, keys = scratch(t.spark, "csv"), ["o_orderdate", "o_orderkey"]
+    sinks.export_csv(t.orders.select("o_orderdate", "o_orderkey", "o_totalprice"), folder, keys)
+    back = sinks.read_csv(t.spark, folder, "o_orderdate timestamp, o_orderkey bigint, o_totalprice double")
+    return ranking.keyset_page(back, keys, ("1998-01-01 00:00:00", 0), 100)
 
 
-@query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS sha256 FROM pages")
+@query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS sha256, 'intact' AS state FROM pages")
 def snk_bundle(t: Tables) -> DataFrame:
-    return sinks.bundle_manifest(t.pages.select("page_id", F.encode("html", "UTF-8").alias("content")), path="page_id")
+    """Pages written as artefacts with a manifest, read back and held against it."""
+    folder = scratch(t.spark, "bundle")
+    sinks.export_bundle(t.pages.select("page_id", F.encode("html", "UTF-8").alias("content")), folder, path="page_id")
+    return sinks.check_bundle(t.spark, folder, path="page_id")
 
 
 @query()

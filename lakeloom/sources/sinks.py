@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,8 +46,39 @@ def export_json(df: DataFrame, path: str, name: str, split: str | None = None) -
     return told
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def read_export(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of an export, typed as its manifest says."""
+    told = spark.read.json(f"{path}/{name}.manifest").first()
+    schema = ", ".join(" ".join(f.split(":", 1)) for f in told.fields.split(",")) if told else ""
+    return spark.read.schema(schema).json(f"{path}/{name}")
+
+
+def export_csv(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """CSV with a header; with keys the files hold ranges of them in order, so a page by keys is a stretch of few files."""
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    ordered.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+def export_bundle(files: DataFrame, folder: str, content: str = "content", path: str = "path") -> DataFrame:
+    """Artefacts (path, content) and, beside them, what they must be (path, size, sha256), which is returned. Each is written by the task that has it."""
+    files.select(path, content).write.mode("overwrite").parquet(f"{folder}/artefacts")
+    told = bundle_manifest(files, content, path)
+    told.write.mode("overwrite").json(f"{folder}/manifest")
+    return told
+
+
+def check_bundle(spark: SparkSession, folder: str, content: str = "content", path: str = "path") -> DataFrame:
+    """(path, size, sha256, state): intact, changed, missing or unlisted, by what a bundle holds and what its manifest says."""
+    there = bundle_manifest(spark.read.parquet(f"{folder}/artefacts"), content, path)
+    told = spark.read.schema(there.select(path, F.col("size").alias("_size"), F.col("sha256").alias("_sha")).schema.simpleString()[7:-1].replace("_size", "size").replace("_sha", "sha256").replace(":", " ")).json(f"{folder}/manifest")
+    j = there.join(told.select(path, F.col("size").alias("_size"), F.col("sha256").alias("_sha")), path, "full_outer")
+    same = (F.col("size") == F.col("_size")) & (F.col("sha256") == F.col("_sha"))
+    state = F.when(F.col("_sha").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(same, "intact").otherwise("changed")
+    return j.select(path, F.coalesce("size", "_size").alias("size"), F.coalesce("sha256", "_sha").alias("sha256"), state.alias("state"))
 
 
 def bundle_manifest(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:

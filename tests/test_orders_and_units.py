@@ -8,6 +8,7 @@ import brute
 from pyspark.sql import functions as F
 
 from lakeloom.operators import organisation, ranking, windows
+from lakeloom.sources import sinks
 
 
 def test_number_rows(spark):
@@ -75,3 +76,25 @@ def test_unit_dictionary(spark):
     assert unit["재정팀"].path == ["총장", "기획처", "재정팀"] and unit["재정팀"].former == ["예산팀"] and unit["재정팀"].votes == 2
     assert unit["교무처"].kind == "처·국" and unit["산학협력단"].former == ["산학처"] and unit["병센터"].parent == "갑실"
     assert len(got) == len(unit)
+
+
+def test_bundles_are_held_against_their_manifest(spark, tmp_path):
+    files = spark.createDataFrame([("a", b"one"), ("b", b""), ("c", b"\x00\xff"), ("d", b"four")], "path string, content binary")
+    folder = str(tmp_path / "bundle")
+    sinks.export_bundle(files, folder)
+    assert {r.path: r.state for r in sinks.check_bundle(spark, folder).collect()} == dict.fromkeys("abcd", "intact")
+    spark.createDataFrame([("a", b"one"), ("b", b"!"), ("d", b"four"), ("e", b"new")], "path string, content binary").write.mode("overwrite").parquet(f"{folder}/artefacts")
+    assert {r.path: r.state for r in sinks.check_bundle(spark, folder).collect()} == {"a": "intact", "b": "changed", "c": "missing", "d": "intact", "e": "unlisted"}
+
+
+def test_exports_come_back_as_they_were(spark, tmp_path):
+    rows = [(1, "en", 'a "quoted", text\nof two lines', None), (2, "de", "", 1.5), (3, "en", None, -2.0)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string, x double")
+    folder = str(tmp_path / "export")
+    told = sinks.export_json(df, folder, "rows", "lang")
+    assert {(r.split, r.rows) for r in told.collect()} == {("en", 2), ("de", 1)}
+    assert sorted(map(tuple, sinks.read_export(spark, folder, "rows").select("id", "lang", "text", "x").collect())) == rows
+    numbers = spark.createDataFrame([(i % 7, i, f"{i},5") for i in range(50)], "a int, b int, c string")
+    sinks.export_csv(numbers, str(tmp_path / "csv"), ["a", "b"])
+    back = sinks.read_csv(spark, str(tmp_path / "csv"), "a int, b int, c string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, numbers.collect()))
