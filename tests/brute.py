@@ -688,7 +688,7 @@ def ev_chrf_rouge(t):
     return out
 
 
-NUMBER = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?"
+WRITTEN = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?"
 
 
 def audited(program, path, review, turns, evidence):
@@ -715,7 +715,7 @@ def audited(program, path, review, turns, evidence):
             out.add("evidence_not_visible")
         else:
             valid.append((turn, text))
-    numbers = lambda s: {x.replace(",", "") for x in re.findall(NUMBER, s or "")}
+    numbers = lambda s: {x.replace(",", "") for x in re.findall(WRITTEN, s or "")}
     for i, (who, text) in enumerate(turns):
         if who != ("human", "gpt")[i % 2]:
             out.add("invalid_turn_order")
@@ -827,7 +827,7 @@ def er_dept_dictionary(t):
 def chained(sections):
     """Steps down a tree of sections (doc, path, parent, seq, heading, text), one section after the other."""
     items = lambda x: [y.strip(" ") for y in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n", x or "") if y.strip(" ")]
-    numbers = lambda xs: {y.replace(",", "") for x in xs for y in re.findall(NUMBER, x)}
+    numbers = lambda xs: {y.replace(",", "") for x in xs for y in re.findall(WRITTEN, x)}
     by = {(s["doc_id"], s["path"]): s for s in sections}
     below = defaultdict(list)
     for s in sections:
