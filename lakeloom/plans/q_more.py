@@ -82,7 +82,7 @@ def txt_chunk(t: Tables) -> DataFrame:
 def udtf_chunk(t: Tables) -> DataFrame:
     chunking.register(t.spark)
     t.documents.createOrReplaceTempView("_lakeloom_documents")
-    return t.spark.sql("SELECT d.doc_id, c.seq, c.text FROM _lakeloom_documents d, LATERAL chunk(d.text) c")
+    return t.spark.sql("SELECT d.doc_id, c.seq, c.heading, c.text FROM _lakeloom_documents d, LATERAL chunk(d.text) c")
 
 
 @query()

@@ -297,7 +297,9 @@ def chunk_rules(got, t, spark, query):
         assert set(squeezed(d["text"]).split()) == {w for r in rows for w in r["text"].split()}
         assert len(rows) <= 1 or sum(len(b) < 40 for b in bodies) <= len([b for b in bodies if len(b) > 300]) + 1
     other = QUERIES["udtf_chunk" if query == "txt_chunk" else "txt_chunk"](spark, t["folder"]).collect()
-    assert sorted((r.doc_id, r.seq, r.text) for r in other) == sorted((r["doc_id"], r["seq"], r["text"]) for r in got)
+    assert sorted((r.doc_id, r.seq, r.heading, r.text) for r in other) == sorted((r["doc_id"], r["seq"], r["heading"], r["text"]) for r in got)
+    text = {d["doc_id"]: d["text"] for d in t["documents"]}
+    assert all(not r["heading"] or r["heading"] in text[r["doc_id"]] for r in got)
 
 
 def txt_corpus_reasons(t):

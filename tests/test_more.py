@@ -32,6 +32,37 @@ def test_thin_chunks_merge():
     assert chunking.merge_thin(["ab"]) == ["ab"]
 
 
+def test_sections_pass_their_heading_on():
+    item = "신청 자격과 절차를 적은 항목으로 해마다 같은 내용이며 담당 부서가 확인하고 학기 초에 다시 알린다"
+    bullets = [f"○ {i}번 {item}" for i in range(40)]
+    table = ["구분 | 기한 | 기한 | 방법"] + [f"{i}차 | {i}월 | {i}월 | 누리집에서 서식 {i}을 내려받아 담당 부서로 낸다 | " for i in range(40)]
+    question = ["4월에 낸 신청서를 고칠 수 있나요?", "기한 안이면 고칠 수 있으며 담당 부서에 먼저 알린 뒤 새 서식으로 다시 내야 한다."]
+    text = "\n".join(["머리말 없이 시작하는 안내문으로서 이 문서가 무엇을 위한 것인지 길게 설명하고 있는 첫 문단이다", "1. 신청 방법", *bullets, "2. 제출 기한", *table, *question])
+    got = chunking.chunks_in(text)
+    assert list(dict.fromkeys(c.heading for c in got)) == ["", "1. 신청 방법", "2. 제출 기한"]
+    first = [c.text for c in got if c.heading == "1. 신청 방법"]
+    assert len(first) > 1 and first[0].startswith("1. 신청 방법 ○ 0번") and all(p.startswith("○") for p in first[1:])  # items stay whole
+    rows_ = [r for c in got if " | " in c.text for r in c.text.split("\n") if " | " in r]
+    assert rows_ == ["구분 | 기한 | 방법"] + [f"{i}차 | {i}월 | 누리집에서 서식 {i}을 내려받아 담당 부서로 낸다" for i in range(40)]  # rows stay whole
+    assert got[-1] == chunking.Chunk("2. 제출 기한", " ".join(question))  # question and answer together
+
+
+def test_thin_headings_stay_with_what_follows():
+    body = "이 절은 운영 방침을 정하며 자세한 사항은 따로 둔 지침에서 정하고 해마다 고쳐 다시 알리도록 하며 모든 부서가 따른다"
+    got = chunking.chunks_in(f"Ⅰ. 개요\n1. 목적\n{body}\n□ 방침을 정한다\n{body} 둘째")
+    assert [c.heading for c in got] == ["Ⅰ. 개요", "Ⅰ. 개요"]  # a sentence is no heading; "1. 목적" comes before there is any substance
+    assert got[0].text.startswith("Ⅰ. 개요 1. 목적")
+
+
+def test_long_lines_are_cut_in_linear_time():
+    import time
+
+    start = time.monotonic()
+    assert sum(map(len, chunking.split_long("ab" * 4_000_000))) == 8_000_000
+    parts = chunking.chunk_text(" ".join(f"word{i}" for i in range(400_000)))
+    assert sum(len(p.split()) for p in parts) == 400_000 and time.monotonic() - start < 20
+
+
 def test_cards_join_chains(spark):
     pairs = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], "a string, b string")
     got = dict(rows(dedup.name_cards(pairs)))
