@@ -24,6 +24,8 @@ W_LEXICAL, W_DENSE, RRF_K = 0.4, 1.0, 60
 TOP = 20
 TAIL_SHARE, SCORE_FLOOR = 0.25, 0.271
 NEAR_COPY = 0.9
+#: An expanded question: of how many best chunks the terms come, in how many of these one must be, and how many are added.
+FEEDBACK_CHUNKS, FEEDBACK_SHARED, FEEDBACK_TERMS = 5, 2, 6
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -237,6 +239,54 @@ def expand_weak(first: DataFrame, second: DataFrame, qid: str = "qid") -> DataFr
     return first.join(better, qid, "left_anti").unionByName(second.join(better, qid, "left_semi"), allowMissingColumns=True)
 
 
+def weighed(terms: DataFrame, index: DataFrame, n_chunks: DataFrame, qid: str = "qid") -> DataFrame:
+    """(qid, term, weight): distinct terms of questions as lexical() weighs them; n_chunks is a row (n)."""
+    q = terms.select(qid, "term").distinct()
+    df = index.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    j = q.join(df, "term", "left").withColumn("_one", F.lit(1)).join(F.broadcast(n_chunks.select(F.col("n").alias("_n"), F.lit(1).alias("_one"))), "_one")  # one row
+    return j.select(qid, "term", (F.least(F.length("term"), F.lit(LONGEST_TERM)) * idf(F.coalesce("df", F.lit(0)), F.col("_n"))).alias("weight"))
+
+
+def evidence_share(found: DataFrame, weights: DataFrame, index: DataFrame, qid: str = "qid", chunk_id: str = "chunk_id") -> DataFrame:
+    """found with score: the share of its question's weight that a chunk's terms have, a scale that is the same for every search."""
+    total = weights.groupBy(qid).agg(F.sum("weight").alias("_t"))
+    hit = found.select(qid, chunk_id).join(index, chunk_id).join(weights, [qid, "term"]).groupBy(qid, chunk_id).agg(F.sum("weight").alias("_s"))
+    j = found.drop("score").join(hit, [qid, chunk_id], "left").join(total, qid, "left")
+    return j.withColumn("score", F.coalesce(F.round(F.col("_s") / F.col("_t"), 9), F.lit(0.0))).drop("_s", "_t")
+
+
+def related_terms(found: DataFrame, questions: DataFrame, index: DataFrame, n_chunks: DataFrame, qid: str = "qid", chunk_id: str = "chunk_id") -> DataFrame:
+    """(qid, term): what to search for besides: of the terms that several of a question's best chunks share and it hasn't itself, the heaviest (in most chunks first)."""
+    best = found.where(F.col("rank") <= FEEDBACK_CHUNKS).select(qid, chunk_id)
+    near = best.join(index, chunk_id).groupBy(qid, "term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FEEDBACK_SHARED)
+    near = cut(near.join(questions.select(qid, "term").distinct(), [qid, "term"], "left_anti"))
+    heavy = near.join(weighed(near, index, n_chunks, qid), [qid, "term"]).withColumn("weight", F.round("weight", 9))
+    return top_k(heavy, [qid], [F.desc("_n"), F.desc("weight"), F.col("term")], FEEDBACK_TERMS).select(qid, "term")
+
+
+def search_expanding(questions: DataFrame, index: DataFrame, n_chunks: DataFrame, more: DataFrame | None = None, floor: float = SCORE_FLOOR, qid: str = "qid", chunk_id: str = "chunk_id") -> DataFrame:
+    """(qid, chunk_id, score, rank, weak, expanded): lexical search; questions with weak evidence are searched again with more terms.
+
+    more (qid, term) are terms that somebody proposes, such as a language model; else
+    related_terms() of what the first search found. Hits of both searches are scored against the question as it was
+    asked, and the second search's count only where its best is better. A question that finds nothing has no rows.
+    """
+    weights = cut(weighed(questions, index, n_chunks, qid))
+
+    def judged(hits: DataFrame) -> DataFrame:
+        scored = evidence_share(hits, weights, index, qid, chunk_id)
+        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(qid).orderBy(F.desc("score"), "rank")))
+        return cut(prune(ranked, floor=floor, qid=qid).select(qid, chunk_id, "score", "rank", "weak"))
+
+    hits = cut(lexical(questions, index, n_chunks, qid=qid, chunk_id=chunk_id))
+    first = judged(hits)
+    weak = first.where("weak").select(qid).distinct()
+    more = related_terms(hits.join(weak, qid, "left_semi"), questions, index, n_chunks, qid, chunk_id) if more is None else more.select(qid, "term")
+    again = questions.select(qid, "term").join(weak, qid, "left_semi").union(more.join(weak, qid, "left_semi"))
+    second = judged(lexical(again, index, n_chunks, qid=qid, chunk_id=chunk_id))
+    return expand_weak(first.withColumn("expanded", F.lit(False)), second.withColumn("expanded", F.lit(True)), qid)
+
+
 def newest_revision(ranked: DataFrame, families: DataFrame, doc: str = "doc_id", family: str = "family", version: str = "version") -> DataFrame:
     """ranked with current: the newest document of each hit's family, and stale: whether the hit is of an older one."""
     newest = families.groupBy(family).agg(F.max_by(doc, F.struct(version, doc)).alias("current"))

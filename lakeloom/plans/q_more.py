@@ -18,7 +18,7 @@ from lakeloom.operators import chains, datasets, dedup, evaluation, joins, minin
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_datasets import answers
 from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
-from lakeloom.operators.lineage import scratch
+from lakeloom.operators.lineage import cut, scratch
 from lakeloom.plans.registry import Tables, query
 from lakeloom.sources import documents as sources
 from lakeloom.sources import tables
@@ -215,11 +215,17 @@ def pii_rows(t: Tables) -> DataFrame:
 # --- retrieval -------------------------------------------------------------------------------------------
 
 
+#: Below this share of a question's weight its evidence is weak.
+WEAK_SHARE = 0.6
+
+
 @query()
 def ret_expand_query(t: Tables) -> DataFrame:
-    first = retrieval.prune(ranked(t).withColumn("score", F.col("score") / 200))
-    second = ranked(t).withColumn("score", F.col("score") / 150).withColumn("weak", F.lit(False))
-    return retrieval.expand_weak(first.select("qid", "chunk_id", "score", "weak"), second.select("qid", "chunk_id", "score", "weak"))
+    """Benchmark passages, and whole documents (every id divisible by 50), as questions to all lines; searched again with terms of the best lines where these have little of the question."""
+    c = chunks(t)
+    n = cut(c.agg(F.count(F.lit(1)).alias("n")))
+    asked = t.documents.where("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("qid"), F.explode(tx.terms(F.col("text"))).alias("term"))
+    return retrieval.search_expanding(questions(t).union(asked), cut(retrieval.postings(c)), n, floor=WEAK_SHARE)
 
 
 @query("WITH f AS (SELECT doc_id, source || lang AS family FROM documents), n AS (SELECT family, max(doc_id) AS current FROM f GROUP BY 1) SELECT doc_id, current, current <> doc_id AS stale FROM f JOIN n USING (family)")

@@ -229,20 +229,62 @@ def ret_near_copies(t):
     return out
 
 
-def ret_expand_query(t):
-    out = []
-    for qid, rows in _by(ranked(t), "qid").items():
-        first = [{**r, "score": r["score"] / 200} for r in rows]
-        second = [{**r, "score": r["score"] / 150} for r in rows]
-        top = max(r["score"] for r in first)
-        inside = [r for r in first if r["score"] >= max(top * 0.25, 0.271)]
-        weak = not inside or top < 0.271
-        kept = inside or [r for r in first if r["rank"] == 1]
-        better = weak and max(r["score"] for r in second) > max(r["score"] for r in kept)
-        out += [{"qid": qid, "chunk_id": r["chunk_id"], "score": r["score"], "weak": weak and not better} for r in (second if better else kept)]
+def _terms(text):
+    return set(re.findall("[가-힣a-z0-9]{2,}", text.lower()))
+
+
+def _lexical(questions, chunks):
+    """{question: [chunk ids, best first]} by the rules of the lexical ranking, from {question: terms} and {chunk: terms}."""
+    n, df, out = len(chunks), Counter(w for c in chunks.values() for w in c), {}
+    idf = lambda w: math.log(1 + n / (1 + df[w]))
+    for q, asked in questions.items():
+        focus = set()
+        if len(asked) > 2 and n >= 200:
+            focus = {w for w in sorted(asked, key=lambda w: (-idf(w), -len(w), w))[:2] if df[w]}
+            if not focus:
+                continue
+        found = []
+        for c, own in chunks.items():
+            shared = asked & own
+            rare = sum(df[w] <= max(3, math.floor(n * 0.1)) for w in shared)
+            if len(shared) >= 2 and rare and (not focus or shared & focus):
+                found.append((-rare, -round(sum(min(len(w), 4) * idf(w) for w in shared), 9), -len(shared), c))
+        out[q] = [f[-1] for f in sorted(found)[:20]]
+    return {q: c for q, c in out.items() if c}
+
+
+def expanded_search(questions, chunks, floor):
+    n, df, out = len(chunks), Counter(w for c in chunks.values() for w in c), []
+    weight = lambda w: min(len(w), 4) * math.log(1 + n / (1 + df[w]))
+
+    def judged(q, hits):
+        whole = sum(map(weight, questions[q]))
+        scored = [(-round(sum(map(weight, questions[q] & chunks[c])) / whole, 9), i, c) for i, c in enumerate(hits)]
+        ranked = [(c, -s, i) for i, (s, _, c) in enumerate(sorted(scored), 1)]
+        top = ranked[0][1]
+        kept = [r for r in ranked if r[1] >= max(floor, top * 0.25)]
+        return kept or ranked[:1], not kept or top < floor
+
+    first = _lexical(questions, chunks)
+    more, results = {}, {q: judged(q, hits) for q, hits in first.items()}
+    for q, (_, weak) in results.items():
+        if weak:
+            near = Counter(w for c in first[q][:5] for w in chunks[c] - questions[q])
+            best = sorted((-k, -round(weight(w), 9), w) for w, k in near.items() if k >= 2)[:6]
+            more[q] = questions[q] | {w for _, _, w in best}
+    second = {q: judged(q, hits) for q, hits in _lexical(more, chunks).items()}
+    for q, result in results.items():
+        better = q in second and second[q][0][0][1] > result[0][0][1]
+        kept, weak = second[q] if better else result
+        out += [{"qid": q, "chunk_id": c, "score": s, "rank": i, "weak": weak, "expanded": better} for c, s, i in kept]
     return out
 
 
+def ret_expand_query(t):
+    questions = {b["item_id"]: _terms(b["text"]) for b in t["benchmark"]} | {-1 - d["doc_id"]: _terms(d["text"]) for d in t["documents"] if d["doc_id"] % 50 == 0}
+    return expanded_search(questions, {c["chunk_id"]: _terms(c["text"]) for c in lines(t)}, 0.6)
+
+
 def ret_refs(t):
     chunks, out = lines(t), []
     by_id = {c["chunk_id"]: c for c in chunks}

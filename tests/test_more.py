@@ -63,6 +63,33 @@ def test_long_lines_are_cut_in_linear_time():
     assert sum(len(p.split()) for p in parts) == 400_000 and time.monotonic() - start < 20
 
 
+def test_weak_questions_are_searched_again(spark):
+    """A line that has much of the question but neither of its two most telling words is found by words of the lines that have one."""
+    import brute
+
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choice(["north", "south", "east", "west", "road", "river"]) + str(rng.randrange(60)) for _ in range(6)) for i in range(300)}
+    telling = {1000: "zzqfirst budget8 ledger audit", 1001: "zzqfirst ledger audit travel9", 1002: "wwksecond ledger audit refund7"}
+    telling |= {1100 + i: f"{w} apart{i}" for i, w in enumerate(["zzqfirst", "wwksecond"] * 6)}
+    answer = {1003: "budget8 travel9 refund7 grant6 ledger audit"}
+    common = {2000 + i: f"{w} filler{i}" for i, w in enumerate(["budget8", "travel9", "refund7", "grant6"] * 10)}
+    chunks = texts | telling | answer | common
+    asked = {1: "zzqfirst wwksecond budget8 travel9 refund7 grant6", 2: texts[7], 3: "nothing here"}
+    index = retrieval.postings(spark.createDataFrame(list(chunks.items()), "chunk_id long, text string"))
+    q = spark.createDataFrame([(k, w) for k, v in asked.items() for w in v.split()], "qid long, term string")
+    n = spark.createDataFrame([(len(chunks),)], "n long")
+    expected = brute.expanded_search({k: set(v.split()) for k, v in asked.items()}, {k: set(v.split()) for k, v in chunks.items()}, 0.6)
+    got = retrieval.search_expanding(q, index, n, floor=0.6)
+    shape = lambda rs: sorted((r["qid"], r["chunk_id"], round(r["score"], 6), r["rank"], r["weak"], r["expanded"]) for r in rs)
+    assert shape(r.asDict() for r in got.collect()) == shape(expected)
+    assert [(r["chunk_id"], r["expanded"]) for r in got.where("qid = 1").collect()] == [(1003, True)] and got.where("qid = 2 and not expanded and not weak").count()
+    proposed = spark.createDataFrame([(1, "ledger"), (1, "audit")], "qid long, term string")
+    told = retrieval.search_expanding(q, index, n, proposed, 0.6)
+    assert shape(r.asDict() for r in told.collect()) == shape(expected)
+    none = retrieval.search_expanding(q.where("false"), index, n)
+    assert none.isEmpty()
+
+
 def test_cards_join_chains(spark):
     pairs = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], "a string, b string")
     got = dict(rows(dedup.name_cards(pairs)))
