@@ -84,6 +84,34 @@ def test_greedy_decides_long_chains(spark):
     assert got == sorted(((i, None if i % 2 else i - 1) for i in range(1, 109)), key=repr)
 
 
+def test_document_groups_equal_comparing_all_sketches(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (40, 90, 145, 150, 400, 400, 900)]
+    texts = []
+    for i in range(160):
+        t = list(base[rng.randrange(len(base))])
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            t[rng.randrange(len(t))] = "z"
+        texts.append("".join(t)[: rng.choice([None, None, 139, 145])])
+    texts += [None, "", "  ", "x"]
+    sketch = {i: sorted(dedup._shingle_hashes(t).tolist())[:128] for i, t in enumerate(texts) if t and t.strip()}
+
+    def near(a, b):
+        k = min(len(a), len(b))
+        union = sorted(set(a) | set(b))[:k]
+        return len(set(union) & set(a) & set(b)) / k >= 0.6
+
+    kept, want = [], {i: i for i in range(len(texts))}
+    for i in sorted(sketch):
+        want[i] = next((k for k in kept if near(sketch[k], sketch[i])), i)
+        kept += [i] if want[i] == i else []
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(dedup, "COMMON_SHARE", 2.0)
+    assert dict(rows(dedup.document_groups(df.repartition(3)))) == want
+    monkeypatch.setattr(dedup, "HAND_OUT", -1)
+    assert dict(rows(dedup.document_groups(df.repartition(2)))) == want
+
+
 def test_document_groups_leave_shared_forms_out(spark):
     rng = random.Random(3)
     letters = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
