@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators.lineage import cut
+
+#: Keys whose sums a task of the bootstrap holds at once.
+BOOTSTRAP_KEYS = 1_000
+
 
 def facets(rows: DataFrame, filters: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
     """(facet, value, n): each facet is counted under all filters but its own.
@@ -93,8 +99,30 @@ def dominant_share(rows: DataFrame, path: str, label: str, share: float = 0.7, l
     return named.join(clear, "folder").groupBy(path).agg(F.max_by(label, F.length("folder")).alias(label))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(key, a column for each place): the values at places of each key's sorted values, from 0, given the number n of them; nulls don't count.
+
+    Equal values are one row with a count. These lie in ranges of (key, value): places are found by the sums of the
+    ranges before and a running sum within one, so no task has all of a key. A key without values has no row.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    c = cut(c.repartitionByRange("k", "v").withColumn("r", F.spark_partition_id()))
+    per = W.partitionBy("k")
+    sums = c.groupBy("k", "r").agg(F.sum("c").alias("s")).select(F.col("k").alias("k2"), F.col("r").alias("r2"), (F.sum("s").over(per.orderBy("r")) - F.col("s")).alias("before"), F.sum("s").over(per).alias("n"))
+    j = c.join(sums, F.col("k").eqNullSafe(F.col("k2")) & (F.col("r") == F.col("r2")))
+    up_to = F.col("before") + F.sum("c").over(W.partitionBy("r", "k").orderBy("v"))
+    j = j.select("k", "v", "n", (up_to - F.col("c")).alias("low"), up_to.alias("high"))
+    here = {name: F.when((at(F.col("n")) >= F.col("low")) & (at(F.col("n")) < F.col("high")), F.col("v")) for name, at in places.items()}
+    return j.groupBy(F.col("k").alias(key)).agg(*[F.max(v).alias(name) for name, v in here.items()])
+
+
+def at_share(share: float) -> Callable[[Column], Column]:
+    """Not interpolated: the place min(n - 1, floor(share * n))."""
+    return lambda n: F.least(n - 1, F.floor(n * F.lit(share)))
+
+
 def percentile_rank(column: str, share: float) -> Column:
-    """Not interpolated: sorted[min(n - 1, floor(share * n))] of a group."""
+    """As at_share, for groups of a bounded size."""
     values = F.array_sort(F.collect_list(column))
     return F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * share).cast("int")))
 
@@ -108,32 +136,45 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, reps: int = 2000, seed: int = 7) -> DataFrame:
-    """(key, mean, low, high): a 95% interval of each group's mean by the Poisson bootstrap.
+    """(key, mean, low, high): a 95% interval of each group's mean by the Poisson bootstrap; null keys and values don't count.
 
-    Equal values of a group are one row with a count c: together they enter a
-    replicate with a Poisson(c) weight, drawn by hash (exactly for up to 30 rows, by the
-    normal approximation beyond). So a group costs its distinct values, not its rows, and
-    rows that look alike still have weights of their own.
+    Equal values of a group are one row with a count c: together they enter each
+    replicate with a Poisson(c) weight, drawn from a generator that the value itself seeds, so that
+    reruns and retried tasks agree. Tasks add weights up: one row of sums for each key and task is shuffled, not one for each value and replicate.
     """
-    exact = 30
-    each = rows.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    each = each.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    uniform = lambda *salt: (F.shiftrightunsigned(F.xxhash64(F.col(key), "v", "r", *salt, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    one = lambda i: reduce(lambda a, c: a + (uniform(i) > c).cast("int"), cuts, F.lit(0))
-    few = F.aggregate(F.transform(F.sequence(F.lit(1), F.least(F.col("c"), F.lit(exact)).cast("int")), one), F.lit(0), lambda a, x: a + x).cast("double")
-    normal = F.sqrt(-2 * F.log(uniform(F.lit("a")))) * F.cos(2 * math.pi * uniform(F.lit("b")))
-    weight = F.when(F.col("c") <= exact, few).otherwise(F.greatest(F.round(F.col("c") + F.sqrt("c") * normal), F.lit(0.0)))
-    drawn = each.select(key, "v", "r", weight.alias("w"))
-    reps_ = drawn.groupBy(key, "r").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
-    ends = reps_.where("m is not null").groupBy(key).agg(percentile_rank("m", 0.025).alias("low"), percentile_rank("m", 0.975).alias("high"))
+    each = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    each = each.withColumn("h", F.xxhash64(F.col(key), "v", F.lit(seed)))
+    kind = each.schema[key].dataType.simpleString()
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[object, list[np.ndarray]] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({key: list(sums), "w": [s[0] for s in sums.values()], "x": [s[1] for s in sums.values()]})
+
+        for pdf in batches:
+            for k, v, c, h in zip(pdf[key], pdf["v"], pdf["c"], pdf["h"], strict=True):
+                weights = np.random.Generator(np.random.Philox(key=int(h) & (1 << 64) - 1)).poisson(c, reps).astype(float)
+                mine = sums.setdefault(k, [np.zeros(reps), np.zeros(reps)])
+                mine[0] += weights
+                mine[1] += weights * v
+                if len(sums) == BOOTSTRAP_KEYS:
+                    yield out()
+                    sums.clear()
+        if sums:
+            yield out()
+
+    added = each.mapInPandas(drawn, f"{key} {kind}, w array<double>, x array<double>").select(key, F.posexplode(F.arrays_zip("w", "x")).alias("r", "s"))
+    means = added.groupBy(key, "r").agg((F.sum("s.x") / F.nullif(F.sum("s.w"), F.lit(0.0))).alias("m"))
+    ends = means.where("m is not null").groupBy(key).agg(percentile_rank("m", 0.025).alias("low"), percentile_rank("m", 0.975).alias("high"))
     return rows.groupBy(key).agg(F.avg(value).alias("mean")).join(ends, key)
 
 
 def co_mentions(mentions: DataFrame, doc: str, name: str, least_docs: int = 5, share: float = 0.02) -> DataFrame:
     """(a, b, n, share): pairs named together in enough documents; share is of the documents of the rarer name."""
     m = mentions.select(doc, name).distinct()
-    total = m.groupBy(name).agg(F.count(F.lit(1)).alias("docs"))
+    total = cut(m.groupBy(name).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least_docs))
+    m = m.join(total.select(name), name, "left_semi")  # rarer names are in no pair
     pairs = m.select(doc, F.col(name).alias("a")).join(m.select(doc, F.col(name).alias("b")), doc).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
     j = pairs.join(total.select(F.col(name).alias("a"), F.col("docs").alias("da")), "a").join(total.select(F.col(name).alias("b"), F.col("docs").alias("db")), "b")
     return j.select("a", "b", "n", (F.col("n") / F.least("da", "db")).alias("share")).where(F.col("share") >= share)

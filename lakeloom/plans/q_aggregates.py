@@ -184,7 +184,8 @@ def agg_dominant_share(t: Tables) -> DataFrame:
 SELECT event_type, round(CASE WHEN len(v) % 2 = 1 THEN v[(len(v) + 1) // 2] ELSE (v[len(v) // 2] + v[len(v) // 2 + 1]) / 2 END, 6) AS median, v[least(len(v), CAST(floor(0.9 * len(v)) AS BIGINT) + 1)] AS p90 FROM s"""
 )
 def agg_percentile(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), agg.percentile_rank("value", 0.9).alias("p90"))
+    places = {"a": lambda n: F.floor((n - 1) / 2), "b": lambda n: F.floor(n / 2), "p90": agg.at_share(0.9)}
+    return agg.percentiles(t.events, "event_type", "value", places).select("event_type", F.round((F.col("a") + F.col("b")) / 2, 6).alias("median"), "p90")
 
 
 @query(

@@ -83,15 +83,11 @@ def er_linkable(t: Tables) -> DataFrame:
     return dedup.linkable(dedup.extract_entities(t.documents, ENTITIES), t.documents.count())
 
 
-#: Words that count as names, and how often one must occur to be one.
-VARIANT_WORD, VARIANT_LEAST = "[a-z]{7,}", 4
-
-
 @query()
 def er_variants(t: Tables) -> DataFrame:
-    """Spellings of frequent words, in each language."""
-    words = t.documents.select(F.col("lang").alias("kind"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(VARIANT_WORD), F.lit(0))).alias("name"))
-    return dedup.merge_variants(words.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VARIANT_LEAST))
+    """Spellings of all words, in each language."""
+    words = t.documents.select(F.col("lang").alias("kind"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
+    return dedup.merge_variants(words.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query()

@@ -398,13 +398,10 @@ def doc_groups(got, t, spark, query):
 
 
 def er_variants(t):
-    from lakeloom.plans.q_datasets import VARIANT_LEAST, VARIANT_WORD
-
-    n = Counter((d["lang"], w) for d in t["documents"] for w in re.findall(VARIANT_WORD, d["text"].lower()))
+    n = Counter((d["lang"], w) for d in t["documents"] for w in re.findall("[a-z]+", d["text"].lower()))
     names = defaultdict(list)
     for (kind, w), k in n.items():
-        if k >= VARIANT_LEAST:
-            names[kind].append((-k, len(w), w))
+        names[kind].append((-k, len(w), w))
     out = []
 
     def close(x, y):

@@ -84,6 +84,22 @@ def test_greedy_decides_long_chains(spark):
     assert got == sorted(((i, None if i % 2 else i - 1) for i in range(1, 109)), key=repr)
 
 
+def test_greedy_cover_equals_the_sequential_rule(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        n = 60
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(110)} | {(i, i + 1) for i in range(12)}
+        place = {i: rng.randrange(8) for i in range(n)}
+        near = lambda a, b: (min(a, b), max(a, b)) in pairs
+        kept, want = [], {}
+        for i in sorted(range(n), key=lambda i: (place[i], i)):
+            want[i] = next((k for k in kept if near(k, i)), None)
+            kept += [i] if want[i] is None else []
+        items = spark.createDataFrame(list(place.items()), "item long, place int")
+        got = dedup.greedy(items, "item", spark.createDataFrame(list(pairs), "a long, b long"), [F.col("place")])
+        assert dict(rows(got)) == want
+
+
 def test_document_groups_equal_comparing_all_sketches(spark, monkeypatch):
     rng = random.Random(11)
     base = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (40, 90, 145, 150, 400, 400, 900)]
