@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions import numbers
+from lakeloom.functions import text as tx
 from lakeloom.operators.joins import key_of
 from lakeloom.operators.similarity import contains_join
 
@@ -129,10 +130,53 @@ def fill_pending(cells: DataFrame, row: str = "row_label", column: str = "col_la
     return cells.join(told.select(row, column, "_v"), [row, column], "left").withColumn("filled", F.when((F.trim(value) == pending) & F.col("_v").isNotNull(), F.col("_v")).otherwise(F.col(value))).drop("_v")
 
 
-def supported_facts(facts: DataFrame, quote: str = "quote", value: str = "value", text: str = "text") -> DataFrame:
-    """Facts whose quote stands in the source and holds the value, spaces aside."""
+#: How far before a number its item's words may stand, and words of items that name nothing (fixed values).
+LABEL_BEFORE = 50
+GENERIC_ITEM = ("인원", "건수", "금액", "실적", "개수", "합계", "전체")
+
+
+def label_near(item: Column, value: Column, text: Column) -> Column:
+    """Whether a number of an item of several telling words has all of these right before it, at one of its places in the text; true for other values and items.
+
+    Spaces count neither in the value nor in the text. Null items have no words.
+    """
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.coalesce(item, F.lit("")), F.lit("[가-힣A-Za-z]{2,}"), F.lit(0))), lambda w: ~w.isin(*GENERIC_ITEM))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    # What lies between two places of the value, and so before each; a window may reach back over places of the value.
+    before = F.split(bare(text), F.concat(F.lit("\\Q"), bare(value), F.lit("\\E")))
+    place = F.sequence(F.lit(1), F.size(before) - 1)
+    back = lambda i: F.slice(before, F.greatest(i - F.lit(LABEL_BEFORE), F.lit(1)), F.least(i, F.lit(LABEL_BEFORE + 1)))
+    window = lambda i: F.right(F.call_function("array_join", back(i), bare(value)), F.lit(LABEL_BEFORE))
+    near = F.exists(place, lambda i: F.forall(words, lambda w: F.contains(window(i), w)))
+    return (F.size(words) < 2) | ~F.coalesce(value, F.lit("")).rlike("[0-9]") | ((F.size(before) > 1) & F.when(F.size(before) > 1, near))
+
+
+def supported_facts(facts: DataFrame, quote: str = "quote", value: str = "value", text: str = "text", item: str | None = None) -> DataFrame:
+    """Facts whose quote stands in the source and holds the value, spaces aside; with an item, its words must stand near the value too."""
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    return facts.where(F.contains(bare(F.col(text)), bare(F.col(quote))) & F.contains(bare(F.col(quote)), bare(F.col(value))) & (F.trim(value) != ""))
+    kept = facts.where(F.contains(bare(F.col(text)), bare(F.col(quote))) & F.contains(bare(F.col(quote)), bare(F.col(value))) & (F.trim(value) != ""))
+    return kept.where(label_near(F.col(item), F.col(value), F.col(text))) if item else kept
+
+
+#: Limits of the audit of what came in: characters of the median chunk, shares of damaged and of useless chunks, chunks that need a heading among them.
+LOW_MEDIAN, HIGH_DAMAGE, HIGH_NOISE, HEADED_FROM = 40, 0.20, 0.50, 10
+
+
+def ingest_audit(chunks: DataFrame, doc: str = "doc_id", text: str = "text", heading: str | None = None) -> DataFrame:
+    """(doc, n_chunks, median, damage, noise, issues, severity) of documents that need a look, by their chunks.
+
+    No text (severity 3: no chunk has any); fragmented (the median chunk is short) and damaged (bad text layer), severity 2;
+    no headings and noisy (chunks of no use to a search), severity 1. Sound documents have no row.
+    """
+    c = F.col(text)
+    solid = F.coalesce(c.rlike(r"\S"), F.lit(False))
+    facts = chunks.select(doc, solid.alias("s"), F.when(solid, tx.substantive_length(c)).alias("n"), (solid & (F.size(tx.damage_signals(c)) > 0)).alias("d"), F.coalesce(tx.keep(tx.quality_reasons(c), tx.SEARCH), F.lit(False)).alias("k"), F.coalesce(F.col(heading) != "", F.lit(False)).alias("h") if heading else F.lit(True).alias("h"))
+    a = facts.groupBy(doc).agg(F.count_if("s").alias("n_chunks"), F.floor(F.median("n")).alias("median"), (F.count_if("d") / F.nullif(F.count_if("s"), F.lit(0))).alias("damage"), (F.count_if(~F.col("k")) / F.count(F.lit(1))).alias("noise"), F.max("h").alias("h"))
+    heavy = F.array_compact(F.array(F.when(F.col("median") < LOW_MEDIAN, "fragmented"), F.when(F.col("damage") >= HIGH_DAMAGE, "damaged")))
+    light = F.array_compact(F.array(F.when(~F.col("h") & (F.col("n_chunks") >= HEADED_FROM), "no headings"), F.when(F.col("noise") >= HIGH_NOISE, "noisy")))
+    empty = F.col("n_chunks") == 0
+    a = a.withColumn("issues", F.when(empty, F.array(F.lit("no text"))).otherwise(F.concat(heavy, light))).where(F.size("issues") > 0)
+    return a.withColumn("severity", F.when(empty, 3).when(F.size(heavy) > 0, 2).otherwise(1)).drop("h")
 
 
 def plan_import(sheet: DataFrame, known: DataFrame, key: str = "key", fields: list[str] | None = None) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators import platform
+from lakeloom.operators import datasets, platform
 from lakeloom.operators.lineage import scratch
 from lakeloom.streaming import batch, events
+from lakeloom.plans.q_aggregates import lines
+from lakeloom.plans.q_text import REASONS_SQL
 from lakeloom.plans.registry import Tables, query
 
 
@@ -154,12 +156,14 @@ def fix_repeat_lines(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT doc_id, list_filter([CASE WHEN n_chars = 0 THEN 'empty' END, CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN contains(text, '@') THEN 'personal data' END], lambda x: x IS NOT NULL) AS issues FROM documents)
-SELECT doc_id, array_to_string(issues, ',') AS issues, CAST(len(issues) AS INTEGER) AS severity FROM i WHERE len(issues) > 0"""
+    f"""WITH {REASONS_SQL}, a AS (SELECT doc_id, count(*) FILTER (t <> '') AS n, CAST(floor(median(sub) FILTER (t <> '')) AS BIGINT) AS mid, count(*) FILTER (len(list_filter(reasons, lambda x: x NOT IN ('thin', 'low_text'))) > 0) / count(*) AS noise FROM r GROUP BY 1),
+i AS (SELECT *, CASE WHEN n = 0 THEN ['no text'] ELSE list_filter([CASE WHEN mid < 40 THEN 'fragmented' END, CASE WHEN noise >= 0.5 THEN 'noisy' END], lambda x: x IS NOT NULL) END AS issues FROM a)
+SELECT doc_id, n AS n_chunks, mid AS median, round(noise, 6) AS noise, array_to_string(issues, ',') AS issues, CASE WHEN n = 0 THEN 3 WHEN mid < 40 THEN 2 ELSE 1 END AS severity FROM i WHERE len(issues) > 0"""
 )
 def ing_audit(t: Tables) -> DataFrame:
-    i = F.array_compact(F.array(F.when(F.col("n_chars") == 0, "empty"), F.when(F.col("n_chars") < 100, "short"), F.when(F.contains("text", F.lit("@")), "personal data")))
-    return t.documents.select("doc_id", i.alias("i")).where(F.size("i") > 0).select("doc_id", F.array_join("i", ",").alias("issues"), F.size("i").alias("severity"))
+    """Lines as chunks; none of these tables has a bad text layer, which the tests make."""
+    a = datasets.ingest_audit(lines(t), text="line")
+    return a.select("doc_id", "n_chunks", "median", F.round("noise", 6).alias("noise"), F.array_join("issues", ",").alias("issues"), "severity")
 
 
 @query("SELECT event_type, round(median(value), 6) AS value, round(median(event_id), 6)::DOUBLE AS id FROM events GROUP BY 1")

@@ -90,6 +90,27 @@ def test_weak_questions_are_searched_again(spark):
     assert none.isEmpty()
 
 
+def test_intake_audit_names_what_is_wrong(spark):
+    good = "A sound line of plain prose that says enough to stand for itself in any search."
+    docs = {1: [good] * 4, 2: ["", "  ", None], 3: ["short one here only"] * 5, 4: [good] * 2 + ["漢字" * 40], 5: [good] * 12, 6: [f"{good} {good}"] * 3 + ["- 3 -"] * 3}
+    rows_ = [(d, c, "Ⅰ. 개요" if d == 1 else None) for d, cs in docs.items() for c in cs]
+    df = spark.createDataFrame(rows_, "doc_id int, text string, heading string")
+    got = {r.doc_id: (r.issues, r.severity) for r in datasets.ingest_audit(df, heading="heading").collect()}
+    assert got == {2: (["no text"], 3), 3: (["fragmented", "noisy"], 2), 4: (["damaged"], 2), 5: (["no headings"], 1), 6: (["noisy"], 1)}, got
+    assert 5 not in {r.doc_id for r in datasets.ingest_audit(df).collect()}
+    assert datasets.ingest_audit(df.where("false")).isEmpty()
+
+
+def test_numbers_need_their_label_near(spark):
+    text = "세미나에는 61명이 왔다. " + "그 밖의 내용 " * 10 + "교육을 이수한 학생은 42명 이다. 합계 42명"
+    cases = [("교육 이수 인원", "61명", False), ("교육 이수 인원", "42 명", True), ("금액", "61명", True), ("교육 이수", "완료", True), (None, "61명", True), ("교육 이수", "99명", False), ("교육 이수", None, True)]
+    df = spark.createDataFrame([(i, a, b, text) for i, (a, b, _) in enumerate(cases)], "i int, item string, value string, text string")
+    got = dict(rows(df.select("i", datasets.label_near(F.col("item"), F.col("value"), F.col("text")).alias("near"))))
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+    facts = df.withColumn("quote", F.col("text"))
+    assert {r.i for r in datasets.supported_facts(facts, item="item").collect()} == {1, 2, 4}
+
+
 def test_cards_join_chains(spark):
     pairs = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], "a string, b string")
     got = dict(rows(dedup.name_cards(pairs)))
