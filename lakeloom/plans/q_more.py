@@ -560,9 +560,13 @@ def ds_outline_steps(t: Tables) -> DataFrame:
     """Regions as documents, nations and suppliers as sections."""
     name = F.concat("s_name", F.when(F.col("s_acctbal") > 5000, F.concat(F.lit(" "), F.col("s_suppkey").cast("string"), F.lit("%"))).otherwise(""))
     seq = F.col("n_nationkey").cast("long") * 100000
-    lines_ = t.region.select(F.col("r_regionkey").alias("doc_id"), F.lit(-1).cast("long").alias("seq"), F.lit(1).alias("level"), F.col("r_name").alias("title"))
-    lines_ = lines_.union(t.nation.select("n_regionkey", seq, F.lit(2), "n_name")).union(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", seq + F.col("s_suppkey"), F.lit(3), name))
-    return datasets.outline_steps(windows.breadcrumbs(lines_, order=["seq"], deepest=3)).withColumn("missing", F.array_join("missing", " "))
+    # Sections stand by nation, then supplier: seq alone mixes nations where keys pass 100,000.
+    first = F.lit(-1).cast("long")
+    lines_ = t.region.select(F.col("r_regionkey").alias("doc_id"), first.alias("seq"), F.lit(1).alias("level"), F.col("r_name").alias("title"), first.alias("nation"), first.alias("supplier"))
+    nation = F.col("n_nationkey").cast("long")
+    lines_ = lines_.union(t.nation.select("n_regionkey", seq, F.lit(2), "n_name", nation, first))
+    lines_ = lines_.union(t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", seq + F.col("s_suppkey"), F.lit(3), name, nation, "s_suppkey"))
+    return datasets.outline_steps(windows.breadcrumbs(lines_, order=["nation", "supplier"], deepest=3)).withColumn("missing", F.array_join("missing", " "))
 
 
 @query()
