@@ -39,3 +39,12 @@ def test_outline_steps_with_supplier_keys_beyond_a_nations_range(same):
     of = "SELECT * FROM '{SF}/%s.parquet'"
     keys = "SELECT s_suppkey + i * 1000000 AS s_suppkey, s_name, s_nationkey, s_acctbal FROM '{SF}/supplier.parquet', range(2) r(i)"
     assert same("ds_outline_steps", region=of % "region", nation=of % "nation", supplier=keys)
+
+
+def test_scrub_of_cards_that_share_a_sign_with_a_number_before(same):
+    (row,) = same("prv_scrub", documents=documents("+1 (846) 555-8765", first=1))
+    assert row["text"] == "+1 (846) 555-[CARD]-[CARD] 0004"
+
+
+def test_residual_counts_of_cards_that_share_a_sign(same):
+    assert same("pii_residual_scan", documents=documents("+1 (846) 555-8765", "010-1234-5678 01012345678.010.123.4567", first=1))
