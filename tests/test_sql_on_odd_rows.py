@@ -48,3 +48,10 @@ def test_scrub_of_cards_that_share_a_sign_with_a_number_before(same):
 
 def test_residual_counts_of_cards_that_share_a_sign(same):
     assert same("pii_residual_scan", documents=documents("+1 (846) 555-8765", "010-1234-5678 01012345678.010.123.4567", first=1))
+
+
+def test_tokens_stand_for_addresses_alone(same):
+    """Numbers that a secret's digits happen to form are no addresses: the SQL and the text of the query don't have them."""
+    got = same("pii_tokenize", documents=documents('a 900101-1234568 b c@d.io x', "c@d.io 010-1234-5678 e.f@g.org c@d.io"))
+    assert sorted((r["tokens"], r["hidden"]) for r in got) == [(1, "c@d.io"), (2, "c@d.io e.f@g.org")]
+    assert all(r["restored"] for r in got)
