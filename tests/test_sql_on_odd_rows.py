@@ -55,3 +55,8 @@ def test_tokens_stand_for_addresses_alone(same):
     got = same("pii_tokenize", documents=documents('a 900101-1234568 b c@d.io x', "c@d.io 010-1234-5678 e.f@g.org c@d.io"))
     assert sorted((r["tokens"], r["hidden"]) for r in got) == [(1, "c@d.io"), (2, "c@d.io e.f@g.org")]
     assert all(r["restored"] for r in got)
+
+
+def test_section_hits_of_lines_that_begin_with_a_number(same):
+    got = same("ret_section_hits", documents=documents("8316107434564120 Thanlyan of", "12 34 ab", "3. thanlyan OF"))
+    assert sorted((r["qid"], r["n"]) for r in got) == [(0, 2), (6, 1), (12, 2)]
