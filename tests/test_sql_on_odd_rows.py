@@ -60,3 +60,8 @@ def test_tokens_stand_for_addresses_alone(same):
 def test_section_hits_of_lines_that_begin_with_a_number(same):
     got = same("ret_section_hits", documents=documents("8316107434564120 Thanlyan of", "12 34 ab", "3. thanlyan OF"))
     assert sorted((r["qid"], r["n"]) for r in got) == [(0, 2), (6, 1), (12, 2)]
+
+
+def test_heading_levels_of_chapters_and_articles(same):
+    got = same("txt_heading_level", documents=documents("IV. Ofer", "제 3 조 목적", "가. 개요", "1.2 a", "1. a", "(1) a", "Inhain. a", " X . a", "I.", "XI. a"))
+    assert [r["level"] for r in sorted(got, key=lambda r: r["doc_id"])] == [1, 2, 3, 3, 2, 4, None, 1, None, None]
