@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from conftest import rows
-from lakeloom.operators import joins
+from lakeloom.operators import joins, similarity
 
 
 def test_equal_classes_tell_all_links_in_a_row_for_each_item(spark):
     df = spark.createDataFrame([(3, 1, "a"), (1, 1, "a"), (2, 1, "b"), (4, None, "a"), (5, None, "a"), (6, 1, "a")], "id long, n int, s string")
     assert rows(joins.equal_classes(df, "id", ["n", "s"]), "id", "class", "links") == [(1, 1, 2), (2, 2, 0), (3, 1, 2), (4, 4, 0), (5, 5, 0), (6, 1, 2)]
+
+
+def test_sketches_are_those_of_the_shingles_and_empty_texts_have_none(spark, tmp_path):
+    from lakeloom.plans.catalog import QUERIES
+
+    texts = [(1, "The quick brown fox jumps over the lazy dog " * 9), (2, "한글 문서 셋"), (3, "short"), (4, "가나다라마바사아자차카타파하 abc 123"), (5, "..."), (6, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    f = similarity.fingerprint(F.col("text"))
+    both = df.select(similarity.bottom_k(similarity.shingles(f)).alias("x"), similarity.shingle_sketch(f).alias("y")).collect()
+    assert all(r.x == r.y for r in both)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(QUERIES["txt_minhash"](spark, str(tmp_path)), "doc_id", "k")[2:] == [(3, 1), (4, 9), (5, 0), (6, 0)]
+
+
+def test_a_batch_of_sketches_holds_no_shingles():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = pd.Series(["".join(rng.choice(list("abcdefgh"), 5000)) for _ in range(50)])
+    tracemalloc.start()
+    out = texts.map(similarity.sketch_of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(len(s) == 128 for s in out) and peak < 50 * 5000 * 8
