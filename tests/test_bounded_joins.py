@@ -37,3 +37,23 @@ def test_a_batch_of_sketches_holds_no_shingles():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert all(len(s) == 128 for s in out) and peak < 50 * 5000 * 8
+
+
+def test_versions_are_judged_without_storing_shingles(spark):
+    import os
+    import random
+
+    from lakeloom.operators import dedup
+    from lakeloom.operators.lineage import shared_folder
+
+    rng = random.Random(2)
+    long = ["".join(rng.choice("abcdefghij") for _ in range(30_000)) for _ in range(12)]
+    texts = [*long, long[0], long[3][:-60] + "zz", long[3], "", None, long[0] + "."]
+    df = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "doc_id long, family string, text string")
+    root = shared_folder(spark).removeprefix("file:")
+    stored = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(root) for f in files)
+    before = stored()
+    got = {r.doc_id: r for r in dedup.judge_versions(df, "family").collect()}
+    assert {i: got[i].duplicate_of for i in range(12, 18)} == {12: 0, 13: 3, 14: 3, 15: None, 16: None, 17: 0}
+    assert got[12].score == got[14].score == 1.0 and 0.95 <= got[13].score < 1 and [got[i].version_of for i in (0, 1, 13, 15, 16)] == [None, 0, None, 0, 0]
+    assert stored() - before < sum(len(t or "") for t in texts) // 2
