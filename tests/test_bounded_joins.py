@@ -57,3 +57,14 @@ def test_versions_are_judged_without_storing_shingles(spark):
     assert {i: got[i].duplicate_of for i in range(12, 18)} == {12: 0, 13: 3, 14: 3, 15: None, 16: None, 17: 0}
     assert got[12].score == got[14].score == 1.0 and 0.95 <= got[13].score < 1 and [got[i].version_of for i in (0, 1, 13, 15, 16)] == [None, 0, None, 0, 0]
     assert stored() - before < sum(len(t or "") for t in texts) // 2
+
+
+def test_common_shingles_of_chunks_go_as_hashes(spark):
+    from lakeloom.operators import dedup
+
+    shared, own = "The same form is used by every office here", "Nothing else in this place says what is said now"
+    df = spark.createDataFrame([(d, d * 10 + i, t) for d in range(6) for i, t in enumerate((shared, f"{own} {d * 7919} {'xyzuvw'[d] * 40}"))], "doc_id long, chunk_id long, text string")
+    g = df.select("doc_id", F.explode(dedup.content_shingles(F.col("text"))).alias("term"))
+    assert dict(g.dtypes)["term"] == "bigint"
+    common = g.where(F.col("term").isin([int(h) for h in similarity.rolling_hashes("".join(c for c in shared if c.isalnum()), 12)])).select("term")
+    assert rows(dedup.corpus_reasons(df, common).where("boilerplate"), "chunk_id") == [(d * 10,) for d in (0, 1, 2, 3, 4, 5)]
