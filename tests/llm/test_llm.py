@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -581,6 +582,22 @@ def test_suffix_dedup_leaves_nothing_behind(spark, monkeypatch):
     assert not [f for f in Path(spark.conf.get("spark.checkpoint.dir")).glob("lakeloom_texts_*/*.parquet") if f.stat().st_size > 2000]
 
 
+def test_small_blobs_of_stretches_take_few_bytes():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(40)]
+    like = " ".join(rng.choices(words, k=6000)).encode()
+    whole = "".join(texts).encode() * 2
+    row = {"gid": 1, "part": 0, "ids": list(range(80)), "lengths": [len(t) for t in texts] * 2, "n_bytes": len(whole), "texts": suffix_dedup._zip(whole)}
+    none = pa.table({"gid": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "told": pa.array([], pa.binary())})
+    sent = suffix_dedup._send(32, 400, 1 << 20, like)(pa.Table.from_pylist([row]), none).to_pylist()
+    opened = [suffix_dedup._open(r["stretches"], like) for r in sorted(sent, key=lambda r: r["pid"])]
+    assert len(sent) > 350 and [o[0] for o in opened] == np.cumsum([0, *(len(o[3]) for o in opened)])[:-1].tolist()
+    assert all(s in whole for o in opened for s in o[3]) and all(owner < 40 for o in opened for owner in o[2])
+    n, size = sum(len(o[3]) for o in opened), sum(len(r["stretches"]) for r in sent)
+    assert size < 40 * n, f"{size / n:.1f} bytes a stretch"
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.suffix_dedup(documents(spark, [])).count() == 0
 
