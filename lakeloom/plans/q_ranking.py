@@ -140,7 +140,7 @@ def srt_topk_dense(t: Tables) -> DataFrame:
     """Every fiftieth vector asks; rows of its own label don't answer."""
     q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", "embedding")
     v = t.embeddings.select("vec_id", F.col("label").alias("other"), "embedding")
-    top = similarity.cosine_top(q, v, "q", "vec_id", "embedding", 20, -2.0, keep=F.col("label") != F.col("other"))
+    top = similarity.cosine_top(q, v, "q", "vec_id", "embedding", 20, -2.0, apart=("label", "other"))
     return top.select("q", "vec_id", F.round("cosine", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

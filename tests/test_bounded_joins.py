@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from lakeloom.operators import joins, similarity
+from lakeloom.operators import graph, joins, similarity
 
 
 def test_equal_classes_tell_all_links_in_a_row_for_each_item(spark):
@@ -68,3 +69,37 @@ def test_common_shingles_of_chunks_go_as_hashes(spark):
     assert dict(g.dtypes)["term"] == "bigint"
     common = g.where(F.col("term").isin([int(h) for h in similarity.rolling_hashes("".join(c for c in shared if c.isalnum()), 12)])).select("term")
     assert rows(dedup.corpus_reasons(df, common).where("boilerplate"), "chunk_id") == [(d * 10,) for d in (0, 1, 2, 3, 4, 5)]
+
+
+def test_dense_searches_by_blocks_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(60, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    vectors = [(i, i % 4 if i % 9 else None, unit[i % 50].tolist()) for i in range(60)]  # the last ten are copies
+    vectors += [(60, 1, None), (61, 1, [None] + unit[0][1:].tolist()), (62, 2, unit[0][:5].tolist()), (63, 7, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>")
+
+    def product(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return None
+        total = 0.0
+        for x, y in zip(a, b, strict=True):  # sum() would be compensated
+            total += x * y
+        return total
+
+    asked = [v for v in vectors if v[0] % 5 == 0]
+    q = df.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("own"), "embedding")
+    got = {(r.q, r["rank"]): (r.vec_id, r.cosine) for r in similarity.cosine_top(q, df, "q", "vec_id", "embedding", 6, -0.2, apart=("own", "label")).collect()}
+    want = {}
+    for i, own, e in asked:
+        hits = [(product(e, f), j) for j, label, f in vectors if own is not None and label is not None and own != label]
+        for rank, (c, j) in enumerate(sorted((h for h in hits if h[0] is not None and h[0] >= -0.2), key=lambda h: (-h[0], h[1]))[:6], 1):
+            want[i, rank] = (j, c)
+    assert got == want
+    groups = {(r.q, r.label): (r.top, r["mean"], r.n) for r in similarity.cosine_groups(q, df, "q", "vec_id", "embedding", "label").collect()}
+    assert len(groups) == len(asked) * len({v[1] for v in vectors})
+    for (i, label), (top, mean, n) in groups.items():
+        every = [product(next(v[2] for v in asked if v[0] == i), f) for _, g, f in vectors if g == label]
+        some = [c for c in every if c is not None]
+        assert n == len(every) and (top is None) == (not some)
+        assert not some or (top == pytest.approx(max(some)) and mean == pytest.approx(sum(some) / len(some)))
