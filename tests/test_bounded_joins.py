@@ -103,3 +103,10 @@ def test_dense_searches_by_blocks_equal_all_pairs(spark):
         some = [c for c in every if c is not None]
         assert n == len(every) and (top is None) == (not some)
         assert not some or (top == pytest.approx(max(some)) and mean == pytest.approx(sum(some) / len(some)))
+
+
+def test_siblings_grow_with_nodes_not_pairs(spark):
+    edges = spark.createDataFrame([("p", f"n{i:03}", "contains") for i in range(300)] + [("p", "n001", "contains"), ("p", "x", "other"), ("r", "n007", "contains")], "src string, dst string, kind string")
+    rows = graph.siblings(edges, "contains").collect()
+    assert len(rows) == 301 and {(r["class"], r.links) for r in rows if r.parent == "p"} == {("n000", 299)}
+    assert [(r.node, r["class"], r.links) for r in rows if r.parent == "r"] == [("n007", "n007", 0)]
