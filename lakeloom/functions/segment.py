@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from pyspark.sql import types as T
 VOCABULARY, LONGEST_WORD = 100_000, 24
 #: What each character of a word outside the vocabulary costs.
 UNKNOWN_CHAR = math.log(40)
+#: More than sums of costs are off by rounding.
+NEAR = 1e-6
 
 
 def word_costs(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY) -> dict[str, float]:
@@ -25,18 +30,51 @@ def word_costs(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY
     return {r.w: -math.log(r.n / total) for r in top} | {"": math.log(total + 1)}
 
 
-def best_words(run: str, costs: dict[str, float]) -> list[str]:
-    """The cheapest way to cut a run into words (Viterbi over its places)."""
+def word_machine(costs: dict[str, float]) -> ahocorasick.Automaton:
+    """An automaton that finds all words of a model in one pass over a run."""
+    machine = ahocorasick.Automaton()
+    for word, cost in costs.items():
+        if 0 < len(word) <= LONGEST_WORD:
+            machine.add_word(word, (len(word), cost))
+    machine.make_automaton()
+    return machine
+
+
+def best_words(run: str, costs: dict[str, float], machine: ahocorasick.Automaton | None = None) -> list[str]:
+    """The cheapest way to cut a run into words (Viterbi over its places); of equally cheap last words the shortest.
+
+    Each place looks at the words that end there and at one unknown word, the best that can end there: where it begins is kept as
+    the least of a sliding window. machine is word_machine(costs), for those who cut many runs.
+    """
+    machine = word_machine(costs) if machine is None else machine
     unknown = costs.get("", 0.0)
     best, back = [0.0], [0]
+    starts = deque([(0.0, 0)])
+    words = machine.iter(run) if len(machine) else iter(())
+    last, word = next(words, (-1, None))
     for end in range(1, len(run) + 1):
-        low, at = math.inf, 0
-        for size in range(1, min(LONGEST_WORD, end) + 1):
-            cost = best[end - size] + costs.get(run[end - size : end], unknown + UNKNOWN_CHAR * size)
-            if cost < low:
-                low, at = cost, end - size
+        if starts[0][1] < end - LONGEST_WORD:
+            starts.popleft()
+        # Starts that are equally good but for rounding are compared by their whole cost.
+        low, at, near = math.inf, 0, starts[0][0] + 3 * NEAR
+        for rest, start in starts:
+            if rest > near:
+                break
+            cost = best[start] + (unknown + UNKNOWN_CHAR * (end - start))
+            if cost <= low:
+                low, at = cost, start
+        while last == end - 1:
+            start = end - word[0]
+            cost = best[start] + word[1]
+            if cost < low or (cost == low and start > at):
+                low, at = cost, start
+            last, word = next(words, (-1, None))
         best.append(low)
         back.append(at)
+        rest = low - UNKNOWN_CHAR * end
+        while starts and starts[-1][0] > rest + NEAR:
+            starts.pop()
+        starts.append((rest, end))
     out, end = [], len(run)
     while end:
         out.append(run[back[end] : end])
@@ -49,8 +87,10 @@ def respace(text: Column, costs: dict[str, float], least: int = 10) -> Column:
     pattern = re.compile(r"\S{%d,}" % least)
 
     @F.pandas_udf(T.StringType())
-    def run_on(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else pattern.sub(lambda m: " ".join(best_words(m[0], costs)), x))
+    def run_on(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = word_machine(costs)
+        for s in batches:
+            yield s.map(lambda x: None if x is None else pattern.sub(lambda m: " ".join(best_words(m[0], costs, machine)), x))
 
     return run_on(text)
 

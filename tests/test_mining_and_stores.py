@@ -97,3 +97,36 @@ def test_shapes(spark):
     assert shapes.violations(nodes, edges, []).collect() == []
     lines = shapes.schema_triples([doc, program])
     assert lines == sorted(set(lines)) and "<urn:graph:has> <http://www.w3.org/2000/01/rdf-schema#range> <urn:graph:doc> ." in lines
+
+
+def test_best_words_look_at_words_that_end_at_a_place_only():
+    """As trying every length of the last word does, and without a lookup for each of them."""
+
+    class Counting(dict):
+        lookups = 0
+
+        def get(self, *a):
+            Counting.lookups += 1
+            return super().get(*a)
+
+    def plain(run, costs):
+        best, back = [0.0], [0]
+        for end in range(1, len(run) + 1):
+            tried = [(best[end - n] + costs.get(run[end - n : end], costs.get("", 0.0) + segment.UNKNOWN_CHAR * n), n) for n in range(1, min(segment.LONGEST_WORD, end) + 1)]
+            low, n = min(tried)
+            best.append(low)
+            back.append(end - n)
+        out, end = [], len(run)
+        while end:
+            out.append(run[back[end] : end])
+            end = back[end]
+        return out[::-1]
+
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 6))): rng.choice([1.0, 2.0, 2.5, 4.0]) for _ in range(40)} | {"z" * 30: 0.1, "": 6.0}
+    for n in [0, 1, 5, *range(20, 200, 7)]:
+        run = "".join(rng.choices("abcdz", weights=[5, 5, 5, 1, 1], k=n))
+        costs = Counting(words)
+        assert segment.best_words(run, costs) == plain(run, words)
+        assert segment.best_words(run, {}) == plain(run, {})
+    assert Counting.lookups < 100
