@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakeloom.operators.lineage import cut
 
@@ -120,15 +121,39 @@ def fuse(a: DataFrame, b: DataFrame, by: Sequence[str], item: str, k: int = 60,
     return fused.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), item)))
 
 
-def grouped_fold(rows: DataFrame, key: str, order: Sequence[str], schema: T.StructType | str, fold: Callable[[list[dict]], list[tuple]]) -> DataFrame:
-    """An ordered fold per key, for rules that a frame can't say: fold gets a key's rows in order and returns result rows."""
+#: Rows that a fold turns into Python at a time, and results that it gives out at a time.
+FOLDED_ROWS = 2_000
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf.sort_values(list(order), kind="stable").to_dict("records"))
-        return pd.DataFrame(out, columns=[f.name for f in parsed.fields])
+def grouped_fold(rows: DataFrame, key: str, order: Sequence[str], schema: T.StructType | str, fold: Callable[[list[dict]], list[tuple]]) -> DataFrame:
+    """An ordered fold per key, for rules that a frame can't say: fold gets a key's rows in order (nulls last) and returns result rows.
 
+    Keys are dealt out and sorted by Spark, and a task folds one after the other as they come by: a key costs what its rows cost.
+    """
     parsed = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    return rows.groupBy(key).applyInPandas(run, parsed)
+    out = to_arrow_schema(parsed)
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        found: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, FOLDED_ROWS):
+                for row in batch.slice(at, FOLDED_ROWS).to_pylist():
+                    if held and row[key] != held[0][key]:
+                        found += fold(held)
+                        held = []
+                        if len(found) >= FOLDED_ROWS:
+                            yield made(found)
+                            found = []
+                    held.append(row)
+        found += fold(held) if held else []
+        if found:
+            yield made(found)
+
+    return rows.repartition(key).sortWithinPartitions(key, *[F.col(c).asc_nulls_last() for c in order if c != key]).mapInArrow(run, parsed)
 
 
 def pack_windows(rows: DataFrame, key: str, order: Sequence[str], size: str, limit: int = 9000) -> DataFrame:

@@ -259,3 +259,12 @@ def test_sieve_lets_every_asked_hash_through(spark):
     assert bits[low].all() and bits.sum() == len(set(low.tolist()))
     r = spark.createDataFrame([("every gram of this text is asked for",), (None,), ("no",)], "t string").select(similarity.sifted_hashes(F.col("t"), 8, similarity.sieve(spark.createDataFrame([(int(asked[3]),)], "h long"))).alias("s")).select("s.*").collect()
     assert [x.n for x in r] == [29, 0, 0] and list(r[0].h) == [int(asked[3])] and not r[1].h
+
+
+def test_a_fold_gets_its_keys_one_after_the_other_in_sorted_tasks(spark):
+    values = [(k, i, None if i == 3 else i * 10, f"t{i}") for k in [*range(300), None] for i in (4, 1, 3, 2)] + [(1000, i, i, "x") for i in range(5000)]
+    df = spark.createDataFrame(values, "k long, at long, size long, t string")
+    seen = windows.grouped_fold(df, "k", ["size"], "k long, n int, first long, last long, t string", lambda rows: [(rows[0]["k"], len(rows), rows[0]["at"], rows[-1]["at"], rows[0]["t"])])
+    got = {r.k: tuple(r)[1:] for r in seen.collect()}
+    assert got == {k: (4, 1, 3, "t1") for k in [*range(300), None]} | {1000: (5000, 0, 4999, "x")}
+    assert "MapInArrow" in seen._jdf.queryExecution().executedPlan().toString()
