@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.numbers import numbers_in
-from lakeloom.operators.lineage import cut
+from lakeloom.operators.lineage import stored
 
 #: A section's first items that its parent's outline shows, and characters of each.
 SHOWN, SHOWN_CHARS = 1, 120
@@ -36,19 +36,21 @@ def tree_steps(sections: DataFrame, doc: str = "doc_id", path: str = "path", par
     s = sections.select(doc, F.col(path).alias("path"), F.col(parent).alias("parent"), F.col(seq).alias("seq"), F.coalesce(heading, F.lit("")).alias("heading"), items_of(F.col(text)).alias("items"))
     line = F.concat("heading", F.when(F.size("items") > 0, F.concat(F.lit(": "), F.substring(F.array_join(F.slice("items", 1, SHOWN), " "), 1, SHOWN_CHARS))).otherwise(""))
     below = s.where("parent is not null and parent <> path").groupBy(doc, F.col("parent").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "path", line.alias("line")))), lambda x: x.line).alias("outline"))
-    s = cut(s.join(below, [doc, "path"], "left"))
+    s = stored(s.join(below, [doc, "path"], "left"))
     tops = s.join(s.select(doc, F.col("path").alias("parent")), [doc, "parent"], "left_anti")
     none = F.array().cast("array<string>")
     level, n, out = tops.select(*s.columns, none.alias("above"), none.alias("known")), 0, None
     while True:
         kind = F.when(F.size("outline") > 0, "outline").when(F.size("items") > 0, "items")
-        answer = F.array_join(F.when(F.size("outline") > 0, F.transform("outline", lambda x: F.concat(F.lit("- "), x))).otherwise(F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x))), "\n")
+        numbered = F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x))
+        answer = F.array_join(F.when(F.size("outline") > 0, F.transform("outline", lambda x: F.concat(F.lit("- "), x))).otherwise(numbered), "\n")
         node = F.concat("above", F.array("heading"))
         given = _union("known", numbers_in(F.array_join("items", "\n")), numbers_in(F.array_join(node, "\n")))
         # The numbering of items is the answer's own.
         said = F.when(F.size("outline") > 0, numbers_in(F.array_join("outline", "\n"))).otherwise(numbers_in(F.array_join("items", "\n")))
-        here = level.select(*s.columns, node.alias("node_path"), kind.alias("kind"), answer.alias("answer"), said.alias("said"), given.alias("given"))
-        here = cut(here.withColumn("unsupported", F.array_sort(F.array_except("said", "given"))))
+        # What is said again (the answer) is made anew where it is asked for.
+        here = level.select(*s.columns, node.alias("node_path"), kind.alias("kind"), said.alias("said"), given.alias("given"))
+        here = stored(here.withColumn("unsupported", F.array_sort(F.array_except("said", "given")))).withColumn("answer", answer)
         if here.isEmpty():
             break
         steps = here.where("kind is not null").select(doc, "path", "seq", F.lit(n).alias("level"), "kind", "node_path", F.col("items").alias("evidence"), "answer", "unsupported")

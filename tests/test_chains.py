@@ -41,3 +41,12 @@ def test_random_trees(spark):
             sections.append((doc, f"p{i:02}", f"p{rng.randrange(i):02}" if i and rng.random() < 0.9 else None, rng.randrange(5), rng.choice(["Part 1", "Aims", None]), text or None))
     assert rows(chains.tree_steps(spark.createDataFrame(sections, SECTIONS).repartition(3))) == plain(sections)
     assert chains.tree_steps(spark.createDataFrame([], SECTIONS)).collect() == []
+
+
+def test_levels_are_stored_as_compressed_columns(spark):
+    """Checkpoints held every row whole and uncompressed, the answer too."""
+    rows = [("d", i, None if i == 0 else (i - 1) // 3, i, f"h{i}", f"First thing of {i}. Second thing of {i}.") for i in range(14)]
+    steps = chains.tree_steps(spark.createDataFrame(rows, "doc_id string, path int, parent int, seq int, heading string, text string"))
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert steps.count() == 14 and "FileScan parquet" in plan and "ExistingRDD" not in plan
+    assert steps.where("path = 13").first().answer == "1) First thing of 13.\n2) Second thing of 13."
