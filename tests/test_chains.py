@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
-from lakeloom.operators import chains
+from lakeloom.operators import chains, graph_build
 
 SECTIONS = "doc_id int, path string, parent string, seq int, heading string, text string"
 
@@ -50,3 +50,12 @@ def test_levels_are_stored_as_compressed_columns(spark):
     plan = steps._jdf.queryExecution().executedPlan().toString()
     assert steps.count() == 14 and "FileScan parquet" in plan and "ExistingRDD" not in plan
     assert steps.where("path = 13").first().answer == "1) First thing of 13.\n2) Second thing of 13."
+
+
+def test_facts_and_edges_of_a_graph_are_stored_as_compressed_columns(spark):
+    docs = spark.createDataFrame([("d1", "p", 2020, "plan", "c"), ("d2", "p", None, "plan", "c")], "doc string, program string, year int, kind string, code string")
+    empty = {"sections": "doc string, path string, title string", "mentions": "doc string, program string", "measures": "doc string, indicator string, value string", "ledger": "doc string, program string, family string, successor string, into string"}
+    built = graph_build.build({"docs": docs} | {name: spark.createDataFrame([], schema) for name, schema in empty.items()})
+    assert {(r.src, r.dst) for r in built.edges.collect()} == {("p", "year:p:2020"), ("year:p:2020", "d1"), ("p", "d2")}
+    for df in (built.edges, built.seen):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
