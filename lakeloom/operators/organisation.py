@@ -73,13 +73,18 @@ def forest(votes: DataFrame) -> DataFrame:
     """(unit, parent, votes) from (unit, parent, votes, latest): each unit's best parent such that nobody is above themselves."""
     order = [F.desc("votes"), F.desc("latest"), F.asc("parent")]
     left = cut(votes.where("unit <> parent"))
+    # Who is above nobody is on no circle and keeps the best parent; rounds only look at the others.
+    above = left.select(F.col("parent").alias("unit")).distinct()
+    first = F.row_number().over(W.partitionBy("unit").orderBy(*order))
+    leaves = left.join(above, "unit", "left_anti").withColumn("_n", first).where("_n = 1").select("unit", "parent", "votes")
+    left = cut(left.join(above, "unit", "left_semi"))
     while True:
         best = cut(left.withColumn("_n", F.row_number().over(W.partitionBy("unit").orderBy(*order))).where("_n = 1").drop("_n"))
         e = _ends(best.select(F.col("unit").alias("node"), F.col("parent").alias("next")))
         # The nodes of a circle are those that jumps of more than all nodes' number come to.
         on_circle = cut(e.where("end is null").select(F.col("last").alias("unit")).distinct())
         if on_circle.isEmpty():
-            return best.select("unit", "parent", "votes")
+            return leaves.union(best.select("unit", "parent", "votes"))
         # A circle is told by its least node: every other one's jumps go round it.
         circle = e.select(F.col("node").alias("unit"), F.col("low").alias("circle")).join(on_circle, "unit", "left_semi").join(best, "unit")
         weakest = circle.withColumn("_n", F.row_number().over(W.partitionBy("circle").orderBy("votes", "latest", F.desc("unit")))).where("_n = 1").select("unit", "parent")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
-from lakeloom.operators import chains, graph_build
+from lakeloom.operators import chains, graph_build, organisation
 
 SECTIONS = "doc_id int, path string, parent string, seq int, heading string, text string"
 
@@ -59,3 +59,12 @@ def test_facts_and_edges_of_a_graph_are_stored_as_compressed_columns(spark):
     assert {(r.src, r.dst) for r in built.edges.collect()} == {("p", "year:p:2020"), ("year:p:2020", "d1"), ("p", "d2")}
     for df in (built.edges, built.seen):
         assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_above_nobody_take_no_part_in_the_rounds(spark, monkeypatch):
+    votes = [(f"leaf{i}", p, v, 1) for i in range(50) for p, v in (("a", 2), ("b", 1))] + [("a", "b", 3, 1), ("b", "a", 1, 1), ("b", "top", 1, 0)]
+    seen, ends = [], organisation._ends
+    monkeypatch.setattr(organisation, "_ends", lambda step: seen.append(step.count()) or ends(step))
+    got = {r.unit: (r.parent, r.votes) for r in organisation.forest(spark.createDataFrame(votes, "unit string, parent string, votes long, latest long")).collect()}
+    assert got == {f"leaf{i}": ("a", 2) for i in range(50)} | {"a": ("b", 3), "b": ("top", 1)}
+    assert seen and max(seen) == 2
