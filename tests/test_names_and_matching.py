@@ -130,3 +130,26 @@ def test_alignment_of_random_forests(spark):
                     up = up.rpartition(".")[0]
                 rows.append(section(p, titles[p], " ".join(rng.sample(["u", "v", "w", "x", "y", "z"], rng.randrange(4))), chain, pair))
     assert both_ways(spark, a, b)
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_a_large_dictionary_is_read_by_tasks_or_cut_into_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(names.wordlist, "MOST_NAMES", 100 if held else 1)
+    monkeypatch.setattr(names.wordlist, "GROUP_CHARS", 40)
+    texts = ["Alpha one and a very long name of many words", "alpha.one ALPHA", "", "étude \U0001f600\U0001f600\U0001f600 etude", "very long name", "a" * 100]
+    dictionary = ["alpha", "alpha one", "very long name", "very long name of many words", "\U0001f600\U0001f600\U0001f600", "aaaaaaaaaaaa", "long", "ong name of ma", None, ""]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    n = spark.createDataFrame([(x,) for x in dictionary], "name string")
+    known = {brute.flat_name(x) for x in dictionary if x and len(brute.flat_name(x)) >= 3}
+    plans = names.find_names(t, n, most_chars=5)
+    assert ("CoGroup" in plans._jdf.queryExecution().toString()) != held  # texts stay where they are
+    assert sorted(map(tuple, plans.collect())) == sorted((i, *h) for i, x in enumerate(texts) for h in brute.found_names(x, known))
+    want = sorted((i, x, sum(brute.flat_name(t).startswith(brute.flat_name(x), k) for k in range(len(t)))) for i, t in enumerate(texts) for x in dictionary if x)
+    assert sorted(map(tuple, names.count_names(t, n, most_chars=5).collect())) == [w for w in want if w[2]]
+
+
+def test_documents_are_classified_where_they_lie(spark):
+    d = spark.createDataFrame([(1, "beta", "b", "alpha alpha"), (2, "none", "", "")], "doc_id long, title string, path string, head string")
+    got = names.classify(d, spark.createDataFrame([("alpha", None), ("beta", "B"), ("alpha", "A")], "name string, program string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "B", 3, False)]
