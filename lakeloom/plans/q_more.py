@@ -18,7 +18,7 @@ from lakeloom.operators import chains, datasets, dedup, evaluation, joins, minin
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_datasets import answers
 from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
-from lakeloom.operators.lineage import cut, scratch
+from lakeloom.operators.lineage import cut, dealt, scratch
 from lakeloom.plans.registry import Tables, query
 from lakeloom.sources import documents as sources
 from lakeloom.sources import tables
@@ -65,7 +65,8 @@ def office_package(name: pd.Series, kind_name: pd.Series, size: pd.Series, kind:
 )
 def src_office(t: Tables) -> DataFrame:
     """Packages of each kind (document, slides, sheet, Hangul) with a part's words, and files that are none."""
-    return t.part.select("p_partkey", sources.office_text(office_package("p_name", "p_type", "p_size", (F.col("p_partkey") % 5).alias("kind"))).alias("text"))
+    part = dealt(t.part.select("p_partkey", "p_name", "p_type", "p_size"))
+    return part.select("p_partkey", sources.office_text(office_package("p_name", "p_type", "p_size", (F.col("p_partkey") % 5).alias("kind"))).alias("text"))
 
 
 @query()
