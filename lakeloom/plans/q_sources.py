@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import ranking
 from lakeloom.sources import documents as docs
 from lakeloom.sources import sinks
-from lakeloom.operators.lineage import scratch
+from lakeloom.operators.lineage import dealt, scratch
 from lakeloom.plans.registry import Tables, query
 
 
@@ -36,7 +36,8 @@ def src_html_table(t: Tables) -> DataFrame:
         F.lit("<p>x</p><TABLE><tr><th colspan=2>"), "p_brand", F.lit("</th><th rowspan='2'> "), "p_type", F.lit("</th></tr><tr><td>"), "p_name", F.lit("<td>"), F.col("p_size").cast("string"),
         F.lit("</td></tr><tr><td></td><td>a &amp;\n b</td><td>"), inner, F.lit("last</td></tr></TABLE><td>outside</td>"),
     )
-    return docs.html_tables(t.part.select("p_partkey", html.alias("html")), "p_partkey")
+    part = dealt(t.part.select("p_partkey", "p_brand", "p_type", "p_name", "p_size"))
+    return docs.html_tables(part.select("p_partkey", html.alias("html")), "p_partkey")
 
 
 @query(

@@ -110,3 +110,10 @@ def test_siblings_grow_with_nodes_not_pairs(spark):
     rows = graph.siblings(edges, "contains").collect()
     assert len(rows) == 301 and {(r["class"], r.links) for r in rows if r.parent == "p"} == {("n000", 299)}
     assert [(r.node, r["class"], r.links) for r in rows if r.parent == "r"] == [("n007", "n007", 0)]
+
+
+@pytest.mark.parametrize("name", ["src_office", "src_html_table"])
+def test_one_small_file_of_costly_rows_is_more_than_one_task(spark, name):
+    from lakeloom.plans import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
