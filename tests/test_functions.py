@@ -168,3 +168,16 @@ def test_counts_in_context(spark):
     assert bad("참여 인원 30명", [("| 구분 | 인원 |\n| 학생 | 30 |", False)]) == []
     assert bad("총 4회 운영", [("각 2회 운영", True)]) == [("4", "회")]
     assert bad("2026년 착수", [("없음", False)]) == []
+
+
+def test_batches_are_worked_on_by_slices():
+    import pyarrow as pa
+
+    from lakeloom.sources import documents
+
+    column = pa.array(["a\nb"] * 600)
+    merged = list(text.merge_three.func(iter([(column, column, pa.array(["a\nb\nc"] * 600))])))
+    mails = list(documents.mail_text.func(iter([pa.array([b"Subject: x\r\n\r\nbody", None] * 300)])))
+    assert max(map(len, merged)) == text.SLICE and max(map(len, mails)) == documents.SLICE
+    assert pa.concat_arrays(merged).to_pylist() == [{"text": "a\nb\nc", "conflicts": []}] * 600
+    assert pa.concat_arrays(mails).to_pylist() == ["x\nbody", ""] * 300
