@@ -181,3 +181,14 @@ def test_batches_are_worked_on_by_slices():
     assert max(map(len, merged)) == text.SLICE and max(map(len, mails)) == documents.SLICE
     assert pa.concat_arrays(merged).to_pylist() == [{"text": "a\nb\nc", "conflicts": []}] * 600
     assert pa.concat_arrays(mails).to_pylist() == ["x\nbody", ""] * 300
+
+
+def test_substance_is_put_together_from_runs(spark):
+    from lakeloom.operators.similarity import fingerprint
+
+    texts = ["a-b 가나!\n9é_\U0001f600z", "", None, "...", "㈜漢abc"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plan = d.select(fingerprint(F.col("t")).alias("f"), F.size(text.damage_signals(F.col("t"))).alias("n"))
+    assert [tuple(r) for r in plan.collect()] == [("ab가나9z", 0), ("", 0), ("", 0), ("", 0), ("abc", 0)]
+    explained = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^" not in explained.split("AS f#")[0] and "CASE WHEN RLIKE(t" in explained
