@@ -117,3 +117,19 @@ def test_one_small_file_of_costly_rows_is_more_than_one_task(spark, name):
     from lakeloom.plans import catalog
 
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_words_are_counted_once_a_title_and_pairs_of_aspects_are_not_shuffled(spark):
+    from lakeloom.operators import mining
+
+    titles = [(i, " ".join(f"w{k % 700}" for k in range(20_000)) + f" end{i % 3}") for i in range(6)]
+    t = spark.createDataFrame(titles, "doc_id long, title string")
+    s = mining.frequent_sequences(t, longest=1).where("gram = 'end1' or gram = 'w5'").select("gram", "docs", "place")
+    assert sorted(map(tuple, s.collect())) == [("end1", 2, round(20_000 / 20_001, 9)), ("w5", 6, round(5 / 20_001, 9))]
+    roles = mining.document_roles(t, spark.createDataFrame([("end1",), ("w699",)], "word string"))
+    assert sorted(map(tuple, roles.collect())) == [(i, "end1" if i % 3 == 1 else "w699") for i in range(6)]
+    sections = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("c", "z"), ("d", None)], "section string, word string")
+    aspects = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (3, "none")], "aspect int, word string")
+    best = joins.best_by_words(sections, F.broadcast(aspects))
+    assert sorted(map(tuple, best.collect())) == [(1, "b", 2), (2, "a", 1)]
+    assert "hashpartitioning(aspect#" in best._jdf.queryExecution().executedPlan().toString() and not [x for x in best._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:] if x.startswith("aspect#") and ", section#" in x.split(")")[0]]
