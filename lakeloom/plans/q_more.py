@@ -17,7 +17,7 @@ from lakeloom.functions.sql import register_sql
 from lakeloom.operators import chains, datasets, dedup, evaluation, joins, mining, organisation, retrieval, windows
 from lakeloom.plans.q_aggregates import LINES_SQL, lines
 from lakeloom.plans.q_datasets import answers
-from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked
+from lakeloom.plans.q_retrieval import LEX_SQL, chunks, questions, ranked, with_chunks
 from lakeloom.operators.lineage import cut, dealt, scratch
 from lakeloom.plans.registry import Tables, query
 from lakeloom.sources import documents as sources
@@ -515,7 +515,7 @@ def udf_callable(t: Tables) -> DataFrame:
     def judge(question: pd.Series, text: pd.Series) -> pd.Series:
         return (text.str.len() % 97) / 97
 
-    r = ranked(t).join(chunks(t).select("chunk_id", "text"), "chunk_id").join(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid")
+    r = with_chunks(t, ranked(t)).drop("seq", "doc_id").join(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid")
     return retrieval.rerank(r, judge).select("qid", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

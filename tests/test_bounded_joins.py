@@ -133,3 +133,19 @@ def test_words_are_counted_once_a_title_and_pairs_of_aspects_are_not_shuffled(sp
     best = joins.best_by_words(sections, F.broadcast(aspects))
     assert sorted(map(tuple, best.collect())) == [(1, "b", 2), (2, "a", 1)]
     assert "hashpartitioning(aspect#" in best._jdf.queryExecution().executedPlan().toString() and not [x for x in best._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:] if x.startswith("aspect#") and ", section#" in x.split(")")[0]]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_hits_are_found_without_shuffling_documents(spark, tmp_path):
+    from lakeloom.plans import q_retrieval
+    from lakeloom.plans.registry import Tables
+
+    spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, None), (4, "d\n\ne")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = lambda d, s: d * 16777216 + s
+    hits = spark.createDataFrame([(7, at(1, 2)), (7, at(4, 2)), (8, at(4, 3)), (8, at(9, 1))], "qid int, chunk_id long")
+    found = q_retrieval.with_chunks(Tables(spark, str(tmp_path)), hits).select("qid", "doc_id", "seq", "text")
+    assert rows(found, "qid", "doc_id", "seq", "text") == [(7, 1, 2, "b"), (7, 4, 2, ""), (8, 4, 3, "e")]
+    assert "Exchange hashpartitioning" not in _plan(found)
