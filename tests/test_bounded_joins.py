@@ -169,3 +169,18 @@ def test_index_of_terms_by_generations_says_what_its_live_chunks_say(spark, tmp_
             want = rows(retrieval.lexical(questions, retrieval.postings(c), c.count()))
             assert rows(index.search(questions, g)) == want and want
     assert [r.chunk_id for r in spark.read.parquet(f"{tmp_path}/index/gone/generation=000001").orderBy("chunk_id").collect()] == [2, 3]
+
+
+def test_expanding_search_says_the_same_whatever_is_handed_out(spark, monkeypatch):
+    from lakeloom.operators import lineage, retrieval
+
+    chunks = [(1, "alpha beta"), (2, "alpha gamma delta"), (3, "beta gamma delta"), (4, "gamma delta eta"), (5, "theta"), (6, "alpha beta gamma delta"), (7, None)]
+    index = lineage.stored(retrieval.postings(spark.createDataFrame(chunks, "chunk_id long, text string")))
+    questions = spark.createDataFrame([(1, "alpha"), (1, "beta"), (1, "nowhere"), (2, "eta"), (2, "gamma"), (3, "none")], "qid int, term string")
+    n = spark.createDataFrame([(7,)], "n long")
+    found = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(lineage, "HAND_OUT", most)
+        assert rows(retrieval.lexical(questions, index, n, held=True)) == rows(retrieval.lexical(questions, index, n))
+        found.append(rows(retrieval.search_expanding(questions, index, n, floor=0.9)))
+    assert found[0] == found[1] and found[0]
