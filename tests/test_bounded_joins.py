@@ -184,3 +184,28 @@ def test_expanding_search_says_the_same_whatever_is_handed_out(spark, monkeypatc
         assert rows(retrieval.lexical(questions, index, n, held=True)) == rows(retrieval.lexical(questions, index, n))
         found.append(rows(retrieval.search_expanding(questions, index, n, floor=0.9)))
     assert found[0] == found[1] and found[0]
+
+
+def test_lines_that_share_a_passage_are_not_held_against_each_other():
+    import time
+
+    from lakeloom.operators import dedup
+
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    passage = letters(130)
+    lines = [passage + letters(40) for _ in range(1500)]
+    lines += [lines[7][:-2] + "zz", lines[8][20:90], lines[9], lines[10][:5]]
+    prints = sorted(lines, key=lambda f: -len(f))
+    at = time.process_time()
+    fallen = dedup._fallen(prints, 0.9)
+    assert time.process_time() - at < 4 and sum(fallen) == 4
+    for trial in range(40):
+        few = sorted(("".join(rng.choice(list("ab"), rng.integers(1, 40))) for _ in range(40)), key=lambda f: -len(f))
+        kept, want = [], []
+        for f in few:
+            g = {f[i : i + 12] for i in range(max(1, len(f) - 11))}
+            want.append(any(f in t or len(g & h) >= 0.9 * len(g | h) for t, h in kept))
+            if not want[-1]:
+                kept.append((f, g))
+        assert dedup._fallen(few, 0.9) == want
