@@ -209,3 +209,22 @@ def test_lines_that_share_a_passage_are_not_held_against_each_other():
             if not want[-1]:
                 kept.append((f, g))
         assert dedup._fallen(few, 0.9) == want
+
+
+def test_titles_of_few_letters_meet_in_blocks(spark, monkeypatch):
+    from lakeloom.operators import joins
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abc가"), rng.integers(1, 9))) for _ in range(120)]
+    grams = lambda t: {t[i : i + 2] for i in range(max(1, len(t) - 1))}
+    near = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    monkeypatch.setattr(similarity, "TEXT_BLOCK", 10)
+    monkeypatch.setattr(similarity, "TEXT_TILE", 7)
+    monkeypatch.setattr(similarity, "GRAM_COLUMNS", 3)
+    sides = [spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 2 == s], f"{n} long, t string") for s, n in ((0, "a"), (1, "b"))]
+    want = sorted((i, j, near(x, y)) for i, x in enumerate(texts) for j, y in enumerate(texts) if i % 2 == 0 and j % 2 == 1 and near(x, y) >= 0.6)
+    assert want and sorted(map(tuple, similarity.bigram_join(*sides, "a", "b", "t", 0.6).collect())) == want
+    empty = sides[0].where("a < 0")
+    assert similarity.bigram_join(empty, sides[1], "a", "b", "t", 0.6).collect() == []
+    titled = [s.withColumnRenamed("t", "title") for s in sides]
+    assert "jaccard" not in joins.match_titles(*titled, left_id="a", right_id="b").columns
