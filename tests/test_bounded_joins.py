@@ -228,3 +228,13 @@ def test_titles_of_few_letters_meet_in_blocks(spark, monkeypatch):
     assert similarity.bigram_join(empty, sides[1], "a", "b", "t", 0.6).collect() == []
     titled = [s.withColumnRenamed("t", "title") for s in sides]
     assert "jaccard" not in joins.match_titles(*titled, left_id="a", right_id="b").columns
+
+
+def test_near_chunks_make_no_frame_for_each_group(spark):
+    from lakeloom.operators import dedup
+
+    line = "a line of some length that another one nearly equals"
+    chunks = spark.createDataFrame([(1, 2, line), (1, 1, line), (1, 3, line + " x"), (None, 4, "short"), (None, None, "a shorter"), (2, 5, None), (2, 6, "..")], "doc_id long, chunk_id long, text string")
+    found = dedup.near_chunks(chunks)
+    assert "InPandas" not in _plan(found)
+    assert sorted((r.chunk_id or 0, r.duplicate) for r in found.collect()) == [(0, False), (1, True), (2, True), (3, False), (4, True), (5, False), (6, False)]
