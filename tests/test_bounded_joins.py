@@ -256,3 +256,10 @@ def test_hits_are_held_against_kept_ones_and_fall_inside_them(spark):
     found = rows(retrieval.drop_near_copies(ranked), "qid", "rank")
     # What is near a dropped row only stays, what lies inside a kept one falls; a longer one behind a shorter stays.
     assert found == [(1, 1), (1, 3), (1, 6), (1, 8), (2, 1), (2, 2)]
+
+
+def test_all_pairs_of_a_key_are_given_and_a_large_key_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIR_BLOCK", 7)
+    df = spark.createDataFrame([(i, 1 if i < 40 else 2, "a") for i in range(45)] + [(90, None, "a"), (91, None, "a"), (92, 3, "a")], "id long, n int, s string")
+    got = rows(joins.equal_pairs(df, "id", ["n", "s"]).where("a < b"), "a", "b")
+    assert got == sorted(((a, b) for a in range(45) for b in range(a + 1, 45) if (a < 40) == (b < 40)), key=repr)
