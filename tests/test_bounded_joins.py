@@ -263,3 +263,12 @@ def test_all_pairs_of_a_key_are_given_and_a_large_key_is_dealt_out(spark, monkey
     df = spark.createDataFrame([(i, 1 if i < 40 else 2, "a") for i in range(45)] + [(90, None, "a"), (91, None, "a"), (92, 3, "a")], "id long, n int, s string")
     got = rows(joins.equal_pairs(df, "id", ["n", "s"]).where("a < b"), "a", "b")
     assert got == sorted(((a, b) for a in range(45) for b in range(a + 1, 45) if (a < 40) == (b < 40)), key=repr)
+
+
+def test_siblings_are_told_by_pairs(spark):
+    from lakeloom.plans.catalog import QUERIES
+
+    edges = spark.createDataFrame([("p", "x", "contains"), ("p", "y", "contains"), ("p", "z", "other"), ("q", "x", "contains"), (None, "w", "contains"), (None, "v", "contains")], "src string, dst string, kind string")
+    assert rows(graph.sibling_pairs(edges, "contains"), "a", "b", "parent") == [("x", "y", "p"), ("y", "x", "p")]
+    assert set(QUERIES["gr_two_hop"](spark, "/root/testdata/sf0.001").columns) == {"a", "b", "parent"}
+    assert set(QUERIES["jn_self_graph"](spark, "/root/testdata/sf0.001").columns) == {"a", "b"}
