@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.operators.lineage import cut
+from lakeloom.operators.lineage import cut, stored
 
 # Forms of the sentences, and kinds by how a name ends (longer endings first).
 FOUNDED = r"(?:^|\s)([^\s,]+?)(?:에는|에|\s+직속으로)\s+([^.\n]+?)(?:을|를)\s*(?:두며|두고|둔다|두어|두되|둘\s*수)"
@@ -49,13 +49,16 @@ def statements(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
 
 
 def _ends(step: DataFrame) -> DataFrame:
-    """(node, end, low) of (node, next): where following next from each node ends, by jumps of doubling length. A circle has no end (null); low is its least node."""
-    ends = cut(step.select("node", F.col("next").alias("end"), F.least("node", "next").alias("low")))
+    """(node, end, low) of (node, next): where following next from each node ends, by jumps of doubling length. A circle has no end (null); low is its least node.
+
+    Jumps are stored as tables: a checkpoint keeps Spark's estimate of its size, a product at every join, and the digits of that number double with every jump.
+    """
+    ends = stored(step.select("node", F.col("next").alias("end"), F.least("node", "next").alias("low")))
     n, length = ends.count(), 1
     while length <= n:
         on = ends.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("low").alias("far_low"))
         ends = ends.join(on, "end", "left").select("node", F.coalesce("far", "end").alias("end"), F.least("low", F.coalesce("far_low", "low")).alias("low"))
-        ends, length = cut(ends), 2 * length
+        ends, length = stored(ends), 2 * length
     loops = ends.select(F.col("node").alias("end"), F.lit(True).alias("loop"))
     return ends.join(loops, "end", "left").select("node", F.when(F.col("loop").isNull(), F.col("end")).alias("end"), F.col("end").alias("last"), "low")
 

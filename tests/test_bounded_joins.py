@@ -272,3 +272,16 @@ def test_siblings_are_told_by_pairs(spark):
     assert rows(graph.sibling_pairs(edges, "contains"), "a", "b", "parent") == [("x", "y", "p"), ("y", "x", "p")]
     assert set(QUERIES["gr_two_hop"](spark, "/root/testdata/sf0.001").columns) == {"a", "b", "parent"}
     assert set(QUERIES["jn_self_graph"](spark, "/root/testdata/sf0.001").columns) == {"a", "b"}
+
+
+def test_estimates_do_not_multiply_with_every_jump(spark):
+    from lakeloom.operators import dedup, organisation
+
+    chain = [(f"n{i:05}", f"n{i + 1:05}") for i in range(600)]
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    ends = organisation._ends(spark.createDataFrame([*chain, ("x", "y"), ("y", "x")], "node string, next string"))
+    assert bits(ends) < 500
+    got = {r.node: r for r in ends.collect()}
+    assert {r.end for n, r in got.items() if n[0] == "n"} == {"n00600"} and got["x"].end is None and got["x"].low == got["y"].low == "x"
+    cards = dedup.name_cards(spark.createDataFrame(chain[:40], "a string, b string"))
+    assert bits(cards) < 500 and {r.card for r in cards.collect()} == {"n00000"}
