@@ -285,3 +285,13 @@ def test_estimates_do_not_multiply_with_every_jump(spark):
     assert {r.end for n, r in got.items() if n[0] == "n"} == {"n00600"} and got["x"].end is None and got["x"].low == got["y"].low == "x"
     cards = dedup.name_cards(spark.createDataFrame(chain[:40], "a string, b string"))
     assert bits(cards) < 500 and {r.card for r in cards.collect()} == {"n00000"}
+
+
+def test_a_graph_keeps_a_row_for_each_document_not_for_each_rule(spark):
+    from lakeloom.operators import graph_build
+
+    docs = spark.createDataFrame([(f"d{i}", "p", 2020 + i % 3, "plan", "c") for i in range(20)] + [("n", None, None, "plan", None)], "doc string, program string, year int, kind string, code string")
+    empty = {"sections": "doc string, path string, title string", "mentions": "doc string, program string", "measures": "doc string, indicator string, value string", "ledger": "doc string, program string, family string, successor string, into string"}
+    built = graph_build.build({"docs": docs.union(docs)} | {name: spark.createDataFrame([], schema) for name, schema in empty.items()})
+    assert built.seen.count() == 21
+    assert {r.doc: len(r.scopes) for r in built.seen.collect()} == {f"d{i}": 4 for i in range(20)} | {"n": 1}
