@@ -295,3 +295,22 @@ def test_a_graph_keeps_a_row_for_each_document_not_for_each_rule(spark):
     built = graph_build.build({"docs": docs.union(docs)} | {name: spark.createDataFrame([], schema) for name, schema in empty.items()})
     assert built.seen.count() == 21
     assert {r.doc: len(r.scopes) for r in built.seen.collect()} == {f"d{i}": 4 for i in range(20)} | {"n": 1}
+
+
+def test_versions_meet_as_texts_not_as_sets_of_hashes(spark):
+    from lakeloom.operators import dedup
+
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop 가나"), n))
+    base = letters(3000)
+    texts = [base, base[:-20] + letters(15), base, letters(400), "", None, "short", "short "]
+    df = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "doc_id long, family string, text string")
+    out = dedup.judge_versions(df, "family")
+    assert "array_intersect" not in _plan(out)
+    squeeze = lambda t: "".join((t or "").split())
+    grams = lambda t: {squeeze(t)[i : i + 8] for i in range(0, max(1, len(squeeze(t)) - 7), 3)} if squeeze(t) else set()
+    got = {r.doc_id: (r.duplicate_of, r.score) for r in out.collect()}
+    for i, t in enumerate(texts):
+        scores = [(len(grams(t) & grams(u)) / len(grams(t) | grams(u)) if grams(t) and grams(u) else 0.0, -j) for j, u in enumerate(texts[:i])]
+        best = max(scores, default=(0.0, 0))
+        assert got[i] == ((-best[1], best[0]) if best[0] >= 0.95 else (None, None))
