@@ -314,3 +314,20 @@ def test_versions_meet_as_texts_not_as_sets_of_hashes(spark):
         scores = [(len(grams(t) & grams(u)) / len(grams(t) | grams(u)) if grams(t) and grams(u) else 0.0, -j) for j, u in enumerate(texts[:i])]
         best = max(scores, default=(0.0, 0))
         assert got[i] == ((-best[1], best[0]) if best[0] >= 0.95 else (None, None))
+
+
+@pytest.mark.parametrize("chars", [1, 90, 2_000_000])
+def test_common_grams_are_counted_without_shuffling_the_others(spark, monkeypatch, chars):
+    from lakeloom.operators import dedup
+
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    form, rare = "page of the yearly report", "seldom said in any text"
+    texts = [letters(30) + "\n" + (form if i % 3 == 0 else letters(9)) + "\n" + (rare if i < 4 else "..") for i in range(30)] + ["", None, "!!", form, form]
+    docs = spark.createDataFrame([(i if i < 33 else 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(dedup, "GROUP_CHARS", chars)
+    chunks = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    got = {r.term for r in dedup.common_grams(docs, chunks, least=5, share=0.05).collect()}
+    fp = lambda t: "".join(c for c in t if c.isalnum())
+    want = similarity.rolling_hashes(fp(form), dedup.SHINGLE, 1, True)
+    assert got == set(want.tolist())
