@@ -331,3 +331,13 @@ def test_common_grams_are_counted_without_shuffling_the_others(spark, monkeypatc
     fp = lambda t: "".join(c for c in t if c.isalnum())
     want = similarity.rolling_hashes(fp(form), dedup.SHINGLE, 1, True)
     assert got == set(want.tolist())
+
+
+def test_occurrences_of_sequences_are_stored_as_tables(spark, monkeypatch):
+    from lakeloom.operators import mining
+
+    held, cut = [], mining.cut
+    monkeypatch.setattr(mining, "cut", lambda df: held.append(df.columns) or cut(df))
+    titles = spark.createDataFrame([(i, "regional innovation platform support programme report") for i in range(3)], "doc_id long, title string")
+    assert mining.frequent_sequences(titles, longest=3).count() == 15
+    assert held and not any("at" in columns for columns in held)
